@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, url_filter
+from . import bpe, chat, exact_dedup, line_dedup, media, url_filter
 from .runtime import table
 
 #: The rule list of the URL filter (action, host, path).
@@ -24,6 +24,38 @@ JUNK_RUN, JUNK_SHARE = r"[*#$%]{3}", 0.02
 BAD_LIMIT = 0.05
 
 
+#: The tokenizer file; a parameter of the operator, not part of the repository.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    published = media.publish_texts(table(spark, sf_dir, "documents"))
+    store = media.load_media(published).select(
+        "digest",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+    refs = media.references(media.parse_documents(published, "doc_id"), "doc_id")
+    return media.resolve(refs, store).drop("digest")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(TOKENIZER))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.col("html")
     junk = F.length(html) - F.length(F.regexp_replace(html, JUNK_RUN, ""))
@@ -56,7 +88,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_url_filter, op9_exact_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op2_media_columns, op4_line_dedup, op7_bpe, op8_url_filter, op9_exact_dedup, op10_chat_format)}
 
 
 _RULE_SQL = "CASE {cases} END".format(
@@ -100,6 +132,18 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 """
 
 
+OP4_SQL = r"""
+WITH l AS (
+  SELECT doc_id, row, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, row, unnest(ls) AS line, generate_subscripts(ls, 1) AS i
+    FROM (SELECT doc_id, row_number() OVER () AS row, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+common AS (SELECT key FROM l WHERE key <> '' GROUP BY key HAVING count(DISTINCT row) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(common.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (common.key IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN common USING (key) GROUP BY row, doc_id
+"""
+
+
 def _escaped_sql(x: str) -> str:
     out = f"replace({x}, '\\', '\\\\')"
     for c in chat.CONTROL:
@@ -121,4 +165,4 @@ FROM t GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op8_url_filter": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}

@@ -26,16 +26,20 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a folder of our own."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sigwarden-checkpoint-"))
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Computes ``df`` once and writes it to the checkpoint folder that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a folder of our own is made. A lost executor costs no recomputation.
+    A lost executor costs no recomputation, and the files go when the result is no longer used.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sigwarden-checkpoint-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -48,3 +52,24 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
     if rows is None:
         rows = right.limit(BROADCAST_ROWS + 1).count()
     return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
+
+
+def slices(batches, rows: int = 512):
+    """Small slices of Arrow batches, so that only a few texts at a time become Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def as_bytes(column) -> list:
+    """An Arrow string column's values as UTF-8 bytes or None."""
+    import pyarrow as pa
+
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+def replaced(batch, schema, **columns):
+    """``batch`` in the shape of the Arrow ``schema``, with some columns new."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else batch.column(batch.schema.get_field_index(f.name)) for f in schema], names=[f.name for f in schema])
