@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, line_dedup, media, url_filter
+from . import bpe, chat, exact_dedup, line_dedup, media, simhash, url_filter
 from .runtime import table
 
 #: The rule list of the URL filter (action, host, path).
@@ -28,6 +28,10 @@ BAD_LIMIT = 0.05
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=3).select("doc_id", "fingerprint", "component_id")
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     published = media.publish_texts(table(spark, sf_dir, "documents"))
     store = media.load_media(published).select(
@@ -88,7 +92,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media_columns, op4_line_dedup, op7_bpe, op8_url_filter, op9_exact_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_simhash, op2_media_columns, op4_line_dedup, op7_bpe, op8_url_filter, op9_exact_dedup, op10_chat_format)}
 
 
 _RULE_SQL = "CASE {cases} END".format(
