@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, line_dedup, media, simhash, url_filter
+from . import bpe, chat, exact_dedup, language_id, line_dedup, media, mixing, sharding, simhash, url_filter
 from .runtime import table
 
 #: The rule list of the URL filter (action, host, path).
@@ -48,11 +48,30 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.resolve(refs, store).drop("digest")
 
 
+#: Bytes of text that a shard may hold.
+SHARD_BYTES = 8 << 20
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    found = language_id.identify(docs, language_id.fit(docs), declared=F.col("lang"), host=F.col("source"))
+    return found.select("doc_id", F.col("lang").alias("declared"), "language", F.round("posterior", 4).alias("posterior"), F.col("accepted").alias("kept"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = mixing.with_shares(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), weights=(5, 2, 1), share=1.5, most=2.0, seed=17)
+    return shared.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), mixing.taken_words().alias("taken"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -92,7 +111,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_media_columns, op4_line_dedup, op7_bpe, op8_url_filter, op9_exact_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_simhash, op2_media_columns, op3_sharding, op4_line_dedup, op5_language_id, op6_mixing, op7_bpe, op8_url_filter, op9_exact_dedup, op10_chat_format)}
 
 
 _RULE_SQL = "CASE {cases} END".format(
@@ -148,6 +167,37 @@ FROM l LEFT JOIN common USING (key) GROUP BY row, doc_id
 """
 
 
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes, ('0x' || md5(coalesce(doc_id::VARCHAR, ''))[1:15])::BIGINT AS h FROM documents),
+b AS (SELECT depth, h >> (60 - depth) AS prefix, sum(bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs
+  FROM d, (SELECT unnest(range(0, 61))::INT AS depth) GROUP BY ALL),
+leaf AS (SELECT b.* FROM b LEFT JOIN b AS up ON up.depth = b.depth - 1 AND up.prefix = b.prefix >> 1
+  WHERE (b.shard_bytes <= {SHARD_BYTES} OR b.depth = 60) AND (b.depth = 0 OR up.shard_bytes > {SHARD_BYTES}))
+SELECT doc_id, bytes, CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(prefix), 64, '0'), depth) END AS shard, depth, shard_bytes, shard_docs
+FROM d JOIN leaf ON leaf.prefix = d.h >> (60 - leaf.depth)
+"""
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    -ln((('0x' || md5(concat_ws(':', '17', doc_id::VARCHAR, text))[1:13])::BIGINT::DOUBLE + 1) / 4503599627370496.0)
+      / greatest(CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^\pL]+', '', 'g')) / length(text) ELSE 0.0 END, 0.05) AS key
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM s),
+r AS (SELECT *, 2.0::DOUBLE * source_size AS most,
+    sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(2.0::DOUBLE * source_size) OVER before, 0.0) AS left_over,
+    sum(weight) OVER () - coalesce(sum(weight) OVER before, 0.0) AS open
+  FROM w WINDOW before AS (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(most, max(left_over / open) OVER () * weight) AS target FROM r),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS epochs FROM t),
+k AS (SELECT d.*, source_size, target, epochs, floor(target)::BIGINT - epochs * source_size AS rest,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM k
+"""
+
+
 def _escaped_sql(x: str) -> str:
     out = f"replace({x}, '\\', '\\\\')"
     for c in chat.CONTROL:
@@ -169,4 +219,4 @@ FROM t GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op8_url_filter": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}
+    return {"op3_sharding": OP3_SQL, "op4_line_dedup": OP4_SQL, "op6_mixing": OP6_SQL, "op8_url_filter": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}
