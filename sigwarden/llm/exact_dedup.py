@@ -50,8 +50,7 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """The rows that stay, with all their columns; of rows that repeat id and text, any one."""
-    groups = cut(duplicate_groups(docs, id_col, text_col, keep).select("digest", "sha", F.col("keep_id").alias("__keep")))
+    groups = cut(duplicate_groups(docs, id_col, text_col, keep).select(F.col("digest").alias("__digest"), F.col("sha").alias("__sha"), F.col("keep_id").alias("__keep")))
     norm = normalised(F.col(text_col))
-    marked = docs.withColumns({"__digest": F.unhex(F.md5(norm)), "__sha": F.unhex(F.sha2(norm, 256))})
-    kept = marked.join(groups, (F.col("__digest") == groups["digest"]) & (F.col("__sha") == groups["sha"]) & F.col(id_col).eqNullSafe(groups["__keep"]))
-    return kept.dropDuplicates(["__digest", "__sha"]).select(*docs.columns)
+    marked = docs.withColumns({"__digest": F.unhex(F.md5(norm)), "__sha": F.unhex(F.sha2(norm, 256))}).join(groups, ["__digest", "__sha"])
+    return marked.filter(F.col(id_col).eqNullSafe(F.col("__keep"))).dropDuplicates(["__digest", "__sha"]).select(*docs.columns)

@@ -1,0 +1,409 @@
+"""The operators on small fixtures: brute force, round trips, nulls, empty and long texts, ties, empty tables, clashing names."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sigwarden.llm import bpe, chat, exact_dedup, language_id, line_dedup, media, mixing, mphf, sharding, simhash, url_filter
+from sigwarden.llm.graph import connected_components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = "pergo " * 30_000
+
+
+def docs_of(spark, texts, schema=DOCS):
+    return spark.createDataFrame([(i, t, "en", None if i % 5 == 0 else f"src{i % 3}", None if t is None else len(t)) for i, t in enumerate(texts)], schema)
+
+
+EDGE = [None, "", " \t\n", "One", "one", "one", "Zwei Wörter\nmehr", "a b c d e", "A B C D E", LONG, LONG, "x" * 50_000, "É É é"]
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# exact dedup
+
+
+def test_exact_dedup_against_brute_force(spark):
+    found = {r.doc_id: r for r in exact_dedup.mark_duplicates(docs_of(spark, EDGE), keep="max").collect()}
+    norm = ["".join(c.lower() if "A" <= c <= "Z" else c for c in t or "") for t in EDGE]
+    for i, t in enumerate(norm):
+        group = [j for j, u in enumerate(norm) if u == t]
+        assert (found[i].keep_id, found[i].group_size, found[i].kept) == (max(group), len(group), i == max(group))
+        assert found[i].text_sha256 == hashlib.sha256(t.encode()).hexdigest()
+
+
+def test_exact_dedup_keeps_smallest_by_default_and_other_columns(spark):
+    docs = docs_of(spark, ["a", "A", "b"]).withColumnsRenamed({"n_chars": "keep_id", "lang": "digest", "source": "sha"})
+    assert exact_dedup.drop_duplicates(docs).columns == docs.columns
+    assert sorted(r.doc_id for r in exact_dedup.drop_duplicates(docs).collect()) == [0, 2]
+
+
+def test_exact_dedup_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "a"), (1, "a"), (1, "a"), (None, "b")], "doc_id long, text string")
+    rows = sorted((r.doc_id is None, r.kept, r.group_size) for r in exact_dedup.mark_duplicates(docs).collect())
+    assert rows == [(False, True, 3), (False, True, 3), (True, False, 3), (True, True, 1)]
+    assert exact_dedup.drop_duplicates(docs).count() == 2
+    assert exact_dedup.mark_duplicates(empty(spark)).count() == 0
+
+
+def test_exact_dedup_plan_has_no_python(spark):
+    plan = exact_dedup.mark_duplicates(docs_of(spark, EDGE))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+# SimHash
+
+
+def components_by_force(fps, bits):
+    parent = list(range(len(fps)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= bits:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return [root(i) for i in range(len(fps))]
+
+
+@pytest.mark.parametrize("bits", [1, 2, 3, 5])
+def test_links_lose_nothing(spark, bits, monkeypatch):
+    rng = random.Random(bits)
+    fps = set()
+    for _ in range(12):
+        center = rng.getrandbits(64)
+        fps |= {center ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, bits + 2))) for _ in range(25)}
+    fps = sorted(fps)
+    monkeypatch.setattr(simhash, "BLOCK", 16)  # large groups go the way of block pairs
+    table = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
+    reach = {np.int64(r.node).astype(np.uint64).item(): r.root for r in connected_components(simhash.fingerprint_links(table, bits)).collect()}
+    got = [reach.get(f, ("alone", f)) for f in fps]
+    want = components_by_force(fps, bits)
+    assert len({*zip(got, want)}) == len({*got}) == len({*want})
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(500)]
+    texts = list(EDGE)
+    for _ in range(15):
+        base = [rng.choice(words) for _ in range(300)]
+        texts.append(" ".join(base))
+        for _ in range(2):
+            base[rng.randrange(300)] = rng.choice(words)
+            texts.append("  ".join(base).upper())
+    fps = [simhash.fingerprint(None if t is None else t.encode()) for t in texts]
+    want = components_by_force(fps, 3)
+    rows = {r.doc_id: r for r in simhash.near_duplicates(docs_of(spark, texts)).collect()}
+    for i, f in enumerate(fps):
+        assert rows[i].fingerprint == f"{f:016x}" and rows[i].component_id == want[i]
+    kept = simhash.drop_near_duplicates(docs_of(spark, texts))
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and sorted(r.doc_id for r in kept.collect()) == sorted({*want})
+    assert simhash.near_duplicates(empty(spark)).count() == 0
+
+
+def test_fingerprint_definition():
+    import xxhash
+
+    words = "the quick brown fox jumps over the lazy dog the quick brown".split()
+    h = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]), 42) for i in range(len(words) - 2)]
+    want = sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+    assert simhash.fingerprint(" \t".join(words).upper().encode()) == want
+    assert simhash.fingerprint(b"Two Words") == xxhash.xxh64_intdigest("two words", 42)
+    assert simhash.fingerprint(b" \n") == simhash.fingerprint(None) == 0
+
+
+def test_near_duplicates_null_ids(spark):
+    docs = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (None, "only null here"), (4, "a b c")], "doc_id long, text string")
+    assert sorted(str(r.component_id) for r in simhash.near_duplicates(docs).collect()) == ["4", "4", "4", "None"]
+    assert simhash.drop_near_duplicates(docs).count() == 4
+
+
+# media
+
+
+def test_media_round_trip(spark):
+    texts = [*EDGE, "x" * 64, "x" * 65, "a\0", "a"]
+    published = media.publish_texts(docs_of(spark, texts))
+    loaded = media.load_media(published).select("digest", "n_bytes", "payload", "feature")
+    rows = media.resolve(media.references(media.parse_documents(published, "doc_id"), "doc_id"), loaded).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        data = (texts[r.doc_id] or "").encode()
+        assert r.n_bytes == len(data) and bytes(r.payload) == data + bytes(-len(data) % 64 if data else 64)
+        assert r.feature == media.feature_of(np.frombuffer(bytes(r.payload), np.uint8))
+    assert media.publish_texts(empty(spark)).count() == 0
+
+
+def test_sequences_stay_aligned(spark):
+    d = [hashlib.sha256(bytes([i])).hexdigest() for i in range(3)]
+    html = f"""<p>before<script>no</script> <b>it</b></p><figure><img src="sha256:{d[0]}" alt="x"><figcaption>one &amp; only</figcaption></figure>
+      <p>between<img src='sha256:{d[1]}' title='two'>after<img src='http://elsewhere'></p><video src="sha256:{d[2]}">"""
+    found = media.segments_of(html)
+    assert [(s["position"], s["kind"], s["text"] or s["digest"], s["caption"]) for s in found] == [
+        (0, "text", "before it", None), (1, "media", d[0], "one & only"), (2, "text", "between", None), (3, "media", d[1], "two"), (4, "text", "after", None), (5, "media", d[2], None)]
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")
+    parsed = media.parse_documents(pages, "page_id")
+    store = spark.createDataFrame([(d[0], media.store_bytes(b"\0")), (d[0], media.store_bytes(b"\0")), (d[2], None)], "digest string, media binary")
+    joined = media.interleave(parsed, media.resolve(media.references(parsed, "page_id"), media.load_media(store)), "page_id").collect()
+    assert len(joined) == 1 and [s.position for s in joined[0].segments] == list(range(6))
+    assert joined[0].segments[1].media.n_bytes == 1 and joined[0].segments[3].media.n_bytes is None and joined[0].segments[0].media is None
+
+
+# sharding
+
+
+def shards_by_force(rows, limit):
+    """rows: (id, bytes). The shard name of each row, for rows without overflow."""
+    bits = {i: f"{int(hashlib.md5(('' if i is None else str(i)).encode()).hexdigest()[:15], 16):060b}" for i, _ in rows}
+    out = {}
+
+    def split(prefix, members):
+        if sum(b for _, b in members) <= limit or len(prefix) == 60:
+            out.update({i: prefix for i, _ in members})
+        else:
+            for bit in "01":
+                if own := [m for m in members if bits[m[0]].startswith(prefix + bit)]:
+                    split(prefix + bit, own)
+
+    split("", rows)
+    return out
+
+
+@pytest.mark.parametrize("limit", [300, 2000, 10**9])
+def test_sharding_against_brute_force(spark, limit):
+    rng = random.Random(1)
+    texts = [None, ""] + ["x" * rng.choice([0, 5, 40, 200]) for _ in range(400)]
+    rows = sharding.assign_shards(docs_of(spark, texts), limit).collect()
+    want = shards_by_force([(i, len(t or "")) for i, t in enumerate(texts)], limit)
+    assert {r.doc_id: r.shard for r in rows} == want
+    total = {}
+    for r in rows:
+        total[r.shard] = total.get(r.shard, 0) + r.bytes
+    assert all(total[r.shard] == r.shard_bytes <= limit for r in rows)
+
+
+def test_sharding_overflow_and_large_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(7, "x" * 10)] * 25 + [(8, "y" * 500), (None, "z")], "doc_id long, text string").withColumns({"shard": F.lit("own")})
+    rows = sharding.assign_shards(docs, 100).collect()
+    assert len(rows) == 27
+    sevens = [r for r in rows if r.doc_id == 7]
+    assert len({r.shard for r in sevens}) == 3 and all(r.shard_bytes <= 100 for r in sevens)
+    assert [r.shard_bytes for r in rows if r.doc_id == 8] == [500]
+    assert sharding.assign_shards(empty(spark), 100).count() == 0
+    some = docs_of(spark, ["a" * 50] * 10)
+    sharding.write_shards(some, sharding.assign_shards(some, 120), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+# line dedup
+
+
+def lines_by_force(texts, min_docs, min_chars=1):
+    key = lambda x: x.strip(" \t\n\v\f\r").translate({c: c + 32 for c in range(65, 91)})
+    df = {}
+    for t in texts:
+        for k in {key(x) for x in (t or "").split("\n")}:
+            df[k] = df.get(k, 0) + 1
+    return [[x for x in (t or "").split("\n") if len(key(x)) < min_chars or df[key(x)] < min_docs] for t in texts]
+
+
+@pytest.mark.parametrize("broadcast_bytes", [64 << 20, 0])
+@pytest.mark.parametrize("min_chars", [1, 4])
+def test_line_dedup_against_brute_force(spark, monkeypatch, broadcast_bytes, min_chars):
+    rng = random.Random(3)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 64)
+    monkeypatch.setattr(line_dedup, "SHARD_PROBES", 20)
+    pool = ["Common line", " common LINE\t", "ünï", "ÜNÏ", "", "  ", "rare"] + [f"line {i}" for i in range(300)]
+    texts = EDGE + ["\n".join(rng.choice(pool[: rng.choice([7, 60, 307])]) for _ in range(rng.randint(1, 12))) for _ in range(150)]
+    docs = docs_of(spark, texts).withColumn("n_lines", F.lit("clash"))
+    rows = {r.doc_id: r for r in line_dedup.drop_common_lines(docs, 5, min_chars, broadcast_bytes=broadcast_bytes).collect()}
+    for i, stay in enumerate(lines_by_force(texts, 5, min_chars)):
+        n = len((texts[i] or "").split("\n"))
+        assert (rows[i].text, rows[i].n_lines, rows[i].n_dropped) == ("\n".join(stay), n, n - len(stay))
+
+
+def test_line_dedup_empty_table(spark):
+    assert line_dedup.drop_common_lines(empty(spark)).count() == 0
+    with pytest.raises(ValueError):
+        line_dedup.drop_common_lines(empty(spark), min_docs=300)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 63, 5000])
+def test_perfect_hash(n):
+    rng = np.random.default_rng(n)
+    a, b = rng.integers(0, 2**63, n).astype(np.uint64), rng.integers(0, 2**63, n).astype(np.uint64)
+    if n > 10:
+        a[:5] = a[0]  # halves may repeat
+    index = mphf.Index(mphf.build(a, b, np.arange(n) % 200 + 1))
+    assert (index.get(a, b) == np.arange(n) % 200 + 1).all()
+    other = index.get(*rng.integers(0, 2**63, (2, 20_000)).astype(np.uint64))
+    assert (other > 0).mean() < 0.001
+
+
+# language identification
+
+
+def test_language_id_held_out_accuracy(spark):
+    rng = random.Random(2)
+    stems = {"en": "the and ing tion with for".split(), "de": "der und ung keit mit für".split(), "fr": "le et ment eaux avec pour".split()}
+    make = lambda x: " ".join(rng.choice(stems[x]) + rng.choice(stems[x]) for _ in range(30))
+    rows = [(i, make(x), x) for i, x in enumerate(["en", "de", "fr"] * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs.filter("doc_id < 90"))
+    held = language_id.identify(docs.filter("doc_id >= 90"), model).collect()
+    assert np.mean([r.language == r.lang for r in held]) > 0.95 and all(r.accepted for r in held)
+
+
+def test_language_id_evidence(spark):
+    docs = spark.createDataFrame([(i, t * 20, x) for i, (t, x) in enumerate([("the thing and ", "en"), ("der und keit ", "de")] * 20)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    pages = spark.createDataFrame(
+        [(1, "the", "de-AT", "www.a.de"), (2, "zz", "de", "b.example.de"), (3, "zz", None, None), (4, None, "en", "a.de"), (5, "1234 !!", None, None)] + [(i, "der und keit " * 9, "DE", "c.example.de") for i in range(10, 60)] + [(i, "the thing and " * 9, "en", "x.com") for i in range(60, 110)],
+        "doc_id long, text string, declared string, host string",
+    ).withColumn("posterior", F.lit("clash"))
+    rows = {r.doc_id: r for r in language_id.identify(pages, model, declared=F.col("declared"), host=F.col("host")).collect()}
+    assert rows[2].language == "de" and rows[2].posterior > rows[3].posterior
+    assert rows[4].language == rows[5].language == "und" and not rows[4].accepted and rows[4].posterior == 0
+    assert language_id.identify(empty(spark), model).count() == 0
+    none = language_id.fit(empty(spark))
+    assert {r.language for r in language_id.identify(docs, none).collect()} == {"und"}
+
+
+# mixing
+
+
+def test_mixing_meets_targets_and_agrees(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 4)
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.choice([0, 1, 7, 40]), rng.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(400)] + [(None, None, "z"), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
+    shared = mixing.with_shares(docs, seed=1).withColumn("taken", mixing.taken_words())
+    out = shared.collect()
+    assert len(out) == len(rows)
+    by = {}
+    for r in out:
+        x = by.setdefault(r.source, [0, 0, r.mix_target, r.mix_source_size])
+        x[0] += r.mix_size
+        x[1] += r.taken
+        assert 0 <= r.taken <= 2 * r.mix_size
+    total = sum(x[0] for x in by.values())
+    assert abs(sum(x[2] for x in by.values()) - 1.5 * total) < 1e-6
+    for size, taken, target, source_size in by.values():
+        assert size == source_size and target <= 2 * size + 1e-9 and abs(taken - target) <= 1
+    again = mixing.with_shares(docs.orderBy(F.desc("doc_id")), seed=1).withColumn("taken", mixing.taken_words()).collect()
+    assert sorted((str(r.doc_id), r.taken) for r in again) == sorted((str(r.doc_id), r.taken) for r in out)
+    mixed = mixing.mix(docs, seed=1)
+    assert mixed.columns == docs.columns
+    words = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(mixing.words_of(F.col("text"))).alias("n")).collect()}
+    assert all(abs(words.get(s, 0) - x[2]) <= 41 for s, x in by.items())
+    assert mixing.with_shares(empty(spark)).count() == 0
+
+
+def test_mixing_prefers_quality(spark):
+    docs = spark.createDataFrame([(i, "word " * 5 if i % 2 else "1234 " * 5, s) for i in range(600) for s in ("a", "b")], "doc_id long, text string, source string")
+    taken = mixing.with_shares(docs, weights=(1, 9), share=1.0).withColumn("t", mixing.taken_words()).filter("source = 'a'").groupBy(F.col("doc_id") % 2).agg(F.sum("t").alias("t")).collect()
+    low, high = (r.t for r in sorted(taken, key=lambda r: r[0]))
+    assert high > 2 * low
+
+
+# BPE
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+
+
+@pytest.mark.parametrize("leaf, unsplit, space", [(8, 8, 0.1), (16, 8, 0.0), (32, 16, 0.02), (16, 64, 0.3), (4096, 1024, 0.2)])
+def test_tree_concatenation_is_exact(vocabulary, leaf, unsplit, space):
+    rng = random.Random(leaf)
+    codec = bpe.Codec(vocabulary, leaf, unsplit)
+    parts = ["a", "b", "the", "ing", "'s", "'t", "1", "23", "é", "e\u0301", "\u0301", "中", "🙂", "!", "'", "<|endoftext|>", "<|", "\x1c", "ß", "İ", "A", "THE", "\u00a0", "क्", "가", "-", ".", ","]
+    for _ in range(250):
+        some = rng.sample(parts, rng.choice([2, 4, len(parts)]))
+        text = "".join(rng.choice(" \n\t") if rng.random() < space else rng.choice(some) for _ in range(rng.choice([0, 3, 50, 400])))
+        want = codec.tokenizer.encode(text, add_special_tokens=False).ids
+        ids = codec.encode([text.encode()])[0]
+        assert ids == want, text
+        assert codec.decode([ids])[0] == codec.tokenizer.decode(want, skip_special_tokens=False)
+
+
+def test_bpe_rows(spark, vocabulary):
+    rows = {r.doc_id: r for r in bpe.encode_and_decode(docs_of(spark, EDGE).withColumn("ids", F.lit(1)), vocabulary).collect()}
+    direct = bpe.Codec(vocabulary).tokenizer
+    for i, t in enumerate(EDGE):
+        ids = direct.encode(t or "", add_special_tokens=False).ids
+        assert rows[i].ids == ids and rows[i].decoded == direct.decode(ids, skip_special_tokens=False)
+    again = bpe.decode(spark.createDataFrame([(1, rows[6].ids), (2, None)], "k int, ids array<int>"), vocabulary).collect()
+    assert [r.decoded for r in again] == [rows[6].decoded, ""]
+    assert bpe.encode_and_decode(empty(spark), vocabulary).count() == 0
+
+
+# URL filter
+
+
+def test_url_rules_and_parts(spark):
+    rules = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"))
+    urls = [None, "no scheme", "http://A.Example.COM/en/71?q#f", "https://x.com/en/", "http://com?x", "a://b://c/d", "http://xcom/en/", "http://example.com/en/8", "http://h\n/p"]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    rows = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, F.lit(0), rules, 0.5).collect()}
+    assert rows == {
+        0: ("", "", None, "allow"), 1: ("", "", None, "allow"), 2: ("a.example.com", "/en/71", "example.com/en/7", "allow"), 3: ("x.com", "/en/", "com/en/", "block"), 4: ("com", "", None, "allow"),
+        5: ("b:", "//c/d", None, "allow"), 6: ("xcom", "/en/", None, "allow"), 7: ("example.com", "/en/8", "com/en/", "block"), 8: ("h\n", "/p", None, "allow")}
+    assert url_filter.filter_urls(pages.limit(0), F.lit(0), rules, 0.5).count() == 0
+
+
+def test_reputation_shrinks_and_bounds(spark):
+    rows = [("bad.x.org", 1)] * 90 + [("bad.x.org", 0)] * 10 + [("small.x.org", 1)] + [(f"h{i}.y.com", int(j == 0)) for i in range(20) for j in range(20)] + [("new.y.com", None)]
+    found = {r.host: r for r in url_filter.host_reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    assert found["bad.x.org"].lower > 0.7 > found["h1.y.com"].rate
+    assert found["bad.x.org"].rate < 0.9 and found["small.x.org"].lower < found["bad.x.org"].lower
+    assert abs(found["new.y.com"].rate - 0.05) < 0.03 and all(0 <= r.rate <= 1 for r in found.values())
+
+
+# chat
+
+
+def test_chat_round_trip(spark):
+    rng = random.Random(6)
+    parts = ["</s>", "[INST]", "[/INST]", "<\\/s>", "[\\INST]", "\\", "<", "/s>", "[", "INST]", "ok", " ", "\n", "é", "🙂"]
+    rows = [(c, t, t, "message", rng.choice(["user", "assistant", "[/INST]", None]), None if rng.random() < 0.1 else "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))) for c in (1, 2, None) for t in [*range(40), None]]
+    log = spark.createDataFrame(rows, "conv_id long, message long, seq long, kind string, role string, text string").withColumn("turns", F.lit(0))
+    for r in chat.read_back(chat.format_conversations(log)).collect():
+        own = sorted(((-1 if m is None else m, role or "", text or "") for c, m, _, _, role, text in rows if c == r.conv_id))
+        assert [(t.role, t.text) for t in r.turns] == [x[1:] for x in own]
+        assert r.loss_text == "".join(x[2] for x in own if x[1] == "assistant")
+    assert chat.format_conversations(log.limit(0)).count() == 0
+
+
+def test_event_folding(spark):
+    log = spark.createDataFrame(
+        [
+            (1, 0, 0, "message", "user", "hi"),
+            (1, 1, 1, "delta", "assistant", "Hel"), (1, 1, 2, "delta", None, "lo"), (1, 1, 3, "delta", None, None),
+            (1, 2, 4, "message", "user", "gone"),
+            (1, 0, 5, "edit", "user", "hi!"),
+            (1, 1, 6, "regenerate", "assistant", "Good "), (1, 1, 7, "delta", None, "day"),
+            (1, 2, 8, "message", "user", "again"), (1, 2, 8, "message", "user", "again"),
+        ],
+        "conv_id long, message long, seq long, kind string, role string, text string",
+    )
+    rows = chat.final_messages(log).orderBy("message", "part").collect()
+    assert [(r.message, r.part, r.role, r.text) for r in rows] == [(0, 0, "user", "hi!"), (1, 0, "assistant", "Good day"), (2, 0, "user", "again"), (2, 1, "user", "again")]
+
+
+def test_chat_plan_has_no_python(spark):
+    log = spark.range(3).selectExpr("id conv_id", "id message", "id seq", "'message' kind", "'user' role", "'x' text")
+    plan = chat.read_back(chat.format_conversations(log))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan

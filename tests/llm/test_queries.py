@@ -1,0 +1,92 @@
+"""Registered queries against their SQL, and the pipeline against brute force, on the smallest tables."""
+
+import hashlib
+import os
+from collections import Counter
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from sigwarden.llm import mixing, queries, simhash
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for t in ("documents", "pages", "conversations", "labels"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, con, name):
+    got = queries.queries()[name](spark, SF)
+    columns = sorted(got.columns)
+    con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in con.description]
+    assert sorted(names) == columns
+    tidy = lambda v: float(f"{v:.9g}") if isinstance(v, float) else v
+    want = Counter(tuple(tidy(r[names.index(c)]) for c in columns) for r in con.fetchall())
+    assert Counter(tuple(tidy(r[c]) for c in columns) for r in got.collect()) == want
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, held = held, stage(spark, held, SF).cache()
+        assert held.columns == docs.columns, name
+        ids = {r.doc_id for r in held.select("doc_id").collect()}
+        if name == "language_id":
+            assert ids == {r.doc_id for r in docs.select("doc_id").collect()}  # all are in a known language
+        if name == "line_dedup":
+            lines = [{x.strip(" \t\n\v\f\r").lower() for x in (r.text or "").split("\n")} for r in before.collect()]
+            df = Counter(x for own in lines for x in own)
+            kept = {r.doc_id: r for r in held.collect()}
+            assert all(df[x.strip(" \t\n\v\f\r").lower()] < 10 or not x.strip() for r in kept.values() for x in r.text.split("\n"))
+            assert all(r.n_chars == len(r.text) for r in kept.values())
+        if name == "simhash_near_dedup":
+            fps = {r.doc_id: simhash.fingerprint(r.text.encode()) for r in before.collect()}
+            gone = set(fps) - ids
+            assert all(any((fps[i] ^ fps[j]).bit_count() <= 3 for j in fps if j != i) for i in gone)
+            assert all((fps[i] ^ fps[j]).bit_count() > 3 for i in ids for j in ids if i < j)
+        if name == "mixing":
+            sizes = {r.source: r.mix_target for r in mixing.with_shares(before, seed=17).select("source", "mix_target").distinct().collect()}
+            words = Counter()
+            for r in held.collect():
+                words[r.source] += len(r.text.split())
+            longest = max(len(r.text.split()) for r in before.collect())
+            assert all(abs(words[s] - t) <= longest for s, t in sizes.items())
+    coded = corpus_pipeline.STAGES[-1][1](spark, held, SF).collect()
+    tokenizers = pytest.importorskip("tokenizers")
+    tok = tokenizers.Tokenizer.from_file(pytest.importorskip("public_tokenizers").path(queries.TOKENIZER))
+    texts = {r.doc_id: r.text for r in held.collect()}
+    assert len(coded) == held.count()
+    for r in coded:
+        ids = tok.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_op2_and_op7_against_brute_force(spark):
+    import zlib
+
+    import tokenizers
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.op2_media_columns(spark, SF).collect():
+        data = texts[r.doc_id].encode()
+        payload = data + bytes(-len(data) % 64 if data else 64)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    tok = tokenizers.Tokenizer.from_file(pytest.importorskip("public_tokenizers").path(queries.TOKENIZER))
+    for r in queries.op7_bpe(spark, SF).collect():
+        assert r.n_tokens == len(tok.encode(texts[r.doc_id], add_special_tokens=False).ids)
+
+
+def test_op5_keeps_clean_documents_and_finds_languages(spark):
+    rows = queries.op5_language_id(spark, SF).collect()
+    assert all(r.kept and r.language == r.declared for r in rows)
