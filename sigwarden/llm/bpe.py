@@ -14,8 +14,10 @@ with it over AGREE tokens, and a window that never agrees grows to the whole chu
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +28,8 @@ from .runtime import as_bytes, slices
 
 LEAF, UNSPLIT, AGREE, WINDOW = 4096, 1024, 4, 16
 #: Chunks that a worker remembers, of at most UNSPLIT bytes each.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
+_POINTS = frozenset(b".,")
 _SPACE = frozenset(b" \t\n\r\x0b\x0c")
 
 
@@ -39,21 +42,35 @@ class Tokens:
         self.text, self.ids, self.starts, self.ends = text, ids, starts, ends
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Ids as 32-bit numbers in one string: small to remember, and joined without touching single ids."""
+    return array("i", ids).tobytes()
+
+
 class Codec:
     def __init__(self, path: str, leaf: int = LEAF, unsplit: int = UNSPLIT):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.leaf, self.unsplit = leaf, unsplit
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.strings = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()} if self.tokenizer.decoder is None else None
 
     def encode(self, texts: list[bytes]) -> list[list[int]]:
+        return [np.frombuffer(p, np.int32).tolist() for p in self.encode_packed(texts)]
+
+    def encode_packed(self, texts: list[bytes]) -> list[bytes]:
+        # The normaliser lower-cases; doing it to A-Z first changes no token, save that a special token must not be made.
+        texts = [t if b"<" in t else t.lower() for t in texts]
         seen: set[bytes] = set()
         trees = [self._halved(t, 0, len(t), seen) for t in texts]
         self._remember(seen)
         return [self._ids(self._joined(t, tree)[0]) for t, tree in zip(texts, trees)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
+        """Without a decoder in its file, a tokenizer decodes to its tokens joined by a space."""
+        if self.strings is not None:
+            return [" ".join(map(self.strings.__getitem__, x)) for x in ids]
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
     # A tree is a leaf (lo, hi, chunks) or (lo, hi, left, right).
@@ -71,40 +88,44 @@ class Codec:
     def _remember(self, chunks: set[bytes]) -> None:
         """Encodes the chunks that aren't known, all together.
 
-        Lower-casing A-Z first and a full stop or comma after a letter change no other token, so such
-        variants share their stem's ids; a chunk with ``<`` may hold a special token and is left as it is.
+        A full stop or comma after a letter is a token of its own, so a chunk that ends in one shares its stem's
+        ids; a chunk with ``<`` may hold a special token and is left as it is.
         """
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        parts = {}
-        for c in chunks:
-            if c not in self.known and len(c) <= self.unsplit:
-                stem = c if b"<" in c else c.lower()
-                end = stem[-1:] if stem[-1] in b".," and stem[-2:-1].isalpha() and b"<" not in c else b""
-                parts[c] = (stem[:-1] if end else stem, end)
-        new = list({x for both in parts.values() for x in both if x and x not in self.known})
-        for x, e in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)):
-            self.known[x] = tuple(e.ids)
-        for c, (stem, end) in parts.items():
-            self.known[c] = self.known[stem] + self.known[end] if end else self.known[stem]
-
-    def _of(self, chunk: bytes | Tokens) -> tuple[int, ...] | list[int]:
+        known, unsplit = self.known, self.unsplit
+        if len(known) > REMEMBERED:
+            known.clear()
+        new, ends = set(), []
+        for c in chunks.difference(known):
+            if len(c) <= unsplit:
+                if c[-1] in _POINTS and c[-2:-1].isalpha() and b"<" not in c:
+                    ends.append(c)
+                    new.add(c[:-1])
+                    new.add(c[-1:])
+                else:
+                    new.add(c)
+        todo = list(new.difference(known))
+        for c, e in zip(todo, self.tokenizer.encode_batch_fast([c.decode() for c in todo], add_special_tokens=False)):
+            known[c] = _packed(e.ids)
+        for c in ends:
+            known[c] = known[c[:-1]] + known[c[-1:]]
+
+    def _of(self, chunk: bytes | Tokens) -> bytes:
         if isinstance(chunk, Tokens):
-            return chunk.ids
+            return _packed(chunk.ids)
         if (ids := self.known.get(chunk)) is None:
-            ids = tuple(self._direct(chunk.decode()))
+            ids = self._direct(chunk.decode())
             if len(chunk) <= self.unsplit:
                 self.known[chunk] = ids
         return ids
 
-    def _direct(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _direct(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _ids(self, chunks: list[bytes | Tokens]) -> list[int]:
-        out: list[int] = []
-        for c in chunks:
-            out += self.known.get(c) or self._of(c)
-        return out
+    def _ids(self, chunks: list[bytes | Tokens]) -> bytes:
+        try:
+            return b"".join(map(self.known.__getitem__, chunks))
+        except KeyError:
+            return b"".join(map(self._of, chunks))
 
     def _joined(self, text: bytes, tree: tuple) -> tuple[list, bool, bool]:
         """The chunks of a tree, and whether its first and last chunk may go on beyond it."""
@@ -135,12 +156,12 @@ class Codec:
             if window[: len(head)] == head and window[len(window) - len(tail) :] == tail and len(head) + len(tail) <= len(window):
                 if within:
                     if len(middle[0]) <= self.unsplit:
-                        self.known[middle[0]] = tuple(inner)
+                        self.known[middle[0]] = inner
                     return [*left[:-1], *middle, *right[1:]]
-                if inner == [*self._of(middle[0]), *self._of(middle[1])]:
+                if inner == self._of(middle[0]) + self._of(middle[1]):
                     return left + right
             if len(before) == len(left) - 1 and len(after) == len(right) - 1:
-                return [Tokens(self._bytes(b" ".join(map(self._bytes, [*left[:-1], *middle, *right[1:]]))).decode(), window, [], [])]
+                return [Tokens(self._bytes(b" ".join(map(self._bytes, [*left[:-1], *middle, *right[1:]]))).decode(), np.frombuffer(window, np.int32).tolist(), [], [])]
             wide *= 2
 
     def _length(self, chunk: bytes | Tokens) -> int:
@@ -222,8 +243,11 @@ def encode_and_decode(docs: DataFrame, path: str, text_col: str = "text", leaf:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, leaf, unsplit)
         for batch in slices(batches, 256):
-            ids = codec.encode([x or b"" for x in as_bytes(batch.column(len(keep)))])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(ids, pa.list_(pa.int32())), pa.array(codec.decode(ids), pa.string())], names=schema.names)
+            packed = codec.encode_packed([x or b"" for x in as_bytes(batch.column(len(keep)))])
+            starts = np.cumsum([0, *[len(p) // 4 for p in packed]], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            decoded = pa.array(codec.decode([np.frombuffer(p, np.int32).tolist() for p in packed]), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], ids, decoded], names=schema.names)
 
     return docs.select(*keep, text_col).mapInArrow(run, schema)
 
