@@ -104,15 +104,14 @@ def icc_2_1(tall: DataFrame, subject: str, rater: str, value: str) -> DataFrame:
 
     A closed form over sums: one grouping by subject, one by rater, one of all.
     """
-    rated = tall.filter(F.col(value).isNotNull())
-    k = rated.agg(F.count_distinct(rater).alias("__k"))
-    by_subject = rated.groupBy(subject).agg(F.count(F.lit(1)).alias("__n"))
-    full = rated.join(by_subject.join(F.broadcast(k)).filter("__n = __k").select(subject), subject)
-    n = F.count_distinct(subject).cast("double")
-    whole = full.agg(n.alias("n"), F.count_distinct(rater).cast("double").alias("k"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
-    rows = full.groupBy(subject).agg(F.sum(value).alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("rows_q"))
-    columns = full.groupBy(rater).agg(F.sum(value).alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("cols_q"))
-    one = whole.join(F.broadcast(rows)).join(F.broadcast(columns))
+    rated = tall.filter(F.col(value).isNotNull()).select(F.col(subject).alias("__s"), F.col(rater).alias("__r"), F.col(value).alias("__v"))
+    raters = rated.agg(F.count_distinct("__r").alias("__k"))
+    by_subject = rated.groupBy("__s").agg(F.count(F.lit(1)).alias("__n"))
+    full = rated.join(by_subject.join(F.broadcast(raters)).filter("__n = __k").select("__s"), "__s")
+    v = F.col("__v")
+    whole = full.agg(F.count_distinct("__s").cast("double").alias("n"), F.count_distinct("__r").cast("double").alias("k"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
+    squares = lambda by, name: full.groupBy(by).agg(F.sum(v).alias("__t")).agg(F.sum(F.col("__t") * F.col("__t")).alias(name))
+    one = whole.join(F.broadcast(squares("__s", "rows_q"))).join(F.broadcast(squares("__r", "cols_q")))
     N, K = F.col("n"), F.col("k")
     mean2 = ratio(F.col("s") * F.col("s"), N * K)
     ms_r = ratio(ratio(F.col("rows_q"), K) - mean2, N - 1)

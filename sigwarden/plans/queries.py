@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import arrow
 from ..functions.stats import NUDGE, kappa, rank_sums, rounded, spearman
-from ..operators import agreement, artifacts, causal, confounding, daily as days, effects, fairness, reliability, trust
-from ..sources import adapters
+from ..operators import agreement, artifacts, causal, confounding, daily as days, effects, fairness, models, reliability, trust
+from ..sources import adapters, synthetic
+from ..streaming import audit
 from . import views
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -787,6 +789,64 @@ def corrected_rmssd(spark, sf):
     return artifacts.interpolated_rmssd(_rr(spark, sf), "rr", ["user_id"], ["event_id"], 500, 1200)
 
 
+# models, synthetic cohorts, streams
+
+
+@query()
+def model_leaderboard(spark, sf):
+    d = views.daily(spark, sf)
+    return models.train_baselines(d.withColumn("signal_quality_ground_truth", F.col("signal_quality_ground_truth") + 0.6), trees=20, depth=6)
+
+
+@query()
+def loso_classifier(spark, sf):
+    rows = views.scored_labels(spark, sf).withColumn("noise", F.pmod("doc_id", F.lit(17)).cast("double"))
+    return models.loso_classify(rows, ["score", "noise"], "quality", "source")
+
+
+@query()
+def synthetic_cohort(spark, sf):
+    c = synthetic.Cohort(participants=40, days=20)
+    return synthetic.generate(spark, c).select("participant_id", "date", "device_type", "resting_hr", "hrv_rmssd", "missing_wearable_flag", "signal_quality_ground_truth")
+
+
+@query()
+def generator_stress_sweep(spark, sf):
+    return synthetic.stress_test(spark, synthetic.Cohort(40, 15))
+
+
+def _streamed(spark, sf, name, mode, f):
+    """Runs a stream over the events file to its end, into a memory table."""
+    path = f"{sf}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    source = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
+    view = f"{name}_{uuid.uuid4().hex}"
+    q = f(source).writeStream.format("memory").queryName(view).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(view)
+
+
+@query(
+    """SELECT user_id, ts::DATE AS date, count(*) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS least, round(max(value), 6) AS greatest FROM events GROUP BY 1, 2"""
+)
+def streaming_daily_summary(spark, sf):
+    return _streamed(spark, sf, "daily", "complete", lambda e: audit.daily_summary(e))
+
+
+@query(
+    """SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOURS AS "end", count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM
+(SELECT *, coalesce((ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 6 HOURS)::INT, 1) AS new FROM events)) GROUP BY user_id, g"""
+)
+def streaming_wear_sessions(spark, sf):
+    s = _streamed(spark, sf, "sessions", "complete", lambda e: audit.wear_sessions(e))
+    return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query()
+def streaming_change_points(spark, sf):
+    return _streamed(spark, sf, "changes", "append", lambda e: audit.change_points(e))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

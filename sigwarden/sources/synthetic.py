@@ -184,11 +184,12 @@ def monotonic_response(sweep: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """(effect, monotonic, change): whether the observed effect follows its strength, up to ``tolerance`` of its spread."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("effect").orderBy(F.abs("coefficient"))
-    every = Window.partitionBy("effect")
-    steps = sweep.withColumn("__d", F.col("observed") - F.lag("observed").over(w)).withColumn("__s", F.stddev_pop("observed").over(every))
-    steps = steps.withColumn("__sign", F.signum(F.last("observed").over(w.rowsBetween(-(2**31), 2**31)) - F.first("observed").over(w.rowsBetween(-(2**31), 2**31))))
-    return steps.groupBy("effect").agg(F.bool_and(F.coalesce(F.col("__d") * F.col("__sign") >= -tolerance * F.col("__s"), F.lit(True))).alias("monotonic"), (F.max_by("observed", F.abs("coefficient")) - F.min_by("observed", F.abs("coefficient"))).alias("change"))
+    strength = F.abs("coefficient")
+    ends = sweep.groupBy("effect").agg((F.max_by("observed", strength) - F.min_by("observed", strength)).alias("change"), F.stddev_pop("observed").alias("__s"))
+    step = F.col("observed") - F.lag("observed").over(Window.partitionBy("effect").orderBy(strength))
+    held = sweep.withColumn("__d", step).join(ends, "effect")
+    follows = F.coalesce(F.col("__d") * F.signum("change") >= -tolerance * F.col("__s"), F.lit(True))
+    return held.groupBy("effect").agg(F.bool_and(follows).alias("monotonic"), F.first("change").alias("change"))
 
 
 def regime_summary(spark: SparkSession, participants: int = 60, days: int = 35, regimes: Mapping[str, Mapping] = REGIMES) -> DataFrame:
