@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.stats import both, clip, indicator, kappa, percentile, ratio, safe_corr, spearman
 
@@ -217,3 +220,29 @@ def loso_recalibration(df: DataFrame, score: str, label: str, group: str, thresh
     rest = held.select(group, "threshold", "held_kappa", *[(F.col(f"all_{c}") - F.col(c)).alias(c) for c in cells]).withColumn("train_kappa", _metrics()["kappa"]).filter("train_kappa is not null")
     best = F.struct("train_kappa", -F.col("threshold"))
     return rest.groupBy(group).agg(F.max_by("threshold", best).alias("threshold"), F.max("train_kappa").alias("train_kappa"), F.max_by("held_kappa", best).alias("held_kappa"))
+
+
+def auroc_interval(df: DataFrame, score: str, label: str, replicates: int = 200, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """(auroc, ci_low, ci_high, n): AUROC with a bootstrap interval.
+
+    Resampling rows is resampling the counts of (score, label): each replicate draws Poisson counts with these
+    means, so the work is different scores x replicates, whatever the number of rows.
+    """
+    counts = score_counts(df, score, label)
+    cells = counts.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    drawn = cells.select("b", "score", _poisson(F.col("pos"), F.xxhash64("score", "b", F.lit(seed)), F.col("b")).alias("p"), _poisson(F.col("neg"), F.xxhash64("score", "b", F.lit(seed + 1)), F.col("b")).alias("q"))
+    w = Window.partitionBy("b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("q").over(w), F.lit(0))
+    by = drawn.withColumn("u", F.col("p") * (below + F.col("q") / 2)).groupBy("b").agg(ratio(F.sum("u"), (F.sum("p") * F.sum("q")).cast("double")).alias("a"))
+    boot, tail = F.when(F.col("b") > 0, F.col("a")), (1 - confidence) / 2
+    one = by.agg(F.max(F.when(F.col("b") == 0, F.col("a"))).alias("auroc"), F.percentile(boot, F.lit(tail)).alias("ci_low"), F.percentile(boot, F.lit(1 - tail)).alias("ci_high"))
+    return one.join(F.broadcast(counts.agg(F.sum(F.col("pos") + F.col("neg")).alias("n"))))
+
+
+def _poisson(mean: Column, seed: Column, replicate: Column) -> Column:
+    """A Poisson draw for each row from a hashed seed; replicate 0 is the mean itself."""
+    @F.pandas_udf(T.LongType())
+    def draw(mean: pd.Series, seed: pd.Series, replicate: pd.Series) -> pd.Series:
+        return pd.Series([int(m) if b == 0 else int(np.random.default_rng(s & 0x7FFFFFFFFFFFFFFF).poisson(m)) for m, s, b in zip(mean, seed, replicate)])
+
+    return draw(mean, seed, replicate)

@@ -142,13 +142,18 @@ def _replicate_weights(df: DataFrame, replicates: int, seed: int) -> DataFrame:
     return df.withColumn("__w", F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda b: bootstrap_weight(row, b, seed).cast("double")))
 
 
-def g_computation(df: DataFrame, treatment: str, outcome: str, adjust: Sequence[str], replicates: int = 0, seed: int = 42) -> Estimate:
+def g_computation(df: DataFrame, treatment: str, outcome: str, adjust: Sequence[str], replicates: int = 0, seed: int = 42, learner: str = "linear") -> Estimate:
     """Mean outcome under treatment less that without, by a linear outcome model: the treatment's coefficient.
 
-    All that leaves the executors is the matrix of sums, one for each replicate.
+    All that leaves the executors is the matrix of sums, one for each replicate. ``learner="boosted"`` fits
+    gradient-boosted trees instead and averages their predictions; it has no interval.
     """
     rows = _complete(df, treatment, outcome, adjust)
     held = [c for c in rows.columns if c not in ("t", "y")]
+    if learner == "boosted":
+        return _boosted(rows, treatment, outcome, held, seed)
+    if learner != "linear":
+        raise ValueError(f"unknown learner {learner!r}")
     g = gram(rows, ["t", *held, "y"])
     boot = []
     if replicates:
@@ -164,6 +169,16 @@ def g_computation(df: DataFrame, treatment: str, outcome: str, adjust: Sequence[
     return Estimate(treatment, outcome, "g_computation", float(least_squares(g)[1]), *(map(float, np.percentile(boot, [2.5, 97.5])) if boot else (None, None)), int(g[0, 0]), held)
 
 
+def _boosted(rows: DataFrame, treatment: str, outcome: str, held: list[str], seed: int) -> Estimate:
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    model = Pipeline(stages=[VectorAssembler(inputCols=["t", *held], outputCol="features"), GBTRegressor(labelCol="y", maxIter=40, maxDepth=3, seed=seed)]).fit(rows)
+    under = [model.transform(rows.withColumn("t", F.lit(a))).agg(F.avg("prediction").alias("p"), F.count(F.lit(1)).alias("n")).first() for a in (1.0, 0.0)]
+    return Estimate(treatment, outcome, "g_computation_boosted", under[0]["p"] - under[1]["p"], n=under[0]["n"], adjustment=held)
+
+
 def logistic(df: DataFrame, label: str, features: Sequence[str], c: float = 1.0, iterations: int = 50) -> np.ndarray:
     """Intercept and coefficients of an L2-penalised logistic model (strength 1/c, intercept free), by Newton steps.
 

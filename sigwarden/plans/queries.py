@@ -655,6 +655,11 @@ def weight_sensitivity(spark, sf):
     return fairness.sensitivity_table(scores, magnitudes=(0.1, 0.4), draws=10)
 
 
+@query()
+def auroc_bootstrap(spark, sf):
+    return agreement.auroc_interval(views.scored_labels(spark, sf), "score", "quality", replicates=100)
+
+
 # causal
 
 

@@ -129,6 +129,9 @@ def test_thresholds(spark):
     best = agreement.best_thresholds(df, "s", "y").first()
     assert best["auroc"] == pytest.approx(1) and best["youden_threshold"] == pytest.approx(0.6) and best["average_precision"] == pytest.approx(1)
     assert agreement.expected_calibration_error(df, "s", "y").first()["n"] == 100
+    mixed = spark.createDataFrame([(i % 10 / 10, int((i * 7) % 13 < i % 10)) for i in range(300)], "s double, y int")
+    a = agreement.auroc_interval(mixed, "s", "y", replicates=40).first()
+    assert a["ci_low"] < a["auroc"] < a["ci_high"] and a["auroc"] == pytest.approx(agreement.best_thresholds(mixed, "s", "y").first()["auroc"])
 
 
 def test_effects(spark):
@@ -156,6 +159,7 @@ def triples(spark, n=1500):
 def test_adjusted_effects_recover_two(spark):
     df = triples(spark)
     assert causal.g_computation(df, "X", "Y", ["C"], replicates=20).effect == pytest.approx(2, abs=0.5)
+    assert causal.g_computation(df, "X", "Y", ["C"], learner="boosted").effect == pytest.approx(2, abs=0.6)
     e = causal.aipw(df, "X", "Y", ["C"], replicates=20)
     assert e.effect == pytest.approx(2, abs=0.5) and e.ci_low < e.effect < e.ci_high
     assert causal.aipw(df, "X", "Y", []).effect > 2.3
