@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .runtime import as_bytes, slices
+from .runtime import arrow_map, as_bytes, slices
 
 LEAF, UNSPLIT, AGREE, WINDOW = 4096, 1024, 4, 16
 #: Chunks that a worker remembers, of at most UNSPLIT bytes each.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 _POINTS = frozenset(b".,")
 _SPACE = frozenset(b" \t\n\r\x0b\x0c")
 
@@ -249,7 +249,7 @@ def encode_and_decode(docs: DataFrame, path: str, text_col: str = "text", leaf:
             decoded = pa.array(codec.decode([np.frombuffer(p, np.int32).tolist() for p in packed]), pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], ids, decoded], names=schema.names)
 
-    return docs.select(*keep, text_col).mapInArrow(run, schema)
+    return arrow_map(docs.select(*keep, text_col), run, schema)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -263,4 +263,4 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
         for batch in slices(batches, 256):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codec.decode([x or [] for x in batch.column(at).to_pylist()]), pa.string())], names=schema.names)
 
-    return encoded.mapInArrow(run, schema)
+    return arrow_map(encoded, run, schema)

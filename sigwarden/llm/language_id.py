@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import as_bytes, cut, lookup, slices
+from .runtime import arrow_map, as_bytes, cut, lookup, slices
 
 UNKNOWN = "und"
 FIT_ROWS = 2000
@@ -87,7 +87,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", row
                 at = np.flatnonzero(c)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(c[at])], names=["lang", "bucket", "n"])
 
-        for r in sample.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
+        for r in arrow_map(sample, run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
             counts[r["bucket"], languages.index(r["lang"])] += r["n"]
     logs = np.log(counts / counts.sum(0, keepdims=True)) if languages else np.zeros((BUCKETS, 0))
     return Model(languages, np.hstack([logs, np.full((BUCKETS, 1), -np.log(BUCKETS))]).astype(np.float32))
@@ -115,7 +115,7 @@ def _text_only(docs: DataFrame, model: Model) -> DataFrame:
             best = [_best(model.log_likelihoods(x), model.languages) if x and x.strip() else UNKNOWN for x in as_bytes(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(best)], names=["host", "declared", "lang"])
 
-    return docs.select("__text", "__host", "__declared").mapInArrow(run, "host string, declared string, lang string").groupBy("host", "declared", "lang").agg(F.count(F.lit(1)).alias("n"))
+    return arrow_map(docs.select("__text", "__host", "__declared"), run, "host string, declared string, lang string").groupBy("host", "declared", "lang").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _mixes(counts: DataFrame, key: str | None, languages: Sequence[str]) -> DataFrame:
@@ -201,7 +201,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", declared: Co
             ok = [x != UNKNOWN and p >= min_posterior for x, p in zip(found, sure)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(found, pa.string()), pa.array(sure, pa.float64()), pa.array(ok, pa.bool_())], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return arrow_map(joined, run, schema)
 
 
 def _norm(logs) -> float:

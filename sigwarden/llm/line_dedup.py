@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .mphf import Index, build
-from .runtime import as_bytes, cut, lookup, replaced, slices
+from .runtime import arrow_map, as_bytes, cut, lookup, replaced, slices
 
 SHARD_KEYS = 65_536
 #: Probes that one task answers in a row before a shard is copied to another task (sharded way only).
@@ -67,7 +67,7 @@ def _keys(docs: DataFrame, text_col: str, min_chars: int, *with_cols) -> DataFra
                 more = [batch.column(k).take(pa.array(source)) for k in range(1, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([*more, pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return arrow_map(rows, run, schema)
 
 
 def line_index(docs: DataFrame, text_col: str, min_docs: int, min_chars: int) -> DataFrame:
@@ -157,7 +157,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, t
             a, b = _halves(digests)
             return (_probe(_loaded(key, sent), shards, a, b) >= min_docs).tolist()
 
-        return docs.mapInArrow(_dropping(schema, text_col, min_chars, flags), schema)
+        return arrow_map(docs, _dropping(schema, text_col, min_chars, flags), schema)
     return _drop_sharded(docs, index, schema, text_col, min_docs, min_chars, shards)
 
 
@@ -184,7 +184,7 @@ def _drop_sharded(docs: DataFrame, index: DataFrame, schema: T.StructType, text_
                 if end < batch.num_rows:
                     own, at = Index(blob[end].as_py()), end + 1
 
-    lost = meeting.mapInArrow(answer, "__row long, a long").groupBy("__row").agg(F.collect_set("a").alias("__lost"))
+    lost = arrow_map(meeting, answer, "__row long, a long").groupBy("__row").agg(F.collect_set("a").alias("__lost"))
     joined = docs.withColumn("__row", row).join(lost, "__row", "left").drop("__row")
 
     def flags(batch, digests, source):
@@ -192,4 +192,4 @@ def _drop_sharded(docs: DataFrame, index: DataFrame, schema: T.StructType, text_
         a, _ = _halves(digests)
         return [x in gone[i] for x, i in zip(a.view(np.int64).tolist(), source)]
 
-    return joined.mapInArrow(_dropping(schema, text_col, min_chars, flags), schema)
+    return arrow_map(joined, _dropping(schema, text_col, min_chars, flags), schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import as_bytes, checkpoint_folder, cut, lookup, slices
+from .runtime import arrow_map, as_bytes, checkpoint_folder, cut, lookup, slices
 
 WIDTH = 64
 SCHEME = "sha256:"
@@ -126,7 +126,7 @@ def parse_documents(pages: DataFrame, id_col: str, html_col: str = "html") -> Da
             found = [segments_of(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["__id", "segments"])
 
-    return rows.mapInArrow(run, f"__id {rows.schema['__id'].dataType.simpleString()}, segments {SEGMENTS}").withColumnRenamed("__id", id_col)
+    return arrow_map(rows, run, f"__id {rows.schema['__id'].dataType.simpleString()}, segments {SEGMENTS}").withColumnRenamed("__id", id_col)
 
 
 def publish_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
@@ -148,7 +148,7 @@ def publish_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             html = [f'<article><p>{escape(str(i))}</p><figure><img src="{SCHEME}{d}" alt="payload"><figcaption>{len(s)} bytes of {escape(str(i))}</figcaption></figure></article>' for i, d, s in zip(batch.column(0).to_pylist(), digests, stored)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(html), pa.array(digests), pa.array(stored, pa.binary())], names=["id", "html", "digest", "media"])
 
-    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, html string, digest string, media binary")
+    out = arrow_map(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, html string, digest string, media binary")
     out.write.option("compression", "zstd").parquet(folder)
     return docs.sparkSession.read.parquet(folder).withColumnRenamed("id", id_col)
 
@@ -167,7 +167,7 @@ def load_media(store: DataFrame) -> DataFrame:
                 features.append(None if media is None else feature_of(samples))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(payloads, pa.binary()), pa.array(features, pa.string())], names=["digest", "media", "n_bytes", "payload", "feature"])
 
-    return rows.mapInArrow(run, "digest string, media binary, n_bytes long, payload binary, feature string")
+    return arrow_map(rows, run, "digest string, media binary, n_bytes long, payload binary, feature string")
 
 
 def references(parsed: DataFrame, id_col: str) -> DataFrame:

@@ -54,11 +54,41 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
     return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
 
 
+#: Rows of an Arrow batch of documents; a worker and the JVM each hold a few batches.
+ARROW_ROWS = 1024
+
+
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with batches of at most ARROW_ROWS rows (a setting of the session, lowered if it is higher)."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches, rows: int = 512):
-    """Small slices of Arrow batches, so that only a few texts at a time become Python objects."""
+    """Small slices of Arrow batches, so that only a few texts at a time become Python objects.
+
+    After the last one, memory that is free goes back to the system: workers are kept for later stages.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    release()
+
+
+def release() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
 def as_bytes(column) -> list:

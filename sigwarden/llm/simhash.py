@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .runtime import BROADCAST_ROWS, as_bytes, cut, lookup, slices
+from .runtime import BROADCAST_ROWS, arrow_map, as_bytes, cut, lookup, slices
 
 SEGMENTS = 8
 WIDTH = 64 // SEGMENTS
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(x, words) for x in as_bytes(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    return arrow_map(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
 def budgets(bits: int) -> list[int]:
@@ -185,8 +185,8 @@ def _links_of_keys(fps: DataFrame, bits: int) -> DataFrame:
         if rest is not None and (len(rest[2]) > 1 or block):
             yield from group(*rest[:2], block, rest[2], True)
 
-    keys = fps.select("fp").mapInArrow(keyed, "chain int, key long, fp long")
-    return keys.repartition("chain", "key").sortWithinPartitions("chain", "key").mapInArrow(compared, _LINKS)
+    keys = arrow_map(fps.select("fp"), keyed, "chain int, key long, fp long")
+    return arrow_map(keys.repartition("chain", "key").sortWithinPartitions("chain", "key"), compared, _LINKS)
 
 
 def _links_of_blocks(waiting: DataFrame, bits: int) -> DataFrame:
