@@ -45,14 +45,19 @@ def scan_changes(df: DataFrame, value: str, key: str = "participant_id", order:
     find = {"binary_segmentation": k.binary_segmentation, "bocpd": k.bocpd}[method]
     kind = df.schema[key].dataType.simpleString()
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("o", kind="stable")["v"].to_numpy(float)
-        x = x[np.isfinite(x)]
-        found = find(x, **options) if len(x) >= least else []
-        return pd.DataFrame([{key: pdf[key].iloc[0]} | c for c in found], columns=[key, "index", "score", "before_mean", "after_mean", "delta", "method"])
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for own, values in zip(pdf[key], pdf["vs"]):
+                x = _array(values)
+                x = x[np.isfinite(x)]
+                if len(x) >= least:
+                    found += [{key: own} | c for c in find(x, **options)]
+            yield pd.DataFrame(found, columns=[key, "index", "score", "before_mean", "after_mean", "delta", "method"])
 
-    rows = df.filter(F.col(key).isNotNull()).select(key, F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
-    return rows.groupBy(key).applyInPandas(scan, f"{key} {kind}, {CHANGES}")
+    rows = df.filter(F.col(key).isNotNull()).select(key, F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")).alias("s"))
+    series = rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["v"]).alias("vs"))
+    return series.mapInPandas(scan, f"{key} {kind}, {CHANGES}")
 
 
 def stratify_before_after(df: DataFrame, value: str, changes: DataFrame, key: str = "participant_id", order: str = "date") -> DataFrame:
@@ -77,29 +82,44 @@ WINDOW_FIELDS = [
 ]
 
 
-def window_row(ecg: np.ndarray, ppg: np.ndarray, ecg_fs: float, ppg_fs: float, invert: bool) -> dict:
-    """All scores of one window pair; the band-passed PPG is computed once and shared by the scores that start from it."""
+def window_row(ecg: np.ndarray, ppg: np.ndarray, ecg_fs: float, ppg_fs: float, invert: bool, filtered: np.ndarray | None, again: np.ndarray | None) -> dict:
+    """All scores of one window pair; ``filtered`` is the band-passed PPG and ``again`` that filtered once more, None for an unusable window."""
     clean = np.nan_to_num(ppg, nan=0.0)
-    can = k.usable(ppg, ppg_fs)
-    filtered = k.bandpass(clean, ppg_fs, k.PPG_BAND) if can else None
-    twice = k.pulse_peaks(filtered, ppg_fs) if can else np.zeros(0, int)
-    once = k.find_peaks(filtered, distance=max(int(ppg_fs * 0.4), 1)) if can else None
-    orph = k.orphanidou(filtered, twice, ppg_fs, k.TEMPLATE_PPG) if can else k.orphanidou(clean, twice, ppg_fs, k.TEMPLATE_PPG)
+    gap = max(int(ppg_fs * 0.4), 1)
+    twice = k.find_peaks(again, distance=gap) if again is not None else np.zeros(0, int)
+    orph = k.orphanidou(clean if filtered is None else filtered, twice, ppg_fs, k.TEMPLATE_PPG)
     sukor = k.sukor_window(ppg, ppg_fs, filtered)
-    elg = k.elgendi_window(ppg, ppg_fs, invert)
+    whole = filtered is not None and np.isfinite(ppg).all() and np.ptp(ppg) >= 1e-12
+    elg = k.elgendi_window(filtered, ppg_fs, invert, apply_bandpass=False) if whole else k.elgendi_window(ppg, ppg_fs, invert)
     ecg_ok = len(ecg) >= 3 * ecg_fs and 2 * k.ECG_BAND[1] < ecg_fs
     hr_ecg = k.hr_from_ecg(ecg, ecg_fs) if ecg_ok else np.nan
     hr_ppg = k.heart_rate(twice, ppg_fs)
+    quality = k.ppg_quality(clean, ppg_fs, len(k.find_peaks(filtered, distance=gap))) if filtered is not None else np.nan
     return {
         "hr_ecg": hr_ecg, "hr_ppg": hr_ppg, "hr_abs_diff": abs(hr_ecg - hr_ppg),
         "inhouse_ecg_sqi": k.ecg_quality(np.nan_to_num(ecg, nan=0.0), ecg_fs) if ecg_ok else np.nan,
-        "inhouse_ppg_sqi": k.ppg_quality(clean, ppg_fs, len(once)) if can else np.nan, "inhouse_ppg_motion": k.motion_score(clean, ppg_fs),
+        "inhouse_ppg_sqi": quality, "inhouse_ppg_motion": k.motion_score(clean, ppg_fs),
         "orphanidou_acceptable": int(orph["acceptable"]), "orphanidou_template_corr": orph["template_corr"],
         "sukor_acceptable": int(sukor["acceptable"]), "sukor_pp_cv": sukor["pp_interval_cv"], "sukor_amp_cv": sukor["pulse_amplitude_cv"],
         "elgendi_acceptable": int(elg["acceptable"]), "elgendi_skewness": elg["skewness"], "elgendi_kurtosis": elg["kurtosis"], "elgendi_entropy": elg["entropy"],
     }
 
 
+def filtered_windows(windows: list[np.ndarray], fs: float) -> tuple[list, list]:
+    """Each usable window band-passed once and twice; windows of one length go through the filter together."""
+    once, twice = [None] * len(windows), [None] * len(windows)
+    by_length: dict[int, list[int]] = {}
+    for i, w in enumerate(windows):
+        if k.usable(w, fs):
+            by_length.setdefault(len(w), []).append(i)
+    for own in by_length.values():
+        y = k.bandpass_many(np.nan_to_num(np.array([windows[i] for i in own]), nan=0.0), fs, k.PPG_BAND)
+        z = k.bandpass_many(y, fs, k.PPG_BAND)
+        for i, a, b in zip(own, y, z):
+            once[i], twice[i] = a, b
+    return once, twice
+
+
 def polarity_inverted(windows: DataFrame, ppg_fs: float, ppg: str = "ppg", order: str = "window_idx", pilot: int = 100) -> bool:
     """Whether the median skewness of the first ``pilot`` windows (ten at least with a value) is negative: the batch is then upside down."""
     rows = windows.select(ppg, order).orderBy(order).limit(pilot).collect()
@@ -109,14 +129,16 @@ def polarity_inverted(windows: DataFrame, ppg_fs: float, ppg: str = "ppg", order
 
 
 def window_table(windows: DataFrame, ecg_fs: float, ppg_fs: float, ecg: str = "ecg", ppg: str = "ppg", order: str = "window_idx", invert: bool | None = None) -> DataFrame:
-    """The 19-column window table: identifying columns and 15 scores, NULL where undefined. One pass without a shuffle."""
+    """The 19-column window table: identifying columns and 15 scores, NULL where undefined. One pass without a shuffle;
+    the filter runs over whole batches of windows."""
     flip = polarity_inverted(windows, ppg_fs, ppg, order) if invert is None else invert
     meta = [c for c in windows.columns if c not in (ecg, ppg)]
     schema = T.StructType([*[windows.schema[c] for c in meta], *[T.StructField(n, T.DoubleType() if t == "double" else T.IntegerType()) for n, t in WINDOW_FIELDS]])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [window_row(_array(e), _array(p), ecg_fs, ppg_fs, flip) for e, p in zip(pdf[ecg], pdf[ppg])]
+            ppgs = [_array(p) for p in pdf[ppg]]
+            rows = [window_row(_array(e), p, ecg_fs, ppg_fs, flip, a, b) for e, p, a, b in zip(pdf[ecg], ppgs, *filtered_windows(ppgs, ppg_fs))]
             scores = pd.DataFrame(rows, columns=[n for n, _ in WINDOW_FIELDS], index=pdf.index)
             yield pd.concat([pdf[meta], scores.astype(object).where(scores.notna(), None)], axis=1)
 
