@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .runtime import WORD, cut, lookup
 
 #: Rows of one source that a range of keys has on average.
-RANGE_ROWS = 4096
+RANGE_ROWS = 1024
 
 
 def words_of(text: Column) -> Column:
@@ -67,7 +67,7 @@ def cutoffs(rows: DataFrame, weights: Sequence[float], share: float, most: float
     words more if its key is the cutoff.
     """
     by_source = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")))
-    ranges = 16
+    ranges = 64
     while ranges * RANGE_ROWS < (by_source.agg(F.max("n")).first()[0] or 0):
         ranges *= 2
     targets = source_targets(by_source.select("source", "source_size"), weights, share, most)
