@@ -28,7 +28,7 @@ from .runtime import arrow_map, as_bytes, slices
 
 LEAF, UNSPLIT, AGREE, WINDOW = 4096, 1024, 4, 16
 #: Chunks that a worker remembers, of at most UNSPLIT bytes each.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _POINTS = frozenset(b".,")
 _SPACE = frozenset(b" \t\n\r\x0b\x0c")
 
