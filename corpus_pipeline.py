@@ -1,4 +1,4 @@
-"""A training corpus from ``documents``: five stages, each written as Parquet and read again by the next.
+"""A training corpus from ``documents``: six stages, each written as Parquet and read again by the next.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last
 return the columns of ``documents``.
@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigwarden.llm import bpe, language_id, line_dedup, mixing, simhash
+from sigwarden.llm import bpe, jaccard, language_id, line_dedup, mixing, simhash
 from sigwarden.llm.queries import TOKENIZER
 from sigwarden.llm.runtime import checkpoint_folder, table
 
@@ -34,6 +34,11 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return simhash.drop_near_duplicates(docs, words=3, bits=3).select(*docs.columns)
 
 
+def without_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles."""
+    return jaccard.drop_similar(docs, words=5, similarity=0.8).select(*docs.columns)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes whole documents, some twice, so that sources come near their targets."""
     return mixing.mix(docs, weights=(5, 2, 1), share=1.5, most=2.0, seed=17).select(*docs.columns)
@@ -51,6 +56,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("language_id", known_language),
     ("line_dedup", without_common_lines),
     ("simhash_near_dedup", without_near_duplicates),
+    ("jaccard_near_dedup", without_similar),
     ("mixing", mixed),
     ("bpe", tokenized),
 ]
