@@ -335,7 +335,7 @@ def participant_stability(spark, sf):
 
 @query()
 def test_retest_bootstrap(spark, sf):
-    return reliability.cohort_test_retest_table(views.order_series(spark, sf), ["value"], replicates=100)
+    return reliability.cohort_test_retest_table(views.order_series(spark, sf), ["value"])
 
 
 _SPLITS = """v AS (SELECT participant_id, resting_hr AS x, row_number() OVER o AS i, count(*) OVER (PARTITION BY participant_id) AS n, sum(resting_hr) OVER (PARTITION BY participant_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS s, sum(resting_hr) OVER (PARTITION BY participant_id) AS t FROM D WINDOW o AS (PARTITION BY participant_id ORDER BY date)),
@@ -629,7 +629,7 @@ def disparity(spark, sf):
 
 @query()
 def fairness_bootstrap(spark, sf):
-    return fairness.fairness_audit(views.daily(spark, sf), "device_type", replicates=50)
+    return fairness.fairness_audit(views.daily(spark, sf), "device_type", replicates=100)
 
 
 _SIMPLEX = [(4, 2, 1, 1, 1, 1), (1, 4, 2, 1, 1, 1), (1, 1, 4, 2, 1, 1), (1, 1, 1, 4, 2, 1), (2, 1, 1, 1, 1, 4)]
@@ -649,15 +649,24 @@ def weight_grid_search(spark, sf):
     return fairness.weight_objectives(trust.component_scores(d, "participant_id"), target, np.array(_SIMPLEX, float))
 
 
+@query()
+def learned_weights(spark, sf):
+    d = views.daily(spark, sf)
+    target = d.groupBy("participant_id").agg(F.avg("reliability_ground_truth").alias("reproducibility"))
+    found = fairness.learn_weights(trust.component_scores(d, "participant_id"), target)
+    rows = [(c, float(w), found["rho_train"], found["rho_holdout"], found["evaluations"]) for c, w in found["weights"].items()]
+    return spark.createDataFrame(rows, "component string, weight double, rho_train double, rho_holdout double, evaluations long")
+
+
 @query()
 def weight_sensitivity(spark, sf):
     scores = trust.component_scores(views.daily(spark, sf), "participant_id")
-    return fairness.sensitivity_table(scores, magnitudes=(0.1, 0.4), draws=10)
+    return fairness.sensitivity_table(scores)
 
 
 @query()
 def auroc_bootstrap(spark, sf):
-    return agreement.auroc_interval(views.scored_labels(spark, sf), "score", "quality", replicates=100)
+    return agreement.auroc_interval(views.scored_labels(spark, sf), "score", "quality")
 
 
 # causal
@@ -681,7 +690,7 @@ def difference_of_means(spark, sf):
 
 @query()
 def aipw_effect(spark, sf):
-    e = causal.aipw(views.daily(spark, sf), "heat_index", "hrv_rmssd", ["stress_proxy", "active_minutes"], replicates=50)
+    e = causal.aipw(views.daily(spark, sf), "heat_index", "hrv_rmssd", ["stress_proxy", "active_minutes"], replicates=200)
     return spark.createDataFrame([(e.treatment, e.outcome, e.effect, e.ci_low, e.ci_high, e.n)], "treatment string, outcome string, effect double, ci_low double, ci_high double, n long")
 
 
@@ -800,7 +809,7 @@ def corrected_rmssd(spark, sf):
 @query()
 def model_leaderboard(spark, sf):
     d = views.daily(spark, sf)
-    return models.train_baselines(d.withColumn("signal_quality_ground_truth", F.col("signal_quality_ground_truth") + 0.6), trees=20, depth=6)
+    return models.train_baselines(d.withColumn("signal_quality_ground_truth", F.col("signal_quality_ground_truth") + 0.6))
 
 
 @query()

@@ -71,7 +71,7 @@ def fairness_section(df: DataFrame) -> str:
 
 
 def weights_section(df: DataFrame, scores: DataFrame) -> str:
-    learned = fairness.learn_weights(scores, reliability.weekly_reproducibility(df, "hrv_rmssd"), candidates=60, rounds=1)
+    learned = fairness.learn_weights(scores, reliability.weekly_reproducibility(df, "hrv_rmssd"))
     rows = "\n".join(f"| {k} | {v:.3f} |" for k, v in learned["weights"].items())
     return f"| component | weight |\n|---|---|\n{rows}\n\nRank correlation on training participants {learned['rho_train']}, on held-out ones {learned['rho_holdout']}."
 
@@ -103,7 +103,7 @@ def generate_report(df: DataFrame, path: str | None = None, causal_pairs: Sequen
         ("Heat and sleep", lambda: table(confounding.correlation_summary(confounding.per_entity_correlation(df)))),
         ("Device bias", lambda: device_section(df)),
         ("Missingness", lambda: missingness_section(df)),
-        ("Test-retest", lambda: table(reliability.cohort_test_retest_table(df, METRICS, replicates=50))),
+        ("Test-retest", lambda: table(reliability.cohort_test_retest_table(df, METRICS, replicates=300))),
         ("ICC comparison", lambda: csv_section(df, icc_csv, ["metric", "icc", "r"])),
         ("Quality method comparison", lambda: csv_section(df, sqi_csv, ["modality", "spearman"])),
         ("Adjusted effects", lambda: table(causal.screening_vs_adjusted(df, causal_pairs))),
