@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql import types as T
 
 from ..functions.stats import normal_p, rank_sums, ratio
 
+#: Replicates of a bootstrap that one task draws.
+CHUNK = 250
+
 
 def unpivoted(df: DataFrame, metrics: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """(keep, metric, value) for each metric that is there."""
@@ -58,15 +62,54 @@ def e_value(effect: Column, low: Column, high: Column, null: float = 0.0) -> dic
     return {"risk_ratio": risk(effect), "e_value": e(effect), "e_value_bound": F.when((low <= null) & (high >= null), 1.0).otherwise(e(near))}
 
 
-def state_effect_sizes(df: DataFrame, metrics: Sequence[str], state: str, a, b) -> DataFrame:
-    """By metric: two-sided Mann-Whitney p, Cliff's delta, Cohen's d."""
+def cliffs_interval(tall: DataFrame, is_a: Column, keys: Sequence[str], replicates: int = 500, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """(keys, ci_low, ci_high): bootstrap interval of Cliff's delta of ``value``, each side resampled to its own size.
+
+    Resampling rows is drawing multinomial counts for the different values, so a task holds these and not the rows;
+    the replicates of a group are spread over tasks by CHUNK.
+    """
+    counts = tall.filter("value is not null").groupBy(*keys, F.col("value").cast("double").alias("value")).agg(F.count_if(is_a).alias("__a"), F.count_if(~is_a).alias("__b"))
+    parts = counts.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // CHUNK))))
+    parts = parts.withColumn("__seed", F.xxhash64(*keys, "__part", F.lit(seed)))
+    fields = [tall.schema[k] for k in keys]
+
+    def resampled(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("value")
+        a, b = pdf["__a"].to_numpy(np.int64), pdf["__b"].to_numpy(np.int64)
+        n_a, n_b = int(a.sum()), int(b.sum())
+        if not n_a or not n_b:
+            return pdf.head(0)[list(keys)].assign(delta=pd.Series(dtype=float))
+        rng = np.random.default_rng(int(pdf["__seed"].iloc[0]) & 0x7FFFFFFFFFFFFFFF)
+        left, step, out = min(CHUNK, replicates - CHUNK * int(pdf["__part"].iloc[0])), max(1, 1_000_000 // len(a)), []
+        while left > 0:
+            x, y = rng.multinomial(n_a, a / n_a, min(step, left)), rng.multinomial(n_b, b / n_b, min(step, left))
+            out.append(2 * (x * (y.cumsum(1) - y / 2)).sum(1) / (n_a * n_b))
+            left -= step
+        delta = np.concatenate(out) - 1
+        return pd.DataFrame({k: [pdf[k].iloc[0]] * len(delta) for k in keys} | {"delta": delta})
+
+    drawn = parts.groupBy(*keys, "__part").applyInPandas(resampled, T.StructType([*fields, T.StructField("delta", T.DoubleType())]))
+    tail = (1 - confidence) / 2
+    return drawn.groupBy(*keys).agg(F.percentile("delta", F.lit(tail)).alias("ci_low"), F.percentile("delta", F.lit(1 - tail)).alias("ci_high"))
+
+
+def state_effect_sizes(df: DataFrame, metrics: Sequence[str], state: str, a, b, by: Sequence[str] = (), least: int = 5, replicates: int = 500, seed: int = 42) -> DataFrame:
+    """By ``by``, contrast and metric with ``least`` values a side: counts, means, medians, two-sided Mann-Whitney p, Cliff's
+    delta with its bootstrap interval, Cohen's d."""
     from ..functions.arrow import mann_whitney_p
 
-    tall = unpivoted(df.filter(F.col(state).isin(a, b)), metrics, [state])
-    is_a = F.col(state) == F.lit(a)
-    r = rank_sums(tall, "value", is_a, ["metric"])
-    d = cohens_d(tall, "value", is_a, ["metric"]).select("metric", "cohens_d")
-    return r.join(d, "metric").select("metric", "n_a", "n_b", mann_whitney_p("u_a", "n_a", "n_b", F.col("ties").cast("double")).alias("p_value"), "cliffs_delta", "cohens_d")
+    tall = unpivoted(df.filter(F.col(state).isin(a, b)), metrics, [*by, state]).filter("value is not null")
+    is_a, keys = F.col(state) == F.lit(a), [*by, "metric"]
+    x, y = F.when(is_a, F.col("value")), F.when(~is_a, F.col("value"))
+    half = F.lit(0.5)
+    sides = tall.groupBy(*keys).agg(F.avg(x).alias("mean_a"), F.avg(y).alias("mean_b"), F.percentile(x, half).alias("median_a"), F.percentile(y, half).alias("median_b"))
+    r = rank_sums(tall, "value", is_a, keys).filter((F.col("n_a") >= least) & (F.col("n_b") >= least))
+    d = cohens_d(tall, "value", is_a, keys).select(*keys, "cohens_d")
+    interval = cliffs_interval(tall.join(r.select(*keys), keys, "left_semi"), is_a, keys, replicates, seed=seed)
+    p = mann_whitney_p("u_a", "n_a", "n_b", F.col("ties").cast("double")).alias("p_value")
+    held = r.select(*keys, F.lit(f"{a}_vs_{b}").alias("contrast"), "n_a", "n_b", p, "cliffs_delta")
+    named = interval.withColumnsRenamed({"ci_low": "cliffs_delta_ci_low", "ci_high": "cliffs_delta_ci_high"})
+    return held.join(sides, keys).join(named, keys).join(d, keys)
 
 
 def signed_ranks(df: DataFrame, delta: str, by: Sequence[str] = ()) -> DataFrame:

@@ -266,6 +266,20 @@ def classification_track(df: DataFrame, features: Sequence[str], label: str, sub
     return out
 
 
+def track_summary(track: DataFrame, score: str = "auroc", replicates: int = 500, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """(condition, n_subjects, mean, ci_low, ci_high) of the subjects' scores, with an interval from resampled subjects, which are few."""
+    tail = 100 * (1 - confidence) / 2
+
+    def resampled(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.sort(pdf[score].to_numpy(float))
+        rng = np.random.default_rng(seed)
+        low, high = np.percentile([x[rng.integers(0, len(x), len(x))].mean() for _ in range(replicates)], [tail, 100 - tail])
+        return pd.DataFrame({"condition": [pdf["condition"].iloc[0]], "n_subjects": [len(x)], "mean": [x.mean()], "ci_low": [low], "ci_high": [high]})
+
+    rows = track.filter(F.col(score).isNotNull()).select("condition", score)
+    return rows.groupBy("condition").applyInPandas(resampled, "condition string, n_subjects long, mean double, ci_low double, ci_high double")
+
+
 def paired_deltas(track: DataFrame, subject: str = "subject_id", score: str = "auroc") -> DataFrame:
     """By condition: n, median gain over ``all``, W+ and the p-value that it is above 0."""
     from .effects import paired_wilcoxon

@@ -574,7 +574,7 @@ def cohens_d(spark, sf):
 
 @query()
 def state_effect_sizes(spark, sf):
-    return effects.state_effect_sizes(views.daily(spark, sf), ["resting_hr", "hrv_rmssd"], "missing_wearable_flag", 1, 0)
+    return effects.state_effect_sizes(views.daily(spark, sf), ["resting_hr", "hrv_rmssd"], "missing_wearable_flag", 1, 0, by=["participant_id"])
 
 
 @query(
