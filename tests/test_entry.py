@@ -17,11 +17,30 @@ def test_names():
     assert set(o) <= set(q) and len(q) >= 80 and len(o) >= 60
 
 
-def test_works_without_the_removable_subpackage(tmp_path):
+WITHOUT = "import __spark_entry__ as e; q = e.queries(); assert 'trust_score' in q and 'pipeline' not in q and not any(n.startswith('op') and n[2].isdigit() for n in q) and set(e.oracle_sql()) <= set(q)"
+
+
+def copied(tmp_path, *left_out):
     copy = tmp_path / "repo"
-    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns("llm", ".git", "corpus_pipeline.py", "__pycache__", ".pytest_cache"))
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'trust_score' in q and not any(n.startswith('op') and n[2].isdigit() for n in q) and set(e.oracle_sql()) <= set(q); print(len(q))"
-    out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True)
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", *left_out))
+    return copy
+
+
+def ran(copy, *command):
+    return subprocess.run([sys.executable, *command], cwd=copy, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": ""})
+
+
+@pytest.mark.parametrize("left_out", [("llm",), ("llm", "corpus_pipeline.py")])
+def test_works_without_the_removable_subpackage(tmp_path, left_out):
+    copy = copied(tmp_path, *left_out)
+    out = ran(copy, "-c", WITHOUT)
+    assert out.returncode == 0, out.stderr
+    out = ran(copy, "-m", "pytest", "--collect-only", "-q", "tests")
+    assert out.returncode == 0 and "error" not in out.stdout.lower(), out.stdout
+
+
+def test_works_where_the_subpackage_cannot_be_imported(tmp_path):
+    out = ran(copied(tmp_path), "-c", "import sys; sys.modules['xxhash'] = None; " + WITHOUT)
     assert out.returncode == 0, out.stderr
 
 
