@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(name: str = "sigwarden", master: str | None = None, shuffle_partitions: int | None = None, driver_memory: str | None = None, extra: dict[str, str] | None = None) -> SparkSession:
@@ -31,3 +33,24 @@ def build_session(name: str = "sigwarden", master: str | None = None, shuffle_pa
     session = builder.config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Only a session on one machine (tests) may leave it unset and then has a
+    folder of its own; on a cluster that is an error, since executors could not reach a local folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sigwarden-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Computes ``df`` once and writes it to the checkpoint folder that all executors share.
+
+    A lost executor costs no recomputation, and the files go when the result is no longer used.
+    """
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
