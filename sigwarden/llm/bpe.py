@@ -5,15 +5,20 @@ Then halves are joined: a window around the join is encoded anew and grown until
 what the left side has at its start and what the right side has at its end; between these, the
 window's tokens hold.
 
-Pieces are lists of chunks, runs without ASCII white space. The tokenizers read here split at white
-space and drop it, so a chunk's tokens depend on the chunk alone and are remembered. A join within a
-chunk works on chunks while the joined chunk is short; in unsplit text (a chunk over UNSPLIT bytes) it
-works on tokens: adjoining tokens of the result were adjoining in a window or in a side that agrees
-with it over AGREE tokens, and a window that never agrees grows to the whole chunk.
+How pieces are encoded follows from the tokenizer's file (``kind_of``), and a file of another kind is refused:
+
+- ``bytes`` (no normaliser, byte-level pre-tokenizer): the pieces are token lists. Joins work on tokens: adjoining
+  tokens of the result were adjoining in a window or in a side that agrees with it over AGREE tokens, and a window
+  that never agrees grows to the whole text.
+- ``words`` (lower case, splits at white space and drops it): the pieces are lists of chunks, runs without ASCII white
+  space. A chunk's tokens depend on the chunk alone, so a leaf's chunks are looked up in a cache of encoded chunks. A join
+  within a chunk works on chunks while the joined chunk is short; in unsplit text (a chunk over UNSPLIT bytes)
+  it works on tokens as above.
 """
 
 from __future__ import annotations
 
+import json
 from array import array
 from collections.abc import Iterator
 
@@ -33,6 +38,31 @@ _POINTS = frozenset(b".,")
 _SPACE = frozenset(b" \t\n\r\x0b\x0c")
 
 
+#: Fixed value: the pattern of words by which a tokenizer of the kind ``words`` splits. No alternative matches white
+#: space, and a full stop or comma after a letter starts a match of its own.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def kind_of(path: str) -> str:
+    """``words`` or ``bytes``, read from the file's normaliser, pre-tokenizer and model; any other file is an error."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, normalizer, pre = file["model"], file["normalizer"], file["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not model.get("dropout") and not model.get("fuse_unk") and not model.get("ignore_merges") and file["post_processor"] is None
+    steps = [n["type"] for n in (normalizer or {}).get("normalizers", [])]
+    split, *rest = pre.get("pretokenizers", [{}])
+    space = [n for n in (normalizer or {}).get("normalizers", []) if n["type"] == "Replace"]
+    if (
+        plain and steps == ["NFC", "Replace", "Lowercase"] and space[0]["pattern"] == {"Regex": r"\s+"} and space[0]["content"] == " "
+        and split.get("type") == "Split" and split["pattern"] == {"Regex": WORD_PATTERN} and split["behavior"] == "Removed" and split["invert"]
+        and [(r["type"], r.get("add_prefix_space"), r.get("use_regex")) for r in rest] == [("ByteLevel", False, False)] and model.get("end_of_word_suffix")
+    ):
+        return "words"
+    if plain and normalizer is None and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"] and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix"):
+        return "bytes"
+    raise ValueError(f"tree concatenation is not known to be exact for the tokenizer in {path}")
+
+
 class Tokens:
     """Tokens of unsplit text with their character spans."""
 
@@ -49,6 +79,7 @@ def _packed(ids: list[int]) -> bytes:
 
 class Codec:
     def __init__(self, path: str, leaf: int = LEAF, unsplit: int = UNSPLIT):
+        self.kind = kind_of(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -60,6 +91,8 @@ class Codec:
         return [np.frombuffer(p, np.int32).tolist() for p in self.encode_packed(texts)]
 
     def encode_packed(self, texts: list[bytes]) -> list[bytes]:
+        if self.kind == "bytes":
+            return self._encode_unsplit([t.decode() for t in texts])
         # The normaliser lower-cases; doing it to A-Z first changes no token, save that a special token must not be made.
         texts = [t if b"<" in t else t.lower() for t in texts]
         seen: set[bytes] = set()
@@ -73,6 +106,22 @@ class Codec:
             return [" ".join(map(self.strings.__getitem__, x)) for x in ids]
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
+    def _encode_unsplit(self, texts: list[str]) -> list[bytes]:
+        """All leaves of all texts are encoded together, then joined by halves, for each text from the leaves up."""
+        spans = [[(at, min(at + self.leaf, len(t))) for at in range(0, max(len(t), 1), self.leaf)] for t in texts]
+        leaves = [t[lo:hi] for t, own in zip(texts, spans) for lo, hi in own]
+        encoded = iter(self.tokenizer.encode_batch(leaves, add_special_tokens=False))
+        out = []
+        for t, own in zip(texts, spans):
+            level = []
+            for lo, hi in own:
+                e = next(encoded)
+                level.append(Tokens(t[lo:hi], e.ids, [s for s, _ in e.offsets], [x for _, x in e.offsets]))
+            while len(level) > 1:
+                level = [self._spliced(level[k], level[k + 1]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+            out.append(_packed(level[0].ids))
+        return out
+
     # A tree is a leaf (lo, hi, chunks) or (lo, hi, left, right).
 
     def _halved(self, text: bytes, lo: int, hi: int, seen: set[bytes]) -> tuple:

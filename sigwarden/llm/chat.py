@@ -43,20 +43,23 @@ def final_messages(events: DataFrame) -> DataFrame:
     message are ``message`` events, each stands as a turn of its own, repeated rows too. A null text is
     empty; the role is the first that isn't null, else empty. Conversations with a null id form one.
     Result: conv_id, message, part (0, 1, ... among turns of one message number), role, text.
+
+    The window over a conversation sees the numbers (message, again) only; the logs join its result.
     """
+    logs = events.groupBy("conv_id", "message").agg(
+        F.sort_array(F.collect_list(F.struct("seq", "kind", "role", F.coalesce("text", F.lit("")).alias("text")))).alias("log"),
+        F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again"),
+    )
     w = Window.partitionBy("conv_id").orderBy(F.col("message").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    narrow = events.groupBy("conv_id", "message").agg(F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again"))
+    cuts = narrow.withColumn("cut", F.max("again").over(w)).filter("cut is not null").select(F.col("conv_id").alias("c"), F.col("message").alias("m"), "cut")
     by_message = (
-        events.groupBy("conv_id", "message")
-        .agg(
-            F.sort_array(F.collect_list(F.struct("seq", "kind", "role", F.coalesce("text", F.lit("")).alias("text")))).alias("log"),
-            F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again"),
-        )
-        .withColumn("cut", F.max("again").over(w))
+        logs.join(cuts, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("message").eqNullSafe(F.col("m")), "left")
         .withColumn("log", F.when(F.col("cut").isNull(), F.col("log")).otherwise(F.filter("log", lambda e: e["seq"] > F.col("cut"))))
         .filter(F.size("log") > 0)
     )
     start = F.coalesce(F.array_max(F.transform("log", lambda e, i: F.when(e["kind"].isin(*WHOLE), i))), F.lit(0))
-    role = F.coalesce(F.element_at(F.filter(F.transform("log", lambda e: e["role"]), lambda r: r.isNotNull()), 1), F.lit(""))
+    role = F.coalesce(F.get(F.filter(F.transform("log", lambda e: e["role"]), lambda r: r.isNotNull()), F.lit(0)), F.lit(""))
     body = F.array_join(F.transform(F.slice("log", start + 1, F.size("log")), lambda e: e["text"]), "")
     alone = F.transform("log", lambda e: F.struct(F.coalesce(e["role"], F.lit("")).alias("role"), e["text"].alias("text")))
     folded = F.array(F.struct(role.alias("role"), body.alias("text")))

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from .runtime import cut
 
-#: Tasks that share the neighbours of one node.
-SALTS = 16
+#: Links of one node that one task aggregates, at most about.
+NODE_LINKS = 1 << 16
 
 
-def _with_least(pairs: DataFrame) -> DataFrame:
-    """(u, v, m): m is the least of u and all its v. A hub's pairs are spread over SALTS tasks."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+def _with_least(pairs: DataFrame, salts: int) -> DataFrame:
+    """(u, v, m): m is the least of u and all its v. A hub's pairs are spread over ``salts`` groups; a node of few
+    pairs has no more groups than pairs."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)))
     parts = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
     least = parts.groupBy("u").agg(F.min("m").alias("m")).select("u", F.least("u", "m").alias("m"))
     return salted.join(parts.select("u", "salt").join(least, "u"), ["u", "salt"]).select("u", "v", "m")
@@ -28,9 +29,10 @@ def connected_components(links: DataFrame) -> DataFrame:
         if tuple(new) == state or not new[0]:
             break
         state = tuple(new)
+        salts = max(16, -(-new[0] // NODE_LINKS))  # no node has more links than there are
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = _with_least(large)
+        large = _with_least(both, salts).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = _with_least(large, salts)
         small = low.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = cut(small.filter("u <> v").distinct())
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -1,4 +1,9 @@
-"""Near-deduplication by the Jaccard similarity of shingle sets: candidates from MinHash bands, each compared exactly.
+"""SimHash near-deduplication to a stated Jaccard similarity: candidates from pigeonring chains and from MinHash bands,
+each compared exactly.
+
+SimHash alone can't reach a similarity of 0.8: such texts differ in about 10 of 64 bits, for which pigeonring keys would
+be 4 bits wide. So a text's candidates are all texts of its SimHash component (chains within ``bits`` bits) and, in
+addition, all that share a MinHash band with it. Only texts that are similar by the exact count are linked.
 
 A text's set holds the XXH64 of its different shingles of ``words`` words. Rows with equal sets are one node. BANDS
 keys of BAND_ROWS minima each make two sets of similarity s candidates with probability
@@ -10,7 +15,6 @@ of near copies emits a forest and not its pairs. No group is capped: one over BL
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .graph import connected_components
 from .runtime import BROADCAST_ROWS, arrow_map, as_bytes, cut, lookup, slices
+from .simhash import fingerprint_links, fingerprint_of, shingle_hashes
 
 BANDS, BAND_ROWS = 24, 4
 #: Odd factors that permute the 64-bit values.
@@ -29,16 +34,8 @@ BLOCK = 1 << 20
 
 
 def shingle_set(text: bytes | None, words: int = 5) -> np.ndarray:
-    """The sorted XXH64 values (seed 42) of a text's different shingles, split as ``simhash.fingerprint`` does."""
-    found = (text or b"").lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    size = min(words, len(found))
-    joined = b" ".join(found)
-    ends = list(accumulate(len(w) + 1 for w in found))
-    starts = [0, *ends[: len(found) - size]]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a : b - 1], 42) for a, b in zip(starts, ends[size - 1 :])), np.uint64, len(starts)))
+    """The sorted hashes of a text's different shingles."""
+    return np.unique(shingle_hashes(text, words))
 
 
 def node_of(values: np.ndarray) -> int:
@@ -147,20 +144,24 @@ def _links_of_blocks(waiting: DataFrame, similarity: float) -> DataFrame:
     return paired.groupBy("key", "one", "two").applyInPandas(compared, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 3) -> DataFrame:
     """Every row's id with an id and its ``component_id``, the smallest id reachable over texts whose shingle sets have a
-    Jaccard similarity of ``similarity`` or more. Rows without words are one node. Rows without an id are left out."""
+    Jaccard similarity of ``similarity`` or more. Rows without words are one node. Rows without an id are left out;
+    repeated rows give repeated rows; an empty table gives none."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     kind = texts.schema["id"].dataType.simpleString()
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            nodes, keys = [], []
+            nodes, fps, keys = [], [], []
             for text in as_bytes(batch.column(1)):
-                values = shingle_set(text, words)
+                hashes = shingle_hashes(text, words)
+                values = np.unique(hashes)
                 nodes.append(node_of(values))
+                fps.append(fingerprint_of(hashes))
                 keys.append(band_keys(values).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "keys"])
+            signed_64 = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed_64(nodes), signed_64(fps), pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "fp", "keys"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
@@ -173,9 +174,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     held += [values.view(np.int64)] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64()), pa.array(held, pa.list_(pa.int64()))], names=["key", "node", "shingles"])
 
-    rows = cut(arrow_map(texts, signed, f"id {kind}, node long, keys array<long>"))
-    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("keys").alias("keys")))
-    keyed = nodes.select("node", "least", F.explode("keys").alias("key"))
+    rows = cut(arrow_map(texts, signed, f"id {kind}, node long, fp long, keys array<long>"))
+    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.first("keys").alias("keys")))
+    # A SimHash component of several fingerprints, or of one fingerprint with several sets, is one more key.
+    chains = cut(connected_components(fingerprint_links(nodes.select("fp").distinct(), bits)).withColumnRenamed("node", "fp"))
+    with_fp = nodes.filter(F.size("keys") > 0).select("node", "least", "fp")
+    chained = lookup(with_fp, chains, ["fp"]).select("node", "least", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("key"))
+    keyed = nodes.select("node", "least", F.explode("keys").alias("key")).unionByName(chained)
     shared = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
     wanted = cut(lookup(keyed, shared, ["key"], "inner").groupBy("node", "least").agg(F.collect_list("key").alias("keys")))
     few = wanted.limit(BROADCAST_ROWS // 4 + 1).count() <= BROADCAST_ROWS // 4
@@ -190,10 +195,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return lookup(rows.select("id", "node"), classes, ["node"]).select(F.col("id").alias(id_col), "component_id")
 
 
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 3) -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest, with all columns. Rows with a null id stay; rows
     that repeat an id are one document and stay or go together."""
-    found = similar_groups(docs, id_col, text_col, words, similarity)
+    found = similar_groups(docs, id_col, text_col, words, similarity, bits)
     gone = cut(found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti")

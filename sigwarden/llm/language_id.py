@@ -10,7 +10,10 @@ Classes are the languages of a model plus ``und`` (no known language). Evidence
   the mix of all.
 
 The last three are grouped counts over all documents, by the language that the text alone suggests. Only
-the trigram frequencies are fitted on a sample, of about FIT_ROWS labelled rows a language.
+the trigram frequencies are fitted on a sample, of about FIT_ROWS different labelled texts a language. A label
+that a model is fitted on must not be handed in as declared language: it would be evidence for itself.
+
+Classes with equal posterior: the first language by code point, ``und`` last.
 """
 
 from __future__ import annotations
@@ -24,11 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import arrow_map, as_bytes, cut, lookup, slices
+from .runtime import arrow_map, as_bytes, cut, free_name, lookup, slices
+from .url_filter import registered_domain_of, suffix_of as _suffix_of
 
 UNKNOWN = "und"
 FIT_ROWS = 2000
-MAX_LANGUAGES = 64
 BUCKETS = 1 << 14
 TEMPER = 50.0
 #: Weight of the level above in a smoothed mix, in documents.
@@ -63,19 +66,23 @@ class Model:
         return total * (TEMPER / (len(h) + TEMPER))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS) -> Model:
-    """Fits the trigram frequencies on about ``rows`` labelled rows of each language, chosen by a hash of the text.
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, most: int = 4096) -> Model:
+    """Fits the trigram frequencies on about ``rows`` different labelled texts of each language, chosen by a hash of the text.
 
-    The MAX_LANGUAGES most frequent labels are the languages. Rows with a null label or text aren't used; with no
-    labelled row at all every text is UNKNOWN.
+    All labels are languages; over ``most`` of them are an error, since a model has BUCKETS numbers for each. Copies of a
+    text count once, so a text that makes up a third of all rows is one of the sample. Rows with a null label or
+    text aren't used; with no labelled row at all every text is UNKNOWN.
     """
-    used = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
-    found = used.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    used = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h")).filter("text is not null and lang is not null")
+    found = used.groupBy("lang", "h").agg(F.lit(1)).groupBy("lang").count().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"over {most} languages")
     languages = tuple(sorted(r["lang"] for r in found))
     counts = np.full((BUCKETS, len(languages)), 0.1)
     if languages:
-        share = F.create_map(*[x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, rows / r["count"])))])
-        sample = used.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+        shares = labelled.sparkSession.createDataFrame([(r["lang"], int((1 << 30) * min(1.0, rows / r["count"]))) for r in found], "lang string, share long")
+        chosen = used.join(F.broadcast(shares), "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share"))
+        sample = chosen.dropDuplicates(["lang", "h"]).select("text", "lang")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own: dict[str, np.ndarray] = {}
@@ -94,8 +101,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", row
 
 
 def suffix_of(host: Column) -> Column:
-    """The last label of a host with at least two; else none."""
-    return F.when(F.instr(host, ".") > 0, F.substring_index(host, ".", -1)).otherwise("")
+    """The public suffix of a host with at least two labels; else none."""
+    return F.when(F.instr(host, ".") > 0, _suffix_of(host)).otherwise("")
 
 
 def primary_tag(declared: Column) -> Column:
@@ -107,15 +114,24 @@ def _best(scores: np.ndarray, languages: Sequence[str]) -> str:
     return [*languages, UNKNOWN][int(np.argmax(scores))]
 
 
-def _text_only(docs: DataFrame, model: Model) -> DataFrame:
-    """(host, declared, lang, n): documents by what their text alone suggests."""
+def _likelihoods(docs: DataFrame, model: Model, text_col: str, keep: Sequence[str]) -> DataFrame:
+    """The columns ``keep`` and ``ll``: the text's log likelihoods, null for a text without trigrams."""
+    rows = docs.select(*keep, F.col(text_col).alias("text"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("ll", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            best = [_best(model.log_likelihoods(x), model.languages) if x and x.strip() else UNKNOWN for x in as_bytes(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(best)], names=["host", "declared", "lang"])
+            found = [model.log_likelihoods(x) if len(trigrams(x)) else None for x in as_bytes(batch.column(len(keep)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.list_(pa.float64()))], names=schema.names)
+
+    return arrow_map(rows, run, schema)
+
 
-    return arrow_map(docs.select("__text", "__host", "__declared"), run, "host string, declared string, lang string").groupBy("host", "declared", "lang").agg(F.count(F.lit(1)).alias("n"))
+def _counts(found: DataFrame, languages: Sequence[str]) -> DataFrame:
+    """(host, declared, lang, n) of (host, declared, ll): documents by what their text alone suggests."""
+    names = F.array(*[F.lit(x) for x in (*languages, UNKNOWN)])
+    best = F.coalesce(F.element_at(names, F.array_position("ll", F.array_max("ll")).cast("int")), F.lit(UNKNOWN))
+    return found.select("host", "declared", best.alias("lang")).groupBy("host", "declared", "lang").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _mixes(counts: DataFrame, key: str | None, languages: Sequence[str]) -> DataFrame:
@@ -135,8 +151,8 @@ def host_priors(counts: DataFrame, languages: Sequence[str]) -> DataFrame:
     Aggregates of aggregates: the first grouping has at most hosts x declared x languages rows.
     """
     k = len(languages)
-    hosts = _mixes(counts, "host", languages).withColumns({"domain": F.substring_index("host", ".", -2), "suffix": suffix_of(F.col("host"))})
-    known = counts.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": suffix_of(F.col("host"))})
+    hosts = _mixes(counts, "host", languages).withColumns({"domain": registered_domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    known = counts.withColumns({"domain": registered_domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     every = _mixes(counts, None, languages).select(F.transform("all_n", lambda x: (x + 1.0)).alias("all_n"))
     every = every.select("all_n", F.transform("all_n", lambda x: x / F.aggregate("all_n", F.lit(0.0), lambda s, y: s + y)).alias("all_p"))
     domains = _mixes(known, "domain", languages).join(F.broadcast(every)).select("domain", _smoothed("domain_n", "all_p").alias("domain_p"))
@@ -160,6 +176,63 @@ def declared_logs(counts: DataFrame, languages: Sequence[str]) -> dict[str, np.n
     return {t: np.log((c + 1.0) / (total + len(tally))) for t, c in tally.items()}
 
 
+def _evidence(found: DataFrame, languages: Sequence[str]) -> tuple[DataFrame, dict[str, np.ndarray]]:
+    """The host priors and the declared tags' logs of (host, declared, ll)."""
+    counts = cut(_counts(found, languages))
+    return cut(host_priors(counts, languages)), declared_logs(counts, languages)
+
+
+def posterior(ll: np.ndarray | None, tag: str, prior: Sequence[float] | None, languages: Sequence[str], by_tag: dict[str, np.ndarray]) -> tuple[str, float]:
+    """The language and its posterior probability from all evidence of one document; UNKNOWN and 0 without trigrams."""
+    if ll is None or not languages:
+        return UNKNOWN, 0.0
+    score = np.array(ll, float)
+    score[:-1] += np.log1p(-UNKNOWN_PRIOR) + (0.0 if prior is None else np.array(prior) - _norm(prior))
+    score[-1] += np.log(UNKNOWN_PRIOR)
+    if tag:
+        logs = by_tag[tag if tag in languages else "other"]
+        score[:-1] += logs - _norm(logs) + np.log(len(logs))
+    p = np.exp(score - score.max())
+    p /= p.sum()
+    return _best(p, languages), float(p.max())
+
+
+_FOUND = [T.StructField("language", T.StringType()), T.StructField("posterior", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
+
+
+def _judged(rows: DataFrame, keep: Sequence[str], languages: Sequence[str], by_tag: dict[str, np.ndarray], min_posterior: float, likelihood) -> DataFrame:
+    """The columns ``keep`` (the first of ``rows``) and the decision; after them ``rows`` has tag, prior and what ``likelihood`` reads."""
+    schema = T.StructType([*[rows.schema[c] for c in keep], *_FOUND])
+    k = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [posterior(ll, tag, prior, languages, by_tag) for ll, tag, prior in zip(likelihood(batch.column(k + 2)), batch.column(k).to_pylist(), batch.column(k + 1).to_pylist())]
+            names, sure = [x for x, _ in found], [p for _, p in found]
+            ok = [x != UNKNOWN and p >= min_posterior for x, p in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(names, pa.string()), pa.array(sure, pa.float64()), pa.array(ok, pa.bool_())], names=schema.names)
+
+    return arrow_map(rows, run, schema)
+
+
+def _given(declared: Column | None, host: Column | None) -> tuple[Column, Column]:
+    none = F.lit("")
+    return (F.coalesce(host, none) if host is not None else none), (primary_tag(declared) if declared is not None else none)
+
+
+def judge(docs: DataFrame, model: Model, keep: Sequence[str], text_col: str = "text", declared: Column | None = None, host: Column | None = None, min_posterior: float = 0.5) -> DataFrame:
+    """The columns ``keep`` with ``language``, ``posterior`` and ``accepted``, as ``identify`` finds them; the text isn't
+    among them, so it is read once and never shuffled: only its likelihoods are kept. Names that ``keep`` shares
+    with the result are an error."""
+    host, tag = _given(declared, host)
+    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], host.alias("host"), tag.alias("declared"), F.col(text_col).alias("text"))
+    own = [f"k{i}" for i in range(len(keep))]
+    found = cut(_likelihoods(rows, model, "text", [*own, "host", "declared"]))
+    priors, by_tag = _evidence(found, model.languages)
+    joined = lookup(found, priors, ["host"]).select(*own, "declared", "prior", "ll")
+    return _judged(joined, own, model.languages, by_tag, min_posterior, lambda column: column.to_pylist()).withColumnsRenamed(dict(zip(own, keep)))
+
+
 def identify(docs: DataFrame, model: Model, text_col: str = "text", declared: Column | None = None, host: Column | None = None, min_posterior: float = 0.5) -> DataFrame:
     """``docs`` with ``language``, ``posterior`` and ``accepted``.
 
@@ -167,41 +240,17 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", declared: Co
     evidence. A text without letters (null, empty, digits) is ``und`` with posterior 0. A document is accepted if its
     language is known and its posterior is at least ``min_posterior``. Columns of these three names are replaced;
     repeated rows are judged each; an empty table gives none. Host priors are joined by a checked broadcast, beyond
-    its bound by a shuffle in which a hot host is split.
+    its bound by a shuffle of the rows in which a hot host is split; ``judge`` shuffles no text.
     """
-    languages = model.languages
-    docs = docs.drop("language", "posterior", "accepted")
-    columns = docs.columns
-    given = docs.withColumns({"__text": F.col(text_col), "__host": F.coalesce(host, F.lit("")) if host is not None else F.lit(""), "__declared": primary_tag(declared) if declared is not None else F.lit("")})
-    counts = cut(_text_only(given, model))
-    priors = cut(host_priors(counts, languages).withColumnRenamed("host", "__host"))
-    by_tag = declared_logs(counts, languages)
-    joined = lookup(given, priors, ["__host"]).select(*columns, "__text", "__declared", "prior")
-    schema = T.StructType([*docs.schema.fields, T.StructField("language", T.StringType()), T.StructField("posterior", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
-    k = len(columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found, sure = [], []
-            for text, tag, prior in zip(as_bytes(batch.column(k)), batch.column(k + 1).to_pylist(), batch.column(k + 2).to_pylist()):
-                if not languages or not len(trigrams(text)):
-                    found.append(UNKNOWN)
-                    sure.append(0.0)
-                    continue
-                score = model.log_likelihoods(text)
-                score[:-1] += np.log1p(-UNKNOWN_PRIOR) + (0.0 if prior is None else np.array(prior) - _norm(prior))
-                score[-1] += np.log(UNKNOWN_PRIOR)
-                if tag:
-                    logs = by_tag[tag if tag in languages else "other"]
-                    score[:-1] += logs - _norm(logs) + np.log(len(logs))
-                p = np.exp(score - score.max())
-                p /= p.sum()
-                found.append(_best(p, languages))
-                sure.append(float(p.max()))
-            ok = [x != UNKNOWN and p >= min_posterior for x, p in zip(found, sure)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(found, pa.string()), pa.array(sure, pa.float64()), pa.array(ok, pa.bool_())], names=schema.names)
-
-    return arrow_map(joined, run, schema)
+    host, tag = _given(declared, host)
+    first = docs.select(host.alias("host"), tag.alias("declared"), F.col(text_col).alias("text"))
+    priors, by_tag = _evidence(_likelihoods(first, model, "text", ["host", "declared"]), model.languages)
+    text = F.col(text_col)
+    docs = docs.withColumns({(at := free_name(docs, "host")): host, (tag_at := free_name(docs, "declared")): tag, (text_at := free_name(docs, "text")): text}).drop("language", "posterior", "accepted")
+    columns = [c for c in docs.columns if c not in (at, tag_at, text_at)]
+    prior_at = free_name(docs, "prior")
+    joined = lookup(docs, priors.select(F.col("host").alias(at), F.col("prior").alias(prior_at)), [at]).select(*columns, tag_at, prior_at, text_at)
+    return _judged(joined, columns, model.languages, by_tag, min_posterior, lambda column: [model.log_likelihoods(x) if len(trigrams(x)) else None for x in as_bytes(column)])
 
 
 def _norm(logs) -> float:

@@ -3,14 +3,15 @@
 1. Each document gives its different line keys as 128-bit hashes; a grouped count (partial before
    the shuffle) gives the number of documents of each key.
 2. The different hashes are dealt to shards of about ``SHARD_KEYS`` keys, and each shard becomes a
-   minimal perfect hash with a 16-bit fingerprint and a saturated 8-bit count a key (see mphf).
+   minimal perfect hash with a 16-bit fingerprint and a saturated 16-bit count a key (see mphf).
 3. Documents probe the arrays. Every line was indexed, so a probe always finds its own slot and no
    false hit is possible short of a collision of 128-bit hashes.
 
 If the whole index has at most ``broadcast_bytes`` it is sent to the executors and the probe is a map
-over the documents. A larger index stays where it is: probes are sent to its shards, a shard with
-many probes being copied to several tasks, and documents are joined with the keys they lose. Both
-ways give the same rows.
+over the documents. A larger index stays where it is, and probes (the text's hash and the line's, no
+text) are sent to its shards, a shard with many probes being copied to several tasks. What comes back for
+a text is the list of the hashes that it loses, by which the documents are joined: through a broadcast if few texts
+lose a line, else the documents are shuffled once. Both ways compare the same 128 bits and give the same rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .mphf import Index, build
-from .runtime import arrow_map, as_bytes, cut, lookup, replaced, slices
+from .runtime import arrow_map, as_bytes, cut, free_name, lookup, replaced, slices
 
 SHARD_KEYS = 65_536
 #: Probes that one task answers in a row before a shard is copied to another task (sharded way only).
@@ -87,7 +88,7 @@ def line_index(docs: DataFrame, text_col: str, min_docs: int, min_chars: int) ->
 
 def _probe(indexes: dict[int, Index], shards: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     shard = a.view(np.int64) % shards
-    out = np.zeros(len(a), np.uint8)
+    out = np.zeros(len(a), np.uint16)
     order = np.argsort(shard, kind="stable")
     ends = np.flatnonzero(np.diff(shard[order], append=-1))
     at = 0
@@ -135,7 +136,7 @@ def _dropping(schema: T.StructType, text_at: str, min_chars: int, flags) -> call
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col: str = "text", broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """``docs`` without the lines whose key is found in at least ``min_docs`` (at most 255) documents.
+    """``docs`` without the lines whose key is found in at least ``min_docs`` (at most 65,535) documents.
 
     A text is split at ``\\n``; a line's key is the line without white space (U+0020, U+0009-U+000D)
     at both ends and with A-Z lower-cased. Keys under ``min_chars`` code points are never dropped. The
@@ -143,8 +144,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, t
     and ``n_dropped`` are added, or replace columns of these names. A null or empty text is one empty
     line and comes back empty. Repeated rows count as documents of their own. An empty table gives none.
     """
-    if not 1 <= min_docs <= 255:
-        raise ValueError("min_docs must be from 1 to 255")
+    if not 1 <= min_docs <= 65_535:
+        raise ValueError("min_docs must be from 1 to 65,535")
     docs = docs.drop("n_lines", "n_dropped")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     index = line_index(docs, text_col, min_docs, min_chars)
@@ -162,17 +163,23 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, t
 
 
 def _drop_sharded(docs: DataFrame, index: DataFrame, schema: T.StructType, text_col: str, min_docs: int, min_chars: int, shards: int) -> DataFrame:
-    """The way for an index that is too large to be sent to every executor."""
-    row = F.xxhash64(*[c for c in docs.columns if docs.schema[c].dataType.simpleString()[:3] != "map"]).alias("__row")
+    """The way for an index that is too large to be sent to every executor.
+
+    Rows are known by 128 bits of their text, so equal texts are probed and answered once.
+    """
+    known, lost_col = free_name(docs, "row"), free_name(docs, "lost")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    row = F.struct(F.xxhash64(text).alias("x"), F.xxhash64(F.lit(1), text).alias("y"))
     spread = index.select("shard", F.greatest(F.lit(1), F.ceil(F.col("probes") / SHARD_PROBES)).cast("int").alias("copies"))
-    probes = _keys(docs, text_col, min_chars, row).withColumn("shard", F.pmod("a", F.lit(shards)).cast("int"))
-    probes = lookup(probes, cut(spread), ["shard"], "inner").select("shard", F.pmod(F.xxhash64("__row", "a"), F.col("copies")).cast("int").alias("copy"), "__row", "a", "b", F.lit(None).cast("binary").alias("blob"))
-    blobs = index.join(spread, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(None).cast("long").alias("__row"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "blob")
+    probes = _keys(docs, text_col, min_chars, row.alias("row")).withColumn("shard", F.pmod("a", F.lit(shards)).cast("int")).distinct()
+    probes = lookup(probes, cut(spread), ["shard"], "inner").select("shard", F.pmod(F.xxhash64("row", "a"), F.col("copies")).cast("int").alias("copy"), "row", "a", "b", F.lit(None).cast("binary").alias("blob"))
+    none = lambda t: F.lit(None).cast(t)
+    blobs = index.join(spread, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), none("struct<x:long,y:long>").alias("row"), none("long").alias("a"), none("long").alias("b"), "blob")
     meeting = probes.unionByName(blobs).repartition("shard", "copy").sortWithinPartitions("shard", "copy", F.col("blob").isNull())
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
-        for batch in slices(batches, 65_536):
+        for batch in slices(batches, 65_536, 1 << 30):
             blob, at = batch.column(5), 0
             heads = np.flatnonzero(blob.is_valid().to_numpy(zero_copy_only=False)).tolist()
             for end in [*heads, batch.num_rows]:
@@ -180,16 +187,18 @@ def _drop_sharded(docs: DataFrame, index: DataFrame, schema: T.StructType, text_
                     part = batch.slice(at, end - at)
                     a, b = (part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 4))
                     goes = pa.array(own.get(a.view(np.uint64), b.view(np.uint64)) >= min_docs)
-                    yield pa.RecordBatch.from_arrays([part.column(2).filter(goes), pa.array(a).filter(goes)], names=["__row", "a"])
+                    yield pa.RecordBatch.from_arrays([part.column(2).filter(goes), pa.array(a).filter(goes), pa.array(b).filter(goes)], names=["row", "a", "b"])
                 if end < batch.num_rows:
                     own, at = Index(blob[end].as_py()), end + 1
 
-    lost = arrow_map(meeting, answer, "__row long, a long").groupBy("__row").agg(F.collect_set("a").alias("__lost"))
-    joined = docs.withColumn("__row", row).join(lost, "__row", "left").drop("__row")
+    lost = arrow_map(meeting, answer, "row struct<x:long,y:long>, a long, b long")
+    lost = cut(lost.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("lost")).select(F.col("row").alias(known), F.col("lost").alias(lost_col)))
+    entries = lost.agg(F.coalesce(F.sum(F.size(lost_col)), F.lit(0))).first()[0]  # the lists' size decides on the broadcast
+    joined = lookup(docs.withColumn(known, row), lost, [known], rows=entries).drop(known)
 
     def flags(batch, digests, source):
-        gone = [set(x or ()) for x in batch.column(batch.schema.get_field_index("__lost")).to_pylist()]
-        a, _ = _halves(digests)
-        return [x in gone[i] for x, i in zip(a.view(np.int64).tolist(), source)]
+        gone = [{(x["a"], x["b"]) for x in own or ()} for own in batch.column(batch.schema.get_field_index(lost_col)).to_pylist()]
+        a, b = _halves(digests)
+        return [x in gone[i] for x, i in zip(zip(a.view(np.int64).tolist(), b.view(np.int64).tolist()), source)]
 
     return arrow_map(joined, _dropping(schema, text_col, min_chars, flags), schema)

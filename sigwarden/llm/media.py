@@ -2,7 +2,8 @@
 
 A document is HTML. Parsing gives its ordered segments: text, or a reference to a stored medium by the
 SHA-256 of its stored form, with the caption. A store is a table (digest, media). References are joined
-to it by digest; segments keep their document, position and caption, so the sequence stays aligned.
+to it by digest, and what they find is put back into the sequence by digest too, so segments keep
+their position and caption and no page is lost, merged or reordered.
 
 A payload is stored as an 8-bit grey image (binary PGM) of 64 samples a row, its byte count before
 padding in a comment line. The form is lossless and self-describing.
@@ -117,24 +118,26 @@ def segments_of(html: str | None) -> list[dict]:
 
 def parse_documents(pages: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:
     """One row for each page: the id and ``segments`` in document order. Null or empty HTML has none; broken
-    HTML is read as far as it can be; a reference without the digest scheme is not a segment."""
-    rows = pages.select(F.col(id_col).alias("__id"), F.col(html_col).cast("string").alias("html"))
+    HTML is read as far as it can be; a reference without the digest scheme is not a segment. Repeated rows are
+    parsed each; an empty table gives none."""
+    rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("html"))
     kind = pa.list_(pa.struct([("position", pa.int32()), *[(k, pa.string()) for k in ("kind", "text", "digest", "caption")]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [segments_of(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["__id", "segments"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["id", "segments"])
 
-    return arrow_map(rows, run, f"__id {rows.schema['__id'].dataType.simpleString()}, segments {SEGMENTS}").withColumnRenamed("__id", id_col)
+    return arrow_map(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, segments {SEGMENTS}").withColumnRenamed("id", id_col)
 
 
-def publish_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
-    """Stores each text's UTF-8 as a medium and writes a page that refers to it.
+def publish_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Stores each text's UTF-8 as a medium and writes a page that refers to it: the tables (id, html) and (digest, media).
 
-    The table (id, html, digest, media) is written as Parquet to ``folder``, by default a new one below the
-    session's checkpoint folder, and read back; each text is written once and never shuffled. A null
-    text is stored as an empty payload, which is 64 zeros.
+    Both are read back from one Parquet table in ``folder``, by default a new one below the session's checkpoint
+    folder. A task stores a medium where it first meets it, so a text is stored once a task at most, however
+    many rows repeat it, and no text is shuffled. A null text is stored as an empty payload, which is 64 zeros.
+    Every row has a page, repeated rows too; an empty table gives two empty ones.
     """
     folder = folder or f"{checkpoint_folder(docs.sparkSession)}/media-{uuid.uuid4().hex}"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -142,19 +145,30 @@ def publish_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
+        known: set[bytes] = set()
         for batch in slices(batches):
             stored = [store_bytes(x or b"") for x in as_bytes(batch.column(1))]
-            digests = [hashlib.sha256(x).hexdigest() for x in stored]
-            html = [f'<article><p>{escape(str(i))}</p><figure><img src="{SCHEME}{d}" alt="payload"><figcaption>{len(s)} bytes of {escape(str(i))}</figcaption></figure></article>' for i, d, s in zip(batch.column(0).to_pylist(), digests, stored)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(html), pa.array(digests), pa.array(stored, pa.binary())], names=["id", "html", "digest", "media"])
+            digests = [hashlib.sha256(x) for x in stored]
+            new = []
+            for d in digests:
+                new.append(d.digest() not in known)
+                known.add(d.digest())
+            html = [
+                f'<article><p>{escape(str(i))}</p><figure><img src="{SCHEME}{d.hexdigest()}" alt="payload"><figcaption>{len(s)} bytes of {escape(str(i))}</figcaption></figure></article>'
+                for i, d, s in zip(batch.column(0).to_pylist(), digests, stored)
+            ]
+            media = [x if first else None for x, first in zip(stored, new)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(html), pa.array([d.hexdigest() for d in digests]), pa.array(media, pa.binary())], names=["id", "html", "digest", "media"])
 
     out = arrow_map(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, html string, digest string, media binary")
     out.write.option("compression", "zstd").parquet(folder)
-    return docs.sparkSession.read.parquet(folder).withColumnRenamed("id", id_col)
+    held = docs.sparkSession.read.schema(out.schema).parquet(folder)
+    return held.select(F.col("id").alias(id_col), "html"), held.filter(F.col("media").isNotNull()).select("digest", "media")
 
 
 def load_media(store: DataFrame) -> DataFrame:
-    """Decodes (digest, media): adds ``n_bytes`` (unpadded), ``payload`` and ``feature``. A null medium gives nulls."""
+    """Decodes (digest, media): adds ``n_bytes`` (unpadded), ``payload`` and ``feature``. A null medium gives nulls.
+    Repeated rows are decoded each; ``one_a_digest`` collapses them."""
     rows = store.select("digest", "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,22 +184,28 @@ def load_media(store: DataFrame) -> DataFrame:
     return arrow_map(rows, run, "digest string, media binary, n_bytes long, payload binary, feature string")
 
 
-def references(parsed: DataFrame, id_col: str) -> DataFrame:
-    """A row for each media segment: id, position, digest, caption."""
-    return parsed.select(id_col, F.explode(F.filter("segments", lambda s: s["kind"] == "media")).alias("s")).select(id_col, "s.position", "s.digest", "s.caption")
+def one_a_digest(store: DataFrame) -> DataFrame:
+    """A row for each digest of ``store``, computed and kept. Rows of one digest hold equal columns, but for nulls of
+    media that could not be read; select the columns that are wanted first, since only those are shuffled."""
+    found = [c for c in store.columns if c != "digest"]
+    return cut(store.groupBy("digest").agg(*[F.max(c).alias(c) for c in found]))
 
 
-def resolve(refs: DataFrame, store: DataFrame) -> DataFrame:
-    """Joins references to ``store``, which may repeat a digest with equal columns. A digest that the store
-    lacks keeps its row, with nulls. Only the columns asked for are shuffled, so select those first;
-    the copies of a hot digest collapse before the shuffle, and its references can be split."""
-    return lookup(refs, cut(store.distinct()), ["digest"])
+def interleave(parsed: DataFrame, store: DataFrame, id_col: str) -> DataFrame:
+    """Resolves references and puts what they find into the sequences: a row for each row of ``parsed``, with
+    ``segments`` in order, each with a ``media`` struct of the other columns of ``store`` (see ``one_a_digest``).
 
-
-def interleave(parsed: DataFrame, resolved: DataFrame, id_col: str) -> DataFrame:
-    """Puts resolved columns back into the sequences: one row for each page with ``segments`` in order, each with a
-    ``media`` struct of the columns that ``resolve`` added (null for text)."""
-    added = [c for c in resolved.columns if c not in (id_col, "position", "digest", "caption")]
-    flat = parsed.select(F.col(id_col), F.explode("segments").alias("s")).select(id_col, "s.*")
-    both = flat.join(resolved.select(id_col, "position", F.struct(*added).alias("media")), [id_col, "position"], "left")
-    return both.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("position", "kind", "text", "digest", "caption", "media"))).alias("segments"))
+    ``media`` is null for text and for a digest that the store lacks. A page that repeats, has a null id or has no
+    segment keeps all its rows. Pages meet their media as one map of the page's different digests; pages without
+    references are not sent there. The first join has one row for each (page, digest); in both a hot key can be split.
+    """
+    found = F.struct(*[c for c in store.columns if c != "digest"])
+    digests = F.array_distinct(F.filter(F.transform("segments", lambda s: s["digest"]), lambda d: d.isNotNull()))
+    # Pages of the same references share what is found for them, so the list of digests is itself the key.
+    keyed = parsed.select(F.col(id_col).alias("id"), "segments", F.when(F.size(digests) > 0, F.sha2(F.array_join(digests, " "), 256)).alias("page"))
+    wanted = keyed.filter("page is not null").select("page", F.explode(F.array_distinct(F.filter(F.transform("segments", lambda s: s["digest"]), lambda d: d.isNotNull()))).alias("digest")).distinct()
+    resolved = lookup(wanted, store.select("digest", found.alias("media")), ["digest"], "inner")
+    maps = cut(resolved.groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("digest", "media"))).alias("found")))
+    media = lambda s: F.when(s["digest"].isNotNull() & F.col("found").isNotNull(), F.try_element_at("found", s["digest"]))
+    fields = lambda s: F.struct(*[s[c].alias(c) for c in ("position", "kind", "text", "digest", "caption")], media(s).alias("media"))
+    return lookup(keyed, maps, ["page"]).select(F.col("id").alias(id_col), F.transform("segments", fields).alias("segments"))

@@ -23,7 +23,7 @@ def _fingerprint(b: np.ndarray) -> np.ndarray:
 
 
 def build(a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> bytes:
-    """The index of the different keys (a, b), two uint64 halves each; counts must fit uint8."""
+    """The index of the different keys (a, b), two uint64 halves each; counts must fit uint16."""
     left, sizes, words, found, values = np.arange(len(a)), [], [], [], []
     while len(left) and len(sizes) < LEVELS:
         bits = max(64, int(np.ceil(GAMMA * len(left) / 64)) * 64)
@@ -37,7 +37,7 @@ def build(a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> bytes:
         left = left[~alone]
     order = np.concatenate([*found, left]).astype(np.int64) if len(a) else np.zeros(0, np.int64)
     head = np.array([len(a), len(left), len(sizes), *sizes], np.int64)
-    values = [a[left].astype(np.uint64), b[left].astype(np.uint64), *words, _fingerprint(b[order]), counts[order].astype(np.uint8)]
+    values = [a[left].astype(np.uint64), b[left].astype(np.uint64), *words, _fingerprint(b[order]), counts[order].astype(np.uint16)]
     return head.tobytes() + b"".join(x.tobytes() for x in values)
 
 
@@ -59,7 +59,7 @@ class Index:
             rank += int(ones.sum())
             at += bits // 8
         self.fingerprints = np.frombuffer(blob, np.uint16, n, at)
-        self.counts = np.frombuffer(blob, np.uint8, n, at + 2 * n)
+        self.counts = np.frombuffer(blob, np.uint16, n, at + 2 * n)
 
     def get(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The counts of the keys; 0 where the fingerprint tells that a key is none of the index."""
@@ -78,7 +78,7 @@ class Index:
         if self.spare:
             for i in left.tolist():
                 slot[i] = self.spare.get((int(a[i]), int(b[i])), -1)
-        out = np.zeros(len(a), np.uint8)
+        out = np.zeros(len(a), np.uint16)
         ok = np.flatnonzero(slot >= 0)
         ok = ok[self.fingerprints[slot[ok]] == _fingerprint(b[ok])]
         out[ok] = self.counts[slot[ok]]

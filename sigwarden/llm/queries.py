@@ -18,10 +18,8 @@ URL_RULES = (
     ("allow", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: A page is labelled bad if runs of three junk symbols make up over this share of it.
-JUNK_RUN, JUNK_SHARE = r"[*#$%]{3}", 0.02
-#: A host is blocked if it is this sure (see url_filter) that over 1 in 20 of its pages is bad.
-BAD_LIMIT = 0.05
+#: A host is blocked if it is this sure (see url_filter) that over 1 in 5 of its pages is bad.
+BAD_LIMIT = 0.2
 
 
 #: The tokenizer file; a parameter of the operator, not part of the repository.
@@ -33,8 +31,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    published = media.publish_texts(table(spark, sf_dir, "documents"))
-    store = media.load_media(published).select(
+    pages, stored = media.publish_texts(table(spark, sf_dir, "documents"))
+    store = media.load_media(stored).select(
         "digest",
         "n_bytes",
         F.length("payload").cast("long").alias("payload_bytes"),
@@ -44,12 +42,13 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
     )
-    refs = media.references(media.parse_documents(published, "doc_id"), "doc_id")
-    return media.resolve(refs, store).drop("digest")
+    sequences = media.interleave(media.parse_documents(pages, "doc_id"), media.one_a_digest(store), "doc_id")
+    segment = F.explode(F.filter("segments", lambda s: s["kind"] == "media")).alias("s")
+    return sequences.select("doc_id", segment).select("doc_id", "s.position", "s.caption", "s.media.*")
 
 
 #: Bytes of text that a shard may hold.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 256 << 10
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,14 +60,22 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def _texts_with_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, which have a source, and all pages, which have an address and declare a language in their markup."""
+    documents, html = table(spark, sf_dir, "documents"), F.col("html")
+    tag = F.regexp_extract(html, r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z-]+)", 1)
+    pages = table(spark, sf_dir, "pages").select(F.lit(None).cast("long").alias("doc_id"), "page_id", url_filter.visible_text(html).alias("text"), tag.alias("declared"), url_filter.host_of(F.col("url")).alias("host"))
+    return documents.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.lit("").alias("declared"), F.col("source").alias("host")).unionByName(pages)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    found = language_id.identify(docs, language_id.fit(docs), declared=F.col("lang"), host=F.col("source"))
-    return found.select("doc_id", F.col("lang").alias("declared"), "language", F.round("posterior", 4).alias("posterior"), F.col("accepted").alias("kept"))
+    model = language_id.fit(table(spark, sf_dir, "documents").select("text", "lang"))
+    found = language_id.judge(_texts_with_evidence(spark, sf_dir), model, ["doc_id", "page_id", "declared", "host"], declared=F.col("declared"), host=F.col("host"))
+    return found.select("doc_id", "page_id", "declared", "host", "language", F.round("posterior", 4).alias("posterior"), F.col("accepted").alias("kept"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = mixing.with_shares(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), weights=(5, 2, 1), share=1.5, most=2.0, seed=17)
+    shared = mixing.with_shares(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), weights=(5, 2, 1), share=1.5, most=2.0, seed=17, keep_text=False)
     return shared.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), mixing.taken_words().alias("taken"))
 
 
@@ -80,10 +87,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = F.col("html")
-    junk = F.length(html) - F.length(F.regexp_replace(html, JUNK_RUN, ""))
-    bad = F.when(F.length(html) > 0, (junk > JUNK_SHARE * F.length(html)).cast("int"))
-    return url_filter.filter_urls(table(spark, sf_dir, "pages"), bad, URL_RULES, BAD_LIMIT).select("page_id", "host", "path", "rule", "verdict")
+    """Pages have no labels, so documents labelled by quality give the two classes of text that label pages."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = url_filter.outcome_model(documents.join(labels, "doc_id"), F.col("text"), 1 - F.col("quality"))
+    bad = url_filter.bad_page(url_filter.visible_text(F.col("html")), model)
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), bad, URL_RULES, BAD_LIMIT).select("page_id", "host", "path", "rule", "verdict", "rate", "lower")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,31 +129,52 @@ _RULE_SQL = "CASE {cases} END".format(
     )
 )
 
-_LEVEL_SQL = """SELECT {up} n, bad, least(greatest(CASE WHEN k > 1 AND free > 0 AND var > 0 THEN mean * (1 - mean) / var - 1 ELSE 1000.0 END, 2.0), 1000.0) AS m
-FROM (SELECT *, (q - n * mean * mean - (k - 1) * mean * (1 - mean)) / nullif(free, 0) AS var
-  FROM (SELECT {up} sum(n) AS n, sum(bad) AS bad, count(*) FILTER (n > 0) AS k, coalesce(sum(bad * bad / n) FILTER (n > 0), 0.0) AS q,
-      CASE WHEN sum(n) > 0 THEN sum(bad) / sum(n) ELSE 0.0 END AS mean, sum(n) - sum(n * n) / nullif(sum(n), 0) AS free FROM {below} {group}))"""
+_LEVEL_SQL = """SELECT {up} n, bad, greatest((known + {c}::DOUBLE) / (known * least(greatest(coalesce(var / nullif(mean * (1 - mean), 0), 0.0), 0.0), 1.0) + {c}::DOUBLE / ({p}::DOUBLE + 1)) - 1, 1.0) AS m
+FROM (SELECT *, CASE WHEN mean * (1 - mean) > 0 AND var IS NOT NULL THEN greatest(coalesce(informed, 0.0) - 1, 0.0) ELSE 0.0 END AS known
+  FROM (SELECT *, (q - n * mean * mean - (k - 1) * mean * (1 - mean)) / nullif(n - nn / nullif(n, 0), 0) AS var
+    FROM (SELECT {up} sum(n) AS n, sum(bad) AS bad, count(*) FILTER (n > 0) AS k, coalesce(sum(bad * bad / n) FILTER (n > 0), 0.0) AS q, sum(1 - 1 / n) FILTER (n > 0) AS informed,
+        coalesce(sum(bad) / nullif(sum(n), 0), 0.0) AS mean, sum(n * n) AS nn FROM {below} {group})))"""
+
+
+def _level_sql(up: str, below: str, group: str) -> str:
+    return _LEVEL_SQL.format(up=up, below=below, group=group, c=url_filter.WEAK_CHILDREN, p=url_filter.WEAK_PAGES)
+
+
+_LIST_SQL = ", ".join(f"'{x}'" for x in url_filter.SUFFIXES)
+_FEATURES_SQL = r"""CASE WHEN len(ws) > 0 THEN (length(t) - length(regexp_replace(t, '\pL+', '', 'g'))) / length(t)::DOUBLE END AS f0, CASE WHEN len(ws) > 0 THEN (length(t) - length(regexp_replace(t, '[^\pL\pN\x20\x09-\x0D]+', '', 'g'))) / length(t)::DOUBLE END AS f1,
+  CASE WHEN len(ws) > 0 THEN len(list_distinct(ws)) / len(ws)::DOUBLE END AS f2"""
+_WORDS_SQL = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws"
+
+
+def _class_sql(k: int) -> str:
+    return f"ln(n{k} / (n0 + n1)) + " + " + ".join(f"(-0.5::DOUBLE * ln(v{k}{i}) - (f{i} - m{k}{i}) * (f{i} - m{k}{i}) / (2 * v{k}{i}))" for i in range(3))
+
+
+_MODEL_SQL = ", ".join(f"count(*) FILTER (bad = {k})::DOUBLE AS n{k}, " + ", ".join(f"avg(f{i}) FILTER (bad = {k}) AS m{k}{i}, var_pop(f{i}) FILTER (bad = {k}) + {url_filter.VARIANCE_FLOOR}::DOUBLE AS v{k}{i}" for i in range(3)) for k in (0, 1))
+_SHRUNK_SQL = "({x}.bad + {u}.m * {u}.rate) / ({x}.n + {u}.m) AS rate, {x}.n + {u}.m AS total, pow({u}.m / ({x}.n + {u}.m), 2) * {u}.var AS above"
 
 OP8_SQL = f"""
-WITH p AS (
-  SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
-    CASE WHEN length(html) > 0 THEN (length(html) - length(regexp_replace(html, '{JUNK_RUN}', '', 'g')) > {JUNK_SHARE} * length(html))::INT END AS bad FROM pages),
-q AS (SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, bad FROM p),
-hosts AS (SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix,
-  count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM q GROUP BY host),
-d AS ({_LEVEL_SQL.format(up="domain,", below="hosts", group="GROUP BY domain")}),
-d2 AS (SELECT *, string_split(domain, '.')[-1] AS suffix FROM d),
-s AS ({_LEVEL_SQL.format(up="suffix,", below="d2", group="GROUP BY suffix")}),
-r AS ({_LEVEL_SQL.format(up="", below="s", group="")}),
-top AS (SELECT CASE WHEN n > 0 THEN bad / n ELSE 0.0 END AS rate, m FROM r),
-sr AS (SELECT suffix, s.m, (bad + top.m * top.rate) / (n + top.m) AS rate FROM s, top),
-dr AS (SELECT domain, d2.m, (bad + sr.m * sr.rate) / (n + sr.m) AS rate FROM d2 JOIN sr USING (suffix)),
-hr AS (SELECT host, (bad + dr.m * dr.rate) / (n + dr.m) AS rate, n + dr.m AS total FROM hosts JOIN dr USING (domain)),
-j AS (SELECT host, rate - 1.64 * sqrt(rate * (1 - rate) / (total + 1)) > {BAD_LIMIT} AS over FROM hr),
-v AS (SELECT page_id, q.host, path, {_RULE_SQL} AS found, over FROM q JOIN j USING (host))
+WITH lf AS (SELECT 1 - quality AS bad, {_FEATURES_SQL} FROM (SELECT quality, text AS t, {_WORDS_SQL.replace("(t,", "(text,")} FROM documents JOIN labels USING (doc_id))),
+model AS (SELECT {_MODEL_SQL} FROM lf WHERE bad IN (0, 1) AND f0 IS NOT NULL),
+p AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+q AS (SELECT page_id, host, path, CASE WHEN f0 IS NOT NULL AND n0 > 0 AND n1 > 0 THEN ({_class_sql(1)} > {_class_sql(0)})::INT END AS bad
+  FROM (SELECT page_id, host, path, {_FEATURES_SQL} FROM (SELECT *, {_WORDS_SQL} FROM p)), model),
+hosts AS (SELECT host, CASE WHEN two IN ({_LIST_SQL}) THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') ELSE two END AS domain,
+  n, bad FROM (SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS two, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM q GROUP BY host)),
+d AS ({_level_sql(up="domain,", below="hosts", group="GROUP BY domain")}),
+d2 AS (SELECT *, CASE WHEN two IN ({_LIST_SQL}) THEN two ELSE string_split(domain, '.')[-1] END AS suffix FROM (SELECT *, array_to_string(list_slice(string_split(domain, '.'), -2, -1), '.') AS two FROM d)),
+s AS ({_level_sql(up="suffix,", below="d2", group="GROUP BY suffix")}),
+r AS ({_level_sql(up="", below="s", group="")}),
+top AS (SELECT m, rate, rate * (1 - rate) / (n + 1) AS var FROM (SELECT *, CASE WHEN n > 0 THEN bad / n ELSE 0.0 END AS rate FROM r)),
+sr AS (SELECT *, rate * (1 - rate) / (total + 1) + above AS var FROM (SELECT suffix, s.m, {_SHRUNK_SQL.format(x="s", u="top")} FROM s, top)),
+dr AS (SELECT *, rate * (1 - rate) / (total + 1) + above AS var FROM (SELECT domain, d2.m, {_SHRUNK_SQL.format(x="d2", u="sr")} FROM d2 JOIN sr USING (suffix))),
+j AS (SELECT host, rate, rate - 1.64::DOUBLE * sqrt(rate * (1 - rate) / (total + 1) + above) AS lower FROM (SELECT host, {_SHRUNK_SQL.format(x="hosts", u="dr")} FROM hosts JOIN dr USING (domain))),
+v AS (SELECT page_id, q.host, path, {_RULE_SQL} AS found, rate, lower FROM q JOIN j USING (host))
 SELECT page_id, host, path, regexp_replace(found, '^\\{{[a-z]+\\}}', '') AS rule,
-  coalesce(regexp_extract(found, '^\\{{([a-z]+)\\}}', 1), CASE WHEN over THEN 'block' ELSE 'allow' END) AS verdict FROM v
+  coalesce(regexp_extract(found, '^\\{{([a-z]+)\\}}', 1), CASE WHEN lower > {BAD_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, round(rate, 6) AS rate, round(lower, 6) AS lower FROM v
 """
 
 OP9_SQL = """

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_folder, cut  # noqa: F401
+
 #: A side is broadcast only after it was counted and has at most this many rows (of a few dozen bytes each).
 BROADCAST_ROWS = 200_000
 
@@ -26,21 +26,18 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a folder of our own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sigwarden-checkpoint-"))
-    return context.getCheckpointDir()
-
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes an intermediate folder of our own through the file system that Spark uses for it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once and writes it to the checkpoint folder that all executors share.
 
-    A lost executor costs no recomputation, and the files go when the result is no longer used.
-    """
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` has (names compare without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", rows: int | None = None) -> DataFrame:
@@ -54,26 +51,61 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
     return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
 
 
-#: Rows of an Arrow batch of documents; a worker and the JVM each hold a few batches.
-ARROW_ROWS = 1024
+def numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Adds ``name``: 0, 1, ... among the rows that are equal in ``by`` (null-safe), in no stated order.
+
+    Rows are numbered within their partition and moved on by the counts of the partitions before it, so a group,
+    however large, is never one task's work and no array of it is built.
+    """
+    at, before = free_name(rows, "partition_no"), free_name(rows, "rows_before")
+    held = cut(rows.withColumn(at, F.spark_partition_id()))
+    counts = held.groupBy(*by, at).agg(F.count(F.lit(1)).alias(name))
+    earlier = Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut(counts.select(*[F.col(c).alias(f"{before}_{c}") for c in (*by, at)], F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(before)))
+    own = held.withColumn(name, F.row_number().over(Window.partitionBy(*by, at).orderBy(F.lit(0))) - 1)
+    same = F.lit(True)
+    for c in (*by, at):
+        same = same & F.col(c).eqNullSafe(F.col(f"{before}_{c}"))
+    few = counts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return own.join(F.broadcast(counts) if few else counts, same).select(*rows.columns, (F.col(name) + F.col(before)).alias(name))
+
+
+#: Rows and bytes of an Arrow batch of documents; a worker and the JVM each hold a few batches.
+ARROW_ROWS, ARROW_BYTES = 1024, 64 << 20
 
 
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
-    """``mapInArrow`` with batches of at most ARROW_ROWS rows (a setting of the session, lowered if it is higher)."""
-    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
-        conf.set(name, str(ARROW_ROWS))
+    """``mapInArrow`` with batches of at most ARROW_ROWS rows and ARROW_BYTES bytes.
+
+    Both are settings of the session, which are read when the plan runs, so they stay: each is lowered if it is higher.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ARROW_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    limit = conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")
+    if not limit.isdigit() or not 0 < int(limit) <= ARROW_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return df.mapInArrow(run, schema)
 
 
-def slices(batches, rows: int = 512):
-    """Small slices of Arrow batches, so that only a few texts at a time become Python objects.
+#: Bytes of a slice of a batch: what becomes Python objects at once. One longer text is a slice of its own.
+SLICE_BYTES = 8 << 20
+
+
+def slices(batches, rows: int = 512, size: int = SLICE_BYTES):
+    """Slices of Arrow batches of at most ``rows`` rows and about ``size`` bytes, so that only a few texts at a time
+    become Python objects and no column of a result outgrows its 32-bit offsets.
 
     After the last one, memory that is free goes back to the system: workers are kept for later stages.
     """
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        at, large = 0, batch.nbytes > size
+        while at < batch.num_rows:
+            n = min(rows, batch.num_rows - at)
+            while large and n > 1 and batch.slice(at, n).nbytes > size:
+                n //= 2
+            yield batch.slice(at, n)
+            at += n
     release()
 
 

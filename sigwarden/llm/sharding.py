@@ -5,9 +5,9 @@ byte limit splits on its next bit, and only such a bucket does. A bucket's bytes
 parent's, so the shard of a document is its shortest prefix whose bytes fit the limit.
 
 Documents are summed to cells (prefixes STEP bits deeper than the last round's); a cell contributes to each of its
-own prefixes, which gives all buckets of a round in one aggregation. Cells still too large start the next
-round with their documents alone. What has used up all bits (one id's repeated rows, or a document over
-the limit) is cut by rows into overflow shards.
+own prefixes, which gives all buckets of a round in one aggregation. Each cell then has its bucket, or is still too
+large and starts the next round with its documents alone: a round is one lookup of the rows still under way. What
+has used up all bits (one id's repeated rows, or a document over the limit) is cut by rows into overflow shards.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut, lookup
+from .runtime import BROADCAST_ROWS, cut, free_name, lookup, numbered
 
 BITS, STEP = 60, 10
 
@@ -25,36 +25,54 @@ def hash_of(row_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(row_id.cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long")
 
 
-def _prefix(h: Column, depth: int | Column) -> Column:
-    return F.shiftright(h, BITS - depth) if isinstance(depth, int) else F.expr(f"shiftright(h, {BITS} - depth)")
+def _name(depth: Column, prefix: Column) -> Column:
+    return F.when(depth == 0, "").otherwise(F.lpad(F.bin(prefix), depth, F.lit("0")))
 
 
-def directory(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Of (h, bytes): the buckets that are left (depth, prefix, bytes, docs), and of those, at the full depth, the ones over the limit.
+def _placed(rows: DataFrame, limit: int) -> DataFrame:
+    """Of (h, bytes, ...): adds depth, shard, shard_bytes and shard_docs. Only buckets of depth BITS may be over the limit.
 
-    Each round costs one aggregation of the rows that are still in large cells to at most 2**STEP cells a
-    large cell, then aggregations of cells only.
+    A round costs one aggregation of the rows under way to at most 2**STEP cells a large cell, aggregations of
+    cells, and one join of the rows to their cells.
     """
-    spark = rows.sparkSession
-    leaves = spark.createDataFrame([], "depth int, prefix long, bytes long, docs long")
-    active, top = rows.select("h", "bytes"), 0
+    active, top, done = rows, 0, []
     while True:
         deep = min(top + STEP, BITS)
-        cells = cut(active.groupBy(_prefix(F.col("h"), deep).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("docs")))
+        cell = F.shiftright("h", BITS - deep)
+        cells = cut(active.groupBy(cell.alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("docs")))
         at = F.explode(F.sequence(F.lit(top), F.lit(deep))).alias("depth")
-        buckets = cells.select("cell", "bytes", "docs", at).groupBy("depth", F.expr(f"shiftright(cell, {deep} - depth)").alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.sum("docs").alias("docs"))
-        buckets = cut(buckets)
-        parents = buckets.filter(F.col("bytes") > limit).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"))
-        # At the first depth of a round every bucket is one that had to be split.
-        split = buckets.withColumn("parent", F.shiftright("prefix", 1)).join(parents, ["depth", "parent"], "left_semi").drop("parent")
-        reached = split.unionByName(buckets.filter(F.col("depth") == 0)) if top == 0 else split
-        fits = (F.col("bytes") <= limit) | (F.col("depth") == BITS)
-        leaves = leaves.unionByName(reached.filter(fits).select("depth", "prefix", "bytes", "docs"))
-        large = cut(buckets.filter((F.col("depth") == deep) & (F.col("bytes") > limit)).select("prefix", "bytes"))
-        if deep == BITS or not large.limit(1).count():
-            return cut(leaves), large.filter(F.lit(deep == BITS))
-        active = cut(lookup(active.withColumn("prefix", _prefix(F.col("h"), deep)), large.select("prefix"), ["prefix"], "left_semi").select("h", "bytes"))
-        top = deep
+        above = cells.select("cell", "bytes", "docs", at).withColumn("prefix", F.expr(f"shiftright(cell, {deep} - depth)"))
+        buckets = above.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("docs").alias("shard_docs"))
+        # A cell's bucket is the first on its way down that fits; at the first depth of a later round none does.
+        fits = ((F.col("shard_bytes") <= limit) & (F.lit(top == 0) | (F.col("depth") > top))) | (F.col("depth") == BITS)
+        first = lookup(above.select("cell", "depth", "prefix"), cut(buckets.filter(fits)), ["depth", "prefix"], "inner")
+        first = first.groupBy("cell").agg(F.min_by(F.struct("depth", "prefix", "shard_bytes", "shard_docs"), "depth").alias("b"))
+        entries = cut(lookup(cells.select("cell"), cut(first), ["cell"]).select("cell", "b.*"))
+        found = lookup(active.withColumn("cell", cell), entries, ["cell"], "inner").drop("cell")
+        placed = found.filter("depth is not null").select(*rows.columns, "depth", _name(F.col("depth"), F.col("prefix")).alias("shard"), "shard_bytes", "shard_docs")
+        done.append(placed)
+        if not entries.filter("depth is null").limit(1).count():
+            break
+        active, top = cut(found.filter("depth is null").select(*rows.columns)), deep
+    out = done[0]
+    for placed in done[1:]:
+        out = out.unionByName(placed)
+    return out
+
+
+def _overflow(rows: DataFrame, limit: int) -> DataFrame:
+    """Cuts placed rows that share all bits: rows of equal size and hash are numbered, and each such group has shards of its own."""
+    held = numbered(rows, ["shard", "bytes"], "copy")
+    sizes = cut(held.groupBy("shard", "bytes").agg(F.count(F.lit(1)).alias("copies")))
+    each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("bytes"), F.lit(1)))).cast("long")
+    part = F.floor(F.col("copy") / each).cast("long")
+    docs = F.least(each, F.col("copies") - part * each)
+    name = F.concat("shard", F.lit("+"), F.col("bytes").cast("string"), F.lit("."), part.cast("string"))
+    return lookup(held, sizes, ["shard", "bytes"], "inner").select(*[c for c in rows.columns if c not in ("shard", "shard_bytes", "shard_docs")], name.alias("shard"), (docs * F.col("bytes")).alias("shard_bytes"), docs.alias("shard_docs"))
+
+
+def _bytes(text_col: str) -> Column:
+    return F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
 
 
 def assign_shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,35 +80,38 @@ def assign_shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col:
 
     ``bytes`` is the text's UTF-8 length (null: 0). ``shard`` is the bucket's prefix as binary digits, empty for a
     directory of one bucket. No shard is over ``limit`` bytes unless it is one document that is. Rows that repeat
-    an id share all 60 bits; if together they are over the limit they are numbered by size and cut into overflow
-    shards named ``prefix+size.0``, ``prefix+size.1``, ...; equal rows are interchangeable there. An empty table gives none.
+    an id share all 60 bits; if together they are over the limit, those of one size are numbered and cut into overflow
+    shards named ``prefix+size.0``, ``prefix+size.1``, ... An empty table gives none.
     """
-    rows = cut(docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"), hash_of(F.col(id_col)).alias("h")))
-    leaves, full = directory(rows, limit)
-    depths = sorted(r["depth"] for r in leaves.select("depth").distinct().collect())
-    keys = rows.select("id", "bytes", "h")
-    # The depths in use are at most 61; a row's own leaf is the one of its prefixes that is in the directory.
-    candidates = keys.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths]))) if depths else keys.withColumn("depth", F.lit(0))
-    candidates = candidates.withColumn("prefix", _prefix(F.col("h"), F.col("depth")))
-    found = lookup(candidates, leaves.withColumnsRenamed({"bytes": "shard_bytes", "docs": "shard_docs"}), ["depth", "prefix"], "inner")
-    name = F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
-    fits = found.select("id", "bytes", name.alias("shard"), "depth", "shard_bytes", "shard_docs")
-    if not full.limit(1).count():
-        return fits.withColumnRenamed("id", id_col)
-    return fits.filter(F.col("shard_bytes") <= limit).unionByName(_overflow(fits.filter(F.col("shard_bytes") > limit), limit)).withColumnRenamed("id", id_col)
+    rows = cut(docs.select(F.col(id_col).alias("id"), _bytes(text_col).alias("bytes"), hash_of(F.col(id_col)).alias("h")))
+    placed = _placed(rows, limit)
+    over = placed.filter(F.col("shard_bytes") > limit)
+    out = placed.filter(F.col("shard_bytes") <= limit).unionByName(_overflow(over, limit)) if over.limit(1).count() else placed
+    return out.select(F.col("id").alias(id_col), "bytes", "shard", "depth", "shard_bytes", "shard_docs")
 
 
-def _overflow(rows: DataFrame, limit: int) -> DataFrame:
-    """Cuts rows that share all bits: equal rows are counted, their number is spread over shards of equal size, and each
-    different (id, size) has shards of its own."""
-    counted = rows.groupBy("id", "bytes", "shard", "depth").agg(F.count(F.lit(1)).alias("n"))
-    each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("bytes"), F.lit(1)))).cast("long")
-    one = counted.withColumn("each", each).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    part = F.floor(F.col("k") / F.col("each")).cast("long")
-    size = F.least("each", F.col("n") - part * F.col("each"))
-    return one.select("id", "bytes", F.concat("shard", F.lit("+"), F.col("bytes").cast("string"), F.lit("."), part.cast("string")).alias("shard"), "depth", (size * F.col("bytes")).alias("shard_bytes"), size.alias("shard_docs"))
+def write_shards(docs: DataFrame, limit: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes every row of ``docs``, once and with all its columns, below ``path/shard=<name>``; each shard is written by
+    one task. Rows with a null or a repeated id are rows like others; a column named shard is an error. An empty table
+    writes no shard.
 
-
-def write_shards(docs: DataFrame, shards: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Writes every document below ``path/shard=<name>``; each shard is written by one task."""
-    docs.join(shards.select(id_col, "shard").distinct(), id_col).repartition("shard").write.partitionBy("shard").parquet(path)
+    The directory is looked up by hash: one shuffle brings the texts to their hashes' entries if these are too many to
+    be broadcast, and one brings them to their shards.
+    """
+    if "shard" in [c.lower() for c in docs.columns]:
+        raise ValueError("rename the column shard")
+    h, size = free_name(docs, "h"), free_name(docs, "bytes")
+    narrow = cut(docs.select(hash_of(F.col(id_col)).alias("h"), _bytes(text_col).alias("bytes")))
+    entries = cut(_placed(narrow, limit).select(F.col("h").alias(h), "shard", F.col("shard_bytes")).distinct())
+    over = entries.filter(F.col("shard_bytes") > limit)
+    wide = docs.withColumns({h: hash_of(F.col(id_col)), size: _bytes(text_col)})
+    plain = lookup(wide, entries.select(h, F.when(F.col("shard_bytes") <= limit, F.col("shard")).alias("shard")), [h], "inner")
+    out = plain.filter("shard is not null").select(*docs.columns, "shard")
+    n = over.limit(BROADCAST_ROWS + 1).count()
+    if n:
+        hot = over.select(h, F.col("shard"))
+        large = numbered(wide.join(F.broadcast(hot) if n <= BROADCAST_ROWS else hot, h), ["shard", size], free_name(wide, "copy"))
+        copy = large.columns[-1]
+        part = F.floor(F.col(copy) / F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col(size), F.lit(1)))).cast("long")).cast("long")
+        out = out.unionByName(large.select(*docs.columns, F.concat("shard", F.lit("+"), F.col(size).cast("string"), F.lit("."), part.cast("string")).alias("shard")))
+    out.repartition("shard").write.partitionBy("shard").parquet(path)

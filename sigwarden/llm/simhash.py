@@ -8,12 +8,16 @@ and of the next three, halved, at least one half. So each fingerprint has 8 * 2
 fingerprints with a key in common are candidates. A candidate's chain is followed from the key's segment
 on and dropped as soon as it is over its budget; what is left at l = SEGMENTS is within ``bits``.
 No pair within ``bits`` is lost, and there is no cap on a key's fingerprints.
+
+Keys are counted before anything is compared. A key of over BLOCK fingerprints is not gathered: its fingerprints get
+deeper keys from the rest of the ring, of whose bits + 2 pieces at least two agree, and meet only where a deeper key
+agrees too. Each deeper key is 14 bits longer (3 bits: 42 of 64), so a hot key falls into thousands of groups.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,29 +30,38 @@ from .runtime import BROADCAST_ROWS, arrow_map, as_bytes, cut, lookup, slices
 
 SEGMENTS = 8
 WIDTH = 64 // SEGMENTS
-#: Fingerprints of one key that are compared at once; a larger group is compared in pairs of such blocks.
+#: Fingerprints of one key that are compared at once. A larger group is split by deeper keys; what is larger even then
+#: (fingerprints that agree in over 40 bits) is compared in pairs of such blocks.
 BLOCK = 16_384
 #: Shingles whose bits are unpacked at once.
 SHINGLES = 65_536
 
 
-def fingerprint(text: bytes | None, words: int = 3) -> int:
-    """The SimHash of a text's shingles of ``words`` words: A-Z lower-cased, words between white space (U+0020,
-    U+0009-U+000D), joined by one space, repeats included; all words if there are fewer; 0 without any.
-    A bit is 1 if it is set in over half of the shingles' XXH64 values (seed 42)."""
+def shingle_hashes(text: bytes | None, words: int = 3) -> np.ndarray:
+    """XXH64 (seed 42) of a text's shingles of ``words`` words, repeats included: A-Z lower-cased, words between white
+    space (U+0020, U+0009-U+000D), joined by one space; all words if there are fewer; none without any."""
     found = (text or b"").lower().split()
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     size = min(words, len(found))
     joined = b" ".join(found)
     ends = list(accumulate(len(w) + 1 for w in found))
     starts = [0, *ends[: len(found) - size]]
     digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a : b - 1], 42) for a, b in zip(starts, ends[size - 1 :])), np.uint64, len(starts))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes; 0 of none."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, len(starts), SHINGLES):
-        h = np.array([digest(joined[a : b - 1], 42) for a, b in zip(starts[at : at + SHINGLES], ends[size - 1 + at :])], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(starts), bitorder="little").view(np.uint64)[0])
+    for at in range(0, len(hashes), SHINGLES):
+        counts += np.unpackbits(hashes[at : at + SHINGLES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes | None, words: int = 3) -> int:
+    """The SimHash of a text's shingles."""
+    return fingerprint_of(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -85,6 +98,26 @@ def chain_keys(fp: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
             yield 2 * start + part, (head << np.uint64(size)) | tail
 
 
+def _key_bits(bits: int) -> int:
+    """How many bits from the chain's start on the segments of ``chain_keys`` span."""
+    limit = budgets(bits)
+    exact, one = limit.count(0) * WIDTH, limit.count(1) * WIDTH
+    return exact + one if exact + one < 64 and one else exact
+
+
+def deep_keys(fp: np.ndarray, start: int, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each choice of two pieces of the ring beyond the key's segments: its number and the pieces' bits.
+
+    The rest of the ring is cut in ``bits`` + 2 pieces, and at most ``bits`` of them can differ, so two fingerprints
+    within ``bits`` agree in two pieces at least.
+    """
+    ring, first = _rotated(fp, start), _key_bits(bits)
+    ends = [first + (64 - first) * k // (bits + 2) for k in range(bits + 3)]
+    pieces = [(ring >> np.uint64(64 - hi)) & np.uint64((1 << (hi - lo)) - 1) for lo, hi in zip(ends, ends[1:])]
+    for number, (i, j) in enumerate(combinations(range(bits + 2), 2)):
+        yield number, (pieces[i] << np.uint64(ends[j + 1] - ends[j])) | pieces[j]
+
+
 def links_within(a: np.ndarray, b: np.ndarray, start: int, limit: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i in a, j in b) of the pairs whose chain from ``start`` keeps to all budgets."""
     ring_a, ring_b = _rotated(a, start), _rotated(b, start)
@@ -128,75 +161,86 @@ def _group_links(fp: np.ndarray, other: np.ndarray | None, start: int, limit: li
     return every[linked], every[label[linked]]
 
 
-_LINKS = "kind int, chain int, key long, block int, a long, b long"
+_GROUP = ["chain", "key", "deep", "part"]
+_KEYED = "chain int, key long, deep int, part long, fp long"
+_LINKS = "kind int, chain int, key long, deep int, part long, block int, a long, b long"
 
 
-def _emit(kind: int, chain: int, key: int, block: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+def _emit(kind: int, group: tuple, block: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     same = lambda x, t: pa.array(np.full(len(a), x, t))
-    return pa.RecordBatch.from_arrays([same(kind, np.int32), same(chain, np.int32), same(key, np.int64), same(block, np.int32), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["kind", "chain", "key", "block", "a", "b"])
-
+    chain, key, deep, part = group
+    columns = [same(kind, np.int32), same(chain, np.int32), same(key, np.int64), same(deep, np.int32), same(part, np.int64), same(block, np.int32), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", *_GROUP, "block", "a", "b"])
 
-def _links_of_keys(fps: DataFrame, bits: int) -> DataFrame:
-    """Kind 0: a link (a, b). Kind 1: a fingerprint a of a group over BLOCK, with its block, still to be compared
-    with the group's other blocks."""
-    limit = budgets(bits)
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keyed(fps: DataFrame, bits: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy().view(np.uint64)
+            zero = np.zeros(len(fp), np.int32)
             for chain, key in chain_keys(fp, bits):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), chain, np.int32)), pa.array(key.view(np.int64)), batch.column(0)], names=["chain", "key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(zero + np.int32(chain)), pa.array(key.view(np.int64)), pa.array(zero - 1), pa.array(zero.astype(np.int64)), batch.column(0)], names=[*_GROUP, "fp"])
+
+    return arrow_map(fps.select("fp"), run, _KEYED)
+
+
+def _deeper(keyed: DataFrame, bits: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chain, fp = batch.column(0).to_numpy(), batch.column(4).to_numpy().view(np.uint64)
+            for start in np.unique(chain // 2).tolist():
+                own = np.flatnonzero(chain // 2 == start)
+                some = batch.take(pa.array(own))
+                for number, part in deep_keys(fp[own], start, bits):
+                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(np.full(len(own), number, np.int32)), pa.array(part.view(np.int64)), some.column(4)], names=[*_GROUP, "fp"])
+
+    return arrow_map(keyed, run, _KEYED)
+
+
+def _compared(keyed: DataFrame, bits: int) -> DataFrame:
+    """Kind 0: a link (a, b). Kind 1: a fingerprint a of a group over BLOCK, with its block, still to be compared
+    with the group's other blocks."""
+    limit = budgets(bits)
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def group(chain: int, key: int, block: int, fp: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
-            a, b = _group_links(fp, None, chain // 2, limit)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compared(group: tuple, block: int, fp: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+            a, b = _group_links(fp, None, group[0] // 2, limit)
             if len(a):
-                yield _emit(0, chain, key, block, a, b)
+                yield _emit(0, group, block, a, b)
             if block or not last:
-                yield _emit(1, chain, key, block, fp, fp)
+                yield _emit(1, group, block, fp, fp)
 
-        rest, block = None, 0  # the group that may go on in the next batch; its blocks so far
+        group, block, rest = None, 0, np.zeros(0, np.uint64)  # the group that may go on in the next batch, and its blocks so far
         for batch in batches:
-            chain, key, fp = (batch.column(k).to_numpy() for k in range(3))
-            fp = fp.view(np.uint64)
-            edges = np.flatnonzero((chain[1:] != chain[:-1]) | (key[1:] != key[:-1])) + 1
-            bounds = [0, *edges.tolist(), len(fp)]
-            for n, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
-                own = (int(chain[lo]), int(key[lo]), fp[lo:hi])
-                if rest is not None:
-                    if rest[:2] == own[:2]:
-                        own = (*own[:2], np.concatenate([rest[2], own[2]]))
-                    else:
-                        if len(rest[2]) > 1 or block:
-                            yield from group(*rest[:2], block, rest[2], True)
-                        block = 0
-                    rest = None
-                if hi == len(fp):
-                    rest = own
-                elif hi - lo > 1 or len(own[2]) > 1 or block:
-                    while len(own[2]) > BLOCK:
-                        yield from group(*own[:2], block, own[2][:BLOCK], False)
-                        own, block = (*own[:2], own[2][BLOCK:]), block + 1
-                    yield from group(*own[:2], block, own[2], True)
-                    block = 0
-            while rest is not None and len(rest[2]) > BLOCK:
-                yield from group(*rest[:2], block, rest[2][:BLOCK], False)
-                rest, block = (*rest[:2], rest[2][BLOCK:]), block + 1
-        if rest is not None and (len(rest[2]) > 1 or block):
-            yield from group(*rest[:2], block, rest[2], True)
-
-    keys = arrow_map(fps.select("fp"), keyed, "chain int, key long, fp long")
-    return arrow_map(keys.repartition("chain", "key").sortWithinPartitions("chain", "key"), compared, _LINKS)
+            columns = [batch.column(k).to_numpy() for k in range(4)]
+            fp = batch.column(4).to_numpy().view(np.uint64)
+            edges = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1 if len(fp) else []
+            bounds = [0, *[int(e) for e in edges], len(fp)]
+            for lo, hi in zip(bounds, bounds[1:]):
+                own = tuple(int(c[lo]) for c in columns)
+                if own != group:
+                    if group is not None and (len(rest) > 1 or block):
+                        yield from compared(group, block, rest, True)
+                    group, block, rest = own, 0, fp[lo:hi]
+                else:
+                    rest = np.concatenate([rest, fp[lo:hi]])
+                while len(rest) > BLOCK:
+                    yield from compared(group, block, rest[:BLOCK], False)
+                    rest, block = rest[BLOCK:], block + 1
+        if group is not None and (len(rest) > 1 or block):
+            yield from compared(group, block, rest, True)
+
+    return arrow_map(keyed.repartition(*_GROUP).sortWithinPartitions(*_GROUP), run, _LINKS)
 
 
 def _links_of_blocks(waiting: DataFrame, bits: int) -> DataFrame:
     """Compares the blocks of large groups, each pair of blocks in a task of its own size."""
     limit = budgets(bits)
-    blocks = waiting.groupBy("chain", "key").agg((F.max("block") + 1).alias("blocks"))
-    rows = waiting.join(blocks, ["chain", "key"])
+    blocks = waiting.groupBy(*_GROUP).agg((F.max("block") + 1).alias("blocks"))
+    rows = waiting.join(blocks, _GROUP)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = rows.select("chain", "key", "block", "a", other.alias("other")).filter("block <> other")
-    paired = paired.select("chain", "key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "a")
+    paired = rows.select(*_GROUP, "block", "a", other.alias("other")).filter("block <> other")
+    paired = paired.select(*_GROUP, F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "a")
 
     def compared(pdf):
         import pandas as pd
@@ -206,7 +250,7 @@ def _links_of_blocks(waiting: DataFrame, bits: int) -> DataFrame:
         a, b = _group_links(fp[first], fp[~first], int(pdf["chain"].iloc[0]) // 2, limit)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return paired.groupBy("chain", "key", "one", "two").applyInPandas(compared, "a long, b long")
+    return paired.groupBy(*_GROUP, "one", "two").applyInPandas(compared, "a long, b long")
 
 
 def fingerprint_links(fps: DataFrame, bits: int = 3) -> DataFrame:
@@ -214,7 +258,13 @@ def fingerprint_links(fps: DataFrame, bits: int = 3) -> DataFrame:
     pairs that differ in at most ``bits`` bits; every row is such a pair or was joined through such pairs of one key."""
     if not 0 < bits < SEGMENTS:
         raise ValueError(f"bits must be from 1 to {SEGMENTS - 1}")
-    found = cut(_links_of_keys(fps, bits))
+    keyed = _keyed(fps, bits)
+    hot = cut(keyed.groupBy("chain", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("chain", "key"))
+    n = hot.limit(BROADCAST_ROWS + 1).count()
+    if n:
+        few = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
+        keyed = keyed.join(few, ["chain", "key"], "left_anti").unionByName(_deeper(keyed.join(few, ["chain", "key"], "left_semi").select(*_GROUP, "fp"), bits))
+    found = cut(_compared(keyed, bits))
     links = found.filter("kind = 0").select("a", "b")
     waiting = found.filter("kind = 1")
     return links.unionByName(_links_of_blocks(waiting, bits)).distinct()

@@ -2,18 +2,22 @@
 
 Labelled page outcomes are counted by host. A host's rate of bad pages is shrunk towards its
 registered domain's, that towards its suffix's, that towards the rate of all; each step is a
-beta-binomial prior whose strength is fitted by moments to the spread of the level below. A page is
-blocked if the lower bound of its host's posterior lies above a limit.
+beta-binomial prior whose strength is fitted by moments to the spread of the level below, and is weak
+where that spread is little known. A page is blocked if the lower bound of its host's posterior lies above a limit.
+
+Where pages have no labels of their own, ``outcome_model`` fits two classes of text on labelled documents and
+``bad_page`` labels a page by its visible text.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import ascii_lower, cut, lookup
+from .runtime import WORD, ascii_lower, cut, lookup
 
 
 def host_of(url: Column) -> Column:
@@ -26,12 +30,25 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+#: Public suffixes of two labels under which names are registered (from the public suffix list). A
+#: parameter of the functions below; suffixes of one label need no list.
+SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "nhs.uk", "org.uk", "plc.uk", "police.uk", "sch.uk", "com.au", "edu.au", "gov.au", "net.au", "org.au", "co.nz", "govt.nz", "net.nz", "org.nz",
+    "ac.jp", "ad.jp", "co.jp", "go.jp", "ne.jp", "or.jp", "co.kr", "go.kr", "or.kr", "com.cn", "edu.cn", "gov.cn", "net.cn", "org.cn", "com.tw", "org.tw", "com.hk", "com.sg", "com.my", "co.id", "co.th", "co.in", "net.in", "org.in",
+    "com.br", "gov.br", "net.br", "org.br", "com.ar", "com.mx", "com.co", "com.pe", "co.za", "org.za", "com.tr", "gov.tr", "org.tr", "co.il", "org.il", "com.ua", "com.pl", "org.pl", "com.gr", "com.pt", "com.ru",
+)
+
+
+def suffix_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The public suffix: the last two labels if they are one of ``suffixes``, else the last label."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(host, ".", -1)) if suffixes else F.substring_index(host, ".", -1)
 
 
-def registered_domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+def registered_domain_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The public suffix and one label more; a host that is a suffix is its own domain."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*suffixes), F.substring_index(host, ".", -3)).otherwise(two) if suffixes else two
 
 
 def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -47,46 +64,107 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, st
     return rule, action
 
 
-def _level(below: DataFrame, key: str, up: str | None, m_min: float, m_max: float) -> DataFrame:
+def visible_text(html: Column) -> Column:
+    """HTML without scripts, styles and tags."""
+    return F.regexp_replace(F.regexp_replace(html, r"(?s)<(script|style)[^>]*>.*?</(script|style)>", " "), r"<[^>]*>", " ")
+
+
+def text_features(text: Column) -> list[Column]:
+    """Shares of letters and of symbols among the characters, and of different words among the words; null for a text without words."""
+    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+    n = F.length(text)
+    share = lambda pattern: F.try_divide(n - F.length(F.regexp_replace(text, pattern, "")), n).cast("double")
+    return [F.when(F.size(words) > 0, x) for x in (share(r"\p{L}+"), share(r"[^\p{L}\p{N}\x20\x09-\x0D]+"), F.try_divide(F.size(F.array_distinct(words)), F.size(words)).cast("double"))]
+
+
+#: Added to the variances of features, which are shares: a class of equal texts isn't taken for certain.
+VARIANCE_FLOOR = 0.0025
+
+
+def outcome_model(labelled: DataFrame, text: Column, bad: Column) -> list[tuple[float, list[float], list[float]]] | None:
+    """Two classes of text, good and bad (1), each as its log share and the features' means and variances, from one
+    aggregation over all labelled rows (null labels and texts without words aside); None if a class has no row."""
+    features = text_features(text)
+    names = [f"f{i}" for i in range(len(features))]
+    rows = labelled.select(bad.cast("int").alias("bad"), *[x.alias(n) for n, x in zip(names, features)]).filter("bad in (0, 1) and f0 is not null")
+    sums = {r["bad"]: r for r in rows.groupBy("bad").agg(F.count(F.lit(1)).alias("n"), *[F.avg(n).alias(f"m_{n}") for n in names], *[F.var_pop(n).alias(f"v_{n}") for n in names]).collect()}
+    if len(sums) < 2:
+        return None
+    total = sum(r["n"] for r in sums.values())
+    return [(math.log(sums[k]["n"] / total), [sums[k][f"m_{n}"] for n in names], [sums[k][f"v_{n}"] + VARIANCE_FLOOR for n in names]) for k in (0, 1)]
+
+
+def bad_page(text: Column, model: list | None) -> Column:
+    """1 if the bad class is the likelier one of a text (independent normal features), else 0; null without words or model."""
+    if model is None:
+        return F.lit(None).cast("int")
+    features = text_features(text)
+    good, bad = (sum((-0.5 * math.log(v) - (x - m) * (x - m) / (2 * v) for x, m, v in zip(features, means, variances)), F.lit(prior)) for prior, means, variances in model)
+    return (bad > good).cast("int")
+
+
+#: A prior's strength in pages where its children tell nothing of their spread, and how many children that counts as.
+WEAK_PAGES, WEAK_CHILDREN = 8.0, 4.0
+
+
+def _level(below: DataFrame, key: str, up: str | None) -> DataFrame:
     """Sums of ``below`` (key columns, n, bad) by ``up``, with the strength m of the prior that it gives the level below.
 
-    Moments: the mean of squared deviations of the children's rates, weighted by n, less what
-    binomial noise explains, against mean * (1 - mean).
+    Moments: the mean of squared deviations of the children's rates, weighted by n, less what binomial noise
+    explains, over mean * (1 - mean), is phi = 1 / (m + 1). It is averaged with the weak prior's: a child of n pages counts as
+    1 - 1 / n, for one page tells nothing of the spread between children.
     """
-    g = below.groupBy(*([up] if up else []))
-    s = g.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count(F.when(F.col("n") > 0, 1)).alias("k"), F.sum(F.when(F.col("n") > 0, F.col("bad") * F.col("bad") / F.col("n"))).alias("q"), F.sum(F.col("n") * F.col("n")).alias("nn"))
-    mean = F.when(F.col("n") > 0, F.col("bad") / F.col("n")).otherwise(0.0)
+    n, bad = F.col("n"), F.col("bad")
+    has = n > 0
+    s = below.groupBy(*([up] if up else [])).agg(
+        F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count(F.when(has, 1)).alias("k"), F.sum(F.when(has, bad * F.try_divide(bad, n))).alias("q"),
+        F.sum(n * n).alias("nn"), F.sum(F.when(has, 1 - F.try_divide(F.lit(1.0), n))).alias("informed"),
+    )
+    mean = F.coalesce(F.try_divide(F.col("bad"), F.col("n")), F.lit(0.0))
     spread = mean * (1 - mean)
-    free = F.col("n") - F.col("nn") / F.col("n")
-    var = (F.coalesce("q", F.lit(0.0)) - F.col("n") * mean * mean - (F.col("k") - 1) * spread) / free
-    m = F.when((F.col("k") > 1) & (free > 0) & (var > 0), spread / var - 1).otherwise(m_max)
-    return s.select(*([up] if up else []), "n", "bad", F.least(F.greatest(m, F.lit(m_min)), F.lit(m_max)).alias("m"))
+    var = F.try_divide(F.coalesce("q", F.lit(0.0)) - F.col("n") * mean * mean - (F.col("k") - 1) * spread, F.col("n") - F.try_divide(F.col("nn"), F.col("n")))
+    phi = F.least(F.greatest(F.coalesce(F.try_divide(var, spread), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    known = F.when((spread > 0) & var.isNotNull(), F.greatest(F.coalesce("informed", F.lit(0.0)) - 1, F.lit(0.0))).otherwise(0.0)
+    m = F.try_divide(known + WEAK_CHILDREN, known * phi + WEAK_CHILDREN / (WEAK_PAGES + 1)) - 1
+    return s.select(*([up] if up else []), F.coalesce("n", F.lit(0.0)).alias("n"), F.coalesce("bad", F.lit(0.0)).alias("bad"), F.greatest(m, F.lit(1.0)).alias("m"))
+
 
+def _shrunk(level: str) -> tuple[Column, Column]:
+    """The posterior mean and variance of n, bad under the prior rate, var and m of ``level``. The share of the prior in the mean
+    carries its variance on."""
+    n, bad, m = F.col("n"), F.col("bad"), F.col(f"{level}_m")
+    rate = (bad + m * F.col(f"{level}_rate")) / (n + m)
+    return rate, rate * (1 - rate) / (n + m + 1) + F.pow(m / (n + m), 2.0) * F.col(f"{level}_var")
 
-def host_reputation(outcomes: DataFrame, m_min: float = 2.0, m_max: float = 1000.0, z: float = 1.64) -> DataFrame:
+
+def host_reputation(outcomes: DataFrame, z: float = 1.64, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """Of ``outcomes`` (host, bad: 1, 0, or null if not labelled): one row for each host with n, bad, rate, lower.
 
-    ``rate`` is the posterior mean and ``lower`` the bound z posterior standard deviations below it.
-    A host without labelled pages has its domain's rate. Every step is a grouped aggregation, the
+    ``rate`` is the posterior mean and ``lower`` the bound z posterior standard deviations below it (normal approximation),
+    the uncertainty of the levels above included. A host without labelled pages has its domain's rate, a domain
+    without any its suffix's, and so on; with no label at all every rate is 0. Every step is a grouped aggregation, the
     first with a partial one before the shuffle; the joins are between aggregates.
     """
-    hosts = (
+    domain, suffix = registered_domain_of(F.col("host"), suffixes), suffix_of(F.col("host"), suffixes)
+    hosts = cut(
         outcomes.groupBy("host")
         .agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
-        .withColumns({"domain": registered_domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+        .withColumns({"domain": domain, "suffix": suffix})
     )
-    hosts = cut(hosts)
-    domains = _level(hosts.select("host", "domain", "suffix", "n", "bad"), "host", "domain", m_min, m_max).withColumn("suffix", suffix_of(F.col("domain")))
-    suffixes = _level(domains, "domain", "suffix", m_min, m_max)
-    root = _level(suffixes, "suffix", None, m_min, m_max)
+    domains = _level(hosts, "host", "domain").withColumn("suffix", suffix_of(F.col("domain"), suffixes))
+    all_suffixes = _level(domains, "domain", "suffix")
+    top = _level(all_suffixes, "suffix", None).first()
+    top_rate = top["bad"] / top["n"] if top["n"] else 0.0
+    given = {"top_rate": top_rate, "top_var": top_rate * (1 - top_rate) / (top["n"] + 1), "top_m": top["m"]}
+
+    def shrunk(rows: DataFrame, key: str, level: str, name: str) -> DataFrame:
+        rate, var = _shrunk(level)
+        return rows.select(key, F.col("m").alias(f"{name}_m"), rate.alias(f"{name}_rate"), var.alias(f"{name}_var"))
 
-    top = root.select(F.when(F.col("n") > 0, F.col("bad") / F.col("n")).otherwise(0.0).alias("top_rate"), F.col("m").alias("top_m"))
-    suf = suffixes.join(F.broadcast(top)).select("suffix", F.col("m").alias("suffix_m"), ((F.col("bad") + F.col("top_m") * F.col("top_rate")) / (F.col("n") + F.col("top_m"))).alias("suffix_rate"))
-    dom = domains.join(suf, "suffix").select("domain", F.col("m").alias("domain_m"), ((F.col("bad") + F.col("suffix_m") * F.col("suffix_rate")) / (F.col("n") + F.col("suffix_m"))).alias("domain_rate"))
-    a = F.col("bad") + F.col("domain_m") * F.col("domain_rate")
-    total = F.col("n") + F.col("domain_m")
-    rate = a / total
-    return hosts.join(dom, "domain").select("host", "n", "bad", rate.alias("rate"), (rate - z * F.sqrt(rate * (1 - rate) / (total + 1))).alias("lower"))
+    suf = shrunk(all_suffixes.withColumns({c: F.lit(float(v)) for c, v in given.items()}), "suffix", "top", "suffix")
+    dom = shrunk(domains.join(suf, "suffix"), "domain", "suffix", "domain")
+    rate, var = _shrunk("domain")
+    return hosts.join(dom, "domain").select("host", "n", "bad", rate.alias("rate"), (rate - z * F.sqrt(var)).alias("lower"))
 
 
 def filter_urls(pages: DataFrame, bad: Column, rules: Sequence[tuple[str, str, str]], limit: float, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -97,10 +175,10 @@ def filter_urls(pages: DataFrame, bad: Column, rules: Sequence[tuple[str, str, s
     and path and is judged as the host "". Repeated rows are judged each; an empty table gives none.
     """
     url = F.col(url_col)
-    rows = pages.select(F.col(id_col).alias("__id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    rows = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     reputation = cut(host_reputation(pages.select(host_of(url).alias("host"), bad.cast("int").alias("bad"))).select("host", "rate", "lower"))
     rule, action = matching_rule(F.col("host"), F.col("path"), rules)
     judged = F.when(F.col("lower") > limit, "block").otherwise("allow")
     return lookup(rows, reputation, ["host"]).select(
-        F.col("__id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(action, judged).alias("verdict"), F.round("rate", 6).alias("rate"), F.round("lower", 6).alias("lower")
+        F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(action, judged).alias("verdict"), F.round("rate", 6).alias("rate"), F.round("lower", 6).alias("lower")
     )

@@ -1,14 +1,11 @@
 """Near-deduplication by Jaccard similarity against brute force."""
 
-import os
 import random
 
 import pytest
 
-import corpus_pipeline
 from sigwarden.llm import jaccard
 
-SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -64,14 +61,3 @@ def test_groups_against_brute_force(spark, monkeypatch, block):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({*want})
     assert kept.filter("doc_id is null").count() == 9 and kept.columns == docs.columns
     assert jaccard.similar_groups(docs.limit(0)).count() == 0
-
-
-@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
-def test_pipeline_leaves_no_similar_pair(spark):
-    held = spark.read.parquet(f"{SF}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES:
-        if name == "mixing":
-            break
-        held = stage(spark, held, SF).cache()
-    kept = [shingles(r.text) for r in held.collect()]
-    assert not [1 for i, a in enumerate(kept) for b in kept[:i] if (a or b) and similar(a, b)]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sigwarden.llm import bpe, chat, exact_dedup, language_id, line_dedup, media, mixing, mphf, sharding, simhash, url_filter
 from sigwarden.llm.graph import connected_components
+from sigwarden.llm.runtime import numbered, slices
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "pergo " * 30_000
@@ -52,6 +53,20 @@ def test_exact_dedup_null_and_repeated_ids(spark):
     assert exact_dedup.mark_duplicates(empty(spark)).count() == 0
 
 
+def test_exact_dedup_tells_colliding_texts_apart(spark):
+    docs = docs_of(spark, ["aa", "ab", "AA", "b", "ac", "ab"])
+    weak = lambda norm: F.substring(norm, 1, 1).cast("binary")
+    rows = docs.select(F.col("doc_id").alias("id"), weak(F.lower("text")).alias("digest"), F.unhex(F.sha2(F.lower("text"), 256)).alias("sha"))
+    groups = exact_dedup.duplicate_groups(docs, rows, digest=weak).collect()
+    assert sorted((r.keep_id, r.group_size) for r in groups) == [(0, 2), (1, 2), (3, 1), (4, 1)]
+
+
+def test_exact_dedup_leaves_clashing_columns_alone(spark):
+    docs = docs_of(spark, ["a", "A", "b", "b"]).select("doc_id", "text", *[F.col("doc_id").cast("string").alias(c) for c in ("digest", "sha", "gone_id", "norm", "id", "keep_id", "group_size", "kept", "__digest")])
+    out = exact_dedup.drop_duplicates(docs)
+    assert out.columns == docs.columns and sorted((r.doc_id, r.digest, r["__digest"]) for r in out.collect()) == [(0, "0", "0"), (2, "2", "2")]
+
+
 def test_exact_dedup_plan_has_no_python(spark):
     plan = exact_dedup.mark_duplicates(docs_of(spark, EDGE))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -92,6 +107,28 @@ def test_links_lose_nothing(spark, bits, monkeypatch):
     assert len({*zip(got, want)}) == len({*got}) == len({*want})
 
 
+def test_deep_keys_lose_no_pair():
+    rng = random.Random(9)
+    for bits in (1, 2, 3, 5, 7):
+        for _ in range(300):
+            a = rng.getrandbits(64)
+            b = a ^ sum(1 << x for x in rng.sample(range(64), rng.randint(0, bits)))
+            fp = np.array([a, b], np.uint64)
+            shared = [chain for chain, key in simhash.chain_keys(fp, bits) if key[0] == key[1]]
+            assert shared and all(any(part[0] == part[1] for _, part in simhash.deep_keys(fp, chain // 2, bits)) for chain in shared)
+
+
+def test_hot_key_is_split(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    rng = random.Random(8)
+    head = rng.getrandbits(40) << 24  # one key of five segments for all
+    fps = sorted({head | rng.getrandbits(24) for _ in range(1500)})
+    table = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
+    reach = {np.int64(r.node).astype(np.uint64).item(): r.root for r in connected_components(simhash.fingerprint_links(table, 3)).collect()}
+    got, want = [reach.get(f, ("alone", f)) for f in fps], components_by_force(fps, 3)
+    assert len({*zip(got, want)}) == len({*got}) == len({*want})
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(500)]
@@ -133,16 +170,20 @@ def test_near_duplicates_null_ids(spark):
 
 
 def test_media_round_trip(spark):
-    texts = [*EDGE, "x" * 64, "x" * 65, "a\0", "a"]
-    published = media.publish_texts(docs_of(spark, texts))
-    loaded = media.load_media(published).select("digest", "n_bytes", "payload", "feature")
-    rows = media.resolve(media.references(media.parse_documents(published, "doc_id"), "doc_id"), loaded).collect()
-    assert len(rows) == len(texts)
+    texts = [*EDGE, "x" * 64, "x" * 65, "a\0", "a", "a"]
+    pages, stored = media.publish_texts(docs_of(spark, texts).coalesce(1))
+    assert pages.count() == len(texts) and stored.count() == len({t or "" for t in texts})  # one task stores a text once
+    loaded = media.one_a_digest(media.load_media(stored).select("digest", "n_bytes", "payload", "feature"))
+    rows = media.interleave(media.parse_documents(pages, "doc_id"), loaded, "doc_id").collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
     for r in rows:
+        text, found = r.segments
         data = (texts[r.doc_id] or "").encode()
-        assert r.n_bytes == len(data) and bytes(r.payload) == data + bytes(-len(data) % 64 if data else 64)
-        assert r.feature == media.feature_of(np.frombuffer(bytes(r.payload), np.uint8))
-    assert media.publish_texts(empty(spark)).count() == 0
+        assert (text.kind, text.text, text.media, found.kind, found.position) == ("text", str(r.doc_id), None, "media", 1)
+        assert found.media.n_bytes == len(data) and bytes(found.media.payload) == data + bytes(-len(data) % 64 if data else 64)
+        assert found.media.feature == media.feature_of(np.frombuffer(bytes(found.media.payload), np.uint8))
+    pages, stored = media.publish_texts(empty(spark))
+    assert pages.count() == stored.count() == 0 and media.interleave(media.parse_documents(pages, "doc_id"), loaded, "doc_id").count() == 0
 
 
 def test_sequences_stay_aligned(spark):
@@ -152,12 +193,18 @@ def test_sequences_stay_aligned(spark):
     found = media.segments_of(html)
     assert [(s["position"], s["kind"], s["text"] or s["digest"], s["caption"]) for s in found] == [
         (0, "text", "before it", None), (1, "media", d[0], "one & only"), (2, "text", "between", None), (3, "media", d[1], "two"), (4, "text", "after", None), (5, "media", d[2], None)]
-    pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")
+    other = f"<p>only</p><img src='sha256:{d[0]}'><img src='sha256:{d[0]}'>"
+    pages = spark.createDataFrame([(1, html), (1, html), (1, other), (None, html), (2, None), (3, ""), (None, None)], "page_id long, html string")
     parsed = media.parse_documents(pages, "page_id")
-    store = spark.createDataFrame([(d[0], media.store_bytes(b"\0")), (d[0], media.store_bytes(b"\0")), (d[2], None)], "digest string, media binary")
-    joined = media.interleave(parsed, media.resolve(media.references(parsed, "page_id"), media.load_media(store)), "page_id").collect()
-    assert len(joined) == 1 and [s.position for s in joined[0].segments] == list(range(6))
-    assert joined[0].segments[1].media.n_bytes == 1 and joined[0].segments[3].media.n_bytes is None and joined[0].segments[0].media is None
+    store = media.load_media(spark.createDataFrame([(d[0], media.store_bytes(b"\0")), (d[0], media.store_bytes(b"\0")), (d[2], None)], "digest string, media binary"))
+    joined = media.interleave(parsed, media.one_a_digest(store), "page_id").collect()
+    assert sorted((str(r.page_id), len(r.segments)) for r in joined) == [("1", 3), ("1", 6), ("1", 6), ("2", 0), ("3", 0), ("None", 0), ("None", 6)]
+    for r in joined:
+        assert [x.position for x in r.segments] == list(range(len(r.segments)))
+        if len(r.segments) == 6:
+            assert r.segments[1].media.n_bytes == 1 and r.segments[1].caption == "one & only" and r.segments[3].media is None and r.segments[0].media is None and r.segments[5].media.n_bytes is None
+        if len(r.segments) == 3:
+            assert r.segments[1].media.n_bytes == r.segments[2].media.n_bytes == 1
 
 
 # sharding
@@ -201,9 +248,24 @@ def test_sharding_overflow_and_large_documents(spark, tmp_path):
     assert len({r.shard for r in sevens}) == 3 and all(r.shard_bytes <= 100 for r in sevens)
     assert [r.shard_bytes for r in rows if r.doc_id == 8] == [500]
     assert sharding.assign_shards(empty(spark), 100).count() == 0
-    some = docs_of(spark, ["a" * 50] * 10)
-    sharding.write_shards(some, sharding.assign_shards(some, 120), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+    again = docs.withColumnsRenamed({"shard": "h"}).withColumns({"bytes": F.lit(1), "copy": F.monotonically_increasing_id()})
+    sharding.write_shards(again, 100, str(tmp_path / "out"))
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(written.columns) == sorted([*again.columns, "shard"]) and written.count() == 27 and written.filter("doc_id is null and text = 'z'").count() == 1
+    assert sorted(r.copy for r in written.collect()) == sorted(r.copy for r in again.collect())
+    sizes = {r.shard: r.n for r in written.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    assert sorted(sizes.values()) == [1, 50, 100, 100, 500]
+    want = {r.doc_id: {x.shard for x in rows if x.doc_id == r.doc_id} for r in rows}
+    assert {i: {str(r.shard or "") for r in written.filter(F.col("doc_id").eqNullSafe(i)).select(F.col("shard").cast("string").alias("shard")).collect()} for i in (7,)} == {7: want[7]}
+    sharding.write_shards(empty(spark), 100, str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        sharding.write_shards(docs, 100, str(tmp_path / "clash"))
+
+
+def test_rows_are_numbered_within_groups(spark):
+    rows = spark.createDataFrame([(k, i) for k in ("a", "b", None) for i in range(50)], "k string, rows_before long").repartition(7)
+    out = numbered(rows, ["k"], "n").collect()
+    assert len(out) == 150 and all(sorted(r.n for r in out if r.k == k) == list(range(50)) for k in ("a", "b", None))
 
 
 # line dedup
@@ -226,17 +288,24 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, broadcast_bytes, min
     monkeypatch.setattr(line_dedup, "SHARD_PROBES", 20)
     pool = ["Common line", " common LINE\t", "ünï", "ÜNÏ", "", "  ", "rare"] + [f"line {i}" for i in range(300)]
     texts = EDGE + ["\n".join(rng.choice(pool[: rng.choice([7, 60, 307])]) for _ in range(rng.randint(1, 12))) for _ in range(150)]
-    docs = docs_of(spark, texts).withColumn("n_lines", F.lit("clash"))
+    docs = docs_of(spark, texts).withColumns({"n_lines": F.lit("clash"), "row": F.lit("own"), "lost": F.lit("too")})
     rows = {r.doc_id: r for r in line_dedup.drop_common_lines(docs, 5, min_chars, broadcast_bytes=broadcast_bytes).collect()}
     for i, stay in enumerate(lines_by_force(texts, 5, min_chars)):
         n = len((texts[i] or "").split("\n"))
-        assert (rows[i].text, rows[i].n_lines, rows[i].n_dropped) == ("\n".join(stay), n, n - len(stay))
+        assert (rows[i].text, rows[i].n_lines, rows[i].n_dropped, rows[i].row, rows[i].lost) == ("\n".join(stay), n, n - len(stay), "own", "too")
+
+
+@pytest.mark.parametrize("broadcast_bytes", [64 << 20, 0])
+def test_line_dedup_repeated_rows_and_large_counts(spark, broadcast_bytes):
+    docs = spark.createDataFrame([(1, "a\nsame")] * 400 + [(None, "b\nsame"), (2, "c")], "doc_id long, text string")
+    rows = line_dedup.drop_common_lines(docs, 401, broadcast_bytes=broadcast_bytes).collect()
+    assert sorted((str(r.doc_id), r.text) for r in rows) == [("1", "a")] * 400 + [("2", "c"), ("None", "b")]
 
 
 def test_line_dedup_empty_table(spark):
     assert line_dedup.drop_common_lines(empty(spark)).count() == 0
     with pytest.raises(ValueError):
-        line_dedup.drop_common_lines(empty(spark), min_docs=300)
+        line_dedup.drop_common_lines(empty(spark), min_docs=70_000)
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 5000])
@@ -280,11 +349,43 @@ def test_language_id_evidence(spark):
     assert {r.language for r in language_id.identify(docs, none).collect()} == {"und"}
 
 
+def test_language_id_takes_all_labels_and_bounds_copies(spark):
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pools = {f"x{i:02d}": ["".join(rng.choice(letters) for _ in range(4)) for _ in range(6)] for i in range(70)}
+    rows = [(i, " ".join(rng.choice(pools[x]) for _ in range(30)), x) for i, x in enumerate([*pools] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert len(model.languages) == 70
+    found = language_id.judge(docs, model, ["doc_id", "lang"]).collect()
+    assert np.mean([r.language == r.lang for r in found]) > 0.95
+    with pytest.raises(ValueError):
+        language_id.fit(docs, most=69)
+    copies = spark.createDataFrame([("the same text",  "en")] * 500 + [(f"other words {i}", "en") for i in range(40)], "text string, lang string")
+    one = language_id.fit(copies, rows=1000)
+    again = language_id.fit(copies.distinct(), rows=1000)
+    assert np.allclose(one.weights, again.weights)
+
+
+def test_language_id_clashing_names_ties_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "the thing and the other", "en")] * 2 + [(2, "der und keit", "de"), (3, None, "en"), (4, "der " * 100_000, "de")], "doc_id long, text string, lang string")
+    docs = docs.withColumns({c: F.lit(c) for c in ("host", "declared", "prior", "ll", "__text", "_host", "k0")})
+    model = language_id.fit(docs)
+    out = language_id.identify(docs, model)
+    assert out.columns == [*docs.columns, "language", "posterior", "accepted"]
+    rows = out.collect()
+    assert len(rows) == 5 and all(r.host == "host" and r.prior == "prior" and r["__text"] == "__text" for r in rows)
+    narrow = language_id.judge(docs, model, ["doc_id", "host"]).collect()
+    assert sorted((r.doc_id, r.language, round(r.posterior, 9)) for r in narrow) == sorted((r.doc_id, r.language, round(r.posterior, 9)) for r in rows)
+    even = language_id.Model(("aa", "bb"), np.zeros((language_id.BUCKETS, 3), np.float32))
+    assert {r.language for r in language_id.judge(docs.filter("text is not null"), even, ["doc_id"]).collect()} == {"aa"}
+
+
 # mixing
 
 
 def test_mixing_meets_targets_and_agrees(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "RANGE_ROWS", 4)
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 1)
     rng = random.Random(4)
     rows = [(i, "w " * rng.choice([0, 1, 7, 40]), rng.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(400)] + [(None, None, "z"), (5, "", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
@@ -310,6 +411,40 @@ def test_mixing_meets_targets_and_agrees(spark, monkeypatch):
     assert mixing.with_shares(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("keep_text", [True, False])
+def test_mixing_fills_ties_and_keeps_other_names(spark, keep_text):
+    docs = spark.createDataFrame([(1, "w w w", "a")] * 7 + [(2, "w " * 50_000, "b"), (3, None, "b"), (4, "", None)], "doc_id long, text string, source string")
+    docs = docs.withColumns({c: F.lit(c) for c in ("has", "name", "__name", "left", "tied", "copy", "mix_copy", "mix_key")})
+    shared = mixing.with_shares(docs, weights=(1, 3), share=1.0, most=2.0, keep_text=keep_text).withColumn("taken", mixing.taken_words())
+    rows = shared.collect()
+    assert len(rows) == 10 and all(r.has == "has" and r.name == "name" and r["__name"] == "__name" and r.tied == "tied" for r in rows)
+    for source in ("a", "b"):
+        own = [r for r in rows if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].mix_target) < 1 and all(r.taken <= 2 * r.mix_size for r in own)
+    if keep_text:
+        assert mixing.mix(docs, weights=(1, 3), share=1.0).columns == docs.columns
+
+
+def targets_by_force(sizes, weights, share, most):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    lo, hi = 0.0, 1e12
+    for _ in range(200):
+        level = (lo + hi) / 2
+        lo, hi = (level, hi) if sum(min(most * sizes[s], level * weight[s]) for s in sizes) < share * sum(sizes.values()) else (lo, level)
+    return {s: min(most * sizes[s], hi * weight[s]) for s in sizes}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_targets_against_bisection(spark, seed):
+    rng = random.Random(seed)
+    sizes = {f"s{i}": rng.choice([0, 1, 10, 1000, 100_000]) for i in range(60)} | {None: 77}
+    table = spark.createDataFrame([*sizes.items()], "source string, source_size long")
+    got = {r.source: r.target for r in mixing.source_targets(table, (5, 2, 1), 1.5, 2.0).collect()}
+    want = targets_by_force(sizes, (5, 2, 1), 1.5, 2.0)
+    assert all(abs(got[s] - want[s]) <= 1e-6 * max(1.0, want[s]) for s in sizes)
+
+
 def test_mixing_prefers_quality(spark):
     docs = spark.createDataFrame([(i, "word " * 5 if i % 2 else "1234 " * 5, s) for i in range(600) for s in ("a", "b")], "doc_id long, text string, source string")
     taken = mixing.with_shares(docs, weights=(1, 9), share=1.0).withColumn("t", mixing.taken_words()).filter("source = 'a'").groupBy(F.col("doc_id") % 2).agg(F.sum("t").alias("t")).collect()
@@ -339,6 +474,34 @@ def test_tree_concatenation_is_exact(vocabulary, leaf, unsplit, space):
         assert codec.decode([ids])[0] == codec.tokenizer.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("leaf", [4, 16, 64, 4096])
+def test_tree_concatenation_of_a_byte_level_file_is_exact(leaf):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    rng = random.Random(leaf)
+    codec = bpe.Codec(path, leaf)
+    parts = ["a", "b", "the", "ing", "'s", " 't", "1", "2345", "é", "e\u0301", "中", "🙂", "!", "  ", " ", "\n", "\n\n", "\t", "A", "The", " and", "\u00a0", "क्", ".", ",", "aaaa"]
+    for _ in range(200):
+        some = rng.sample(parts, rng.choice([1, 2, 4, len(parts)]))
+        text = "".join(rng.choice(some) for _ in range(rng.choice([0, 3, 50, 400])))
+        want = codec.tokenizer.encode(text, add_special_tokens=False).ids
+        assert codec.encode([text.encode()])[0] == want, text
+        assert codec.decode([want])[0] == text
+    assert codec.decode(codec.encode([b"the Thing and  the Other"])) == ["the Thing and  the Other"]
+
+
+def test_other_tokenizers_are_refused(vocabulary, tmp_path):
+    import json
+
+    for change in (lambda f: f["normalizer"]["normalizers"].pop(), lambda f: f["pre_tokenizer"]["pretokenizers"][0].update(behavior="Isolated"), lambda f: f["model"].update(dropout=0.1), lambda f: f.update(pre_tokenizer=None)):
+        with open(vocabulary, encoding="utf-8") as f:
+            file = json.load(f)
+        change(file)
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(file), encoding="utf-8")
+        with pytest.raises(ValueError):
+            bpe.Codec(str(path))
+
+
 def test_bpe_rows(spark, vocabulary):
     rows = {r.doc_id: r for r in bpe.encode_and_decode(docs_of(spark, EDGE).withColumn("ids", F.lit(1)), vocabulary).collect()}
     direct = bpe.Codec(vocabulary).tokenizer
@@ -364,12 +527,81 @@ def test_url_rules_and_parts(spark):
     assert url_filter.filter_urls(pages.limit(0), F.lit(0), rules, 0.5).count() == 0
 
 
-def test_reputation_shrinks_and_bounds(spark):
-    rows = [("bad.x.org", 1)] * 90 + [("bad.x.org", 0)] * 10 + [("small.x.org", 1)] + [(f"h{i}.y.com", int(j == 0)) for i in range(20) for j in range(20)] + [("new.y.com", None)]
+def reputation_by_force(rows):
+    """Rates and lower bounds by the definition, in plain loops."""
+    def suffix(h):
+        two = ".".join(h.split(".")[-2:])
+        return two if two in url_filter.SUFFIXES else h.split(".")[-1]
+
+    def domain(h):
+        return ".".join(h.split(".")[-1 - len(suffix(h).split(".")) :])
+
+    def strength(children):
+        n, bad = sum(c[0] for c in children), sum(c[1] for c in children)
+        mean = bad / n if n else 0.0
+        spread, live = mean * (1 - mean), [c for c in children if c[0]]
+        free = n - sum(c[0] ** 2 for c in children) / n if n else 0
+        phi = known = 0.0
+        if spread > 0 and free:
+            var = (sum(c[0] * (c[1] / c[0] - mean) ** 2 for c in live) - (len(live) - 1) * spread) / free
+            phi, known = min(max(var / spread, 0.0), 1.0), max(sum(1 - 1 / c[0] for c in live) - 1, 0.0)
+        return n, bad, max((known + 4) / (known * phi + 4 / 9) - 1, 1.0)
+
+    hosts = {}
+    for h, b in rows:
+        x = hosts.setdefault(h, [0, 0])
+        x[0], x[1] = x[0] + (b is not None), x[1] + (b or 0)
+    domains = {d: strength([x for h, x in hosts.items() if domain(h) == d]) for d in {domain(h) for h in hosts}}
+    suffixes = {s: strength([x for d, x in domains.items() if suffix(d) == s]) for s in {suffix(d) for d in domains}}
+    n, bad, m = strength(list(suffixes.values()))
+    rate = bad / n if n else 0.0
+    top = (rate, rate * (1 - rate) / (n + 1))
+
+    def down(x, m, above):
+        r = (x[1] + m * above[0]) / (x[0] + m)
+        return r, r * (1 - r) / (x[0] + m + 1) + (m / (x[0] + m)) ** 2 * above[1]
+
+    out = {}
+    for h, x in hosts.items():
+        s, d = suffixes[suffix(h)], domains[domain(h)]
+        r, v = down(x, d[2], down(d, s[2], down(s, m, top)))
+        out[h] = (r, r - 1.64 * v**0.5)
+    return out
+
+
+def test_reputation_against_brute_force_and_shrinks(spark):
+    rows = [("bad.x.org", 1)] * 90 + [("bad.x.org", 0)] * 10 + [("small.x.org", 1)] + [(f"h{i}.y.com", int(j == 0)) for i in range(20) for j in range(20)] + [("new.y.com", None), ("", None), ("", 0)]
+    rows += [("a.co.uk", 1)] * 20 + [("www.b.co.uk", 0)] * 20 + [("unknown.net", None)] * 3 + [("only.dark.info", None), ("com", 0)]
     found = {r.host: r for r in url_filter.host_reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
-    assert found["bad.x.org"].lower > 0.7 > found["h1.y.com"].rate
-    assert found["bad.x.org"].rate < 0.9 and found["small.x.org"].lower < found["bad.x.org"].lower
-    assert abs(found["new.y.com"].rate - 0.05) < 0.03 and all(0 <= r.rate <= 1 for r in found.values())
+    for h, (rate, lower) in reputation_by_force(rows).items():
+        assert abs(found[h].rate - rate) < 1e-9 and abs(found[h].lower - lower) < 1e-9, h
+    assert found["bad.x.org"].lower > 0.6 and found["small.x.org"].lower < found["bad.x.org"].lower
+    assert abs(found["new.y.com"].rate - 0.05) < 0.03 and found["a.co.uk"].rate > 0.6 > 0.4 > found["www.b.co.uk"].rate
+
+
+def test_urls_without_labels(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (1, "http://a.com/x"), (None, "http://b.org/"), (2, None)], "page_id long, url string").withColumn("id", F.lit("own"))
+    rows = url_filter.filter_urls(pages, F.lit(None).cast("int"), (), 0.05).collect()
+    assert len(rows) == 4 and all(r.verdict == "allow" and r.rate == 0 for r in rows)
+    some = F.when(F.col("url").contains("a.com"), 1)  # b.org has no labelled page at all
+    assert {r.host: r.verdict for r in url_filter.filter_urls(pages, some, (), 0.05).collect()}["a.com"] == "block"
+    long = spark.createDataFrame([(1, "http://a.com/" + "x" * 1_000_000)], "page_id long, url string")
+    assert len(url_filter.filter_urls(long, F.lit(0), (), 0.05).first().path) == 1_000_001
+
+
+def test_outcome_model_on_held_out_labels(spark):
+    rng = random.Random(3)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500)]
+    good = lambda: " ".join(rng.choice(words) for _ in range(80))
+    bad = lambda: " ".join(rng.choice(words[:9]) + rng.choice(["###", "%%%", "&&&"]) for _ in range(80))
+    rows = [(i, bad() if i % 4 == 0 else good(), int(i % 4 == 0)) for i in range(200)] + [(900, None, 1), (901, "", 0), (902, good(), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bad int")
+    model = url_filter.outcome_model(docs.filter("doc_id < 100 or doc_id >= 900"), F.col("text"), F.col("bad"))
+    held = docs.filter("doc_id between 100 and 199").withColumn("found", url_filter.bad_page(F.col("text"), model)).collect()
+    assert all(r.found == r.bad for r in held)
+    assert [r.x for r in docs.filter("doc_id in (900, 901)").select(url_filter.bad_page(F.col("text"), model).alias("x")).collect()] == [None, None]
+    assert url_filter.outcome_model(docs.filter("bad = 0"), F.col("text"), F.col("bad")) is None
+    assert docs.select(url_filter.bad_page(F.col("text"), None).alias("x")).filter("x is not null").count() == 0
 
 
 # chat
@@ -403,7 +635,66 @@ def test_event_folding(spark):
     assert [(r.message, r.part, r.role, r.text) for r in rows] == [(0, 0, "user", "hi!"), (1, 0, "assistant", "Good day"), (2, 0, "user", "again"), (2, 1, "user", "again")]
 
 
+def folded_by_force(log):
+    """The final messages of one conversation, by walking its events in order."""
+    events = sorted(log, key=lambda e: (e[1], e[2], e[3] is not None, e[3] or "", e[4]))
+    held: dict = {}
+    for message, _, kind, role, text in events:
+        own = held.setdefault(message, {"kinds": [], "roles": [], "texts": [], "turns": []})
+        if kind == "regenerate":
+            for m in [m for m in held if m > message]:
+                del held[m]
+        if kind in ("message", "edit", "regenerate"):
+            own["texts"] = []
+        own["kinds"].append(kind)
+        own["roles"].append(role)
+        own["texts"].append(text)
+        own["turns"].append((role or "", text))
+    out = []
+    for m in sorted(held):
+        own = held[m]
+        if set(own["kinds"]) == {"message"}:
+            out += [(m, i, *t) for i, t in enumerate(own["turns"])]
+        else:
+            out.append((m, 0, next((r for r in own["roles"] if r is not None), ""), "".join(own["texts"])))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_logs_against_a_fold(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for conv in (1, 2, 3):
+        seq = 0
+        for message in range(6):
+            rows.append((conv, message, seq, rng.choice(["message", "delta"]), rng.choice(["user", "assistant", None]), f"<{seq}>"))
+            seq += 1
+            for _ in range(rng.randint(0, 3)):
+                rows.append((conv, rng.randint(0, message), seq, rng.choice(["delta", "edit", "regenerate", "message"]), rng.choice(["user", None]), f"<{seq}>" * rng.randint(0, 2)))
+                seq += 1
+    rng.shuffle(rows)
+    log = spark.createDataFrame(rows, "conv_id long, message long, seq long, kind string, role string, text string")
+    got = sorted((r.conv_id, r.message, r.part, r.role, r.text) for r in chat.final_messages(log).collect())
+    assert got == sorted((c, *x) for c in (1, 2, 3) for x in folded_by_force([r[1:] for r in rows if r[0] == c]))
+
+
+def test_chat_long_and_repeated_turns(spark):
+    log = spark.createDataFrame([(1, 0, 0, "message", "user", "x" * 2_000_000), (1, 1, 1, "message", "assistant", "y"), (1, 1, 1, "message", "assistant", "y")], "conv_id long, message long, seq long, kind string, role string, text string")
+    row = chat.read_back(chat.format_conversations(log)).first()
+    assert [len(t.text) for t in row.turns] == [2_000_000, 1, 1] and row.loss_text == "yy"
+
+
 def test_chat_plan_has_no_python(spark):
     log = spark.range(3).selectExpr("id conv_id", "id message", "id seq", "'message' kind", "'user' role", "'x' text")
     plan = chat.read_back(chat.format_conversations(log))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_slices_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    sizes = [10] * 700 + [5000] * 3 + [100_000] + [10] * 5
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * n for n in sizes])], names=["text"])
+    out = list(slices([batch], 512, 20_000))
+    assert [x for b in out for x in map(len, b.column(0).to_pylist())] == sizes
+    assert all(b.num_rows <= 512 and (b.nbytes <= 20_000 or b.num_rows == 1) for b in out)
