@@ -1,4 +1,4 @@
-"""A training corpus from ``documents``: six stages, each written as Parquet and read again by the next.
+"""A training corpus from ``documents``: five stages, each written as Parquet and read again by the next.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last
 return the columns of ``documents``.
@@ -12,14 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigwarden.llm import bpe, jaccard, language_id, line_dedup, mixing, simhash
+from sigwarden.llm import bpe, jaccard, language_id, line_dedup, mixing
 from sigwarden.llm.queries import TOKENIZER
-from sigwarden.llm.runtime import checkpoint_folder, table
+from sigwarden.llm.runtime import checkpoint_folder, remove_folder, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of no known language; the declared language and the source are evidence."""
-    found = language_id.identify(docs, language_id.fit(docs), declared=F.col("lang"), host=F.col("source"))
+    """Rejects documents of no known language; the text and the source are evidence. The label, on which the trigrams are
+    fitted, is none."""
+    found = language_id.identify(docs, language_id.fit(docs), host=F.col("source"))
     return found.filter("accepted").select(*docs.columns)
 
 
@@ -30,13 +31,9 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates."""
-    return simhash.drop_near_duplicates(docs, words=3, bits=3).select(*docs.columns)
-
-
-def without_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles."""
-    return jaccard.drop_similar(docs, words=5, similarity=0.8).select(*docs.columns)
+    """Keeps the document with the smallest id of each group linked by a Jaccard similarity of 0.8 or more of five-word
+    shingles; candidates come from SimHash chains and, as these alone miss most such pairs, from MinHash bands."""
+    return jaccard.drop_similar(docs, words=5, similarity=0.8, bits=3).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +53,6 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("language_id", known_language),
     ("line_dedup", without_common_lines),
     ("simhash_near_dedup", without_near_duplicates),
-    ("jaccard_near_dedup", without_similar),
     ("mixing", mixed),
     ("bpe", tokenized),
 ]
@@ -66,12 +62,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``, with each one's result as a table below the checkpoint folder."""
+    """Applies the stages to ``documents``, with each one's result as a table below the checkpoint folder; a table goes
+    as soon as the next one is written, the last one with the folder."""
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            remove_folder(spark, before)
+        before = f"{folder}/{name}"
     return docs
 
 
