@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .runtime import BROADCAST_ROWS, cut, free_name, lookup, numbered
 
-BITS, STEP = 60, 10
+BITS, STEP = 60, 6
 
 
 def hash_of(row_id: Column) -> Column:
@@ -32,8 +32,8 @@ def _name(depth: Column, prefix: Column) -> Column:
 def _placed(rows: DataFrame, limit: int) -> DataFrame:
     """Of (h, bytes, ...): adds depth, shard, shard_bytes and shard_docs. Only buckets of depth BITS may be over the limit.
 
-    A round costs one aggregation of the rows under way to at most 2**STEP cells a large cell, aggregations of
-    cells, and one join of the rows to their cells.
+    A round costs one aggregation of the rows under way to at most 2**STEP cells a large cell (so cells are in number as
+    the bytes over the limit, not as the rows), aggregations of cells, and one join of the rows to their cells.
     """
     active, top, done = rows, 0, []
     while True:
@@ -42,11 +42,15 @@ def _placed(rows: DataFrame, limit: int) -> DataFrame:
         cells = cut(active.groupBy(cell.alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("docs")))
         at = F.explode(F.sequence(F.lit(top), F.lit(deep))).alias("depth")
         above = cells.select("cell", "bytes", "docs", at).withColumn("prefix", F.expr(f"shiftright(cell, {deep} - depth)"))
-        buckets = above.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("docs").alias("shard_docs"))
-        # A cell's bucket is the first on its way down that fits; at the first depth of a later round none does.
-        fits = ((F.col("shard_bytes") <= limit) & (F.lit(top == 0) | (F.col("depth") > top))) | (F.col("depth") == BITS)
-        first = lookup(above.select("cell", "depth", "prefix"), cut(buckets.filter(fits)), ["depth", "prefix"], "inner")
-        first = first.groupBy("cell").agg(F.min_by(F.struct("depth", "prefix", "shard_bytes", "shard_docs"), "depth").alias("b"))
+        buckets = cut(above.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("docs").alias("shard_docs")))
+        # A leaf fits, and its parent does not; at the first depth of a later round no bucket does.
+        over = (F.col("shard_bytes") > limit) & (F.col("depth") < BITS)
+        split = cut(buckets.filter(over).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent")))
+        fitting = buckets.filter(~over & (F.col("depth") > top)).withColumn("parent", F.shiftright("prefix", 1))
+        leaves = lookup(fitting, split, ["depth", "parent"], "left_semi").drop("parent")
+        if top == 0:
+            leaves = leaves.unionByName(buckets.filter(~over & (F.col("depth") == 0)))
+        first = lookup(above.select("cell", "depth", "prefix"), cut(leaves), ["depth", "prefix"], "inner").select("cell", F.struct("depth", "prefix", "shard_bytes", "shard_docs").alias("b"))
         entries = cut(lookup(cells.select("cell"), cut(first), ["cell"]).select("cell", "b.*"))
         found = lookup(active.withColumn("cell", cell), entries, ["cell"], "inner").drop("cell")
         placed = found.filter("depth is not null").select(*rows.columns, "depth", _name(F.col("depth"), F.col("prefix")).alias("shard"), "shard_bytes", "shard_docs")
