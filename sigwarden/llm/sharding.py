@@ -39,20 +39,23 @@ def _placed(rows: DataFrame, limit: int) -> DataFrame:
     while True:
         deep = min(top + STEP, BITS)
         cell = F.shiftright("h", BITS - deep)
-        cells = cut(active.groupBy(cell.alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("docs")))
+        cells = cut(active.groupBy(cell.alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("docs"), F.min("h").alias("least"), F.max("h").alias("most")))
+        n = cells.count()
         at = F.explode(F.sequence(F.lit(top), F.lit(deep))).alias("depth")
         above = cells.select("cell", "bytes", "docs", at).withColumn("prefix", F.expr(f"shiftright(cell, {deep} - depth)"))
         buckets = cut(above.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("docs").alias("shard_docs")))
         # A leaf fits, and its parent does not; at the first depth of a later round no bucket does.
-        over = (F.col("shard_bytes") > limit) & (F.col("depth") < BITS)
-        split = cut(buckets.filter(over).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent")))
+        over = F.col("shard_bytes") > limit
+        split = buckets.filter(over).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"))
         fitting = buckets.filter(~over & (F.col("depth") > top)).withColumn("parent", F.shiftright("prefix", 1))
-        leaves = lookup(fitting, split, ["depth", "parent"], "left_semi").drop("parent")
+        leaves = lookup(fitting, split, ["depth", "parent"], "left_semi", rows=n).drop("parent")
         if top == 0:
             leaves = leaves.unionByName(buckets.filter(~over & (F.col("depth") == 0)))
-        first = lookup(above.select("cell", "depth", "prefix"), cut(leaves), ["depth", "prefix"], "inner").select("cell", F.struct("depth", "prefix", "shard_bytes", "shard_docs").alias("b"))
-        entries = cut(lookup(cells.select("cell"), cut(first), ["cell"]).select("cell", "b.*"))
-        found = lookup(active.withColumn("cell", cell), entries, ["cell"], "inner").drop("cell")
+        first = lookup(above.select("cell", "depth", "prefix"), leaves, ["depth", "prefix"], "inner", rows=n).select("cell", F.struct("depth", "prefix", "shard_bytes", "shard_docs").alias("b"))
+        # A large cell of one hash alone can't be split by further bits.
+        alone = F.when((F.col("least") == F.col("most")) & (F.col("bytes") > limit), F.struct(F.lit(BITS).alias("depth"), F.col("least").alias("prefix"), F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs")))
+        entries = cut(lookup(cells, first, ["cell"], rows=n).select("cell", F.coalesce("b", alone).alias("b")).select("cell", "b.*"))
+        found = lookup(active.withColumn("cell", cell), entries, ["cell"], "inner", rows=n).drop("cell")
         placed = found.filter("depth is not null").select(*rows.columns, "depth", _name(F.col("depth"), F.col("prefix")).alias("shard"), "shard_bytes", "shard_docs")
         done.append(placed)
         if not entries.filter("depth is null").limit(1).count():
