@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import running_sums
+
 #: Spread below this is flat.
 FLAT = 1e-6
 
@@ -85,13 +87,11 @@ def sample_kurtosis(c: Column | str) -> Column:
 def with_average_rank(df: DataFrame, value: str, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Adds the average rank of ``value`` among its non-null values, within ``by``.
 
-    Ranks come from the counts of different values, which is all that the ordered window sees; a group's
-    rows are never sorted as a whole, and without ``by`` only the different values meet in one task.
+    Ranks come from the counts of different values, summed over ranges of them, so no task sees a group as a whole.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*[F.col(b) for b in by]).orderBy(value)
-    before = F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")
-    ranked = counts.select(*by, value, (before + (F.col("__n") + 1) / 2.0).alias(name))
+    placed = running_sums(counts, [F.col(value)], {"__before": F.col("__n")}, by)
+    ranked = placed.select(*by, value, (F.col("__before") + (F.col("__n") + 1) / 2.0).alias(name))
     return df.join(ranked, [*by, value], "left") if not by else df.join(ranked, _null_safe(df, ranked, [*by, value]), "left").drop(*[ranked[c] for c in (*by, value)])
 
 
@@ -117,8 +117,8 @@ def rank_sums(df: DataFrame, value: str, group: Column, by: Sequence[str] = ())
     """
     rows = df.select(*by, F.col(value).alias("__v"), group.alias("__g")).filter("__v is not null and __g is not null")
     counts = rows.groupBy(*by, "__v").agg(F.sum(F.col("__g").cast("long")).alias("__a"), F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*[F.col(b) for b in by]).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("__r", F.sum("__n").over(w) - F.col("__n") + (F.col("__n") + 1) / 2.0)
+    placed = running_sums(counts, [F.col("__v")], {"__before": F.col("__n")}, by)
+    ranked = placed.withColumn("__r", F.col("__before") + (F.col("__n") + 1) / 2.0)
     n = F.col("__n").cast("double")
     sums = ranked.groupBy(*by).agg(F.sum("__a").alias("n_a"), F.sum(F.col("__n") - F.col("__a")).alias("n_b"), F.sum(F.col("__r") * F.col("__a")).alias("rank_sum_a"), F.sum(n * n * n - n).alias("ties"))
     a, b = F.col("n_a").cast("double"), F.col("n_b").cast("double")
@@ -142,6 +142,12 @@ def normal_p(z: Column, sides: int = 2) -> Column:
     return erfc if sides == 2 else upper
 
 
+def hashed_uniform(*parts: Column) -> Column:
+    """A number in (0, 1) from the MD5 of the parts' texts: the same for equal parts on any cluster and in SQL."""
+    digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
+
+
 #: Added before results are rounded, so that means which end in an exact 5 don't depend on the last bit.
 NUDGE = 3e-10
 

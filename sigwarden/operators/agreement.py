@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.stats import both, clip, indicator, kappa, percentile, ratio, safe_corr, spearman
+from ..functions.ordered import quantiles, running_sums
+from ..functions.stats import both, clip, hashed_uniform, indicator, kappa, ratio, safe_corr, spearman
+from ..session import cut
 
 
 def bland_altman(df: DataFrame, a: str, b: str, by: Sequence[str] = (), rollup: bool = False, least: int = 5) -> DataFrame:
@@ -95,9 +97,9 @@ def head_to_head(df: DataFrame, in_house: str, template: str, accepted: str, by:
 
 def motion_effect(df: DataFrame, motion: str, error: str, quality: Sequence[str]) -> DataFrame:
     """One row: top-quartile motion, mean error above and below it, rank correlations of motion with error and each quality column."""
-    quartile = df.agg(percentile(motion, 0.75).alias("q75"))
-    high = F.col(motion) >= F.col("q75")
-    out = df.join(F.broadcast(quartile)).groupBy("q75").agg(F.avg(F.when(high, F.col(error))).alias("error_high"), F.avg(F.when(~high, F.col(error))).alias("error_low"), F.count(motion).alias("n"))
+    q75 = quantiles(df, [motion], [0.75])[motion][0]
+    high = F.col(motion) >= F.lit(q75).cast("double")
+    out = df.withColumn("q75", F.lit(q75).cast("double")).groupBy("q75").agg(F.avg(F.when(high, F.col(error))).alias("error_high"), F.avg(F.when(~high, F.col(error))).alias("error_low"), F.count(motion).alias("n"))
     for c in (error, *quality):
         out = out.join(F.broadcast(spearman(df, motion, c).select(F.col("rho").alias(f"rho_{c}"))))
     return out
@@ -130,33 +132,58 @@ def score_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = ())
     return rows.groupBy(*by, "score").agg(F.sum("__y").alias("pos"), F.sum(1 - F.col("__y")).alias("neg"))
 
 
-def ranking_curve(df: DataFrame, score: str, label: str) -> DataFrame:
-    """(score, tp, fp, tpr, fpr, precision, recall, f1, youden, balanced_accuracy) when rows from ``score`` up are positive.
-
-    Ties are one point. The ordered window sees different scores only.
-    """
-    w = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    c = score_counts(df, score, label).select("score", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"), F.sum("pos").over(whole).alias("p"), F.sum("neg").over(whole).alias("n"))
-    tp, fp, p, n = (F.col(x).cast("double") for x in ("tp", "fp", "p", "n"))
+def _curve(df: DataFrame, score: str, label: str) -> DataFrame:
+    """The curve's points, with tpr_before and fpr_before, those of the next higher score (0 at the highest)."""
+    counts = cut(score_counts(df, score, label))
+    all_pos, all_neg = counts.agg(F.coalesce(F.sum("pos"), F.lit(0)), F.coalesce(F.sum("neg"), F.lit(0))).first()
+    c = running_sums(counts, [F.col("score").desc()], {"tp0": F.col("pos"), "fp0": F.col("neg")}).withColumns({"tp": F.col("tp0") + F.col("pos"), "fp": F.col("fp0") + F.col("neg")})
+    tp, fp, p, n = F.col("tp").cast("double"), F.col("fp").cast("double"), F.lit(float(all_pos)), F.lit(float(all_neg))
     return c.select(
         "score", "tp", "fp", ratio(tp, p).alias("tpr"), ratio(fp, n).alias("fpr"), ratio(tp, tp + fp).alias("precision"), ratio(tp, p).alias("recall"),
         ratio(2 * tp, 2 * tp + fp + (p - tp)).alias("f1"), (ratio(tp, p) - ratio(fp, n)).alias("youden"), ((ratio(tp, p) + 1 - ratio(fp, n)) / 2).alias("balanced_accuracy"),
+        ratio(F.col("tp0").cast("double"), p).alias("tpr_before"), ratio(F.col("fp0").cast("double"), n).alias("fpr_before"),
     )
 
 
+def ranking_curve(df: DataFrame, score: str, label: str) -> DataFrame:
+    """(score, tp, fp, tpr, fpr, precision, recall, f1, youden, balanced_accuracy) when rows from ``score`` up are positive.
+
+    Ties are one point. Different scores are summed in ranges, so no task sees them all.
+    """
+    return _curve(df, score, label).drop("tpr_before", "fpr_before")
+
+
 def best_thresholds(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row: AUROC, average precision, the thresholds of the best Youden index and F1 (ties: the highest threshold)."""
-    curve = ranking_curve(df, score, label)
-    w = Window.orderBy(F.col("score").desc())
-    before = curve.withColumns({"__r": F.coalesce(F.lag("recall").over(w), F.lit(0.0)), "__f": F.coalesce(F.lag("fpr").over(w), F.lit(0.0)), "__t": F.coalesce(F.lag("tpr").over(w), F.lit(0.0))})
     best = lambda c: F.max_by("score", F.struct(F.col(c), F.col("score")))
-    return before.agg(
-        F.sum((F.col("fpr") - F.col("__f")) * (F.col("tpr") + F.col("__t")) / 2).alias("auroc"), F.sum((F.col("recall") - F.col("__r")) * F.col("precision")).alias("average_precision"),
+    return _curve(df, score, label).agg(
+        F.sum((F.col("fpr") - F.col("fpr_before")) * (F.col("tpr") + F.col("tpr_before")) / 2).alias("auroc"), F.sum((F.col("recall") - F.col("tpr_before")) * F.col("precision")).alias("average_precision"),
         best("youden").alias("youden_threshold"), F.max("youden").alias("youden"), best("f1").alias("f1_threshold"), F.max("f1").alias("f1"),
     )
 
 
+def threshold_intervals(df: DataFrame, score: str, label: str, replicates: int = 200, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """One row: bounds of AUROC, average precision and the best Youden and F1 thresholds over resampled rows.
+
+    Resampling rows is drawing Poisson counts for the cells (score, label); a replicate's curve is built from these
+    by a window within the replicate, which sees different scores only.
+    """
+    counts = score_counts(df, score, label)
+    cells = counts.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    drawn = cells.select("b", "score", _poisson(F.col("pos"), F.xxhash64("score", "b", F.lit(seed)), F.col("b")).alias("p"), _poisson(F.col("neg"), F.xxhash64("score", "b", F.lit(seed + 1)), F.col("b")).alias("q"))
+    w, whole = Window.partitionBy("b").orderBy(F.col("score").desc()), Window.partitionBy("b")
+    tp, fp, p, n = F.sum("p").over(w), F.sum("q").over(w), F.sum("p").over(whole), F.sum("q").over(whole)
+    c = drawn.select("b", "score", "p", "q", tp.cast("double").alias("tp"), fp.cast("double").alias("fp"), p.cast("double").alias("all_p"), n.cast("double").alias("all_n"))
+    tp, fp = F.col("tp"), F.col("fp")
+    best = lambda e: F.max_by("score", F.struct(e, F.col("score")))
+    by = c.groupBy("b").agg(
+        F.sum(ratio(F.col("q") * (tp - F.col("p") / 2), F.col("all_p") * F.col("all_n"))).alias("auroc"), F.sum(ratio(F.col("p"), F.col("all_p")) * F.coalesce(ratio(tp, tp + fp), F.lit(0.0))).alias("average_precision"),
+        best(ratio(tp, F.col("all_p")) - ratio(fp, F.col("all_n"))).alias("youden_threshold"), best(ratio(2 * tp, tp + fp + F.col("all_p"))).alias("f1_threshold"),
+    )
+    tail = (1 - confidence) / 2
+    return by.agg(*[F.percentile(c, F.lit(q)).alias(f"{c}_{name}") for c in ("auroc", "average_precision", "youden_threshold", "f1_threshold") for name, q in (("low", tail), ("high", 1 - tail))])
+
+
 def f1_score(prediction: Column, label: Column) -> Column:
     """0 where undefined."""
     tp, wrong = F.count_if(prediction & label), F.count_if(prediction != label)
@@ -202,7 +229,7 @@ def recalibrate(df: DataFrame, score: str, label: str, thresholds: Sequence[floa
 
 def recalibrate_with_holdout(df: DataFrame, score: str, label: str, row_id: str, thresholds: Sequence[float], seed: int = 0) -> DataFrame:
     """Tunes on one half of the rows and reports kappa and agreement on the other; halves by a hash of the row id."""
-    half = F.pmod(F.xxhash64(F.col(row_id), F.lit(seed)), F.lit(2)) == 0
+    half = hashed_uniform(F.lit(seed), F.col(row_id)) < 0.5
     best = recalibrate(df.filter(half), score, label, thresholds).select("threshold", F.col("kappa").alias("calibration_kappa"))
     held = threshold_grid(df.filter(~half), score, label, thresholds)
     return held.join(F.broadcast(best), "threshold").select("threshold", "calibration_kappa", F.col("kappa").alias("holdout_kappa"), F.col("agreement").alias("holdout_agreement"), F.col("n").alias("n_holdout"))

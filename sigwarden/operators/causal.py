@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ordered import quantiles
 from ..functions.stats import safe_corr
+from ..session import cut
 
 # The default graph, cause before effect.
 WEARABLE_EDGES = (
@@ -105,9 +107,8 @@ def binarized(df: DataFrame, column: str, name: str = "t", at_least: bool = Fals
         return df.withColumn(name, (F.col(column) == F.lit(max(levels))).cast("double"))
     if not numeric:
         raise ValueError(f"{column} has more than two levels and is not a number")
-    m = df.agg(F.percentile(column, F.lit(0.5)).alias("__median"))
-    c = F.col(column) >= F.col("__median") if at_least else F.col(column) > F.col("__median")
-    return df.join(F.broadcast(m)).withColumn(name, c.cast("double")).drop("__median")
+    m = F.lit(quantiles(df, [column], [0.5])[column][0]).cast("double")
+    return df.withColumn(name, (F.col(column) >= m if at_least else F.col(column) > m).cast("double"))
 
 
 def gram(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> np.ndarray:
@@ -253,8 +254,10 @@ def positivity(df: DataFrame, treatment: str, adjust: Sequence[str], least: int
         return None
     p = F.col("ps")
     w = F.when(F.col("t") == 1, 1 / p).otherwise(1 / (1 - p))
-    return with_propensity(rows, held, clip=(1e-6, 1 - 1e-6)).agg(
-        F.lit(treatment).alias("treatment"), F.count(F.lit(1)).alias("n"), F.min(p).alias("ps_min"), F.max(p).alias("ps_max"), F.avg(p).alias("ps_mean"), F.percentile(p, F.lit(0.05)).alias("ps_p05"), F.percentile(p, F.lit(0.95)).alias("ps_p95"),
+    scored = cut(with_propensity(rows, held, clip=(1e-6, 1 - 1e-6)))
+    low, high = quantiles(scored, ["ps"], [0.05, 0.95])["ps"]
+    return scored.agg(
+        F.lit(treatment).alias("treatment"), F.count(F.lit(1)).alias("n"), F.min(p).alias("ps_min"), F.max(p).alias("ps_max"), F.avg(p).alias("ps_mean"), F.lit(low).alias("ps_p05"), F.lit(high).alias("ps_p95"),
         F.avg(((p < 0.05) | (p > 0.95)).cast("double")).alias("outside"), (F.sum(w) ** 2 / F.sum(w * w)).alias("effective_n"),
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ordered import quantiles
 from ..functions.stats import safe_corr, with_average_rank
 from . import reliability
 from .trust import COMPONENTS, WEIGHTS, category, component_scores, overall, overall_from_components
@@ -16,12 +17,15 @@ from .trust import COMPONENTS, WEIGHTS, category, component_scores, overall, ove
 
 def with_quartiles(df: DataFrame, column: str, name: str = "stratum") -> DataFrame:
     """Q1 to Q4 by exact quartiles, right-closed; if edges coincide, low and high around the median."""
-    e = df.agg(*[F.percentile(column, F.lit(q / 4)).alias(f"__q{q}") for q in range(5)])
+    edges = quantiles(df, [column], [q / 4 for q in range(5)])[column]
     c = F.col(column)
-    distinct = (F.col("__q0") < F.col("__q1")) & (F.col("__q1") < F.col("__q2")) & (F.col("__q2") < F.col("__q3")) & (F.col("__q3") < F.col("__q4"))
-    quarters = F.when(c <= F.col("__q1"), "Q1").when(c <= F.col("__q2"), "Q2").when(c <= F.col("__q3"), "Q3").otherwise("Q4")
-    halves = F.when(c <= F.col("__q2"), "low").otherwise("high")
-    return df.join(F.broadcast(e)).withColumn(name, F.when(c.isNotNull(), F.when(distinct, quarters).otherwise(halves))).drop(*[f"__q{q}" for q in range(5)])
+    if None in edges:
+        return df.withColumn(name, F.lit(None).cast("string"))
+    if len(set(edges)) == 5:
+        cuts = F.when(c <= edges[1], "Q1").when(c <= edges[2], "Q2").when(c <= edges[3], "Q3").otherwise("Q4")
+    else:
+        cuts = F.when(c <= edges[2], "low").otherwise("high")
+    return df.withColumn(name, F.when(c.isNotNull(), cuts))
 
 
 def stratified(df: DataFrame, column: str, binning: str = "quartile", name: str = "stratum") -> DataFrame:

@@ -13,7 +13,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import rank_sums, spearman
+from ..functions.ordered import quantiles
+from ..functions.stats import hashed_uniform, rank_sums, spearman
+from ..session import cut
 from .agreement import expected_calibration_error, f1_score
 
 # Model features.
@@ -23,8 +25,8 @@ FEATURES = ("resting_hr", "hrv_rmssd", "hrv_sdnn", "step_count", "active_minutes
 def prepared(df: DataFrame, features: Sequence[str] = FEATURES, target: str = "signal_quality_ground_truth", threshold: float = 0.7) -> tuple[DataFrame, list[str]]:
     """The features that are there with missing values set to the exact median (0 without any), and the 0/1 target."""
     held = [f for f in features if f in df.columns]
-    m = df.agg(*[F.percentile(f, F.lit(0.5)).alias(f) for f in held]).first()
-    filled = {f: F.coalesce(F.col(f).cast("double"), F.lit(float(m[f]) if m[f] is not None else 0.0)) for f in held}
+    m = quantiles(df, held, [0.5])
+    filled = {f: F.coalesce(F.col(f).cast("double"), F.lit(m[f][0] if m[f][0] is not None else 0.0)) for f in held}
     return df.withColumns(filled).withColumn("label", (F.col(target) >= threshold).cast("int")), held
 
 
@@ -34,6 +36,12 @@ def split(df: DataFrame, key: Sequence[str], test: float = 0.2, seed: int = 42)
     return df.filter(u >= test), df.filter(u < test)
 
 
+def _hashed_normal(seed: int, name: str, key: Sequence[str]):
+    """A standard normal number for each row key, the same under any partitioning."""
+    u, v = (hashed_uniform(F.lit(seed), F.lit(f"{name}/{x}"), *[F.col(k) for k in key]) for x in "ra")
+    return F.sqrt(-2 * F.log(u)) * F.cos(2 * np.pi * v)
+
+
 def _scores(df: DataFrame, score: str) -> dict:
     auc = rank_sums(df, score, F.col("label") == 1).first()
     f1 = df.agg(f1_score(F.col(score) >= 0.5, F.col("label") == 1).alias("f1")).first()["f1"]
@@ -55,7 +63,7 @@ def train_baselines(df: DataFrame, key: Sequence[str] = ("participant_id", "date
         vector = [VectorAssembler(inputCols=held, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
         learners = {"logistic_regression": LogisticRegression(maxIter=100, regParam=1.0 / max(n[0], 1), standardization=False), "random_forest": RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)}
         spread = train.agg(*[F.stddev_pop(f).alias(f) for f in held]).first()
-        noise = test.withColumns({f: F.col(f) + 0.05 * float(spread[f] or 0.0) * F.randn(seed + i) for i, f in enumerate(held)})
+        noise = test.withColumns({f: F.col(f) + 0.05 * float(spread[f] or 0.0) * _hashed_normal(seed, f, key) for f in held})
         for name, learner in learners.items():
             model = Pipeline(stages=[*vector, learner]).fit(train)
             scored = model.transform(test).select(*key, "label", F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
@@ -66,7 +74,9 @@ def train_baselines(df: DataFrame, key: Sequence[str] = ("participant_id", "date
         trees_ = fit_isolation_forest(train, held, trees, seed=seed)
         normal = isolation_scores(test, held, trees_)
         a = _scores(normal, "normality")
-        out.append(("isolation_forest", a["auroc"], a["f1"], None, None, *n))
+        shaken = isolation_scores(noise, held, trees_).select(*key, F.col("normality").alias("q"))
+        kept = normal.join(shaken, list(key)).agg(F.avg(((F.col("normality") >= 0.5) == (F.col("q") >= 0.5)).cast("double")).alias("r")).first()["r"]
+        out.append(("isolation_forest", a["auroc"], a["f1"], None, kept, *n))
     else:
         out = [(name, None, None, None, None, *n) for name in ("logistic_regression", "random_forest", "isolation_forest")]
     for d in (train, test):
@@ -81,10 +91,9 @@ SAMPLE = 256
 
 def fit_isolation_forest(df: DataFrame, features: Sequence[str], trees: int = 200, sample: int = SAMPLE, seed: int = 42) -> list[list[tuple]]:
     """Trees over samples of ``sample`` rows, as lists of nodes (feature, split, left, right, path length at a leaf)."""
-    total = df.count()
     rng = np.random.default_rng(seed)
-    wanted = min(total, 20 * sample)
-    rows = df.select(*features).sample(fraction=min(1.0, 1.2 * wanted / max(total, 1)), seed=seed).limit(wanted).toPandas().to_numpy(float)
+    # The rows of the smallest hashes of their values: a sample of bounded size that does not depend on the partitioning.
+    rows = df.select(*features).orderBy(F.xxhash64(F.lit(seed), *features), *features).limit(20 * sample).toPandas().to_numpy(float)
     return [_grow(rows[rng.choice(len(rows), min(sample, len(rows)), replace=False)], rng) for _ in range(trees)] if len(rows) else []
 
 
@@ -110,7 +119,7 @@ def _grow(x: np.ndarray, rng: np.random.Generator) -> list[tuple]:
     return [tuple(n) for n in nodes]
 
 
-def isolation_scores(df: DataFrame, features: Sequence[str], trees: list[list[tuple]], sample: int = SAMPLE, contamination: float = 0.2) -> DataFrame:
+def isolation_scores(df: DataFrame, features: Sequence[str], trees: list[list[tuple]], sample: int = SAMPLE, contamination: float = 0.2, limit: float | None = None) -> DataFrame:
     """``df`` with ``normality`` in (0, 1): over 0.5 for all but about the ``contamination`` share of the rows."""
     packed = [tuple(np.array(c) for c in zip(*t)) for t in trees]
     unit = max(_average_path(sample), 1e-9)
@@ -128,8 +137,9 @@ def isolation_scores(df: DataFrame, features: Sequence[str], trees: list[list[tu
             yield pdf.assign(isolation=2 ** (-(depth / max(len(packed), 1)) / unit))
 
     scored = df.mapInPandas(run, f"{', '.join(f'`{n}` {t}' for n, t in df.dtypes)}, isolation double")
-    limit = scored.agg(F.percentile("isolation", F.lit(1 - contamination)).alias("__limit"))
-    return scored.join(F.broadcast(limit)).withColumn("normality", 1 / (1 + F.exp(20 * (F.col("isolation") - F.col("__limit"))))).drop("__limit", "isolation")
+    scored = cut(scored)
+    limit = quantiles(scored, ["isolation"], [1 - contamination])["isolation"][0] if limit is None else limit
+    return scored.withColumn("normality", 1 / (1 + F.exp(20 * (F.col("isolation") - F.lit(limit).cast("double"))))).drop("isolation")
 
 
 # reconstruction error of a linear autoencoder: what the retained principal directions don't explain
@@ -196,55 +206,57 @@ def _adder(i: int):
 # leave one subject out
 
 
-def _newton(x: np.ndarray, y: np.ndarray, c: float = 1.0) -> np.ndarray:
-    x = np.c_[np.ones(len(x)), x]
-    beta, penalty = np.zeros(x.shape[1]), np.diag([0.0, *[1 / c] * (x.shape[1] - 1)])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.lstsq(x.T @ (x * (p * (1 - p))[:, None]) + penalty, x.T @ (y - p) - penalty @ beta, rcond=None)[0]
-        beta = beta + step
-        if np.abs(step).max() < 1e-8:
-            break
-    return beta
-
-
-def loso_classify(df: DataFrame, features: Sequence[str], label: str, subject: str = "subject_id", least: int = 10) -> DataFrame:
+def loso_classify(df: DataFrame, features: Sequence[str], label: str, subject: str = "subject_id", least: int = 10, tolerance: float = 1e-8, steps: int = 100) -> DataFrame:
     """(subject, n, auroc) of logistic models trained on all other subjects; folds under ``least`` rows or with one class are left out.
 
-    All folds take their Newton steps together: one grouped aggregation a step, over rows met with the small table of
-    the other subjects' folds. The number of folds multiplies the work, not what is shuffled.
+    A fold's features are scaled by the means and deviations of its own training rows, which are the sums of all less the
+    held-out subject's. All folds take their Newton steps together: one grouped aggregation a step, over rows met with
+    the small table of the other subjects' folds. The number of folds multiplies the work, not what is shuffled. A fold
+    that has not converged after ``steps`` steps is an error.
     """
-    rows = df.select(subject, *features, F.col(label).cast("double").alias("y")).dropna()
-    s = rows.agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
-    z = rows.select(subject, "y", *[((F.col(f) - float(s[f"m_{f}"] or 0)) / float(s[f"s_{f}"] or 1.0)).alias(f) for f in features]).cache()
-    subjects = sorted(r[0] for r in z.select(subject).distinct().collect())
-    names = ["__one", *features]
-    k = len(names)
-    penalty = np.diag([0.0, *[1.0] * len(features)])
-    betas = {u: np.zeros(k) for u in subjects}
-    held = z.withColumn("__one", F.lit(1.0))
+    rows = cut(df.select(F.col(subject), *features, F.col(label).cast("double").alias("y")).dropna())
+    sums = [F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(f).cast("double").alias(f"s_{f}") for f in features], *[F.sum(F.col(f) * F.col(f)).cast("double").alias(f"q_{f}") for f in features]]
+    own = rows.groupBy(subject).agg(*sums).collect()
+    if not own:
+        return df.sparkSession.createDataFrame([], f"{subject} {df.schema[subject].dataType.simpleString()}, n long, auroc double")
+    total = {c: sum(r[c] for r in own) for c in own[0].asDict() if c != subject}
+    k = len(features) + 1
+    scale, betas = {}, {}
+    for r in own:
+        n = total["n"] - r["n"]
+        mean = [(total[f"s_{f}"] - r[f"s_{f}"]) / n if n else 0.0 for f in features]
+        var = [(total[f"q_{f}"] - r[f"q_{f}"]) / n - m * m if n else 0.0 for f, m in zip(features, mean)]
+        scale[r[subject]] = (mean, [v**0.5 if v > 1e-12 * (1 + m * m) else 1.0 for v, m in zip(var, mean)])
+        betas[r[subject]] = np.zeros(k)
+    kind = df.schema[subject].dataType.simpleString()
+
+    def table(name: str, subjects) -> DataFrame:
+        return F.broadcast(df.sparkSession.createDataFrame([(u, [float(b) for b in betas[u]], *scale[u]) for u in subjects], f"{name} {kind}, beta array<double>, mean array<double>, dev array<double>"))
+
+    xs = [F.lit(1.0), *[(F.col(f) - F.get("mean", F.lit(i))) / F.get("dev", F.lit(i)) for i, f in enumerate(features)]]
+    eta = sum((x * F.get("beta", F.lit(i)) for i, x in enumerate(xs)), F.lit(0.0))
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    for _ in range(8):
-        folds = df.sparkSession.createDataFrame([(u, [float(b) for b in betas[u]]) for u in subjects], f"fold {df.schema[subject].dataType.simpleString()}, beta array<double>")
-        eta = sum((F.col(x) * F.get("beta", F.lit(i)) for i, x in enumerate(names)), F.lit(0.0))
-        p = 1 / (1 + F.exp(-eta))
-        m = held.join(F.broadcast(folds), F.col(subject) != F.col("fold"))
-        sums = m.groupBy("fold").agg(*[F.sum((F.col("y") - p) * F.col(x)).alias(f"g{i}") for i, x in enumerate(names)], *[F.sum(p * (1 - p) * F.col(names[i]) * F.col(names[j])).alias(f"h{i}_{j}") for i, j in pairs]).collect()
-        moved = 0.0
-        for r in sums:
+    penalty = np.diag([0.0, *[1.0] * len(features)])
+    open_ = set(betas)
+    for _ in range(steps):
+        m = rows.join(table("fold", sorted(open_)), F.col(subject) != F.col("fold")).select("fold", "y", (1 / (1 + F.exp(-eta))).alias("p"), *[x.alias(f"x{i}") for i, x in enumerate(xs)])
+        p = F.col("p")
+        found = m.groupBy("fold").agg(*[F.sum((F.col("y") - p) * F.col(f"x{i}")).alias(f"g{i}") for i in range(k)], *[F.sum(p * (1 - p) * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"h{i}_{j}") for i, j in pairs]).collect()
+        open_ = set()
+        for r in found:
             h = penalty.copy()
             for i, j in pairs:
                 h[i, j] += r[f"h{i}_{j}"]
-                if i != j:
-                    h[j, i] = h[i, j]
+                h[j, i] = h[i, j]
             step = np.linalg.lstsq(h, np.array([r[f"g{i}"] for i in range(k)]) - penalty @ betas[r["fold"]], rcond=None)[0]
             betas[r["fold"]] = betas[r["fold"]] + step
-            moved = max(moved, float(np.abs(step).max()))
-        if moved < 1e-6:
+            if float(np.abs(step).max()) > tolerance:
+                open_.add(r["fold"])
+        if not open_:
             break
-    folds = df.sparkSession.createDataFrame([(u, [float(b) for b in betas[u]]) for u in subjects], f"{subject} {df.schema[subject].dataType.simpleString()}, beta array<double>")
-    eta = sum((F.col(x) * F.get("beta", F.lit(i)) for i, x in enumerate(names)), F.lit(0.0))
-    scored = held.join(F.broadcast(folds), subject).select(subject, eta.alias("score"), "y")
+    else:
+        raise RuntimeError(f"{len(open_)} folds have not converged after {steps} steps")
+    scored = rows.join(table(subject, sorted(betas)), subject).select(subject, eta.alias("score"), "y")
     out = rank_sums(scored, "score", F.col("y") == 1, [subject]).filter((F.col("n_a") + F.col("n_b") >= least) & (F.col("n_a") > 0) & (F.col("n_b") > 0))
     return out.select(subject, (F.col("n_a") + F.col("n_b")).alias("n"), "auroc")
 

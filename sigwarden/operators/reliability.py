@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import clip, percentile, ratio, safe_corr
+from ..functions.stats import clip, hashed_uniform, percentile, ratio, safe_corr
 
 
 def weekly_means(df: DataFrame, value: str, key: str = "participant_id", date: str = "date", anchor_on_values: bool = False) -> DataFrame:
@@ -56,7 +56,7 @@ def pair_statistics(pairs: DataFrame, key: str) -> DataFrame:
 
 def bootstrap_weight(key, replicate, seed: int):
     """How often a cluster is drawn in a replicate: Poisson(1), by inversion of a hash, so that no draw is shared between tasks."""
-    u = (F.pmod(F.xxhash64(key, replicate, F.lit(seed)), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
+    u = hashed_uniform(F.lit(seed), replicate, key)
     p, total, out = np.exp(-1.0), 0.0, F.lit(0)
     for k in range(12):
         total += p / np.prod(range(1, k + 1)) if k else p

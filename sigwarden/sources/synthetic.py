@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stats import clip
+from ..functions.stats import clip, hashed_uniform
 
 
 @dataclass(frozen=True)
@@ -41,7 +41,7 @@ class Cohort:
 
 def uniform(seed: int, name: str, *key: Column) -> Column:
     """In (0, 1)."""
-    return (F.pmod(F.xxhash64(F.lit(seed), F.lit(name), *key), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    return hashed_uniform(F.lit(seed), F.lit(name), *key)
 
 
 def normal(seed: int, name: str, *key: Column) -> Column:
