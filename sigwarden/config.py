@@ -33,3 +33,9 @@ def load(*paths: str | Path) -> SimpleNamespace:
     for p in paths:
         out = _merged(out, yaml.safe_load(Path(p).read_text()) or {})
     return _object(out)
+
+
+def resolve(path: str | Path, root: str | Path | None = None) -> Path:
+    """An absolute path as it is, any other below ``root`` (by default the repository)."""
+    p = Path(path)
+    return p if p.is_absolute() else Path(root or Path(__file__).resolve().parents[1]) / p

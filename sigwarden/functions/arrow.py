@@ -60,6 +60,19 @@ def scan_changes(df: DataFrame, value: str, key: str = "participant_id", order:
     return series.mapInPandas(scan, f"{key} {kind}, {CHANGES}")
 
 
+def best_splits(df: DataFrame, value: str, key: str = "participant_id", order: str = "date") -> DataFrame:
+    """(key, split, gain) of each series of at least 5 values: the split with the largest fall in squared error."""
+    rows = df.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")).alias("s"))
+    series = rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["v"]).alias("vs")).filter(F.size("vs") >= 5)
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [k.best_split(_array(v)) for v in pdf["vs"]]
+            yield pd.DataFrame({key: pdf[key], "split": [i for i, _ in found], "gain": [round(g, 6) for _, g in found]})
+
+    return series.mapInPandas(split, f"{key} {df.schema[key].dataType.simpleString()}, split long, gain double")
+
+
 def stratify_before_after(df: DataFrame, value: str, changes: DataFrame, key: str = "participant_id", order: str = "date") -> DataFrame:
     """(key, index, side counts, means and deviations, delta) around each change; indexes at an edge give no row."""
     from pyspark.sql import Window

@@ -87,6 +87,16 @@ def validate(df: DataFrame, **options) -> ValidationResult:
     return ValidationResult(n, sorted(r["column_name"] for r in rows if not r["present"]), {r["column_name"]: r["n_out_of_range"] for r in rows if r["n_out_of_range"]}, [r["column_name"] for r in rows if r["present"] and n and not r["n_values"]])
 
 
+# The columns that real data must have for an audit.
+REAL_COLUMNS = ("participant_id", "date", "resting_hr", "hrv_rmssd", "step_count", "sleep_duration", "sleep_efficiency", "wearable_minutes", "device_type")
+
+
+def check_real_schema(df: DataFrame, required: Sequence[str] = REAL_COLUMNS) -> dict:
+    """Whether a table has the columns for an audit, and those it lacks; reads no row."""
+    lacking = [c for c in required if c not in df.columns]
+    return {"ready_for_audit": not lacking, "missing_columns": lacking}
+
+
 def daily_signal_quality(df: DataFrame) -> Column:
     """clip(0.95 coverage - 0.25 clip(active / 240)); no wear column counts as coverage 0.5, no activity column as 0, neither as NULL."""
     wear, active = "wearable_minutes" in df.columns, "active_minutes" in df.columns

@@ -146,12 +146,17 @@ def learn_weights(scores: DataFrame, target: DataFrame, candidates: int = 400, r
     return {"weights": dict(zip(COMPONENTS, map(float, current))), "rho_train": rho, "rho_holdout": out[0]["rho"] if out else None, "evaluations": tried}
 
 
-def sensitivity_table(scores: DataFrame, weights: Mapping[str, float] = WEIGHTS, magnitudes: Sequence[float] = (0.05, 0.1, 0.2, 0.4), draws: int = 50, seed: int = 0, key: str = "participant_id") -> DataFrame:
-    """(magnitude, median_rho, min_rho): rank correlation of scores under perturbed weights with those under ``weights``."""
+def perturbed_weights(weights: Mapping[str, float] = WEIGHTS, magnitudes: Sequence[float] = (0.05, 0.1, 0.2, 0.4), draws: int = 50, seed: int = 0) -> np.ndarray:
+    """``draws`` noisy weightings for each magnitude in turn, each with a sum of 1."""
     rng = np.random.default_rng(seed)
     base = np.array([weights[c] for c in COMPONENTS])
     noisy = np.array([np.maximum(base * (1 + rng.normal(0, m, len(base))), 1e-9) for m in magnitudes for _ in range(draws)])
+    return noisy / noisy.sum(axis=1, keepdims=True)
+
+
+def sensitivity_table(scores: DataFrame, weights: Mapping[str, float] = WEIGHTS, magnitudes: Sequence[float] = (0.05, 0.1, 0.2, 0.4), draws: int = 50, seed: int = 0, key: str = "participant_id") -> DataFrame:
+    """(magnitude, median_rho, min_rho): rank correlation of scores under perturbed weights with those under ``weights``."""
     target = scores.select(key, overall_from_components(weights).alias("reproducibility"))
-    rho = weight_objectives(scores, target, noisy / noisy.sum(axis=1, keepdims=True), key)
+    rho = weight_objectives(scores, target, perturbed_weights(weights, magnitudes, draws, seed), key)
     at = F.array(*[F.lit(float(m)) for m in magnitudes])
     return rho.withColumn("magnitude", F.get(at, F.floor(F.col("candidate") / draws).cast("int"))).groupBy("magnitude").agg(F.percentile("rho", F.lit(0.5)).alias("median_rho"), F.min("rho").alias("min_rho"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,3 +99,14 @@ def device_bias_page(bias: DataFrame) -> DataFrame:
     """Devices by columns: differences from the reference."""
     names = [r[0] for r in bias.select("column_name").distinct().orderBy("column_name").collect()]
     return bias.groupBy("device").pivot("column_name", names).agg(F.first("difference")).orderBy("device")
+
+
+def write_all(drawn: Mapping[str, DataFrame], folder: str, kind: str = "json") -> dict[str, str]:
+    """Writes each figure's data below ``folder``/name as JSON lines or CSV, and gives the paths by name. Data of points can
+    be large, so each is written by its own tasks."""
+    paths = {}
+    for name, data in sorted(drawn.items()):
+        paths[name] = f"{folder}/{name}"
+        writer = data.write.mode("overwrite")
+        writer.json(paths[name], ignoreNullFields=False) if kind == "json" else writer.csv(paths[name], header=True)
+    return paths

@@ -34,13 +34,13 @@ def _nudged(sql: str) -> str:
     return out + sql[at:]
 
 
-def query(sql: str | None = None, *with_: str):
+def query(sql: str | None = None, *with_: str, recursive: bool = False):
     """Registers a function under its name; results are rounded to 6 digits, as ``sql`` must."""
 
     def add(f):
         _QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
         if sql is not None:
-            _SQL[f.__name__] = (f"WITH {', '.join(with_)}\n" if with_ else "") + _nudged(sql)
+            _SQL[f.__name__] = (f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(with_)}\n" if with_ else "") + _nudged(sql)
         return f
 
     return add
@@ -344,13 +344,8 @@ g AS (SELECT participant_id, i, round(s * s / i + (t - s) * (t - s) / (n - i) -
 
 @query("SELECT participant_id, arg_max(i, {'g': gain, 'i': -i}) AS split, max(gain) AS gain FROM g GROUP BY participant_id", D, _SPLITS)
 def single_change_point(spark, sf):
-    """One level of binary segmentation in SQL form: running sums give each split's fall in squared error."""
-    w = Window.partitionBy("participant_id")
-    o = w.orderBy("date")
-    v = views.daily(spark, sf).select("participant_id", F.row_number().over(o).alias("i"), F.count(F.lit(1)).over(w).alias("n"), F.sum("resting_hr").over(o.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.sum("resting_hr").over(w).alias("t"))
-    s, t, i, n = (F.col(c) for c in "stin")
-    g = v.filter("n >= 5 and i >= 2 and i < n - 2").select("participant_id", F.col("i").cast("long").alias("i"), F.round(s * s / i + (t - s) * (t - s) / (n - i) - t * t / n, 6).alias("gain"))
-    return g.groupBy("participant_id").agg(F.max_by("i", F.struct("gain", -F.col("i"))).alias("split"), F.max("gain").alias("gain"))
+    """One level of binary segmentation: the best split of each series by the kernel that the scans use."""
+    return arrow.best_splits(views.daily(spark, sf), "resting_hr")
 
 
 @query()
@@ -609,7 +604,8 @@ def e_value(spark, sf):
 
 # fairness
 
-_Q = "Q AS (SELECT *, CASE WHEN q0 < q1 AND q1 < q2 AND q2 < q3 AND q3 < q4 THEN CASE WHEN skin_tone_proxy <= q1 THEN 'Q1' WHEN skin_tone_proxy <= q2 THEN 'Q2' WHEN skin_tone_proxy <= q3 THEN 'Q3' ELSE 'Q4' END ELSE CASE WHEN skin_tone_proxy <= q2 THEN 'low' ELSE 'high' END END AS stratum FROM D, (SELECT min(skin_tone_proxy) AS q0, quantile_cont(skin_tone_proxy, 0.25) AS q1, quantile_cont(skin_tone_proxy, 0.5) AS q2, quantile_cont(skin_tone_proxy, 0.75) AS q3, max(skin_tone_proxy) AS q4 FROM D))"
+Q_OF = "SELECT *, CASE WHEN q0 < q1 AND q1 < q2 AND q2 < q3 AND q3 < q4 THEN CASE WHEN skin_tone_proxy <= q1 THEN 'Q1' WHEN skin_tone_proxy <= q2 THEN 'Q2' WHEN skin_tone_proxy <= q3 THEN 'Q3' ELSE 'Q4' END ELSE CASE WHEN skin_tone_proxy <= q2 THEN 'low' ELSE 'high' END END AS stratum FROM D, (SELECT min(skin_tone_proxy) AS q0, quantile_cont(skin_tone_proxy, 0.25) AS q1, quantile_cont(skin_tone_proxy, 0.5) AS q2, quantile_cont(skin_tone_proxy, 0.75) AS q3, max(skin_tone_proxy) AS q4 FROM D)"
+_Q = f"Q AS ({Q_OF})"
 _STRATA = _trust_sql("stratum", "Q", "NULL::DOUBLE").replace("least(abs(hr - NULL::DOUBLE) / 10, 1.0)", "NULL::DOUBLE")
 
 
@@ -862,8 +858,12 @@ def streaming_change_points(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import report_queries  # noqa: F401  (registers its own)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import report_queries  # noqa: F401
+
     return dict(_SQL)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import scan_changes
+from ..functions.ordered import quantiles
 from ..operators import causal, confounding, daily, fairness, reliability, trust
 
 METRICS = ("resting_hr", "hrv_rmssd")
@@ -47,9 +48,15 @@ def csv_section(df: DataFrame, path: str, required: Sequence[str]) -> str:
     return table(found.select(*required)) if set(required) <= set(found.columns) else "_malformed_"
 
 
+def missingness_figures(df: DataFrame) -> DataFrame:
+    """One row: the median participant's share of missing days and the longest run of any."""
+    rates = daily.missingness_summary(df)
+    median = quantiles(rates, ["missing_rate"], [0.5])["missing_rate"][0]
+    return rates.agg(F.lit(median).cast("double").alias("median_rate"), F.max("max_run").alias("longest_run"))
+
+
 def missingness_section(df: DataFrame) -> str:
-    m = daily.missingness_summary(df).agg(F.percentile("missing_rate", F.lit(0.5)).alias("median_rate"), F.max("max_run").alias("longest_run"))
-    return table(m) + "\n\n" + table(daily.state_dependent_missingness(df))
+    return table(missingness_figures(df)) + "\n\n" + table(daily.state_dependent_missingness(df))
 
 
 def device_section(df: DataFrame) -> str:

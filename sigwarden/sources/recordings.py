@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as k
+from ..functions.stats import safe_corr
 
 # Label codes of the two data sets.
 STATES = {0: "transient", 1: "baseline", 2: "stress", 3: "amusement", 4: "meditation"}
@@ -115,6 +116,50 @@ def session_summary(recordings: DataFrame, chest_hz: int = CHEST_HZ, acc_hz: int
     return beats.join(active, "subject_id", "left").select(F.col("subject_id").alias("participant_id"), F.lit("2024-01-01").cast("date").alias("date"), "resting_hr", "hrv_rmssd", "active_minutes", "stress_proxy")
 
 
+def baseline_rates(recordings: DataFrame, seconds: int = 5, state: int = 1, hz: int = CHEST_HZ) -> DataFrame:
+    """(subject_id, window_idx, rate): heart rate of each whole window of a session's ECG in ``state``, NULL where too few
+    plausible beats are found. A session is one row, so one task's work."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for s, ecg, labels in zip(pdf["subject_id"], pdf["chest_ecg"], pdf["labels"]):
+                ecg, labels = np.asarray(ecg, float), np.asarray(labels, int)
+                n, wide = min(len(ecg), len(labels)), seconds * hz
+                held = ecg[:n][labels[:n] == state]
+                for i in range(len(held) // wide):
+                    rr = np.diff(k.r_peaks(held[i * wide : (i + 1) * wide], hz)) / hz
+                    rr = rr[(rr >= 0.4) & (rr <= 1.5)]
+                    out.append((s, i, 60 / rr.mean() if len(rr) >= 2 else None))
+            yield pd.DataFrame(out, columns=["subject_id", "window_idx", "rate"])
+
+    return recordings.select("subject_id", "chest_ecg", "labels").mapInPandas(run, "subject_id string, window_idx int, rate double")
+
+
+def rate_reliability(rates: DataFrame, subject: str = "subject_id", order: str = "window_idx", least: int = 6, pairs: int = 5) -> DataFrame:
+    """By subject with ``least`` windows: windows, those with a rate, its mean, deviation and variation in percent, and the correlation of
+    the first half's windows with the second half's (NULL under ``pairs`` complete pairs)."""
+    w = Window.partitionBy(subject)
+    placed = rates.select(subject, "rate", (F.row_number().over(w.orderBy(order)) - 1).alias("i"), F.floor(F.count(F.lit(1)).over(w) / 2).alias("half"))
+    whole = placed.groupBy(subject).agg(F.count(F.lit(1)).alias("n_windows_total"), F.count("rate").alias("n_windows_valid"), F.avg("rate").alias("mean"), F.stddev_pop("rate").alias("deviation"))
+    halves = placed.filter("i < 2 * half").groupBy(subject, (F.col("i") % F.col("half")).alias("pair")).agg(F.max(F.when(F.col("i") < F.col("half"), F.col("rate"))).alias("x"), F.max(F.when(F.col("i") >= F.col("half"), F.col("rate"))).alias("y"))
+    r = halves.groupBy(subject).agg(safe_corr("x", "y", pairs, 0.0).alias("split_half_r"))
+    return whole.filter((F.col("n_windows_total") >= least) & (F.col("n_windows_valid") > 0)).join(r, subject).withColumn("variation_percent", F.try_divide(100 * F.col("deviation"), F.col("mean")))
+
+
+def adapt_directory(spark: SparkSession, path: str, out: str, dialect: str = "wesad") -> dict[str, int]:
+    """Reads all recordings below ``path`` and writes their windows and session rows as Parquet below ``out``; gives the
+    numbers of recordings, windows and sessions. A folder without recordings is an error."""
+    found = read_recordings(spark, path, dialect)
+    found.write.mode("overwrite").parquet(f"{out}/recordings")
+    held = spark.read.parquet(f"{out}/recordings")
+    names = ACTIVITIES if dialect == "dalia" else STATES
+    extract_windows(held, states=tuple(names), names=names).write.mode("overwrite").parquet(f"{out}/windows")
+    summary = activity_seconds(held) if dialect == "dalia" else session_summary(held)
+    summary.write.mode("overwrite").parquet(f"{out}/sessions")
+    return {"recordings": held.count(), "windows": spark.read.parquet(f"{out}/windows").count(), "sessions": spark.read.parquet(f"{out}/sessions").count()}
+
+
 def activity_seconds(recordings: DataFrame, hz: int = CHEST_HZ) -> DataFrame:
     """(participant_id, n_samples, seconds_<activity> for each known activity)."""
     rows = recordings.select(F.col("subject_id").alias("participant_id"), F.explode("labels").alias("label"))

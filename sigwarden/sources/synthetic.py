@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import clip, hashed_uniform
+from ..session import cut
 
 
 @dataclass(frozen=True)
@@ -162,6 +163,7 @@ def observed_effects(df: DataFrame) -> DataFrame:
     from ..functions.stats import safe_corr
     from ..operators.fairness import with_quartiles
 
+    df = cut(df.select("skin_tone_proxy", "signal_quality_ground_truth", "heat_index", "hrv_rmssd", "resting_hr", "device_type"))
     q = with_quartiles(df, "skin_tone_proxy", "q")
     mean = lambda c, cond: F.avg(F.when(cond, F.col(c)))
     return q.agg(
