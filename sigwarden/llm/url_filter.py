@@ -6,7 +6,7 @@ beta-binomial prior whose strength is fitted by moments to the spread of the lev
 where that spread is little known. A page is blocked if the lower bound of its host's posterior lies above a limit.
 
 Where pages have no labels of their own, ``outcome_model`` fits two classes of text on labelled documents and
-``bad_page`` labels a page by its visible text.
+``with_outcome`` labels a page by its visible text.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import WORD, ascii_lower, cut, lookup
+from .runtime import WORD, ascii_lower, cut, free_name, lookup
 
 
 def host_of(url: Column) -> Column:
@@ -69,38 +69,54 @@ def visible_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(html, r"(?s)<(script|style)[^>]*>.*?</(script|style)>", " "), r"<[^>]*>", " ")
 
 
-def text_features(text: Column) -> list[Column]:
-    """Shares of letters and of symbols among the characters, and of different words among the words; null for a text without words."""
-    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
-    n = F.length(text)
-    share = lambda pattern: F.try_divide(n - F.length(F.regexp_replace(text, pattern, "")), n).cast("double")
-    return [F.when(F.size(words) > 0, x) for x in (share(r"\p{L}+"), share(r"[^\p{L}\p{N}\x20\x09-\x0D]+"), F.try_divide(F.size(F.array_distinct(words)), F.size(words)).cast("double"))]
+FEATURES = ("letters", "symbols", "different")
+
+
+def _with_features(df: DataFrame, text: Column) -> tuple[DataFrame, list[str], str]:
+    """``df`` with the features of ``text``, their names and the name of another column that was added.
+
+    Shares of letters and of symbols among the characters, and of different words among the words; null for a text
+    without words. Text and words are columns of their own, so that each is computed once a row.
+    """
+    at, words_at, names = free_name(df, "feature_text"), free_name(df, "feature_words"), [free_name(df, f) for f in FEATURES]
+    held = df.withColumn(at, text).withColumn(words_at, F.regexp_extract_all(F.col(at), F.lit(f"({WORD})"), F.lit(1)))
+    n = F.length(at)
+    share = lambda pattern: F.try_divide(n - F.length(F.regexp_replace(at, pattern, "")), n).cast("double")
+    values = [share(r"\p{L}+"), share(r"[^\p{L}\p{N}\x20\x09-\x0D]+"), F.try_divide(F.size(F.array_distinct(words_at)), F.size(words_at)).cast("double")]
+    held = held.withColumns({name: F.when(F.size(words_at) > 0, v) for name, v in zip(names, values)})
+    return held.drop(words_at), names, at
 
 
 #: Added to the variances of features, which are shares: a class of equal texts isn't taken for certain.
 VARIANCE_FLOOR = 0.0025
 
 
-def outcome_model(labelled: DataFrame, text: Column, bad: Column) -> list[tuple[float, list[float], list[float]]] | None:
-    """Two classes of text, good and bad (1), each as its log share and the features' means and variances, from one
-    aggregation over all labelled rows (null labels and texts without words aside); None if a class has no row."""
-    features = text_features(text)
-    names = [f"f{i}" for i in range(len(features))]
-    rows = labelled.select(bad.cast("int").alias("bad"), *[x.alias(n) for n, x in zip(names, features)]).filter("bad in (0, 1) and f0 is not null")
-    sums = {r["bad"]: r for r in rows.groupBy("bad").agg(F.count(F.lit(1)).alias("n"), *[F.avg(n).alias(f"m_{n}") for n in names], *[F.var_pop(n).alias(f"v_{n}") for n in names]).collect()}
+def outcome_model(docs: DataFrame, labels: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[float, list[float], list[float]]] | None:
+    """Two classes of text, good and bad (1), each as its log share and the features' means and variances; None if a
+    class has no row.
+
+    ``labels`` is (id, bad). The model is fitted on at most ``rows`` labels, those of the smallest MD5 of the id, which
+    are broadcast, so features are computed for these documents only and no text is shuffled. Null labels and texts
+    without words are left out.
+    """
+    sample = labels.orderBy(F.md5(F.col(id_col).cast("string")), id_col).limit(rows).select(F.col(id_col).alias("id"), F.col("bad").cast("int").alias("bad"))
+    held, names, _ = _with_features(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id"), F.col("text"))
+    known = held.filter(f"bad in (0, 1) and {names[0]} is not null")
+    sums = {r["bad"]: r for r in known.groupBy("bad").agg(F.count(F.lit(1)).alias("n"), *[F.avg(n).alias(f"m_{n}") for n in names], *[F.var_pop(n).alias(f"v_{n}") for n in names]).collect()}
     if len(sums) < 2:
         return None
     total = sum(r["n"] for r in sums.values())
     return [(math.log(sums[k]["n"] / total), [sums[k][f"m_{n}"] for n in names], [sums[k][f"v_{n}"] + VARIANCE_FLOOR for n in names]) for k in (0, 1)]
 
 
-def bad_page(text: Column, model: list | None) -> Column:
-    """1 if the bad class is the likelier one of a text (independent normal features), else 0; null without words or model."""
+def with_outcome(pages: DataFrame, text: Column, model: list | None, name: str) -> DataFrame:
+    """``pages`` with ``name``: 1 if the bad class is the likelier one of a text (independent normal features), else 0; null
+    without words or model. A column of this name is replaced; repeated rows get equal values."""
     if model is None:
-        return F.lit(None).cast("int")
-    features = text_features(text)
-    good, bad = (sum((-0.5 * math.log(v) - (x - m) * (x - m) / (2 * v) for x, m, v in zip(features, means, variances)), F.lit(prior)) for prior, means, variances in model)
-    return (bad > good).cast("int")
+        return pages.withColumn(name, F.lit(None).cast("int"))
+    held, names, at = _with_features(pages, text)
+    good, bad = (sum((-0.5 * math.log(v) - (F.col(x) - m) * (F.col(x) - m) / (2 * v) for x, m, v in zip(names, means, variances)), F.lit(prior)) for prior, means, variances in model)
+    return held.withColumn(name, (bad > good).cast("int")).drop(at, *names)
 
 
 #: A prior's strength in pages where its children tell nothing of their spread, and how many children that counts as.

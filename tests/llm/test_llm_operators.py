@@ -596,12 +596,14 @@ def test_outcome_model_on_held_out_labels(spark):
     bad = lambda: " ".join(rng.choice(words[:9]) + rng.choice(["###", "%%%", "&&&"]) for _ in range(80))
     rows = [(i, bad() if i % 4 == 0 else good(), int(i % 4 == 0)) for i in range(200)] + [(900, None, 1), (901, "", 0), (902, good(), None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, bad int")
-    model = url_filter.outcome_model(docs.filter("doc_id < 100 or doc_id >= 900"), F.col("text"), F.col("bad"))
-    held = docs.filter("doc_id between 100 and 199").withColumn("found", url_filter.bad_page(F.col("text"), model)).collect()
-    assert all(r.found == r.bad for r in held)
-    assert [r.x for r in docs.filter("doc_id in (900, 901)").select(url_filter.bad_page(F.col("text"), model).alias("x")).collect()] == [None, None]
-    assert url_filter.outcome_model(docs.filter("bad = 0"), F.col("text"), F.col("bad")) is None
-    assert docs.select(url_filter.bad_page(F.col("text"), None).alias("x")).filter("x is not null").count() == 0
+    model = url_filter.outcome_model(docs, docs.filter("doc_id < 100 or doc_id >= 900").select("doc_id", "bad"), 1000)
+    clash = docs.withColumns({c: F.lit(c) for c in ("letters", "feature_text", "feature_words")})
+    found = url_filter.with_outcome(clash, F.col("text"), model, "found")
+    assert found.columns == [*clash.columns, "found"]
+    rows = {r.doc_id: r for r in found.collect()}
+    assert all(rows[i].found == rows[i].bad and rows[i].letters == "letters" for i in range(100, 200)) and rows[900].found is None and rows[901].found is None
+    assert url_filter.outcome_model(docs, docs.filter("bad = 0").select("doc_id", "bad"), 1000) is None
+    assert url_filter.with_outcome(docs, F.col("text"), None, "x").filter("x is not null").count() == 0
 
 
 # chat
