@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_map, as_bytes, checkpoint_folder, cut, lookup, slices
+from .runtime import arrow_map, as_bytes, checkpoint_folder, cut, slices
 
 WIDTH = 64
 SCHEME = "sha256:"
@@ -196,16 +196,25 @@ def interleave(parsed: DataFrame, store: DataFrame, id_col: str) -> DataFrame:
     ``segments`` in order, each with a ``media`` struct of the other columns of ``store`` (see ``one_a_digest``).
 
     ``media`` is null for text and for a digest that the store lacks. A page that repeats, has a null id or has no
-    segment keeps all its rows. Pages meet their media as one map of the page's different digests; pages without
-    references are not sent there. The first join has one row for each (page, digest); in both a hot key can be split.
+    segment keeps all its rows. A page of one digest meets its medium by that; a page of several meets a map of them,
+    made once for all pages of the same list of digests. Both are sort-merge joins whatever the sizes, in which a hot
+    digest can be split; pages without references are not joined.
     """
-    found = F.struct(*[c for c in store.columns if c != "digest"])
+    held = [c for c in store.columns if c != "digest"]
+    media = store.select(F.unhex("digest").alias("key"), F.struct(*held).alias("media"))
     digests = F.array_distinct(F.filter(F.transform("segments", lambda s: s["digest"]), lambda d: d.isNotNull()))
-    # Pages of the same references share what is found for them, so the list of digests is itself the key.
-    keyed = parsed.select(F.col(id_col).alias("id"), "segments", F.when(F.size(digests) > 0, F.sha2(F.array_join(digests, " "), 256)).alias("page"))
-    wanted = keyed.filter("page is not null").select("page", F.explode(F.array_distinct(F.filter(F.transform("segments", lambda s: s["digest"]), lambda d: d.isNotNull()))).alias("digest")).distinct()
-    resolved = lookup(wanted, store.select("digest", found.alias("media")), ["digest"], "inner")
-    maps = cut(resolved.groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("digest", "media"))).alias("found")))
-    media = lambda s: F.when(s["digest"].isNotNull() & F.col("found").isNotNull(), F.try_element_at("found", s["digest"]))
-    fields = lambda s: F.struct(*[s[c].alias(c) for c in ("position", "kind", "text", "digest", "caption")], media(s).alias("media"))
-    return lookup(keyed, maps, ["page"]).select(F.col("id").alias(id_col), F.transform("segments", fields).alias("segments"))
+    n = F.size(digests)
+    key = F.when(n == 1, F.unhex(F.get(digests, F.lit(0)))).when(n > 1, F.unhex(F.sha2(F.array_join(digests, " "), 256)))
+    pages = parsed.select(F.col(id_col).alias("id"), "segments", key.alias("key"), n.alias("n"))
+    wanted = pages.filter("n > 1").select(F.col("key").alias("page"), F.explode(digests).alias("digest")).distinct()
+    found = wanted.withColumn("key", F.unhex("digest")).join(media.hint("merge"), "key")
+    maps = found.groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("digest", "media"))).alias("found")).withColumnRenamed("page", "key")
+
+    def put(rows: DataFrame, of) -> DataFrame:
+        fields = lambda s: F.struct(*[s[c].alias(c) for c in ("position", "kind", "text", "digest", "caption")], of(s).alias("media"))
+        return rows.select(F.col("id").alias(id_col), F.transform("segments", fields).alias("segments"))
+
+    none = F.lit(None).cast(media.schema["media"].dataType)
+    one = put(pages.filter("n = 1").join(media.hint("merge"), "key", "left"), lambda s: F.when(s["digest"].isNotNull(), F.col("media")))
+    several = put(pages.filter("n > 1").join(maps.hint("merge"), "key", "left"), lambda s: F.when(s["digest"].isNotNull() & F.col("found").isNotNull(), F.try_element_at("found", s["digest"])))
+    return put(pages.filter("n = 0"), lambda s: none).unionByName(one).unionByName(several)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, exact_dedup, language_id, line_dedup, media, mixing, sharding, simhash, url_filter
-from .runtime import table
+from .runtime import cut, table
 
 #: The rule list of the URL filter (action, host, path).
 URL_RULES = (
@@ -22,6 +22,9 @@ URL_RULES = (
 BAD_LIMIT = 0.2
 
 
+#: Labelled documents on which the two classes of text are fitted, at most.
+LABELLED = 50_000
+
 #: The tokenizer file; a parameter of the operator, not part of the repository.
 TOKENIZER = "word_bpe_49k.json"
 
@@ -36,15 +39,16 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         "digest",
         "n_bytes",
         F.length("payload").cast("long").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_sha256"),
+        F.unhex(F.sha2("payload", 256)).alias("payload_sha256"),
         F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
+        F.unhex(F.sha2("media", 256)).alias("media_sha256"),
         "feature",
     )
-    sequences = media.interleave(media.parse_documents(pages, "doc_id"), media.one_a_digest(store), "doc_id")
+    sequences = media.interleave(cut(media.parse_documents(pages, "doc_id")), media.one_a_digest(store), "doc_id")
     segment = F.explode(F.filter("segments", lambda s: s["kind"] == "media")).alias("s")
-    return sequences.select("doc_id", segment).select("doc_id", "s.position", "s.caption", "s.media.*")
+    out = sequences.select("doc_id", segment).select("doc_id", "s.position", "s.caption", "s.media.*")
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")})
 
 
 #: Bytes of text that a shard may hold.
@@ -89,9 +93,9 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages have no labels, so documents labelled by quality give the two classes of text that label pages."""
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = url_filter.outcome_model(documents.join(labels, "doc_id"), F.col("text"), 1 - F.col("quality"))
-    bad = url_filter.bad_page(url_filter.visible_text(F.col("html")), model)
-    return url_filter.filter_urls(table(spark, sf_dir, "pages"), bad, URL_RULES, BAD_LIMIT).select("page_id", "host", "path", "rule", "verdict", "rate", "lower")
+    model = url_filter.outcome_model(documents, labels.select("doc_id", (1 - F.col("quality")).alias("bad")), LABELLED)
+    pages = url_filter.with_outcome(table(spark, sf_dir, "pages"), url_filter.visible_text(F.col("html")), model, "bad")
+    return url_filter.filter_urls(pages, F.col("bad"), URL_RULES, BAD_LIMIT).select("page_id", "host", "path", "rule", "verdict", "rate", "lower")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +158,7 @@ _MODEL_SQL = ", ".join(f"count(*) FILTER (bad = {k})::DOUBLE AS n{k}, " + ", ".j
 _SHRUNK_SQL = "({x}.bad + {u}.m * {u}.rate) / ({x}.n + {u}.m) AS rate, {x}.n + {u}.m AS total, pow({u}.m / ({x}.n + {u}.m), 2) * {u}.var AS above"
 
 OP8_SQL = f"""
-WITH lf AS (SELECT 1 - quality AS bad, {_FEATURES_SQL} FROM (SELECT quality, text AS t, {_WORDS_SQL.replace("(t,", "(text,")} FROM documents JOIN labels USING (doc_id))),
+WITH lf AS (SELECT 1 - quality AS bad, {_FEATURES_SQL} FROM (SELECT quality, text AS t, {_WORDS_SQL.replace("(t,", "(text,")} FROM documents JOIN (SELECT * FROM labels ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT {LABELLED}) USING (doc_id))),
 model AS (SELECT {_MODEL_SQL} FROM lf WHERE bad IN (0, 1) AND f0 IS NOT NULL),
 p AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
