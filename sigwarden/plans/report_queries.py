@@ -206,13 +206,13 @@ UNION ALL SELECT participant_id, lo + p.at, p.part FROM (SELECT participant_id,
   WHERE i >= 7 AND len(x) - i >= 7 AND g > 0 AND (rest <= 0 OR g / (rest / (len(x) - 2)) >= 8.0)))"""
 
 
-@query("SELECT participant_id, count(DISTINCT lo) AS n_segments, list_sort(list(DISTINCT lo))::INT[] AS starts FROM seg GROUP BY participant_id", D, _SEGMENTS, recursive=True)
+@query("SELECT participant_id, count(*) OVER (PARTITION BY participant_id) AS n_segments, lo::INT AS start FROM (SELECT DISTINCT participant_id, lo FROM seg)", D, _SEGMENTS, recursive=True)
 def segmentation(spark, sf):
     d = views.daily(spark, sf)
     found = arrow.scan_changes(d, "resting_hr").groupBy("participant_id").agg(F.collect_list("index").alias("found"))
     enough = d.filter("resting_hr is not null").groupBy("participant_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 14")
     starts = F.array_sort(F.concat(F.array(F.lit(0)), F.coalesce("found", F.array().cast("array<int>"))))
-    return enough.join(found, "participant_id", "left").select("participant_id", F.size(starts).cast("long").alias("n_segments"), starts.alias("starts"))
+    return enough.join(found, "participant_id", "left").select("participant_id", F.size(starts).cast("long").alias("n_segments"), F.explode(starts).alias("start"))
 
 
 # agreement and effects
