@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import arrow
 from ..functions.stats import NUDGE, kappa, rank_sums, rounded, spearman
 from ..operators import agreement, artifacts, causal, confounding, daily as days, effects, fairness, models, reliability, trust
+from ..session import checkpoint_folder
 from ..sources import adapters, synthetic
 from ..streaming import audit
 from . import views
@@ -826,14 +827,19 @@ def generator_stress_sweep(spark, sf):
 
 
 def _streamed(spark, sf, name, mode, f):
-    """Runs a stream over the events file to its end, into a memory table."""
-    path = f"{sf}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
-    view = f"{name}_{uuid.uuid4().hex}"
-    q = f(source).writeStream.format("memory").queryName(view).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(view)
+    """Runs a stream over the events file to its end, into a table below the checkpoint folder; a batch that is run again
+    overwrites its own rows."""
+    source = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).parquet(f"{sf}/events*.parquet")
+    folder = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    out = f(source)
+    part = lambda i: f"{folder}/rows/batch={i}"
+
+    def keep(rows, i):
+        rows.write.mode("overwrite").parquet(part(i if mode == "append" else 0))
+
+    spark.createDataFrame([], out.schema).write.parquet(part(-1))
+    out.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").drop("batch")
 
 
 @query(

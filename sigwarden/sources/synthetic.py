@@ -37,7 +37,11 @@ class Cohort:
 
     @property
     def devices(self) -> Mapping[str, tuple[float, float]]:
-        return {"device_A": (0.0, 1.00), "device_B": (self.device_b_hr, 0.92), "device_C": (self.device_c_hr, 0.85)}
+        return device_table(self.device_b_hr, self.device_c_hr)
+
+
+def device_table(device_b_hr, device_c_hr) -> Mapping[str, tuple]:
+    return {"device_A": (0.0, 1.00), "device_B": (device_b_hr, 0.92), "device_C": (device_c_hr, 0.85)}
 
 
 def uniform(seed: int, name: str, *key: Column) -> Column:
@@ -77,27 +81,31 @@ def participants(spark: SparkSession, c: Cohort) -> DataFrame:
     )
 
 
-def daily(people: DataFrame, c: Cohort) -> DataFrame:
-    """A row for each participant and day: environment, activity, sleep, heart, stress, missingness that follows the state, latent truths."""
+def daily(people: DataFrame, c: Cohort, varied: Mapping[str, Column] | None = None) -> DataFrame:
+    """A row for each participant and day: environment, activity, sleep, heart, stress, missingness that follows the state, latent truths.
+
+    ``varied`` has columns of ``people`` that hold coefficients; they stand in for the cohort's own."""
+    at = lambda name: (varied or {}).get(name, getattr(c, name))
+    devices = device_table(at("device_b_hr"), at("device_c_hr"))
     rows = people.withColumn("__d", F.explode(F.sequence(F.lit(0), F.lit(c.days - 1)))).withColumn("date", F.date_add(F.lit(c.start).cast("date"), F.col("__d")))
     key = (F.col("participant_id"), F.col("__d"))
     z = lambda name: normal(c.seed + 1, name, *key)
     pos = lambda e: F.greatest(F.lit(0.0), e)
-    bias = sum((F.when(F.col("device_type") == d, v[0]).otherwise(0.0) for d, v in c.devices.items()), F.lit(0.0))
-    factor = sum((F.when(F.col("device_type") == d, v[1]).otherwise(0.0) for d, v in c.devices.items()), F.lit(0.0))
+    bias = sum((F.when(F.col("device_type") == d, v[0]).otherwise(0.0) for d, v in devices.items()), F.lit(0.0))
+    factor = sum((F.when(F.col("device_type") == d, v[1]).otherwise(0.0) for d, v in devices.items()), F.lit(0.0))
     steps = [
         {"temperature_c": 22 + 8 * F.sin(2 * math.pi * F.col("__d") / 60) + 2 * z("temp"), "humidity": clip(55 + 12 * z("hum"), 15, 95), "aqi": clip(25 * gamma_whole(c.seed + 1, "aqi", 2, *key), 8, 280),
          "step_count": F.floor(pos(F.col("baseline_activity") * F.when(F.weekday("date") >= 5, 1.12).otherwise(1.0) + 2200 * z("steps")))},
         {"heat_index": F.col("temperature_c") + 0.04 * (F.col("humidity") - 50), "active_minutes": F.floor(clip(F.col("step_count") / 120 + 8 * z("active"), 0, 240)), "__aqi": pos(F.col("aqi") - 100) * 0.002},
         {"__heat": pos(F.col("heat_index") - 26) * F.col("climate_sensitivity")},
         {"sleep_duration": clip(7.4 + 0.9 * z("sleep") - 0.08 * F.col("__heat") - 0.5 * F.col("__aqi"), 3, 11), "sleep_efficiency": clip(0.87 + 0.06 * z("eff") - 0.012 * F.col("__heat") - 0.04 * F.col("__aqi"), 0.4, 0.99)},
-        {"hrv_rmssd": clip(F.col("baseline_hrv") + 6 * z("rmssd") + c.heat_hrv * F.col("__heat") - 4 * pos(7 - F.col("sleep_duration")) - 0.0006 * pos(F.col("step_count") - 12000), 5, 180),
+        {"hrv_rmssd": clip(F.col("baseline_hrv") + 6 * z("rmssd") + at("heat_hrv") * F.col("__heat") - 4 * pos(7 - F.col("sleep_duration")) - 0.0006 * pos(F.col("step_count") - 12000), 5, 180),
          "resting_hr": clip(F.col("baseline_hr") + bias + 2.5 * z("hr") + 0.0002 * pos(F.col("step_count") - 10000) + 0.06 * F.col("__heat"), 40, 110),
          "stress_proxy": clip(0.35 + 0.18 * z("stress") + 0.02 * F.col("__heat") + 0.04 * pos(7 - F.col("sleep_duration")) - 0.000008 * F.col("step_count"), 0, 1)},
-        {"hrv_sdnn": clip(F.col("hrv_rmssd") * (0.9 + 0.08 * z("sdnn")), 4, 220), "__miss": clip(c.missing_scale * (F.col("missingness_tendency") + 0.15 * F.col("stress_proxy") + 0.08 * (1 - F.col("sleep_efficiency")) + 0.01 * F.col("__heat")), 0, 0.6)},
+        {"hrv_sdnn": clip(F.col("hrv_rmssd") * (0.9 + 0.08 * z("sdnn")), 4, 220), "__miss": clip(at("missing_scale") * (F.col("missingness_tendency") + 0.15 * F.col("stress_proxy") + 0.08 * (1 - F.col("sleep_efficiency")) + 0.01 * F.col("__heat")), 0, 0.6)},
         {"missing_wearable_flag": (uniform(c.seed + 1, "worn", *key) < F.col("__miss")).cast("int"), "__motion": F.col("active_minutes") / 240},
         {"wearable_minutes": F.when(F.col("missing_wearable_flag") == 1, 0.0).otherwise(F.floor(clip(1100 + 180 * z("wear"), 200, 1440)).cast("double")),
-         "signal_quality_ground_truth": clip(0.92 * factor - 0.3 * F.col("__motion") - c.skin_tone_penalty * F.col("skin_tone_proxy") + 0.06 * z("sq") - 0.4 * F.col("missing_wearable_flag"), 0, 1),
+         "signal_quality_ground_truth": clip(0.92 * factor - 0.3 * F.col("__motion") - at("skin_tone_penalty") * F.col("skin_tone_proxy") + 0.06 * z("sq") - 0.4 * F.col("missing_wearable_flag"), 0, 1),
          "artifact_burden_ground_truth": clip(0.15 + 0.5 * F.col("__motion") + 0.4 * F.col("missing_wearable_flag") + 0.05 * z("ab"), 0, 1),
          "reliability_ground_truth": clip(0.85 - 0.4 * F.col("missing_wearable_flag") - 0.15 * F.col("__motion") - 0.1 * (1 - F.col("sleep_efficiency")) + 0.05 * z("rel"), 0, 1)},
     ]
@@ -158,28 +166,43 @@ REGIMES = {
 EFFECTS = {"heat_hrv": (0.0, -1.8, -5.0), "skin_tone_penalty": (0.0, 0.12, 0.40), "device_b_hr": (0.0, 3.8, 10.0)}
 
 
-def observed_effects(df: DataFrame) -> DataFrame:
-    """One row: correlation of heat and HRV, quality of the top less the bottom skin-tone quartile, heart rate of device B less A."""
+def _observed(days) -> DataFrame:
+    """The effects' columns for a grouping of days that have their skin-tone quartile in ``q``."""
     from ..functions.stats import safe_corr
-    from ..operators.fairness import with_quartiles
 
-    df = cut(df.select("skin_tone_proxy", "signal_quality_ground_truth", "heat_index", "hrv_rmssd", "resting_hr", "device_type"))
-    q = with_quartiles(df, "skin_tone_proxy", "q")
     mean = lambda c, cond: F.avg(F.when(cond, F.col(c)))
-    return q.agg(
+    return days.agg(
         safe_corr("heat_index", "hrv_rmssd", 10).alias("heat_hrv"), (mean("signal_quality_ground_truth", F.col("q").isin("Q4", "high")) - mean("signal_quality_ground_truth", F.col("q").isin("Q1", "low"))).alias("skin_tone_penalty"),
         (mean("resting_hr", F.col("device_type") == "device_B") - mean("resting_hr", F.col("device_type") == "device_A")).alias("device_b_hr"),
     )
 
 
+def observed_effects(df: DataFrame) -> DataFrame:
+    """One row: correlation of heat and HRV, quality of the top less the bottom skin-tone quartile, heart rate of device B less A."""
+    from ..operators.fairness import with_quartiles
+
+    df = cut(df.select("skin_tone_proxy", "signal_quality_ground_truth", "heat_index", "hrv_rmssd", "resting_hr", "device_type"))
+    return _observed(with_quartiles(df, "skin_tone_proxy", "q").groupBy())
+
+
 def stress_test(spark: SparkSession, base: Cohort = Cohort(60, 30), effects: Mapping[str, Sequence[float]] = EFFECTS) -> DataFrame:
-    """(effect, coefficient, observed) over each effect's strengths."""
-    out = None
-    for name, strengths in effects.items():
-        for s in strengths:
-            one = observed_effects(generate(spark, replace(base, **{name: s}))).select(F.lit(name).alias("effect"), F.lit(float(s)).alias("coefficient"), F.col(name).alias("observed"))
-            out = one if out is None else out.unionByName(one)
-    return out
+    """(effect, coefficient, observed) over each effect's strengths.
+
+    All settings are columns of one frame, so one grouped aggregation observes the whole sweep. Skin tones and days do not
+    depend on a setting: their quartiles are cut once.
+    """
+    from ..operators.fairness import with_quartiles
+
+    settings = [(name, float(s), replace(base, **{name: s})) for name, strengths in effects.items() for s in strengths]
+    if not settings or not set(effects) <= set(EFFECTS):
+        raise ValueError(f"effects must be among {sorted(EFFECTS)}, with a strength at least")
+    people = cut(participants(spark, base))
+    worn = people.select("participant_id", "skin_tone_proxy", F.explode(F.sequence(F.lit(1), F.lit(base.days))))
+    quartiles = with_quartiles(worn, "skin_tone_proxy", "q").select("participant_id", "q").distinct()
+    rows = [F.struct(F.lit(i).alias("__setting"), F.lit(n).alias("effect"), F.lit(v).alias("coefficient"), *[F.lit(float(getattr(c, k))).alias(f"__{k}") for k in EFFECTS]) for i, (n, v, c) in enumerate(settings)]
+    swept = people.join(quartiles, "participant_id").select("*", F.inline(F.array(*rows)))
+    seen = _observed(daily(swept, base, {k: F.col(f"__{k}") for k in EFFECTS}).groupBy("__setting", "effect", "coefficient"))
+    return seen.select("effect", "coefficient", F.coalesce(*[F.when(F.col("effect") == k, F.col(k)) for k in EFFECTS]).alias("observed"))
 
 
 def monotonic_response(sweep: DataFrame, tolerance: float = 0.05) -> DataFrame:

@@ -39,6 +39,10 @@ def test_sweeps(spark):
     sweep = synthetic.stress_test(spark, synthetic.Cohort(40, 15), {"device_b_hr": (0.0, 5.0, 15.0)})
     r = synthetic.monotonic_response(sweep).first()
     assert r["monotonic"] and r["change"] > 5
+    alone = synthetic.observed_effects(synthetic.generate(spark, synthetic.Cohort(40, 15, device_b_hr=5.0))).first()
+    assert {x["coefficient"]: x["observed"] for x in sweep.collect()}[5.0] == pytest.approx(alone["device_b_hr"], abs=1e-9)
+    with pytest.raises(ValueError):
+        synthetic.stress_test(spark, synthetic.Cohort(40, 15), {})
     s = synthetic.regime_summary(spark, 30, 29, {k: synthetic.REGIMES[k] for k in ("clean_world", "severe_skin_bias")})
     status = {x["prediction"]: x["status"] for x in synthetic.predicted_vs_observed(s).collect()}
     assert status["severe skin bias widens the gap"] == "pass" and status["severe heat lowers HRV"] == "skip" and len(status) == 8
