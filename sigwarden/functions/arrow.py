@@ -33,6 +33,11 @@ def mann_whitney_p_greater(u: pd.Series, n_a: pd.Series, n_b: pd.Series, ties: p
     return pd.Series([None if pd.isna(x) else k.mann_whitney_p(x, int(a), int(b), t, "greater") for x, a, b, t in zip(u, n_a, n_b, ties)], dtype=float)
 
 
+@F.pandas_udf(T.DoubleType())
+def signed_rank_p(w: pd.Series, n: pd.Series, zeros: pd.Series, ties: pd.Series) -> pd.Series:
+    return pd.Series([k.signed_rank_p(x, int(a), int(b), t) for x, a, b, t in zip(w, n, zeros, ties)], dtype=float)
+
+
 def _array(v) -> np.ndarray:
     return np.zeros(0) if v is None else np.asarray([np.nan if x is None else x for x in v], float)
 

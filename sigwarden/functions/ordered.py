@@ -59,3 +59,17 @@ def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) ->
             lo, hi = found[c, math.floor(x)], found[c, math.ceil(x)]
             out[c][k] = lo + (hi - lo) * (x - math.floor(x))
     return out
+
+
+def grouped_medians(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
+    """(by, n, median) of the values that are not NULL, exact; no task holds all different values of a group."""
+    value = F.col(column).cast("double")
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*by, value.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    placed = running_sums(counts, [F.col("__v")], {"__before": F.col("__n")}, by)
+    sizes = counts.groupBy(*[F.col(b).alias(f"__g_{b}") for b in by]).agg(F.sum("__n").alias("n"))
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"__g_{b}"))
+    middle = lambda spot: F.max(F.when((F.col("__before") <= spot) & (spot < F.col("__before") + F.col("__n")), F.col("__v")))
+    low, high = F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)
+    return placed.join(sizes, same).groupBy(*by, "n").agg(((middle(low) + middle(high)) / 2).alias("median"))

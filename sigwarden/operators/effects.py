@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ordered import grouped_medians, running_sums
 from ..functions.stats import normal_p, rank_sums, ratio
 
 #: Replicates of a bootstrap that one task draws.
@@ -112,28 +113,35 @@ def state_effect_sizes(df: DataFrame, metrics: Sequence[str], state: str, a, b,
     return held.join(sides, keys).join(named, keys).join(d, keys)
 
 
-def signed_ranks(df: DataFrame, delta: str, by: Sequence[str] = ()) -> DataFrame:
-    """By group: n, W+ of the non-zero differences with average ranks."""
+def _signed_sums(df: DataFrame, delta: str, by: Sequence[str]) -> DataFrame:
+    """By group: numbers of non-zero and of zero differences, W+ with average ranks, sum of t^3 - t over tied sizes."""
     rows = df.filter(F.col(delta).isNotNull()).select(*by, F.col(delta).alias("__d"))
-    counts = rows.filter("__d <> 0").groupBy(*by, F.abs("__d").alias("__s")).agg(F.count_if(F.col("__d") > 0).alias("__p"), F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*[F.col(b) for b in by]).orderBy("__s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("__r", F.sum("__n").over(w) - F.col("__n") + (F.col("__n") + 1) / 2.0)
-    return ranked.groupBy(*by).agg(F.sum("__n").alias("n"), F.sum(F.col("__r") * F.col("__p")).alias("w_plus"))
+    counts = rows.groupBy(*by, F.abs("__d").alias("__s")).agg(F.count_if(F.col("__d") > 0).alias("__p"), F.count(F.lit(1)).alias("__n"))
+    held = F.when(F.col("__s") > 0, F.col("__n")).otherwise(0)
+    ranked = running_sums(counts, [F.col("__s")], {"__before": held}, by).withColumn("__held", held)
+    cubes = F.pow(F.col("__held").cast("double"), F.lit(3.0)) - F.col("__held")
+    return ranked.groupBy(*by).agg(
+        F.sum("__held").alias("n"), F.sum(F.col("__n") - F.col("__held")).alias("zeros"),
+        F.sum((F.col("__before") + (F.col("__n") + 1) / 2.0) * F.col("__p")).alias("w_plus"), F.sum(cubes).alias("ties"),
+    )
 
 
-@F.pandas_udf(T.DoubleType())
-def _signed_rank_p(deltas: pd.Series) -> float:
-    from ..functions.kernels import signed_rank
-
-    return signed_rank(deltas.to_numpy(float))[1]
+def signed_ranks(df: DataFrame, delta: str, by: Sequence[str] = ()) -> DataFrame:
+    """By group: n, W+ of the non-zero differences with average ranks."""
+    return _signed_sums(df, delta, by).filter("n > 0").select(*by, "n", "w_plus")
 
 
 def paired_wilcoxon(df: DataFrame, delta: str, by: Sequence[str] = ()) -> DataFrame:
-    """n, median difference, W+ and the one-sided p-value of differences, by group. For pairs of subjects or folds, which are few."""
-    rows = df.filter(F.col(delta).isNotNull())
-    p = rows.groupBy(*by).agg(_signed_rank_p(F.col(delta).cast("double")).alias("p_value"))
-    m = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile(delta, F.lit(0.5)).alias("median_delta"))
-    w = signed_ranks(df, delta, by).select(*by, "w_plus")
-    if by:
-        return m.join(w, list(by), "left").join(p, list(by))
-    return m.join(F.broadcast(w)).join(F.broadcast(p))
+    """n, median difference, W+ and the one-sided p-value of differences, by group; W+ is NULL where all are zero.
+
+    Ranks and medians come from counts of different values, and the p-value needs sums only, so a group of any size is
+    spread over tasks.
+    """
+    from ..functions.arrow import signed_rank_p
+
+    w = _signed_sums(df, delta, by)
+    tested = w.select(*[F.col(b).alias(f"__w_{b}") for b in by], F.when(F.col("n") > 0, F.col("w_plus")).alias("w_plus"), signed_rank_p("w_plus", "n", "zeros", "ties").alias("p_value"))
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"__w_{b}"))
+    return grouped_medians(df, delta, by).join(tested, same).select(*by, "n", F.col("median").alias("median_delta"), "w_plus", "p_value")

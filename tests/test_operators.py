@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigwarden.functions import arrow
+from sigwarden.functions import arrow, kernels
 from sigwarden.operators import agreement, artifacts, causal, confounding, daily, effects, fairness, models, reliability, trust
 from sigwarden.schema import nan_to_null
 
@@ -235,3 +235,20 @@ def test_learned_weights(spark):
     w = fairness.learn_weights(scores, target, candidates=20, rounds=1)
     assert sum(w["weights"].values()) == pytest.approx(1) and w["rho_train"] > 0
     assert fairness.sensitivity_table(scores, magnitudes=(0.1,), draws=3).first()["median_rho"] > 0.5
+
+
+def test_paired_wilcoxon_by_group_against_the_kernel(spark):
+    rng = np.random.default_rng(3)
+    groups = {"few": rng.normal(0.3, 1, 12), "tied": rng.integers(-3, 5, 60).astype(float), "many": rng.normal(0.1, 1, 200), "zeros": np.zeros(4), "two": np.array([1.0, 2.0]), None: rng.normal(0, 1, 9)}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("few", None)]
+    got = {r["g"]: r for r in effects.paired_wilcoxon(spark.createDataFrame(rows, "g string, d double"), "d", ["g"]).collect()}
+    assert set(got) == set(groups)
+    for g, values in groups.items():
+        w, p = kernels.signed_rank(values)
+        assert got[g]["n"] == len(values) and got[g]["median_delta"] == pytest.approx(np.median(values))
+        if g == "two":
+            assert got[g]["p_value"] is None or np.isnan(got[g]["p_value"])
+        else:
+            assert got[g]["p_value"] == pytest.approx(p) and got[g]["w_plus"] == (None if g == "zeros" else pytest.approx(w))
+    one = effects.paired_wilcoxon(spark.createDataFrame([(float(v),) for v in groups["few"]], "d double"), "d").first()
+    assert one["p_value"] == pytest.approx(kernels.signed_rank(groups["few"])[1])
