@@ -520,7 +520,12 @@ def loso_recalibration(spark, sf):
     return agreement.loso_recalibration(views.scored_labels(spark, sf), "score", "quality", "lang", GRID)
 
 
-@query()
+@query(
+    f"""SELECT threshold, round(b.k, 6) AS calibration_kappa, round(h.k, 6) AS holdout_kappa, round(h.po, 6) AS holdout_agreement, h.n AS n_holdout FROM (SELECT arg_max(threshold, {{'k': k, 't': -threshold}}) AS threshold, max(k) AS k FROM kappas WHERE half AND k IS NOT NULL) b
+JOIN (SELECT * FROM kappas WHERE NOT half) h USING (threshold)""",
+    L, "H AS (SELECT *, (('0x' || md5(concat_ws(':', '0', doc_id::VARCHAR))[1:13])::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE < 0.5 AS half FROM L)", _GRID,
+    _CELLS.format(by="half,", y="quality").replace("FROM L, grid", "FROM H, grid"), f"kappas AS (SELECT *, {_K} AS k FROM ({_PO} cells))",
+)
 def holdout_recalibration(spark, sf):
     return agreement.recalibrate_with_holdout(views.scored_labels(spark, sf), "score", "quality", "doc_id", GRID)
 

@@ -576,3 +576,13 @@ def report_recommendations(spark, sf):
 )
 def report_missingness(spark, sf):
     return report.missingness_figures(views.daily(spark, sf))
+
+
+@query(
+    """SELECT participant_id, round(mean_variation, 6) AS mean_variation, round(slope, 6) AS slope FROM (SELECT participant_id, avg(variation) AS mean_variation FROM (SELECT participant_id, CASE WHEN count(resting_hr) OVER w = 7 THEN stddev_samp(resting_hr) OVER w / (avg(resting_hr) OVER w + 1e-9) END AS variation
+FROM D WINDOW w AS (PARTITION BY participant_id ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)) GROUP BY 1) LEFT JOIN (SELECT participant_id, CASE WHEN count(*) >= 5 AND stddev_pop(y) >= 1e-9 THEN regr_slope(y, i) END AS slope
+FROM (SELECT participant_id, resting_hr AS y, row_number() OVER (PARTITION BY participant_id ORDER BY date) - 1 AS i FROM D WHERE resting_hr IS NOT NULL) GROUP BY 1) USING (participant_id)""",
+    D,
+)
+def stability_table(spark, sf):
+    return reliability.participant_stability(views.daily(spark, sf), "resting_hr").drop("p_value")
