@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, language_id, line_dedup, media, mixing, sharding, simhash, url_filter
-from .runtime import cut, table
+from . import alignment, bpe, chat, exact_dedup, language_id, line_dedup, media, mixing, packing, sharding, simhash, trie, url_filter
+from .runtime import WORD, cut, table
 
 #: The rule list of the URL filter (action, host, path).
 URL_RULES = (
@@ -25,8 +25,10 @@ BAD_LIMIT = 0.2
 #: Labelled documents on which the two classes of text are fitted, at most.
 LABELLED = 50_000
 
-#: The tokenizer file; a parameter of the operator, not part of the repository.
-TOKENIZER = "word_bpe_49k.json"
+#: The tokenizer files; parameters of the operators, not part of the repository.
+TOKENIZER, BYTE_TOKENIZER, PIECE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
+#: Tokens of a packed sequence.
+SEQUENCE_TOKENS = 2048
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,8 +124,32 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null or empty text is the closing token alone; an empty table gives no row."""
+    import public_tokenizers
+
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(BYTE_TOKENIZER), SEQUENCE_TOKENS)
+    packed = packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), SEQUENCE_TOKENS)
+    return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null roles and texts are empty, rows without conv_id are left out; an empty table gives no row."""
+    turns, convs = trie.with_borrowed_heads(cut(trie.numbered_turns(table(spark, sf_dir, "conversations"))))
+    return trie.prefix_trie(turns, convs)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null or empty text has zeros and an empty ``groups_sha256``; an empty table gives no row."""
+    import public_tokenizers
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align_and_count(documents, public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_TOKENIZER))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_media_columns, op3_sharding, op4_line_dedup, op5_language_id, op6_mixing, op7_bpe, op8_url_filter, op9_exact_dedup, op10_chat_format)}
+    own = (op1_simhash, op2_media_columns, op3_sharding, op4_line_dedup, op5_language_id, op6_mixing, op7_bpe, op8_url_filter, op9_exact_dedup, op10_chat_format, op11_best_fit_packing, op12_prefix_trie, op13_alignment)
+    return {f.__name__: f for f in own}
 
 
 _RULE_SQL = "CASE {cases} END".format(
@@ -251,5 +277,31 @@ FROM t GROUP BY conv_id
 """
 
 
+#: CRC-32 of a decimal number: every byte is an exclusive or and eight shifts.
+_CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({x}::VARCHAR, ''), lambda b: [256 + ascii(b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]))),
+  lambda a, s: CASE WHEN s >= 256 THEN xor(a, s - 256) ELSE xor(a >> 1, 3988292384::BIGINT * (a & 1)) END), 4294967295::BIGINT)"""
+
+OP12_SQL = rf"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, dig) AS pos, dig, words FROM (
+    SELECT conv_id, turn, md5(length(role) || ':' || role || text) AS dig, len(regexp_extract_all(text, '{WORD}'))::BIGINT AS words
+    FROM (SELECT conv_id::BIGINT AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL))),
+c AS (SELECT conv_id, own, conv_id - conv_id % 20 AS base, {_CRC_SQL.format(x="conv_id")} % 4 AS h FROM (SELECT conv_id, count(*) AS own FROM t GROUP BY conv_id)),
+n AS (SELECT c.*, least(c.h, coalesce(b.own, 0)) AS taken FROM c LEFT JOIN c AS b ON b.conv_id = c.base),
+r AS (SELECT n.conv_id, pos - h + taken AS pos, dig, words FROM n JOIN t ON t.conv_id = n.conv_id AND pos > h
+  UNION ALL SELECT n.conv_id, pos, dig, words FROM n JOIN t ON t.conv_id = base AND pos <= h),
+p AS (SELECT conv_id, pos AS depth, words, string_agg(dig, '/') OVER (PARTITION BY conv_id ORDER BY pos) AS node FROM r),
+ends AS (SELECT n.conv_id, coalesce(node, '') AS node FROM n LEFT JOIN (SELECT conv_id, max(node) AS node FROM p GROUP BY conv_id) AS l ON l.conv_id = n.conv_id),
+d AS (SELECT node, min(conv_id) AS conv_id, min(depth) AS depth, count(*) AS n_convs, min(words) AS words, CASE WHEN min(depth) > 1 THEN left(node, length(node) - 33) ELSE '' END AS parent FROM p GROUP BY node
+  UNION ALL SELECT '', min(conv_id), 0, count(*), 0, NULL FROM n HAVING count(*) > 0),
+k AS (SELECT d.*, coalesce(kids, 0) AS n_children FROM d LEFT JOIN (SELECT parent AS node, count(*) AS kids FROM d WHERE parent IS NOT NULL GROUP BY parent) AS x ON x.node = d.node),
+above AS (SELECT p.node, n_children = 0 AS leaf, (n_convs - 1) * k.words AS saved FROM k JOIN p ON p.conv_id = k.conv_id AND p.depth <= k.depth
+  UNION ALL SELECT '', n_children = 0, (n_convs - 1) * words FROM k),
+s AS (SELECT node, count(*) FILTER (leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM above GROUP BY node),
+e AS (SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM ends GROUP BY node)
+SELECT k.conv_id, k.depth, u.conv_id AS parent_conv_id, k.n_convs, k.n_children, n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM k JOIN s ON s.node = k.node LEFT JOIN e ON e.node = k.node LEFT JOIN d AS u ON u.node = k.parent
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": OP3_SQL, "op4_line_dedup": OP4_SQL, "op6_mixing": OP6_SQL, "op8_url_filter": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}
+    return {"op3_sharding": OP3_SQL, "op4_line_dedup": OP4_SQL, "op6_mixing": OP6_SQL, "op8_url_filter": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL, "op12_prefix_trie": OP12_SQL}
