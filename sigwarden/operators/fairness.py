@@ -42,7 +42,7 @@ def fairness_audit(df: DataFrame, column: str, binning: str = "quartile", least:
     by stratum (three at least) for an interval of the overall score.
     """
     rows = stratified(df, column, binning)
-    scored = component_scores(rows, "stratum", cohort_hr=False).filter(F.col("n_days") >= least).withColumn("overall", overall(weights))
+    scored = component_scores(rows, "stratum", cohort_hr=False, few_keys=True).filter(F.col("n_days") >= least).withColumn("overall", overall(weights))
     scored = scored.withColumn("category", category(F.col("overall")))
     return scored.join(bootstrap_overall(rows, "stratum", weights, replicates, seed), "stratum", "left") if replicates else scored
 

@@ -56,12 +56,13 @@ def pair_statistics(pairs: DataFrame, key: str) -> DataFrame:
 
 def bootstrap_weight(key, replicate, seed: int):
     """How often a cluster is drawn in a replicate: Poisson(1), by inversion of a hash, so that no draw is shared between tasks."""
-    u = hashed_uniform(F.lit(seed), replicate, key)
-    p, total, out = np.exp(-1.0), 0.0, F.lit(0)
+    below, total = [], 0.0
     for k in range(12):
-        total += p / np.prod(range(1, k + 1)) if k else p
-        out = out + (u > total).cast("int")
-    return out
+        total += np.exp(-1.0) / np.prod(range(1, k + 1)) if k else np.exp(-1.0)
+        below.append(float(total))
+    # The digest is the one element of an array, so it is computed once and not for each bound.
+    count = lambda u: sum(((u > b).cast("int") for b in below), F.lit(0))
+    return F.get(F.transform(F.array(hashed_uniform(F.lit(seed), replicate, key)), count), F.lit(0))
 
 
 def cohort_test_retest(df: DataFrame, value: str, method: str = "week_pair", key: str = "participant_id", order: str = "date", replicates: int = 200, confidence: float = 0.95, seed: int = 42) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import run_summaries
 from ..functions.stats import clip, flag, ratio, safe_corr
 
 # Default weights and the categories' lower bounds.
@@ -22,21 +23,25 @@ CATEGORIES = (("high", 80), ("moderate", 60), ("low", 40))
 COMPONENTS = tuple(WEIGHTS)
 
 
-def component_scores(df: DataFrame, key: str, cohort_hr: bool = True, order: tuple[str, ...] = ("date",)) -> DataFrame:
+def component_scores(df: DataFrame, key: str, cohort_hr: bool = True, order: tuple[str, ...] = ("date",), few_keys: bool = False) -> DataFrame:
     """The six components by ``key``; NULL keys are left out, absent columns give NULL components.
 
     One shuffle by key serves the run lengths and the aggregates: rows get their run's number by a
     window, runs are summed up, and runs add up to keys. ``cohort_hr`` compares a group's heart rate with
-    the mean of all (else a group of several devices has no device component).
+    the mean of all (else a group of several devices has no device component). With ``few_keys`` (strata) a key may have a large part
+    of all rows: run lengths then come from mergeable summaries of ranges, and no task sees a key's rows together.
     """
     has = lambda c: c in df.columns
     value = lambda c: F.col(c) if has(c) else F.lit(None).cast("double")
     held = df.filter(F.col(key).isNotNull())
-    w = Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_first() for c in (*order, *(["participant_id"] if "participant_id" in df.columns and key != "participant_id" else []))])
+    by_order = [*order, *(["participant_id"] if "participant_id" in df.columns and key != "participant_id" else [])]
     missing = flag(value("missing_wearable_flag") == 1)
-    sums = held.withColumn("__missing", missing).withColumn("__run", F.sum(1 - F.col("__missing")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # Run lengths: within a run the counter only grows, so its place in the run is a difference of row numbers.
-    sums = sums.withColumn("__at", F.sum("__missing").over(Window.partitionBy(key, "__run").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, 0)))
+    sums = held.withColumn("__missing", missing)
+    if not few_keys:
+        w = Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_first() for c in by_order])
+        sums = sums.withColumn("__run", F.sum(1 - F.col("__missing")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        # Run lengths: within a run the counter only grows, so its place in the run is a difference of row numbers.
+        sums = sums.withColumn("__at", F.sum("__missing").over(Window.partitionBy(key, "__run").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, 0)))
     quality, wear, hrv, hr = value("signal_quality_ground_truth"), value("wearable_minutes"), value("hrv_rmssd"), value("resting_hr")
     device = F.col("device_type") if has("device_type") else F.lit(None).cast("string")
     a, b = F.when(hrv.isNotNull(), value("heat_index")), F.when(value("heat_index").isNotNull(), hrv)
@@ -50,12 +55,14 @@ def component_scores(df: DataFrame, key: str, cohort_hr: bool = True, order: tup
         F.avg(hrv).alias("hrv_mean"),
         F.stddev_pop(hrv).alias("hrv_std"),
         F.avg("__missing").alias("missing_rate"),
-        F.max("__at").alias("longest"),
+        F.lit(None).cast("long").alias("longest") if few_keys else F.max("__at").alias("longest"),
         F.count_distinct(device).alias("n_devices"),
         F.avg(hr).alias("hr_mean"),
         pairs.alias("n_pairs"),
         safe_corr(a, b, 5, 1e-6).alias("r"),
     )
+    if few_keys:
+        by = by.drop("longest").join(run_summaries(held, key, [F.col(c) for c in by_order], missing == 1).select(key, "longest"), key)
     if cohort_hr:
         by = by.join(F.broadcast(held.agg(F.avg(hr).alias("cohort_hr"))))  # one row
     else:

@@ -15,6 +15,7 @@ from ..session import checkpoint_folder
 from ..sources import adapters, synthetic
 from ..streaming import audit
 from . import views
+from .window_sql import window_table_sql
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -752,15 +753,35 @@ def motion_score_dft(spark, sf):
     return artifacts.with_dft_motion(views.windows(spark, sf), "signal", 20.0, 64).select("window_idx", "motion")
 
 
-@query()
+#: Sizes and rates of the paired windows: chest samples, chest rate, pulse samples, pulse rate.
+_PAIRED = (256, 85.0, 64, 20.0)
+
+
+@query(
+    """SELECT window_idx, label, motion_flag, round(motion_severity, 6) AS motion_severity, dropout_flag, round(dropout_severity, 6) AS dropout_severity, spikes_flag, round(spikes_severity, 6) AS spikes_severity, flatline_flag, round(flatline_severity, 6) AS flatline_severity,
+  greatest(motion_flag, dropout_flag, spikes_flag, flatline_flag) AS any_flag, round((motion_severity + dropout_severity + spikes_severity + flatline_severity) / 4, 6) AS mean_severity
+FROM (SELECT window_idx, (fired > 0)::INT AS motion_flag, CASE WHEN fired > 0 THEN least(greatest(0.5 * fired + 0.25 * over, 0.0), 1.0) ELSE 0.0 END AS motion_severity
+    FROM (SELECT window_idx, (spread > 0.5)::INT + (fast > 0.4)::INT AS fired, greatest(spread - 0.5, 0.0) / 0.5 + greatest(fast - 0.4, 0.0) / 0.4 AS over FROM spread JOIN fast USING (window_idx)))
+JOIN (SELECT window_idx, (longest >= 32)::INT AS dropout_flag, least(longest / 128.0::DOUBLE, 1.0) AS dropout_severity FROM (SELECT window_idx, max(l) AS longest FROM (SELECT window_idx, g, sum(b) AS l FROM (SELECT window_idx, b, sum(1 - b) OVER (PARTITION BY window_idx ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, (abs(x) <= 0.02)::INT AS b FROM samples)) GROUP BY ALL) GROUP BY 1)) USING (window_idx)
+JOIN (SELECT window_idx, (n > 0)::INT AS spikes_flag, least(n / greatest(s * 0.02, 1.0), 1.0) AS spikes_severity FROM (SELECT window_idx, count(*) AS s, count(*) FILTER (d / (1.4826 * (mad + 1e-6)) > 4) AS n FROM (SELECT *, quantile_cont(d, 0.5) OVER (PARTITION BY window_idx) AS mad FROM (SELECT window_idx, abs(x - quantile_cont(x, 0.5) OVER (PARTITION BY window_idx)) AS d FROM samples)) GROUP BY window_idx)) USING (window_idx)
+JOIN (SELECT window_idx, (n > 0)::INT AS flatline_flag, least(n / greatest(f * 0.1, 1.0), 1.0) AS flatline_severity FROM (SELECT window_idx, count(*) AS f, count(*) FILTER (v < 1e-4) AS n FROM (SELECT window_idx, i, var_pop(x) OVER (PARTITION BY window_idx ORDER BY i ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) AS v FROM samples) WHERE i >= 64 GROUP BY window_idx)) USING (window_idx)
+JOIN W USING (window_idx)""",
+    W, _RUN, "centred AS (SELECT window_idx, i, x - avg(x) OVER (PARTITION BY window_idx) AS d FROM samples)",
+    "spread AS (SELECT window_idx, var_pop(d) / pow(quantile_cont(abs(d), 0.95) + 1e-9, 2) AS spread FROM centred GROUP BY window_idx)",
+    "fast AS (SELECT window_idx, coalesce(sum(p) FILTER (f * 20 / 64.0::DOUBLE > 4), 0.0) / (sum(p) + 1e-9) AS fast FROM (SELECT window_idx, f, pow(sum(d * cos(2 * pi() * f * (i - 1) / 64)), 2) + pow(sum(d * sin(2 * pi() * f * (i - 1) / 64)), 2) AS p FROM centred, (SELECT unnest(range(0, 33)) AS f) GROUP BY window_idx, f) GROUP BY window_idx)",
+)
 def window_artifacts(spark, sf):
     return artifacts.evaluate_windows(views.windows(spark, sf), "signal", 20.0).drop("signal")
 
 
-@query()
+@query(
+    "SELECT PW.window_idx, label::VARCHAR AS subject_id, label, 'class_' || label AS label_name, round(abs(hr_ecg - hr_ppg), 6) AS hr_abs_diff, orphanidou_acceptable, sukor_acceptable, elgendi_acceptable, "
+    + ", ".join(f"round({n}, 6) AS {n}" for n, t in arrow.WINDOW_FIELDS if t == "double" and n != "hr_abs_diff")
+    + " FROM T JOIN PW USING (window_idx)",
+    W, views.PAIRED_SQL, window_table_sql("PW", *_PAIRED).strip(), recursive=True,
+)
 def window_table(spark, sf):
-    w = views.windows(spark, sf).select("window_idx", F.col("label").cast("string").alias("subject_id"), "label", F.concat(F.lit("class_"), F.col("label")).alias("label_name"), F.col("signal").alias("ecg"), F.col("signal").alias("ppg"))
-    return arrow.window_table(w, 20.0, 20.0)
+    return arrow.window_table(views.paired_windows(spark, sf), _PAIRED[1], _PAIRED[3])
 
 
 _GAPS = "gaps AS (SELECT user_id, ts, event_id, epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS d FROM events)"

@@ -94,6 +94,15 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 WINDOWS_SQL = """W AS (SELECT vec_id AS window_idx, label, embedding::DOUBLE[] AS signal FROM embeddings)"""
 
 
+def paired_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as pulse windows of 64 samples, each with the 256 samples of its group of four vectors as the longer chest window."""
+    w = windows(spark, sf_dir).groupBy(F.floor(F.col("window_idx") / 4).alias("four")).agg(F.sort_array(F.collect_list(F.struct("window_idx", "label", "signal"))).alias("ws"))
+    return w.select(F.flatten("ws.signal").alias("ecg"), F.inline("ws")).select("window_idx", F.col("label").cast("string").alias("subject_id"), "label", F.concat(F.lit("class_"), F.col("label")).alias("label_name"), "ecg", F.col("signal").alias("ppg"))
+
+
+PAIRED_SQL = """PW AS (SELECT window_idx, label, signal AS ppg, flatten(list(signal) OVER (PARTITION BY window_idx // 4 ORDER BY window_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS ecg FROM W)"""
+
+
 def order_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' orders as series: one row a customer and day."""
     o = table(spark, sf_dir, "orders")

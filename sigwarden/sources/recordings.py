@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import pickle
 import re
+import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,6 +19,8 @@ from ..functions.stats import safe_corr
 # Label codes of the two data sets.
 STATES = {0: "transient", 1: "baseline", 2: "stress", 3: "amusement", 4: "meditation"}
 ACTIVITIES = {0: "transient", 1: "sitting", 2: "stairs", 3: "table_soccer", 4: "cycling", 5: "driving", 6: "lunch", 7: "walking", 8: "working"}
+# The codes whose windows are taken; transient and meditation segments are not.
+TAKEN_STATES, TAKEN_ACTIVITIES = (1, 2, 3), (1, 2, 3, 4, 5, 6, 7, 8)
 CHEST_HZ, PULSE_HZ, ACC_HZ, ACTIVITY_HZ = 700, 64, 32, 4
 
 RECORDING = "subject_id string, chest_ecg array<double>, wrist_ppg array<double>, wrist_acc array<array<double>>, labels array<int>"
@@ -72,14 +75,16 @@ def label_name(label: Column, names: dict[int, str] = STATES) -> Column:
     return F.coalesce(F.try_element_at(table, label.cast("int")), F.lit("unknown"))
 
 
-def extract_windows(recordings: DataFrame, seconds: int = 5, states: Sequence[int] = (1, 2, 3), names: dict[int, str] = STATES, chest_hz: int = CHEST_HZ, pulse_hz: int = PULSE_HZ) -> DataFrame:
-    """Tumbling windows whose labels are all one of ``states``, with the wrist slice of the same time; windows that overrun it are left out.
+def extract_windows(recordings: DataFrame, seconds: int = 5, states: Sequence[int] = TAKEN_STATES, names: dict[int, str] = STATES, chest_hz: int = CHEST_HZ, pulse_hz: int = PULSE_HZ) -> DataFrame:
+    """Tumbling windows whose labels are all one of ``states``, with the wrist slice of the same time; windows that overrun it or the
+    labels are left out.
 
-    (subject_id, window_idx, label, label_name, ecg, ppg); window_idx is dense over subjects in order.
+    (subject_id, window_idx, label, label_name, start_seconds, end_seconds, ecg, ppg); window_idx is dense over subjects in order.
     """
     wide, pulse = seconds * chest_hz, seconds * pulse_hz
-    starts = F.sequence(F.lit(0), F.size("chest_ecg") - wide, F.lit(wide))
-    rows = recordings.filter(F.size("chest_ecg") >= wide).select("subject_id", "chest_ecg", "wrist_ppg", "labels", F.explode(starts).alias("at"))
+    known = F.least(F.size("chest_ecg"), F.size("labels"))
+    starts = F.sequence(F.lit(0), known - wide, F.lit(wide))
+    rows = recordings.filter(known >= wide).select("subject_id", "chest_ecg", "wrist_ppg", "labels", F.explode(starts).alias("at"))
     own = F.slice("labels", F.col("at") + 1, wide)
     wrist = F.floor(F.col("at") * pulse_hz / chest_hz).cast("int")
     cut = rows.select("subject_id", "at", F.array_distinct(own).alias("ls"), F.slice("chest_ecg", F.col("at") + 1, wide).alias("ecg"), F.slice("wrist_ppg", wrist + 1, pulse).alias("ppg"))
@@ -87,7 +92,7 @@ def extract_windows(recordings: DataFrame, seconds: int = 5, states: Sequence[in
     # The dense number: counts by subject are summed in order (one row a subject), then added within subjects.
     before = held.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n")).withColumn("__b", F.coalesce(F.sum("n").over(Window.orderBy("subject_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     index = F.col("__b") + F.row_number().over(Window.partitionBy("subject_id").orderBy("at")) - 1
-    return held.join(before.select("subject_id", "__b"), "subject_id").select("subject_id", index.cast("int").alias("window_idx"), "label", label_name(F.col("label"), names).alias("label_name"), "ecg", "ppg")
+    return held.join(before.select("subject_id", "__b"), "subject_id").select("subject_id", index.cast("int").alias("window_idx"), "label", label_name(F.col("label"), names).alias("label_name"), (F.col("at") / chest_hz).alias("start_seconds"), ((F.col("at") + wide) / chest_hz).alias("end_seconds"), "ecg", "ppg")
 
 
 def session_summary(recordings: DataFrame, chest_hz: int = CHEST_HZ, acc_hz: int = ACC_HZ) -> DataFrame:
@@ -147,14 +152,28 @@ def rate_reliability(rates: DataFrame, subject: str = "subject_id", order: str =
     return whole.filter((F.col("n_windows_total") >= least) & (F.col("n_windows_valid") > 0)).join(r, subject).withColumn("variation_percent", F.try_divide(100 * F.col("deviation"), F.col("mean")))
 
 
+def subjects_without_recording(spark: SparkSession, path: str) -> list[str]:
+    """Folders ``S*`` in ``path`` that lack the file of their own name, by the file system that Spark uses for it."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [s.getPath() for s in store.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith("S")]
+    return sorted(f.getName() for f in folders if not store.exists(spark._jvm.org.apache.hadoop.fs.Path(f, f"{f.getName()}.pkl")))
+
+
 def adapt_directory(spark: SparkSession, path: str, out: str, dialect: str = "wesad") -> dict[str, int]:
     """Reads all recordings below ``path`` and writes their windows and session rows as Parquet below ``out``; gives the
-    numbers of recordings, windows and sessions. A folder without recordings is an error."""
+    numbers of recordings, windows and sessions.
+
+    Windows are of the states that the dialect takes (TAKEN_STATES, TAKEN_ACTIVITIES). A subject's folder without its file gives a warning; a folder
+    without any recording is an error.
+    """
+    for subject in subjects_without_recording(spark, path):
+        warnings.warn(f"{path}/{subject}/{subject}.pkl is missing and left out", stacklevel=2)
     found = read_recordings(spark, path, dialect)
     found.write.mode("overwrite").parquet(f"{out}/recordings")
     held = spark.read.parquet(f"{out}/recordings")
-    names = ACTIVITIES if dialect == "dalia" else STATES
-    extract_windows(held, states=tuple(names), names=names).write.mode("overwrite").parquet(f"{out}/windows")
+    names, taken = (ACTIVITIES, TAKEN_ACTIVITIES) if dialect == "dalia" else (STATES, TAKEN_STATES)
+    extract_windows(held, states=taken, names=names).write.mode("overwrite").parquet(f"{out}/windows")
     summary = activity_seconds(held) if dialect == "dalia" else session_summary(held)
     summary.write.mode("overwrite").parquet(f"{out}/sessions")
     return {"recordings": held.count(), "windows": spark.read.parquet(f"{out}/windows").count(), "sessions": spark.read.parquet(f"{out}/sessions").count()}

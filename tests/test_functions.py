@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigwarden.functions import arrow, kernels as k, stats
+from sigwarden.functions import arrow, kernels as k, ordered, stats
 
 FS = 64
 
@@ -118,3 +118,44 @@ def test_window_table_polarity_and_nulls(spark):
     assert t[12]["hr_ecg"] is None and t[12]["orphanidou_acceptable"] == 0
     skewed = [(i, [float(v) for v in -np.maximum(0, np.sin(2 * np.pi * 1.2 * np.arange(320) / FS + i) ** 3)]) for i in range(12)]
     assert arrow.polarity_inverted(spark.createDataFrame(skewed, "window_idx int, ppg array<double>"), FS)
+
+
+def runs_of(flags):
+    out, n = [], 0
+    for f in [*flags, 0]:
+        if f:
+            n += 1
+        elif n:
+            out.append(n)
+            n = 0
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_run_summaries_against_brute_force(spark, partitions):
+    """One key has most rows, so it spans ranges; NULL keys are left out, NULL flags are false."""
+    rng = np.random.default_rng(0)
+    rows = [("hot", i, bool(f)) for i, f in enumerate(rng.random(5000) < 0.9)] + [("all", i, True) for i in range(900)] + [("none", i, None if i % 2 else False) for i in range(40)] + [(None, 1, True), ("one", None, True)]
+    df = spark.createDataFrame(rows, "k string, t int, f boolean").repartition(partitions)
+    spark.conf.set("spark.sql.shuffle.partitions", 9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.k: r for r in ordered.run_summaries(df, "k", [F.col("t")], F.col("f")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert set(got) == {"hot", "all", "none", "one"}
+    for k in got:
+        flags = [bool(f) for key, t, f in sorted((r for r in rows if r[0] == k), key=lambda r: r[1] or -1)]
+        runs = runs_of(flags)
+        prefix = flags.index(False) if False in flags else len(flags)
+        suffix = flags[::-1].index(False) if False in flags else len(flags)
+        assert tuple(got[k])[1:] == (len(flags), prefix, suffix, max(runs, default=0), sum(runs), len(runs)), k
+
+
+def test_filter_matrix_equals_the_recursion():
+    x = np.random.default_rng(1).normal(size=(5, 200))
+    once = k._forwards_and_backwards(x, 64.0, k.PPG_BAND, k.ORDER)
+    assert np.allclose(k.bandpass_many(x, 64, k.PPG_BAND), once, atol=1e-12)
+    with pytest.raises(ValueError):
+        k.bandpass_many(x[:, :21], 64, k.PPG_BAND)

@@ -93,6 +93,30 @@ def test_recordings(spark, tmp_path):
     assert recordings.upsampled(np.array([1, 2]), 3, 8).tolist() == [1, 1, 1, 2, 2, 2, 2, 2]
 
 
+@pytest.mark.parametrize(("dialect", "taken"), [("wesad", (1, 2, 3)), ("dalia", tuple(range(1, 9)))])
+def test_adapt_directory_takes_the_states_of_its_dialect(spark, tmp_path, dialect, taken):
+    """Ten seconds of each code, those that are not taken (0, and 4 or 9) among them; one subject's file is missing."""
+    codes = [0, 1, 2, 3, 4] if dialect == "wesad" else list(range(10))
+    for s in ("S2", "S3", "S4"):
+        (tmp_path / "in" / s).mkdir(parents=True)
+        if s != "S4":
+            rec = recording(10 * len(codes))
+            label = np.repeat(codes, 10 * (700 if dialect == "wesad" else 4))
+            own = {k: v for k, v in rec.items() if k != "label"} | {"subject": s}
+            (tmp_path / f"in/{s}/{s}.pkl").write_bytes(pickle.dumps(own | ({"label": label} if dialect == "wesad" else {"activity": label})))
+    with pytest.warns(UserWarning, match="S4.pkl is missing"):
+        n = recordings.adapt_directory(spark, str(tmp_path / "in"), str(tmp_path / "out"), dialect)
+    w = spark.read.parquet(str(tmp_path / "out/windows")).orderBy("window_idx").collect()
+    assert n == {"recordings": 2, "windows": 4 * len(taken), "sessions": 2}
+    assert [x.window_idx for x in w] == list(range(len(w))) and [x.label for x in w] == [c for _ in range(2) for c in taken for _ in range(2)]
+    assert all(x.end_seconds - x.start_seconds == 5 and int(x.start_seconds // 10) == codes.index(x.label) for x in w)
+
+
+def test_windows_end_with_the_labels(spark):
+    rec = {"subject_id": "S2", "chest_ecg": [0.0] * 700 * 12, "wrist_ppg": [0.0] * 64 * 12, "wrist_acc": [], "labels": [1] * 700 * 9}
+    assert recordings.extract_windows(spark.createDataFrame([rec], recordings.RECORDING)).count() == 1
+
+
 def test_loaders(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"hr_ecg": [60.0, 70.0], "hr_ppg": [61.0, 72.0]}')
     (tmp_path / "b.json").write_text('[{"hr_ecg": 60.0, "hr_ppg": 61.0}, {"hr_ecg": 70.0, "hr_ppg": null}]')
