@@ -24,20 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import Cut, Remembered, byte_level, gathered, starts_of
+from .chunks import Cut, Remembered, byte_level, encoded_together, gathered, leads, starts_of, token_bytes
 from .runtime import arrow_map, checkpoint_folder, cut, free_name, remove_folder, slices
 
 #: Different keys that a task holds before it passes their counts on, and keys of a shard.
 HELD_KEYS, SHARD_KEYS = 4_000_000, 4_000_000
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The characters by which byte-level vocabularies write bytes: printable Latin-1 ones stand for themselves, the others follow from U+0100."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class Piecewise:
     """A sentencepiece BPE with byte fallback and no normalisation, for chunks of texts that begin with a space.
 
@@ -64,16 +57,19 @@ class Piecewise:
         self.bytes = [byte.get(p.piece) or p.piece.replace(space, " ").encode() for p in model.pieces]
         self.feed = [self.model.piece_to_id(space), self.model.piece_to_id("<0x0A>")]
 
-    def __call__(self, chunks: list[bytes]) -> list[list[int]]:
+        self.sizes = np.array([len(x) for x in self.bytes], np.int64)
+
+    def __call__(self, chunks: list[bytes]) -> list[np.ndarray]:
         """The model puts a space before every text; where a chunk has none, a line feed keeps the two apart."""
-        spaced = [c[:1] == b" " for c in chunks]
-        coded = self.model.encode([c[1:].decode("utf-8", "replace") if s else "\n" + c.decode("utf-8", "replace") for c, s in zip(chunks, spaced)], num_threads=1)
-        out = []
-        for ids, s in zip(coded, spaced):
-            if not s and ids[:2] != self.feed:
+
+        def encode(texts: list[str]) -> list[list[int]]:
+            spaced = [t[:1] == " " for t in texts]
+            coded = self.model.encode([t[1:] if s else "\n" + t for t, s in zip(texts, spaced)], num_threads=1)
+            if any(not s and ids[:2] != self.feed for ids, s in zip(coded, spaced)):
                 raise ValueError("the model does not keep a line feed apart")
-            out.append(ids if s else ids[2:])
-        return out
+            return [ids if s else ids[2:] for ids, s in zip(coded, spaced)]
+
+        return encoded_together(chunks, encode, self.sizes, lambda c: leads(c) and c[-1] != 0x20)
 
 
 class Aligner:
@@ -81,24 +77,18 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = byte_level(path_a, special_as_text=True), Piecewise(path_b)
-        alphabet = byte_alphabet()
-        vocabulary = self.a.get_vocab(with_added_tokens=True)
-        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            self.bytes_a[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
-        self.size_a = np.array([len(x) for x in self.bytes_a], np.int64)
-        self.size_b = np.array([len(x) for x in self.b.bytes], np.int64)
+        self.bytes_a = token_bytes(self.a)
+        self.size_a, self.size_b = np.array([len(x) for x in self.bytes_a], np.int64), self.b.sizes
 
     def __call__(self, chunks: list[bytes]) -> list[tuple | bool]:
-        coded_a = [e.ids for e in self.a.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)]
+        coded_a = encoded_together(chunks, lambda texts: [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.size_a, leads)
         coded_b = self.b(chunks)
         byte_a, byte_b = self.bytes_a.__getitem__, self.b.bytes.__getitem__
-        good = [k for k, c in enumerate(chunks) if b"".join(map(byte_a, coded_a[k])) == c == b"".join(map(byte_b, coded_b[k]))]
+        good = [k for k, c in enumerate(chunks) if b"".join(map(byte_a, coded_a[k].tolist())) == c == b"".join(map(byte_b, coded_b[k].tolist()))]
         out: list[tuple | bool] = [False] * len(chunks)
         if not good:
             return out
-        a = np.array([i for k in good for i in coded_a[k]], np.int64)
-        b = np.array([i for k in good for i in coded_b[k]], np.int64)
+        a, b = np.concatenate([coded_a[k] for k in good]), np.concatenate([coded_b[k] for k in good])
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         # All ends are different and in order, and a chunk's last one is common to both.
         common = np.intersect1d(ends_a, ends_b, assume_unique=True)
@@ -143,7 +133,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligned = _aligner(path_a, path_b)
-        for batch in slices(batches, 512):
+        for batch in slices(batches, 1024):
             chunks = Cut(batch.column(len(keep)), fine=False, lone_spaces=False)
             coded = aligned(chunks.values)
             bad = np.array([x is False for x in coded], bool)

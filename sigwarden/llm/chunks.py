@@ -84,22 +84,30 @@ def starts_of(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64) if len(lengths) else np.zeros(0, np.int64)
 
 
-#: Different chunks that a worker remembers, and the longest one that it does.
-REMEMBERED, REMEMBERED_BYTES = 400_000, 64
+#: Different chunks that a worker remembers in each of two generations, and the longest one that it does.
+REMEMBERED, REMEMBERED_BYTES = 300_000, 64
+#: Chunks that are encoded as one text.
+TOGETHER = 500
 
 
 class Remembered:
-    """``of(chunk)`` for many chunks, computed together for those that are not remembered."""
+    """``of(chunk)`` for many chunks, computed together for those that are not remembered. What was not asked for since the last
+    change of generation is forgotten at the next one."""
 
     def __init__(self, compute):
-        self.compute, self.known = compute, {}
+        self.compute, self.known, self.older = compute, {}, {}
 
     def __call__(self, chunks: list[bytes]) -> list:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         found = list(map(known.get, chunks))
-        new = [i for i, x in enumerate(found) if x is None]
+        new = []
+        for i in [i for i, x in enumerate(found) if x is None]:
+            if (x := older.get(chunks[i])) is None:
+                new.append(i)
+            else:
+                found[i] = known[chunks[i]] = x
         for i, x in zip(new, self.compute([chunks[i] for i in new])) if new else ():
             found[i] = x
             if len(chunks[i]) <= REMEMBERED_BYTES:
@@ -107,6 +115,48 @@ class Remembered:
         return found
 
 
+def encoded_together(chunks: list[bytes], encode, sizes: np.ndarray, whole) -> list[np.ndarray]:
+    """The ids of each chunk. Those for which ``whole`` holds are joined to texts of TOGETHER chunks, as cuts between them are exact, and told apart by the
+    bytes of their tokens (``sizes``). ``encode`` takes a list of texts and gives a list of id lists."""
+    out: list[np.ndarray | None] = [None] * len(chunks)
+    joined = [i for i, c in enumerate(chunks) if whole(c)]
+    groups = [joined[k : k + TOGETHER] for k in range(0, len(joined), TOGETHER)]
+    for own, ids in zip(groups, encode([b"".join([chunks[i] for i in own]).decode("utf-8", "replace") for own in groups]) if groups else ()):
+        ids = np.asarray(ids, np.int64)
+        ends, bounds = np.cumsum(sizes[ids]), np.cumsum([len(chunks[i]) for i in own])
+        last = np.minimum(np.searchsorted(ends, bounds), len(ends) - 1)
+        if ends[-1] == bounds[-1] and (ends[last] == bounds).all():  # else one of them has other bytes, and each is encoded on its own
+            at = 0
+            for i, to in zip(own, (last + 1).tolist()):
+                out[i] = ids[at:to]
+                at = to
+    alone = [i for i, x in enumerate(out) if x is None]
+    for i, ids in zip(alone, encode([chunks[i].decode("utf-8", "replace") for i in alone]) if alone else ()):
+        out[i] = np.asarray(ids, np.int64)
+    return out
+
+
+def leads(chunk: bytes) -> bool:
+    """Whether a cut before the chunk is exact for a byte-level BPE whatever stands before it."""
+    return len(chunk) > 1 and chunk[0] == 0x20 and bool(SAFE[chunk[1]])
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The characters by which byte-level vocabularies write bytes: printable Latin-1 ones stand for themselves, the others follow from U+0100."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def token_bytes(tokenizer) -> list[bytes]:
+    """The bytes of each id of a byte-level vocabulary; a special token's are its text."""
+    alphabet, vocabulary = byte_alphabet(), tokenizer.get_vocab(with_added_tokens=True)
+    out = [b""] * (max(vocabulary.values()) + 1)
+    for token, i in vocabulary.items():
+        out[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
+    return out
+
+
 def is_byte_level(path: str) -> bool:
     """Whether the tokenizer's file is a byte-level BPE with the usual pattern, for which the cuts are exact: no normaliser, no
     prefix, and special tokens that hold neither white space nor a place where a cut is made."""

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import Cut, Remembered, byte_level, gathered, starts_of
+from .chunks import Cut, Remembered, byte_level, encoded_together, gathered, leads, starts_of, token_bytes
 from .runtime import BROADCAST_ROWS, arrow_map, cut, free_name, numbered, slices
 
 _ENCODERS: dict[str, Remembered] = {}
@@ -29,7 +29,9 @@ def _encoder(path: str) -> Remembered:
     """One for each Python worker."""
     if path not in _ENCODERS:
         tokenizer = byte_level(path, special_as_text=False)
-        _ENCODERS[path] = Remembered(lambda chunks: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)])
+        sizes = np.array([len(x) for x in token_bytes(tokenizer)], np.int64)
+        encode = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        _ENCODERS[path] = Remembered(lambda chunks: [ids.astype("<u4").tobytes() for ids in encoded_together(chunks, encode, sizes, leads)])
     return _ENCODERS[path]
 
 
@@ -47,7 +49,7 @@ def token_pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)
-        for batch in slices(batches, 512):
+        for batch in slices(batches, 1024):
             chunks = Cut(batch.column(len(keep)), fine=True)
             coded = [*encode(chunks.values), np.array([end_id], "<u4").tobytes()]
             lengths = np.array([len(x) // 4 for x in coded], np.int64)
