@@ -35,6 +35,9 @@ LEAF, UNSPLIT, AGREE, WINDOW = 4096, 1024, 4, 16
 #: Chunks that a worker remembers, of at most UNSPLIT bytes each.
 REMEMBERED = 200_000
 _POINTS = frozenset(b".,")
+#: A text with one of these bytes is left to the normaliser, which composes before it lower-cases. Doing A-Z first changes no token otherwise: a special
+#: token must not be made (``<``), and a small letter may have a composed form with a mark of U+0300-U+037F (lead bytes CC and CD) where the capital has none.
+_AS_IT_IS = (b"<", b"\xcc", b"\xcd")
 _SPACE = frozenset(b" \t\n\r\x0b\x0c")
 
 
@@ -48,12 +51,15 @@ def kind_of(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
     model, normalizer, pre = file["model"], file["normalizer"], file["pre_tokenizer"] or {}
-    plain = model["type"] == "BPE" and not model.get("dropout") and not model.get("fuse_unk") and not model.get("ignore_merges") and file["post_processor"] is None
+    added = file.get("added_tokens") or []
+    # Special tokens are found in the text as it stands, and (in words) only in chunks with "<".
+    exact = all(not any(t.get(x) for x in ("single_word", "lstrip", "rstrip", "normalized")) and not set(t["content"]) & set(" \t\n\r\x0b\x0c") for t in added)
+    plain = exact and model["type"] == "BPE" and not model.get("dropout") and not model.get("fuse_unk") and not model.get("ignore_merges") and file["post_processor"] is None
     steps = [n["type"] for n in (normalizer or {}).get("normalizers", [])]
     split, *rest = pre.get("pretokenizers", [{}])
     space = [n for n in (normalizer or {}).get("normalizers", []) if n["type"] == "Replace"]
     if (
-        plain and steps == ["NFC", "Replace", "Lowercase"] and space[0]["pattern"] == {"Regex": r"\s+"} and space[0]["content"] == " "
+        plain and all("<" in t["content"] for t in added) and steps == ["NFC", "Replace", "Lowercase"] and space[0]["pattern"] == {"Regex": r"\s+"} and space[0]["content"] == " "
         and split.get("type") == "Split" and split["pattern"] == {"Regex": WORD_PATTERN} and split["behavior"] == "Removed" and split["invert"]
         and [(r["type"], r.get("add_prefix_space"), r.get("use_regex")) for r in rest] == [("ByteLevel", False, False)] and model.get("end_of_word_suffix")
     ):
@@ -93,8 +99,7 @@ class Codec:
     def encode_packed(self, texts: list[bytes]) -> list[bytes]:
         if self.kind == "bytes":
             return self._encode_unsplit([t.decode() for t in texts])
-        # The normaliser lower-cases; doing it to A-Z first changes no token, save that a special token must not be made.
-        texts = [t if b"<" in t else t.lower() for t in texts]
+        texts = [t if any(x in t for x in _AS_IT_IS) else t.lower() for t in texts]
         seen: set[bytes] = set()
         trees = [self._halved(t, 0, len(t), seen) for t in texts]
         self._remember(seen)
