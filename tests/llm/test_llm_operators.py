@@ -700,3 +700,42 @@ def test_slices_are_bounded_by_bytes():
     out = list(slices([batch], 512, 20_000))
     assert [x for b in out for x in map(len, b.column(0).to_pylist())] == sizes
     assert all(b.num_rows <= 512 and (b.nbytes <= 20_000 or b.num_rows == 1) for b in out)
+
+
+# exactness of encoding, and single texts
+
+
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_bpe_equals_the_library_with_marks_specials_and_white_space(file):
+    """Decomposed capitals (no composed form) with composed small letters, marks of other blocks, special tokens, all white space."""
+    public, tokenizers = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers")
+    codec, whole, rng = bpe.Codec(public.path(file), leaf=24, unsplit=16), tokenizers.Tokenizer.from_file(public.path(file)), random.Random(11)
+    alphabet = [*"HTWYJAaBz.,' \n\t\r\x0b\x0c\x85", "̱", "̈", "̊", "̌", "́", "̣", "᷀", "⃐", "<|endoftext|>", "<|startoftext|>", "<", "é", "漢", " ", "　", " ", "K", "İ", "ß", "'s"]
+    texts = ["H̱ello T̈ W̊ Y̊ J̌", *["".join(rng.choice(alphabet) for _ in range(rng.choice([1, 5, 30, 120]))) for _ in range(1500)]]
+    assert codec.encode([t.encode() for t in texts]) == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("change", [{"content": "[SEP]"}, {"content": "<a b>"}, {"lstrip": True}, {"rstrip": True}, {"normalized": True}, {"single_word": True}])
+def test_bpe_refuses_files_with_other_special_tokens(tmp_path, change):
+    import json
+
+    public = pytest.importorskip("public_tokenizers")
+    with open(public.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        file = json.load(f)
+    file["added_tokens"][0] |= change
+    (tmp_path / "t.json").write_text(json.dumps(file))
+    with pytest.raises(ValueError):
+        bpe.kind_of(str(tmp_path / "t.json"))
+
+
+def test_exact_dedup_sends_no_single_text(spark, monkeypatch):
+    texts = [f"single {i}" for i in range(2000)] + ["twice", "Twice", "", None]
+    docs = docs_of(spark, texts)
+    few = spark.createDataFrame([(bytearray(hashlib.md5(x.encode()).digest()),) for x in ("twice", "")], "digest binary")
+    wide = docs.select("doc_id", exact_dedup.digest_of(exact_dedup.normalised(F.col("text"))).alias("digest"))
+    assert {r.doc_id for r in exact_dedup.possibly_in(wide, few).collect()} >= {2000, 2001, 2002, 2003}
+    assert exact_dedup.possibly_in(wide, few).count() <= 6
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr("sigwarden.llm.runtime.BROADCAST_ROWS", 0)
+    found = {r.doc_id: r for r in exact_dedup.mark_duplicates(docs).collect()}
+    assert [(found[i].keep_id, found[i].group_size) for i in range(2000, 2004)] == [(2000, 2), (2000, 2), (2002, 2), (2002, 2)] and all(found[i].group_size == 1 for i in range(2000))
