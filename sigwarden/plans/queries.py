@@ -48,6 +48,13 @@ def query(sql: str | None = None, *with_: str, recursive: bool = False):
     return add
 
 
+def with_sql(name: str, sql: str, *with_: str, recursive: bool = False) -> None:
+    """Gives a query that is registered already its SQL."""
+    if name not in _QUERIES or name in _SQL:
+        raise ValueError(f"{name} is not registered or has its SQL")
+    _SQL[name] = (f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(with_)}\n" if with_ else "") + _nudged(sql)
+
+
 D, L, R, W, S, B = _nudged(views.DAILY_SQL), views.LABELS_SQL, views.RATERS_SQL, views.WINDOWS_SQL, views.SERIES_SQL, views.PRICES_SQL
 
 
@@ -843,13 +850,13 @@ def loso_classifier(spark, sf):
 
 @query()
 def synthetic_cohort(spark, sf):
-    c = synthetic.Cohort(participants=40, days=20)
-    return synthetic.generate(spark, c).select("participant_id", "date", "device_type", "resting_hr", "hrv_rmssd", "missing_wearable_flag", "signal_quality_ground_truth")
+    c = synthetic.Cohort(days=20)
+    return synthetic.generate(spark, c, ids=views.people(spark, sf)).select("participant_id", "date", "device_type", "resting_hr", "hrv_rmssd", "missing_wearable_flag", "signal_quality_ground_truth")
 
 
 @query()
 def generator_stress_sweep(spark, sf):
-    return synthetic.stress_test(spark, synthetic.Cohort(40, 15))
+    return synthetic.stress_test(spark, synthetic.Cohort(days=30), ids=views.people(spark, sf))
 
 
 def _streamed(spark, sf, name, mode, f):

@@ -6,14 +6,15 @@ import math
 import uuid
 from dataclasses import replace
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrow
 from ..operators import agreement, causal, daily as days, effects, fairness, models, reliability, trust
-from ..session import checkpoint_folder
+from ..session import checkpoint_folder, cut
 from ..sources import adapters, recordings, synthetic
-from . import figures, report, service, views
-from .queries import _COHORT, _ROUND, _STRATA, _WEEKS, B, D, L, Q_OF, R, S, W, _corr, _rank, _state_deltas, _trust_sql, query
+from . import figures, p_value_sql as p_values, report, service, views
+from .queries import _COHORT, _ROUND, _STRATA, _WEEKS, B, D, L, Q_OF, R, S, W, _corr, _rank, _state_deltas, _SQL, _trust_sql, query, with_sql
 
 # hashed numbers, as functions.stats.hashed_uniform and sources.synthetic.normal have them
 
@@ -46,7 +47,7 @@ def _cohort_sql(c: synthetic.Cohort, at: str = "") -> str:
   round({_clip(f"7500 + 2800 * {_z(s, 'act', k)}", 800, 22000)})::INT AS baseline_activity,
   CASE WHEN {_u(s, 'device', k)} < 0.45 THEN 'device_A' WHEN {_u(s, 'device', k)} < 0.85 THEN 'device_B' ELSE 'device_C' END AS device_type,
   round({_u(s, 'skin', k)}, 3) AS skin_tone_proxy, round({beta('climate', 2, 5)}, 3) AS climate_sensitivity, round({beta('missing', 2, 8)}, 3) AS missingness_tendency
-  FROM (SELECT *, (18 + floor({_u(s, 'age', k)} * 58))::INT AS age FROM (SELECT printf('P%04d', i) AS participant_id FROM range(1, {c.participants + 1}) AS r(i)))),
+  FROM (SELECT *, (18 + floor({_u(s, 'age', k)} * 58))::INT AS age FROM ({views.PEOPLE_SQL}))),
 d0{at} AS (SELECT *, DATE '{c.start}' + d AS date FROM people{at}, (SELECT unnest(range({c.days}))::INT AS d)),
 d1{at} AS (SELECT *, 22 + 8 * sin({2 * math.pi!r}::DOUBLE * d / 60) + 2 * {_z(t, 'temp', *d)} AS t0, {_clip(f"55 + 12 * {_z(t, 'hum', *d)}", 15, 95)} AS h0, {_clip(f"25 * {_gamma(t, 'aqi', 2, *d)}", 8, 280)} AS a0,
   floor(greatest(0.0::DOUBLE, baseline_activity * CASE WHEN isodow(date) >= 6 THEN 1.12::DOUBLE ELSE 1.0::DOUBLE END + 2200 * {_z(t, 'steps', *d)})) AS step_count FROM d0{at}),
@@ -73,20 +74,20 @@ _OBSERVED = (
 
 # synthetic cohorts
 
-_SMALL = synthetic.Cohort(participants=40, days=20)
+_SMALL = synthetic.Cohort(days=20)
 
 
 @query("SELECT * FROM people", _cohort_sql(_SMALL))
 def synthetic_participants(spark, sf):
-    return synthetic.participants(spark, _SMALL)
+    return synthetic.participants(spark, _SMALL, views.people(spark, sf))
 
 
 @query("SELECT * FROM days", _cohort_sql(_SMALL))
 def synthetic_days(spark, sf):
-    return synthetic.generate(spark, _SMALL)
+    return synthetic.generate(spark, _SMALL, ids=views.people(spark, sf))
 
 
-_BASE = synthetic.Cohort(40, 15)
+_BASE = synthetic.Cohort(days=30)
 _SWEEP = [(e, s, replace(_BASE, **{e: s})) for e, strengths in synthetic.EFFECTS.items() for s in strengths]
 _SWEEP_SQL = "sweep AS (" + " UNION ALL ".join(f"SELECT '{e}' AS effect, ({s})::DOUBLE AS coefficient, {e} AS observed FROM (SELECT {_OBSERVED.format(at=i)})" for i, (e, s, _) in enumerate(_SWEEP)) + ")"
 _SWEEP_WITH = [*[_cohort_sql(c, str(i)) for i, (_, _, c) in enumerate(_SWEEP)], _SWEEP_SQL]
@@ -94,7 +95,11 @@ _SWEEP_WITH = [*[_cohort_sql(c, str(i)) for i, (_, _, c) in enumerate(_SWEEP)],
 
 @query("SELECT effect, coefficient, round(observed, 6) AS observed FROM sweep", *_SWEEP_WITH)
 def stress_response(spark, sf):
-    return synthetic.stress_test(spark, _BASE)
+    return synthetic.stress_test(spark, _BASE, ids=views.people(spark, sf))
+
+
+with_sql("synthetic_cohort", "SELECT participant_id, date, device_type, resting_hr, hrv_rmssd, missing_wearable_flag, signal_quality_ground_truth FROM days", _cohort_sql(_SMALL))
+with_sql("generator_stress_sweep", "SELECT effect, coefficient, round(observed, 6) AS observed FROM sweep", *_SWEEP_WITH)
 
 
 @query(
@@ -103,10 +108,10 @@ def stress_response(spark, sf):
     *_SWEEP_WITH,
 )
 def stress_monotonic(spark, sf):
-    return synthetic.monotonic_response(synthetic.stress_test(spark, _BASE))
+    return synthetic.monotonic_response(synthetic.stress_test(spark, _BASE, ids=views.people(spark, sf)))
 
 
-_REGIMES = [(n, replace(synthetic.Cohort(30, 35), **x)) for n, x in synthetic.REGIMES.items()]
+_REGIMES = [(n, replace(synthetic.Cohort(days=35), **x)) for n, x in synthetic.REGIMES.items()]
 
 
 def _regime_sql(i: int, name: str) -> str:
@@ -122,7 +127,7 @@ _OBS = ", ".join(f"round(observed_{e}, 6) AS observed_{e}" for e in synthetic.EF
 
 @query(f"SELECT regime, round(mean_trust, 6) AS mean_trust, {_OBS}, round(test_retest_r, 6) AS test_retest_r FROM regimes", *_REGIME_WITH)
 def regime_summary(spark, sf):
-    return synthetic.regime_summary(spark, 30, 35)
+    return synthetic.regime_summary(spark, days=35, ids=views.people(spark, sf))
 
 
 def _at(regime: str, column: str) -> str:
@@ -143,7 +148,7 @@ _PREDICTED = (
 
 @query(" UNION ALL ".join(f"SELECT '{n}' AS prediction, round(v, 6) AS observed, CASE WHEN v IS NULL THEN 'skip' WHEN {t} THEN 'pass' ELSE 'fail' END AS status FROM (SELECT {v} AS v)" for n, v, t in _PREDICTED), *_REGIME_WITH)
 def regime_predictions(spark, sf):
-    return synthetic.predicted_vs_observed(synthetic.regime_summary(spark, 30, 35))
+    return synthetic.predicted_vs_observed(synthetic.regime_summary(spark, days=35, ids=views.people(spark, sf)))
 
 
 # bootstraps by clusters: Poisson(1) counts from a hash, as reliability.bootstrap_weight draws them
@@ -174,18 +179,20 @@ def test_retest_interval(spark, sf):
     return reliability.cohort_test_retest_table(views.order_series(spark, sf), ["value"])
 
 
-_COMPARED = synthetic.Cohort(30, 35)
+with_sql("test_retest_bootstrap", f"SELECT {_RETEST} FROM ({_retest_sql('value', 'S', 200)})", S)
+
+
 _ICC_OF = """(SELECT CASE WHEN n >= 2 AND k >= 2 AND den > 0 THEN (msr - mse) / den END FROM (SELECT *, msr + (k - 1) * mse + k * (msc - mse) / n AS den FROM (SELECT *, ssr / (n - 1) AS msr, ssc / (k - 1) AS msc, (sst - ssr - ssc) / ((n - 1) * (k - 1)) AS mse FROM (
 SELECT count(DISTINCT s) AS n, count(DISTINCT d) AS k, sum((v - g) * (v - g)) AS sst, sum((sm - g) * (sm - g)) AS ssr, sum((rm - g) * (rm - g)) AS ssc FROM (SELECT *, avg(v) OVER () AS g, avg(v) OVER (PARTITION BY s) AS sm, avg(v) OVER (PARTITION BY d) AS rm FROM (
-SELECT participant_id AS s, row_number() OVER (PARTITION BY participant_id ORDER BY date) AS d, {m} AS v FROM days) WHERE d <= 7)))))"""
+SELECT participant_id AS s, row_number() OVER (PARTITION BY participant_id ORDER BY date) AS d, {m} AS v FROM D) WHERE d <= 7) WHERE s IN (SELECT s FROM first7 WHERE metric = '{m}')))))"""
 
 
 @query(
-    " UNION ALL ".join(f"SELECT metric, round({_ICC_OF.format(m=m)}, 4) AS icc, round(r, 4) AS r, round(ci_low, 4) AS ci_low, round(ci_high, 4) AS ci_high FROM ({_retest_sql(m, f'(SELECT participant_id, date, {m} AS value FROM days)', 100)})" for m in ("resting_hr", "hrv_rmssd")),
-    _cohort_sql(_COMPARED),
+    " UNION ALL ".join(f"SELECT metric, round({_ICC_OF.format(m=m)}, 4) AS icc, round(r, 4) AS r, round(ci_low, 4) AS ci_low, round(ci_high, 4) AS ci_high FROM ({_retest_sql(m, f'(SELECT participant_id, date, {m} AS value FROM D)', 200)})" for m in ("resting_hr", "step_count")),
+    D, "first7 AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, participant_id AS s FROM (SELECT participant_id, {m} AS v, row_number() OVER (PARTITION BY participant_id ORDER BY date) AS d FROM D) WHERE d <= 7 GROUP BY participant_id HAVING count(v) = 7" for m in ("resting_hr", "step_count")) + ")",
 )
 def icc_vs_test_retest(spark, sf):
-    return reliability.compare_to_test_retest(synthetic.generate(spark, _COMPARED), ["resting_hr", "hrv_rmssd"], replicates=100)
+    return reliability.compare_to_test_retest(views.daily(spark, sf), ["resting_hr", "step_count"], replicates=200)
 
 
 @query(
@@ -197,6 +204,15 @@ def stability(spark, sf):
     return reliability.participant_stability(views.daily(spark, sf), "resting_hr").drop("p_value")
 
 
+with_sql(
+    "participant_stability",
+    f"""SELECT participant_id, round(avg(variation), 6) AS mean_variation, round(any_value(slope), 6) AS slope, round(any_value({p_values.t_p('t', 'df')}), 6) AS p_value FROM (SELECT participant_id, CASE WHEN count(resting_hr) OVER w = 7 THEN stddev_samp(resting_hr) OVER w / (avg(resting_hr) OVER w + 1e-9) END AS variation FROM D WINDOW w AS (PARTITION BY participant_id ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
+LEFT JOIN (SELECT participant_id, n - 2 AS df, CASE WHEN ok THEN slope END AS slope, CASE WHEN ok THEN sign(c) * sqrt(r2 * (n - 2) / nullif(1 - r2, 0)) END AS t FROM (SELECT participant_id, count(*) AS n, count(*) >= 5 AND stddev_pop(y) >= 1e-9 AS ok, regr_slope(y, i) AS slope, regr_r2(y, i) AS r2, covar_pop(y, i) AS c
+  FROM (SELECT participant_id, resting_hr AS y, row_number() OVER (PARTITION BY participant_id ORDER BY date) - 1 AS i FROM D WHERE resting_hr IS NOT NULL) GROUP BY 1)) USING (participant_id) GROUP BY participant_id""",
+    D,
+)
+
+
 # change-points: a segment is a list that splits into two lists while the F statistic of its best split is high
 
 _SEGMENTS = """seg AS (SELECT participant_id, 0 AS lo, x FROM (SELECT participant_id, list(resting_hr ORDER BY date) AS x FROM D WHERE resting_hr IS NOT NULL GROUP BY 1) WHERE len(x) >= 14
@@ -206,6 +222,23 @@ UNION ALL SELECT participant_id, lo + p.at, p.part FROM (SELECT participant_id,
   WHERE i >= 7 AND len(x) - i >= 7 AND g > 0 AND (rest <= 0 OR g / (rest / (len(x) - 2)) >= 8.0)))"""
 
 
+_SERIES_OF = "series AS (SELECT participant_id, list(resting_hr ORDER BY date) AS x FROM D WHERE resting_hr IS NOT NULL GROUP BY participant_id HAVING count(*) >= 14)"
+with_sql(
+    "binary_segmentation_scan",
+    """SELECT participant_id, (lo + i)::INT AS index, round(CASE WHEN rest <= 0 THEN 'inf'::DOUBLE ELSE g / (rest / (len(x) - 2)) END, 6) AS score, round(list_avg(x[1:i]), 6) AS before_mean, round(list_avg(x[i + 1:]), 6) AS after_mean, round(list_avg(x[i + 1:]) - list_avg(x[1:i]), 6) AS delta, 'binary_segmentation' AS method
+FROM (SELECT participant_id, lo, x, best.i AS i, best.g AS g, list_sum(list_transform(x[1:best.i], lambda v: (v - list_avg(x[1:best.i])) * (v - list_avg(x[1:best.i])))) + list_sum(list_transform(x[best.i + 1:], lambda v: (v - list_avg(x[best.i + 1:])) * (v - list_avg(x[best.i + 1:])))) AS rest FROM (
+  SELECT *, list_reduce(list_transform(range(2, len(x) - 2), lambda j: {'i': j, 'g': pow(list_sum(x[1:j]), 2) / j + pow(list_sum(x) - list_sum(x[1:j]), 2) / (len(x) - j) - pow(list_sum(x), 2) / len(x)}), lambda a, b: CASE WHEN b.g > a.g THEN b ELSE a END) AS best FROM seg WHERE len(x) >= 14))
+WHERE i >= 7 AND len(x) - i >= 7 AND g > 0 AND (rest <= 0 OR g / (rest / (len(x) - 2)) >= 8.0)""",
+    D, _SEGMENTS, recursive=True,
+)
+with_sql(
+    "bocpd_scan",
+    """SELECT participant_id, (t - 1)::INT AS index, round((last - now)::DOUBLE, 6) AS score, round(before_mean, 6) AS before_mean, round(after_mean, 6) AS after_mean, round(after_mean - before_mean, 6) AS delta, 'bocpd' AS method
+FROM (SELECT *, list_avg(x[greatest(t - 10, 1):t - 1]) AS before_mean, list_avg(x[t:t + 9]) AS after_mean FROM online WHERE last - now >= 5 AND t >= 5 AND t <= len(x) - 3)""",
+    D, _SERIES_OF, p_values.change_points("series"), recursive=True,
+)
+
+
 @query("SELECT participant_id, count(*) OVER (PARTITION BY participant_id) AS n_segments, lo::INT AS start FROM (SELECT DISTINCT participant_id, lo FROM seg)", D, _SEGMENTS, recursive=True)
 def segmentation(spark, sf):
     d = views.daily(spark, sf)
@@ -249,6 +282,14 @@ def within_subject_ranks(spark, sf):
     return effects.within_subject_tests(views.daily(spark, sf), ["resting_hr", "hrv_rmssd"], "missing_wearable_flag", [(0, 1)], by=["participant_id"]).drop("p_value")
 
 
+with_sql(
+    "within_subject_tests",
+    f"SELECT participant_id, metric, '0_vs_1' AS contrast, n_a, n_b, round(u, 6) AS u_a, round(2 * u / (n_a * n_b) - 1, 6) AS cliffs_delta, round({p_values.mann_whitney_p('u', 'n_a', 'n_b', 'ties')}, 6) AS p_value FROM (SELECT *, s - n_a * (n_a + 1) / 2.0::DOUBLE AS u FROM (SELECT participant_id, metric, count(*) FILTER (state = 0) AS n_a, count(*) FILTER (state = 1) AS n_b, sum(rk) FILTER (state = 0) AS s FROM K GROUP BY 1, 2)) "
+    "JOIN (SELECT participant_id, metric, sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT participant_id, metric, value, count(*) AS c FROM K GROUP BY ALL) GROUP BY 1, 2) USING (participant_id, metric) WHERE n_a >= 5 AND n_b >= 5",
+    D, _TALL,
+)
+
+
 @query(
     "SELECT participant_id, metric, '1_vs_0' AS contrast, n_a, n_b, round(2 * (s - n_a * (n_a + 1) / 2.0::DOUBLE) / (n_a * n_b) - 1, 6) AS cliffs_delta, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, round(qa, 6) AS median_a, round(qb, 6) AS median_b, "
     "round(CASE WHEN p > 0 THEN (ma - mb) / sqrt(p) END, 6) AS cohens_d FROM (SELECT *, ((n_a - 1) * va + (n_b - 1) * vb) / (n_a + n_b - 2) AS p FROM (SELECT participant_id, metric, count(*) FILTER (state = 1) AS n_a, count(*) FILTER (state = 0) AS n_b, sum(rk) FILTER (state = 1) AS s, avg(value) FILTER (state = 1) AS ma, avg(value) FILTER (state = 0) AS mb, "
@@ -269,6 +310,18 @@ def paired_ranks(spark, sf):
     return effects.paired_wilcoxon(_state_deltas(views.daily(spark, sf)), "d", ["device_type"]).drop("p_value")
 
 
+_DELTAS = "P AS (SELECT * FROM (SELECT device_type, participant_id, round(avg(resting_hr) FILTER (missing_wearable_flag = 1) - avg(resting_hr) FILTER (missing_wearable_flag = 0), 6) AS d FROM D GROUP BY ALL) WHERE d IS NOT NULL)"
+_SIGNED = """ranked AS (SELECT device_type, count(*) AS held, sum(r) FILTER (d > 0) AS w, sum(c * c - 1)::DOUBLE AS ties FROM (SELECT *, rank() OVER (PARTITION BY device_type ORDER BY abs(d)) + (count(*) OVER (PARTITION BY device_type, abs(d)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY device_type, abs(d)) AS c FROM P WHERE d <> 0) GROUP BY 1),
+groups AS (SELECT device_type, n, median_delta, coalesce(held, 0) AS held, CASE WHEN held > 0 THEN coalesce(w, 0.0) END AS w_plus, coalesce(ties, 0) AS ties FROM (SELECT device_type, count(*) AS n, quantile_cont(d, 0.5) AS median_delta FROM P GROUP BY 1) LEFT JOIN ranked USING (device_type)),
+sizes AS (SELECT DISTINCT held AS n FROM groups WHERE held = n AND held BETWEEN 1 AND 50 AND ties = 0)"""
+_LARGE_P = p_values.normal_sf("(w_plus - held * (held + 1) / 4.0::DOUBLE) / sqrt(held * (held + 1) * (2 * held + 1) / 24.0::DOUBLE - ties / 48)")
+with_sql(
+    "paired_wilcoxon",
+    f"SELECT device_type, groups.n, round(median_delta, 6) AS median_delta, w_plus, round(CASE WHEN groups.n < 3 THEN NULL WHEN held = 0 THEN 1.0 WHEN ways.n IS NOT NULL THEN list_sum(w[w_plus::BIGINT + 1:]) / list_sum(w) ELSE {_LARGE_P} END, 6) AS p_value FROM groups LEFT JOIN ways ON ways.n = held AND ways.k = held AND held = groups.n AND ties = 0",
+    D, _DELTAS, _SIGNED, p_values.signed_rank_ways("sizes"), recursive=True,
+)
+
+
 @query(
     """SELECT subject_id, n AS n_windows_total, valid AS n_windows_valid, round(m, 6) AS mean, round(s, 6) AS deviation, round(100 * s / m, 6) AS variation_percent, round(r, 6) AS split_half_r FROM (
 SELECT subject_id, count(*) AS n, count(rate) AS valid, avg(rate) AS m, stddev_pop(rate) AS s FROM V GROUP BY 1) JOIN (SELECT a.subject_id, CASE WHEN count(*) FILTER (a.rate IS NOT NULL AND b.rate IS NOT NULL) >= 5 THEN corr(a.rate, b.rate) END AS r
@@ -311,28 +364,44 @@ def weight_stability(spark, sf):
     return fairness.sensitivity_table(trust.component_scores(views.daily(spark, sf), "participant_id"))
 
 
+_SHAKEN_QUERY = _SQL["weight_stability"]
+with_sql("weight_sensitivity", _SHAKEN_QUERY)
+
 # adjustment graphs
 
-_EDGES = "edges AS (SELECT unnest([" + ", ".join(f"'{a}'" for a, _ in causal.WEARABLE_EDGES) + "]) AS a, unnest([" + ", ".join(f"'{b}'" for _, b in causal.WEARABLE_EDGES) + "]) AS b)"
+#: Kinds of events in the order of how often they come before others less how often after; an edge goes down this order, where it is followed at least as often
+#: as gone against. So the graph has no cycle, and at most as many edges as there are pairs of kinds.
+_EDGES = """steps AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events),
+moves AS (SELECT a, b, count(*) AS n FROM steps WHERE b IS NOT NULL AND a <> b GROUP BY a, b),
+leads AS (SELECT k, sum(n) AS score FROM (SELECT a AS k, n FROM moves UNION ALL SELECT b, -n FROM moves) GROUP BY k),
+edges AS (SELECT p.a, p.b FROM moves p LEFT JOIN moves q ON q.a = p.b AND q.b = p.a JOIN leads la ON la.k = p.a JOIN leads lb ON lb.k = p.b WHERE p.n >= coalesce(q.n, 0) AND (la.score > lb.score OR la.score = lb.score AND p.a < p.b))"""
 _REACH = "reach AS (SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON edges.a = reach.b)"
 
 
-@query("SELECT b AS node, a AS ancestor, (SELECT bool_or(a = b) FROM reach) AS has_cycle FROM reach", _EDGES, _REACH, recursive=True)
-def graph_ancestors(spark, sf):
-    g = causal.default_graph()
-    return spark.createDataFrame([(n, a, g.has_cycle()) for n in g.nodes for a in sorted(g.ancestors(n))], "node string, ancestor string, has_cycle boolean")
+def _event_graph(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    steps = views.table(spark, sf, "events").select(F.col("event_type").alias("a"), F.lead("event_type").over(w).alias("b"))
+    moves = cut(steps.filter("b is not null and a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
+    leads = moves.select(F.inline(F.array(F.struct(F.col("a").alias("k"), F.col("n").alias("v")), F.struct(F.col("b").alias("k"), (-F.col("n")).alias("v"))))).groupBy("k").agg(F.sum("v").alias("score"))
+    back = moves.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n").alias("m"))
+    of = lambda c: leads.select(F.col("k").alias(c), F.struct(-F.col("score"), F.col("k")).alias(f"{c}_at"))
+    kept = moves.join(back, ["a", "b"], "left").join(of("a"), "a").join(of("b"), "b").filter((F.col("n") >= F.coalesce("m", F.lit(0))) & (F.col("a_at") < F.col("b_at")))
+    return causal.Graph([(r["a"], r["b"]) for r in kept.select("a", "b").collect()])
 
 
-_PAIRS_OF_NODES = [(t, y) for t in ("heat_index", "stress_proxy", "active_minutes", "sleep_efficiency", "device_type", "resting_hr") for y in ("hrv_rmssd", "resting_hr", "signal_quality", "missing_wearable_flag") if t != y]
+@query("SELECT b AS node, a AS ancestor, (SELECT coalesce(bool_or(a = b), false) FROM reach) AS has_cycle FROM reach", _EDGES, _REACH, recursive=True)
+def graph_ancestors(spark, sf):
+    g = _event_graph(spark, sf)
+    return spark.createDataFrame([(n, a, g.has_cycle()) for n in g.nodes for a in sorted(g.ancestors(n))], "node string, ancestor string, has_cycle boolean")
 
 
 @query(
-    "SELECT t AS treatment, y AS outcome, coalesce((SELECT string_agg(a, ',' ORDER BY a) FROM reach WHERE b = y AND a IN (SELECT a FROM reach WHERE b = t) AND a NOT IN (SELECT b FROM reach WHERE reach.a = t) AND a NOT IN (t, y)), '') AS adjustment FROM pairs",
-    _EDGES, _REACH, "pairs AS (SELECT unnest([" + ", ".join(f"'{t}'" for t, _ in _PAIRS_OF_NODES) + "]) AS t, unnest([" + ", ".join(f"'{y}'" for _, y in _PAIRS_OF_NODES) + "]) AS y)", recursive=True,
+    "SELECT t AS treatment, y AS outcome, coalesce((SELECT string_agg(a, ',' ORDER BY a) FROM reach WHERE b = y AND a IN (SELECT a FROM reach WHERE b = t) AND a NOT IN (SELECT b FROM reach WHERE reach.a = t) AND a NOT IN (t, y)), '') AS adjustment FROM nodes",
+    _EDGES, _REACH, "kinds AS (SELECT a AS k FROM edges UNION SELECT b FROM edges), nodes AS (SELECT x.k AS t, z.k AS y FROM kinds x JOIN kinds z ON x.k <> z.k)", recursive=True,
 )
 def graph_back_door(spark, sf):
-    g = causal.default_graph()
-    return spark.createDataFrame([(t, y, ",".join(g.back_door_set(t, y))) for t, y in _PAIRS_OF_NODES], "treatment string, outcome string, adjustment string")
+    g = _event_graph(spark, sf)
+    return spark.createDataFrame([(t, y, ",".join(g.back_door_set(t, y))) for t in g.nodes for y in g.nodes if t != y], "treatment string, outcome string, adjustment string")
 
 
 # service

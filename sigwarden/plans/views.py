@@ -44,6 +44,14 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users of the events as participants, of whom synthetic cohorts are made."""
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("P"), F.lpad(F.col("user_id").cast("string"), 5, "0")).alias("participant_id")).distinct()
+
+
+PEOPLE_SQL = "SELECT DISTINCT 'P' || lpad(user_id::VARCHAR, 5, '0') AS participant_id FROM events"
+
+
 DAILY_SQL = """D AS (
 SELECT 'P' || lpad(user_id::VARCHAR, 5, '0') AS participant_id, ts::DATE AS date,
   round(40 + avg(value) / 5, 6) AS resting_hr,

@@ -64,8 +64,9 @@ def beta_whole(seed: int, name: str, a: int, b: int, *key: Column) -> Column:
     return x / (x + y)
 
 
-def participants(spark: SparkSession, c: Cohort) -> DataFrame:
-    p = spark.range(1, c.participants + 1).withColumn("participant_id", F.format_string("P%04d", "id"))
+def participants(spark: SparkSession, c: Cohort, ids: DataFrame | None = None) -> DataFrame:
+    """A row for each participant: P0001 and so on, or each different ``participant_id`` of ``ids``."""
+    p = spark.range(1, c.participants + 1).withColumn("participant_id", F.format_string("P%04d", "id")) if ids is None else ids.select("participant_id").filter("participant_id is not null").distinct()
     k = F.col("participant_id")
     u = uniform(c.seed, "device", k)
     age = (18 + F.floor(uniform(c.seed, "age", k) * 58)).cast("int")
@@ -116,9 +117,9 @@ def daily(people: DataFrame, c: Cohort, varied: Mapping[str, Column] | None = No
     return out.drop("__d", "__aqi", "__heat", "__miss", "__motion")
 
 
-def generate(spark: SparkSession, c: Cohort = Cohort(), path: str | None = None) -> DataFrame:
-    """The full frame of 28 columns; written as Parquet, with the participants beside it, if a path is given."""
-    people = participants(spark, c)
+def generate(spark: SparkSession, c: Cohort = Cohort(), path: str | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """The full frame of 28 columns, of the participants of ``ids`` if given; written as Parquet, with the participants beside it, if a path is given."""
+    people = participants(spark, c, ids)
     out = daily(people, c)
     if path:
         people.write.mode("overwrite").parquet(f"{path}/participants")
@@ -185,7 +186,7 @@ def observed_effects(df: DataFrame) -> DataFrame:
     return _observed(with_quartiles(df, "skin_tone_proxy", "q").groupBy())
 
 
-def stress_test(spark: SparkSession, base: Cohort = Cohort(60, 30), effects: Mapping[str, Sequence[float]] = EFFECTS) -> DataFrame:
+def stress_test(spark: SparkSession, base: Cohort = Cohort(60, 30), effects: Mapping[str, Sequence[float]] = EFFECTS, ids: DataFrame | None = None) -> DataFrame:
     """(effect, coefficient, observed) over each effect's strengths.
 
     All settings are columns of one frame, so one grouped aggregation observes the whole sweep. Skin tones and days do not
@@ -196,7 +197,7 @@ def stress_test(spark: SparkSession, base: Cohort = Cohort(60, 30), effects: Map
     settings = [(name, float(s), replace(base, **{name: s})) for name, strengths in effects.items() for s in strengths]
     if not settings or not set(effects) <= set(EFFECTS):
         raise ValueError(f"effects must be among {sorted(EFFECTS)}, with a strength at least")
-    people = cut(participants(spark, base))
+    people = cut(participants(spark, base, ids))
     worn = people.select("participant_id", "skin_tone_proxy", F.explode(F.sequence(F.lit(1), F.lit(base.days))))
     quartiles = with_quartiles(worn, "skin_tone_proxy", "q").select("participant_id", "q").distinct()
     rows = [F.struct(F.lit(i).alias("__setting"), F.lit(n).alias("effect"), F.lit(v).alias("coefficient"), *[F.lit(float(getattr(c, k))).alias(f"__{k}") for k in EFFECTS]) for i, (n, v, c) in enumerate(settings)]
@@ -217,13 +218,13 @@ def monotonic_response(sweep: DataFrame, tolerance: float = 0.05) -> DataFrame:
     return held.groupBy("effect").agg(F.bool_and(follows).alias("monotonic"), F.first("change").alias("change"))
 
 
-def regime_summary(spark: SparkSession, participants: int = 60, days: int = 35, regimes: Mapping[str, Mapping] = REGIMES) -> DataFrame:
+def regime_summary(spark: SparkSession, participants: int = 60, days: int = 35, regimes: Mapping[str, Mapping] = REGIMES, ids: DataFrame | None = None) -> DataFrame:
     """(regime, mean_trust, observed effects, test_retest_r) for each regime."""
     from ..operators import reliability, trust
 
     out = None
     for name, coefficients in regimes.items():
-        df = generate(spark, replace(Cohort(participants, days), **coefficients)).cache()
+        df = generate(spark, replace(Cohort(participants, days), **coefficients), ids=ids).cache()
         one = trust.cohort_scores(df).agg(F.avg("overall").alias("mean_trust")).join(F.broadcast(observed_effects(df)))
         one = one.join(F.broadcast(reliability.week_pair_correlation(df, "hrv_rmssd").select(F.col("r").alias("test_retest_r"))))
         one = one.select(F.lit(name).alias("regime"), "mean_trust", *[F.col(c).alias(f"observed_{c}") for c in EFFECTS], "test_retest_r")
