@@ -145,13 +145,14 @@ def subtree_sums(nodes: DataFrame, sums: list[str], key: str = "node", parent: s
     n_roots = roots.limit(BROADCAST_ROWS + 1).count()
     rows = state.limit(BROADCAST_ROWS + 1).count()
     while state.filter("ptr is not null").limit(1).count():
-        more = cut(state.filter("ptr is not null").groupBy(F.col("ptr").alias(key)).agg(*[F.sum(s).alias(f"more_{s}") for s in sums]))
-        added = lookup(state, more, [key]).select(key, "ptr", *[(F.col(s) + F.coalesce(f"more_{s}", F.lit(0))).alias(s) for s in sums])
+        more = state.filter("ptr is not null").groupBy(F.col("ptr").alias(key)).agg(*[F.sum(s).alias(f"more_{s}") for s in sums])
+        added = lookup(state, more, [key], rows=rows).select(key, "ptr", *[(F.col(s) + F.coalesce(f"more_{s}", F.lit(0))).alias(s) for s in sums])
         marked = lookup(added, roots, ["ptr"], rows=n_roots)
-        below = marked.filter("ptr is not null and at_root is null").drop("at_root")
-        ended = marked.filter("ptr is null or at_root").drop("at_root").withColumn("ptr", F.lit(None).cast("binary"))
-        jumped = lookup(below, state.filter("ptr is not null").select(F.col(key).alias("ptr"), F.col("ptr").alias("next")), ["ptr"], rows=rows)
-        state = cut(jumped.select(key, F.col("next").alias("ptr"), *sums).unionByName(ended.select(key, "ptr", *sums)))
+        going = marked.withColumn("ptr", F.when(F.col("at_root").isNull(), F.col("ptr"))).drop("at_root")
+        # Nodes that have ended look under their own key, so that they don't meet under null.
+        jumps = state.filter("ptr is not null").select(F.col(key).alias("jump"), F.col("ptr").alias("next"))
+        jumped = lookup(going.withColumn("jump", F.coalesce("ptr", key)), jumps, ["jump"], rows=rows)
+        state = cut(jumped.select(key, F.when(F.col("ptr").isNotNull(), F.col("next")).alias("ptr"), *sums))
     return state.drop("ptr")
 
 
