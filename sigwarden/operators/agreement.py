@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.ordered import quantiles, running_sums
 from ..functions.stats import both, clip, hashed_uniform, indicator, kappa, ratio, safe_corr, spearman
@@ -165,15 +163,13 @@ def best_thresholds(df: DataFrame, score: str, label: str) -> DataFrame:
 def threshold_intervals(df: DataFrame, score: str, label: str, replicates: int = 200, confidence: float = 0.95, seed: int = 42) -> DataFrame:
     """One row: bounds of AUROC, average precision and the best Youden and F1 thresholds over resampled rows.
 
-    Resampling rows is drawing Poisson counts for the cells (score, label); a replicate's curve is built from these
-    by a window within the replicate, which sees different scores only.
+    Resampling rows is drawing Poisson counts for the cells (score, label); the curves of all replicates are built from these by sums in
+    ranges of (replicate, score), so no task sees all different scores.
     """
-    counts = score_counts(df, score, label)
-    cells = counts.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    drawn = cells.select("b", "score", _poisson(F.col("pos"), F.xxhash64("score", "b", F.lit(seed)), F.col("b")).alias("p"), _poisson(F.col("neg"), F.xxhash64("score", "b", F.lit(seed + 1)), F.col("b")).alias("q"))
-    w, whole = Window.partitionBy("b").orderBy(F.col("score").desc()), Window.partitionBy("b")
-    tp, fp, p, n = F.sum("p").over(w), F.sum("q").over(w), F.sum("p").over(whole), F.sum("q").over(whole)
-    c = drawn.select("b", "score", "p", "q", tp.cast("double").alias("tp"), fp.cast("double").alias("fp"), p.cast("double").alias("all_p"), n.cast("double").alias("all_n"))
+    drawn = _drawn(score_counts(df, score, label), 1, replicates, seed)
+    sums = running_sums(drawn, [F.col("score").desc()], {"tp_before": F.col("p"), "fp_before": F.col("q")}, ["b"])
+    totals = drawn.groupBy("b").agg(F.sum("p").cast("double").alias("all_p"), F.sum("q").cast("double").alias("all_n"))
+    c = sums.join(F.broadcast(totals), "b").withColumns({"tp": (F.col("tp_before") + F.col("p")).cast("double"), "fp": (F.col("fp_before") + F.col("q")).cast("double")})
     tp, fp = F.col("tp"), F.col("fp")
     best = lambda e: F.max_by("score", F.struct(e, F.col("score")))
     by = c.groupBy("b").agg(
@@ -255,21 +251,35 @@ def auroc_interval(df: DataFrame, score: str, label: str, replicates: int = 200,
     Resampling rows is resampling the counts of (score, label): each replicate draws Poisson counts with these
     means, so the work is different scores x replicates, whatever the number of rows.
     """
-    counts = score_counts(df, score, label)
-    cells = counts.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    drawn = cells.select("b", "score", _poisson(F.col("pos"), F.xxhash64("score", "b", F.lit(seed)), F.col("b")).alias("p"), _poisson(F.col("neg"), F.xxhash64("score", "b", F.lit(seed + 1)), F.col("b")).alias("q"))
-    w = Window.partitionBy("b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("q").over(w), F.lit(0))
-    by = drawn.withColumn("u", F.col("p") * (below + F.col("q") / 2)).groupBy("b").agg(ratio(F.sum("u"), (F.sum("p") * F.sum("q")).cast("double")).alias("a"))
+    counts = cut(score_counts(df, score, label))
+    drawn = running_sums(_drawn(counts, 0, replicates, seed), [F.col("score")], {"below": F.col("q")}, ["b"])
+    by = drawn.withColumn("u", F.col("p") * (F.col("below") + F.col("q") / 2)).groupBy("b").agg(ratio(F.sum("u"), (F.sum("p") * F.sum("q")).cast("double")).alias("a"))
     boot, tail = F.when(F.col("b") > 0, F.col("a")), (1 - confidence) / 2
     one = by.agg(F.max(F.when(F.col("b") == 0, F.col("a"))).alias("auroc"), F.percentile(boot, F.lit(tail)).alias("ci_low"), F.percentile(boot, F.lit(1 - tail)).alias("ci_high"))
     return one.join(F.broadcast(counts.agg(F.sum(F.col("pos") + F.col("neg")).alias("n"))))
 
 
-def _poisson(mean: Column, seed: Column, replicate: Column) -> Column:
-    """A Poisson draw for each row from a hashed seed; replicate 0 is the mean itself."""
-    @F.pandas_udf(T.LongType())
-    def draw(mean: pd.Series, seed: pd.Series, replicate: pd.Series) -> pd.Series:
-        return pd.Series([int(m) if b == 0 else int(np.random.default_rng(s & 0x7FFFFFFFFFFFFFFF).poisson(m)) for m, s, b in zip(mean, seed, replicate)])
+#: Means up to which a Poisson draw inverts the distribution; above, a normal draw with the skewness put in is rounded.
+INVERTED = 30
+
+
+def _drawn(counts: DataFrame, first: int, last: int, seed: int) -> DataFrame:
+    """(b, score, p, q): for replicates ``first`` to ``last`` the Poisson draws of the cells' counts; replicate 0 is the counts themselves."""
+    cells = counts.withColumn("b", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    draw = lambda c, name: F.when(F.col("b") == 0, F.col(c)).otherwise(_poisson(F.col(c), F.lit(seed), F.lit(name), F.col("b"), F.col("score"))).cast("long")
+    return cells.select("b", "score", draw("pos", "pos").alias("p"), draw("neg", "neg").alias("q"))
+
+
+def _poisson(mean: Column, *key: Column) -> Column:
+    """A Poisson draw of ``mean`` from the hash of ``key``: the same on any cluster and in SQL."""
+    steps = F.sequence(F.lit(0), F.ceil(mean + 10 * F.sqrt(mean) + 10).cast("int"))
+    start = lambda u: F.struct(u.alias("u"), F.exp(-mean.cast("double")).alias("term"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("n"))
+
+    def step(s, k):
+        total = s["total"] + s["term"]
+        return F.struct(s["u"].alias("u"), (s["term"] * mean / (k + 1)).alias("term"), total.alias("total"), (s["n"] + (total < s["u"]).cast("long")).alias("n"))
 
-    return draw(mean, seed, replicate)
+    small = F.aggregate(steps, start(hashed_uniform(*key)), step)["n"]
+    z = F.sqrt(-2 * F.log(hashed_uniform(*key, F.lit("r")))) * F.cos(2 * math.pi * hashed_uniform(*key, F.lit("a")))
+    large = F.get(F.transform(F.array(z), lambda v: F.floor(F.greatest(F.lit(0.0), mean + F.sqrt(mean) * v + (v * v - 1) / 6) + 0.5)), F.lit(0))
+    return F.when(mean == 0, 0).when(mean <= INVERTED, small).otherwise(large)

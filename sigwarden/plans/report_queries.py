@@ -367,6 +367,61 @@ def weight_stability(spark, sf):
 _SHAKEN_QUERY = _SQL["weight_stability"]
 with_sql("weight_sensitivity", _SHAKEN_QUERY)
 
+# bootstraps of counts: a cell's Poisson draw inverts the distribution up to a mean of 30, as agreement._poisson does
+
+_DRAW_U = "concat_ws(':', '42', side, b::VARCHAR, score::VARCHAR{x})"
+_UNIFORM = "((('0x' || md5({k})[1:13])::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+_U_OF = lambda x="": _UNIFORM.format(k=_DRAW_U.format(x=x))
+_CELLS_SQL = f"""cells AS (SELECT score, side, m FROM (SELECT score, count(*) FILTER (quality = 1) AS pos, count(*) FILTER (quality <> 1) AS neg FROM L WHERE quality IS NOT NULL AND score IS NOT NULL GROUP BY score) UNPIVOT (m FOR side IN (pos, neg))),
+cdf AS (SELECT m, k, sum(exp(-m + k * ln(m) - lgamma(k + 1))) OVER (PARTITION BY m ORDER BY k) AS c FROM (SELECT DISTINCT m::DOUBLE AS m FROM cells WHERE m BETWEEN 1 AND 30), range(0, 96) AS r(k) WHERE k <= ceil(m + 10 * sqrt(m) + 10)),
+tosses AS (SELECT b, score, side, m::DOUBLE AS m, {_U_OF()} AS u, sqrt(-2 * ln({_U_OF(", 'r'")})) * cos({2 * math.pi!r}::DOUBLE * {_U_OF(", 'a'")}) AS z FROM cells, range(0, 201) AS r(b)),
+small AS (SELECT b, score, side, count(c) FILTER (c < u) AS n FROM tosses JOIN cdf USING (m) GROUP BY ALL),
+drawn AS (SELECT b, score, max(v) FILTER (side = 'pos') AS p, max(v) FILTER (side = 'neg') AS q FROM (SELECT b, score, side, CASE WHEN b = 0 OR m = 0 THEN m WHEN m <= 30 THEN small.n ELSE floor(greatest(0.0, m + sqrt(m) * z + (z * z - 1) / 6) + 0.5) END AS v FROM tosses LEFT JOIN small USING (b, score, side)) GROUP BY b, score)"""
+
+with_sql(
+    "auroc_bootstrap",
+    "SELECT round(max(a) FILTER (b = 0), 6) AS auroc, round(quantile_cont(a, 0.025) FILTER (b > 0), 6) AS ci_low, round(quantile_cont(a, 0.975) FILTER (b > 0), 6) AS ci_high, (SELECT sum(m)::BIGINT FROM cells) AS n FROM (SELECT b, sum(p * (below + q / 2)) / nullif(sum(p) * sum(q), 0) AS a FROM (SELECT *, coalesce(sum(q) OVER (PARTITION BY b ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM drawn) GROUP BY b)",
+    L, _CELLS_SQL,
+)
+_BOUNDS = ", ".join(f"round(quantile_cont({c}, {q}), 6) AS {c}_{n}" for c in ("auroc", "average_precision", "youden_threshold", "f1_threshold") for n, q in (("low", 0.025), ("high", 0.975)))
+
+
+@query(
+    f"SELECT {_BOUNDS} FROM (SELECT b, sum(q * (tp - p / 2) / nullif(all_p * all_n, 0)) AS auroc, sum(p / nullif(all_p, 0) * coalesce(tp / nullif(tp + fp, 0), 0.0)) AS average_precision, "
+    "arg_max(score, {'v': tp / nullif(all_p, 0) - fp / nullif(all_n, 0), 's': score}) AS youden_threshold, arg_max(score, {'v': 2 * tp / nullif(tp + fp + all_p, 0), 's': score}) AS f1_threshold "
+    "FROM (SELECT *, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER (PARTITION BY b) AS all_p, sum(q) OVER (PARTITION BY b) AS all_n FROM drawn WHERE b > 0 WINDOW w AS (PARTITION BY b ORDER BY score DESC)) GROUP BY b)",
+    L, _CELLS_SQL,
+)
+def threshold_intervals(spark, sf):
+    return agreement.threshold_intervals(views.scored_labels(spark, sf), "score", "quality")
+
+
+_SUMS = {
+    "days": "count(*)", "q_n": "count(signal_quality_ground_truth)", "q": "sum(signal_quality_ground_truth)", "b_n": "count(artifact_burden_ground_truth)", "bu": "sum(artifact_burden_ground_truth)", "v_n": "count(hrv_rmssd)", "v": "sum(hrv_rmssd)",
+    "vv": "sum(hrv_rmssd * hrv_rmssd)", "miss": "sum(m)", "n": "count(x)", "sx": "sum(x)", "sy": "sum(y)", "sxx": "sum(x * x)", "syy": "sum(y * y)", "sxy": "sum(x * y)",
+}
+_DIV = "({}) / nullif({}, 0)".format
+_SCORES = {
+    "signal_quality_score": f"CASE WHEN q_n > 0 THEN {_clip('100 * ' + _DIV('q', 'q_n'), 0, 100)} END",
+    "artifact_burden_score": f"CASE WHEN b_n > 0 THEN {_clip('100 * (1 - ' + _DIV('bu', 'b_n') + ')', 0, 100)} END",
+    "temporal_stability_score": f"CASE WHEN v_n >= 5 THEN CASE WHEN v <= 0 THEN 0.0 ELSE {_clip('100 * (1 - least(sqrt(greatest(vv / v_n - (v / v_n) * (v / v_n), 0.0)) / (v / v_n), 1.0))', 0, 100)} END END",
+    "missingness_risk_score": _clip("100 * (1 - 0.7::DOUBLE * miss / days - 0.3::DOUBLE * least(longest / 7.0::DOUBLE, 1.0))", 0, 100),
+    "device_bias_score": "100.0::DOUBLE",
+    "confounding_risk_score": f"CASE WHEN n >= 5 THEN 100 * (1 - abs(coalesce({_DIV('sxy / n - sx / n * sy / n', 'sqrt((sxx / n - sx / n * sx / n) * (syy / n - sy / n * sy / n))')}, 0.0))) END",
+}
+_WEIGHED = " + ".join(f"CASE WHEN {c} IS NOT NULL THEN {w}::DOUBLE * {{v}} ELSE 0.0 END" for c, w in trust.WEIGHTS.items())
+_OVERALL = f"CASE WHEN {' + '.join(f'({c} IS NOT NULL)::INT' for c in trust.WEIGHTS)} >= 3 THEN round(({' + '.join(f'CASE WHEN {c} IS NOT NULL THEN {c} * {w}::DOUBLE ELSE 0.0 END' for c, w in trust.WEIGHTS.items())}) / ({_WEIGHED.format(v='1.0')}), 2) END"
+with_sql(
+    "fairness_bootstrap",
+    f"SELECT stratum, n_days, {_ROUND}, overall, category, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM (WITH Q AS (SELECT *, device_type AS stratum FROM D), {_STRATA} SELECT * FROM labelled WHERE n_days >= 10) LEFT JOIN (SELECT stratum, quantile_cont(overall, 0.025) AS ci_low, quantile_cont(overall, 0.975) AS ci_high FROM scored GROUP BY stratum) USING (stratum)",
+    D, "flagged AS (SELECT *, device_type AS stratum, coalesce((missing_wearable_flag = 1)::INT, 0) AS m, CASE WHEN heat_index IS NOT NULL AND hrv_rmssd IS NOT NULL THEN heat_index END AS x, CASE WHEN heat_index IS NOT NULL AND hrv_rmssd IS NOT NULL THEN hrv_rmssd END AS y FROM D)",
+    "runs AS (SELECT stratum, participant_id, max(l) AS longest FROM (SELECT stratum, participant_id, g, sum(m) AS l FROM (SELECT *, sum(1 - m) OVER (PARTITION BY stratum, participant_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS g FROM flagged) GROUP BY ALL) GROUP BY ALL)",
+    "own AS (SELECT stratum, participant_id, " + ", ".join(f"coalesce({e}, 0)::DOUBLE AS {c}" for c, e in _SUMS.items()) + " FROM flagged GROUP BY ALL)",
+    f"tossed AS (SELECT *, {_weight_sql('participant_id')} AS w FROM own JOIN runs USING (stratum, participant_id), range(1, 101) AS r(b))",
+    "summed AS (SELECT stratum, b, max(longest) AS longest, " + ", ".join(f"sum(w * {c}) AS {c}" for c in _SUMS) + " FROM tossed WHERE w > 0 GROUP BY ALL)",
+    f"scored AS (SELECT stratum, {_OVERALL} AS overall FROM (SELECT *, {', '.join(f'{e} AS {c}' for c, e in _SCORES.items())} FROM summed))",
+)
+
 # adjustment graphs
 
 #: Kinds of events in the order of how often they come before others less how often after; an edge goes down this order, where it is followed at least as often
