@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ordered import quantiles
+from ..functions.stacked import design, poisson_counts, stacked_least_squares, stacked_logistic, stacked_sums
 from ..functions.stats import safe_corr
 from ..session import cut
 
@@ -216,36 +217,71 @@ def with_propensity(df: DataFrame, features: Sequence[str], label: str = "t", cl
     return df.withColumn("ps", F.least(F.greatest(p, F.lit(clip[0])), F.lit(clip[1])) if clip else p)
 
 
-def aipw(df: DataFrame, treatment: str, outcome: str, adjust: Sequence[str], replicates: int = 0, seed: int = 42) -> Estimate:
-    """Augmented inverse-propensity estimate: clipped logistic propensity and a linear outcome model in each arm.
+def aipw(df: DataFrame, treatment: str, outcome: str, adjust: Sequence[str], replicates: int = 0, seed: int = 42, learner: str = "linear", clip: tuple[float, float] = (0.02, 0.98)) -> Estimate:
+    """Augmented inverse-propensity estimate: clipped propensity and an outcome model in each arm.
 
-    Without adjustment columns it is the difference of means; with under two rows in an arm it has no effect.
-    Resampling reweighs the rows' contributions under the models of the whole sample.
+    Without adjustment columns it is the difference of means; with under two rows in an arm it has no effect. Every replicate fits its own
+    propensity and outcome models (``linear``: logistic and linear), all replicates in the same passes; one with under two rows in an arm is left out.
+    ``learner="boosted"`` fits gradient-boosted trees instead; it has no interval.
     """
-    rows = _complete(df, treatment, outcome, adjust).cache()
+    if learner not in ("linear", "boosted"):
+        raise ValueError(f"unknown learner {learner!r}")
+    rows = _complete(df, treatment, outcome, adjust)
     held = [c for c in rows.columns if c not in ("t", "y")]
+    rows = cut(rows.withColumn("__row", F.xxhash64(*rows.columns)))
     arms = {r["t"]: r["n"] for r in rows.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = sum(arms.values())
-    out = Estimate(treatment, outcome, "aipw", None, n=n, adjustment=held)
-    if min(arms.get(0.0, 0), arms.get(1.0, 0)) >= 2:
-        t, y = F.col("t"), F.col("y")
-        if held:
-            scored = with_propensity(rows, held)
-            m1, m0 = (_linear(held, least_squares(gram(rows.filter(t == a), [*held, "y"]))) for a in (1, 0))
-            psi = (m1 + t * (y - m1) / F.col("ps")) - (m0 + (1 - t) * (y - m0) / (1 - F.col("ps")))
-            parts = scored.select(psi.alias("num"), F.lit(1.0).alias("den"), F.lit(0.0).alias("num0"), F.lit(1.0).alias("den0"), *held, "t", "y")
-        else:
-            parts = rows.select((t * y).alias("num"), t.alias("den"), ((1 - t) * y).alias("num0"), (1 - t).alias("den0"), "t", "y")
-        value = lambda w: F.try_divide(F.sum(F.col("num") * w), F.sum(F.col("den") * w)) - F.try_divide(F.sum(F.col("num0") * w), F.sum(F.col("den0") * w))
-        out.effect = parts.agg(value(F.lit(1.0)).alias("e")).first()["e"]
-        if replicates:
-            boot = _replicate_weights(parts, replicates, seed).select("num", "den", "num0", "den0", F.posexplode("__w").alias("b", "w")).groupBy("b").agg(value(F.col("w")).alias("e"))
-            lo, hi = boot.agg(F.percentile("e", F.lit(0.025)), F.percentile("e", F.lit(0.975))).first()
-            out.ci_low, out.ci_high = lo, hi
-    rows.unpersist()
+    out = Estimate(treatment, outcome, "aipw", None, n=sum(arms.values()), adjustment=held)
+    if min(arms.get(0.0, 0), arms.get(1.0, 0)) < 2:
+        return out
+    if learner == "boosted":
+        out.effect = _boosted_aipw(rows, held, seed, clip)
+        return out
+    models = replicates + 1
+    weights = lambda pdf: poisson_counts(pdf["__row"].to_numpy(), replicates, seed)
+    arm = lambda a: lambda pdf: weights(pdf) * (pdf["t"].to_numpy() == a)[:, None]
+    m1, m0 = (stacked_least_squares(rows, held, "y", arm(a), models) for a in (1.0, 0.0))
+    ps = stacked_logistic(rows, held, "t", weights, models) if held else None
+
+    def sums(pdf) -> np.ndarray:
+        x, w, t, y = design(pdf, held), weights(pdf), pdf["t"].to_numpy()[:, None], pdf["y"].to_numpy()[:, None]
+        treated = [(w * (t == a)).sum(0) for a in (1.0, 0.0)]
+        if ps is None:
+            return np.column_stack([(w * t * y).sum(0), (w * (1 - t) * y).sum(0), *treated, w.sum(0)])
+        p = np.clip(1 / (1 + np.exp(-np.clip(x @ ps.T, -500, 500))), *clip)
+        one, none = x @ m1.T, x @ m0.T
+        return np.column_stack([(w * (one + t * (y - one) / p)).sum(0), (w * (none + (1 - t) * (y - none) / (1 - p))).sum(0), *treated, w.sum(0)])
+
+    s = stacked_sums(rows, sums, models, 5)
+    below = (s[:, 2], s[:, 3]) if ps is None else (s[:, 4], s[:, 4])
+    fit = (s[:, 2] >= 2) & (s[:, 3] >= 2)
+    effects = np.where(fit, s[:, 0] / np.maximum(below[0], 1) - s[:, 1] / np.maximum(below[1], 1), np.nan)
+    out.effect = float(effects[0])
+    if fit[1:].any():
+        out.ci_low, out.ci_high = map(float, np.percentile(effects[1:][fit[1:]], [2.5, 97.5]))
     return out
 
 
+def _boosted_aipw(rows: DataFrame, held: list[str], seed: int, clip: tuple[float, float]) -> float | None:
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import GBTRegressor
+
+    if not held:
+        r = rows.agg(F.avg(F.when(F.col("t") == 1, F.col("y"))).alias("a"), F.avg(F.when(F.col("t") == 0, F.col("y"))).alias("b")).first()
+        return r["a"] - r["b"]
+    x = VectorAssembler(inputCols=held, outputCol="features")
+    boosted = {"maxIter": 40, "maxDepth": 3, "seed": seed}
+    score = Pipeline(stages=[x, GBTClassifier(labelCol="t", **boosted)]).fit(rows)
+    scored = score.transform(rows).withColumn("ps", F.least(F.greatest(F.get(vector_to_array("probability"), F.lit(1)), F.lit(clip[0])), F.lit(clip[1]))).drop("rawPrediction", "probability", "prediction")
+    for a in (1.0, 0.0):
+        arm = GBTRegressor(labelCol="y", predictionCol=f"m{int(a)}", **boosted).fit(x.transform(rows.filter(F.col("t") == a)))
+        scored = arm.transform(scored)
+    t, y = F.col("t"), F.col("y")
+    return scored.agg(F.avg(F.col("m1") + t * (y - F.col("m1")) / F.col("ps") - F.col("m0") - (1 - t) * (y - F.col("m0")) / (1 - F.col("ps"))).alias("e")).first()["e"]
+
+
 def positivity(df: DataFrame, treatment: str, adjust: Sequence[str], least: int = 50) -> DataFrame | None:
     """One row on the propensities: min, max, mean, 5th and 95th percentile, share outside [0.05, 0.95], effective sample size; None for under ``least`` rows."""
     held = [a for a in adjust if a in df.columns]

@@ -13,7 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import quantiles
+from ..functions.ordered import grouped_medians, quantiles
+from ..functions.stacked import design, stacked_logistic
 from ..functions.stats import hashed_uniform, rank_sums, spearman
 from ..session import cut
 from .agreement import expected_calibration_error, f1_score
@@ -48,11 +49,15 @@ def _scores(df: DataFrame, score: str) -> dict:
     return {"auroc": auc["auroc"], "f1": f1}
 
 
+#: Draws of the noise by which robustness is measured.
+TRIALS = 5
+
+
 def train_baselines(df: DataFrame, key: Sequence[str] = ("participant_id", "date"), trees: int = 200, depth: int = 12, seed: int = 42) -> DataFrame:
     """(model, auroc, f1, ece, robustness, n_train, n_test) of a logistic model, a random forest and an isolation forest.
 
     With one class alone the scores are NULL. Robustness is the share of decisions that noise of 5 % of each feature's
-    deviation leaves as they are.
+    deviation leaves as they are, over TRIALS draws of the noise. The isolation forest decides by the median of its scores in each draw.
     """
     spark = df.sparkSession
     rows, held = prepared(df)
@@ -63,19 +68,24 @@ def train_baselines(df: DataFrame, key: Sequence[str] = ("participant_id", "date
         vector = [VectorAssembler(inputCols=held, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
         learners = {"logistic_regression": LogisticRegression(maxIter=100, regParam=1.0 / max(n[0], 1), standardization=False), "random_forest": RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)}
         spread = train.agg(*[F.stddev_pop(f).alias(f) for f in held]).first()
-        noise = test.withColumns({f: F.col(f) + 0.05 * float(spread[f] or 0.0) * _hashed_normal(seed, f, key) for f in held})
+        trials = test.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(TRIALS))))
+        noise = trials.withColumns({f: F.col(f) + 0.05 * float(spread[f] or 0.0) * _hashed_normal(seed, f, [*key, "trial"]) for f in held})
         for name, learner in learners.items():
             model = Pipeline(stages=[*vector, learner]).fit(train)
             scored = model.transform(test).select(*key, "label", F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
             shaken = model.transform(noise).select(*key, F.get(vector_to_array("probability"), F.lit(1)).alias("q"))
-            kept = scored.join(shaken, list(key)).agg(F.avg(((F.col("p") >= 0.5) == (F.col("q") >= 0.5)).cast("double")).alias("r")).first()["r"]
+            kept = scored.join(shaken, list(key)).agg(F.avg(((F.col("p") > 0.5) == (F.col("q") > 0.5)).cast("double")).alias("r")).first()["r"]
             s = _scores(scored, "p")
             out.append((name, s["auroc"], s["f1"], expected_calibration_error(scored, "p", "label").first()["ece"], kept, *n))
         trees_ = fit_isolation_forest(train, held, trees, seed=seed)
         normal = isolation_scores(test, held, trees_)
         a = _scores(normal, "normality")
-        shaken = isolation_scores(noise, held, trees_).select(*key, F.col("normality").alias("q"))
-        kept = normal.join(shaken, list(key)).agg(F.avg(((F.col("normality") >= 0.5) == (F.col("q") >= 0.5)).cast("double")).alias("r")).first()["r"]
+        # ``normality`` falls with the score of isolation, so being above its median is being below that of the other.
+        shaken = cut(isolation_scores(noise, held, trees_).select(*key, "trial", F.col("normality").alias("q")))
+        middle = grouped_medians(shaken, "q", ["trial"]).select(F.col("trial").alias("at"), F.col("median").alias("q_mid"))
+        p_mid = quantiles(normal, ["normality"], [0.5])["normality"][0]
+        both = normal.join(shaken, list(key)).join(F.broadcast(middle), F.col("trial") == F.col("at"))
+        kept = both.agg(F.avg(((F.col("normality") > p_mid) == (F.col("q") > F.col("q_mid"))).cast("double")).alias("r")).first()["r"]
         out.append(("isolation_forest", a["auroc"], a["f1"], None, kept, *n))
     else:
         out = [(name, None, None, None, None, *n) for name in ("logistic_regression", "random_forest", "isolation_forest")]
@@ -206,61 +216,63 @@ def _adder(i: int):
 # leave one subject out
 
 
-def loso_classify(df: DataFrame, features: Sequence[str], label: str, subject: str = "subject_id", least: int = 10, tolerance: float = 1e-8, steps: int = 100) -> DataFrame:
-    """(subject, n, auroc) of logistic models trained on all other subjects; folds under ``least`` rows or with one class are left out.
+def loso_classify(df: DataFrame, features: Sequence[str], label: str, subject: str = "subject_id", least: int = 10, tolerance: float = 1e-8, steps: int = 100, classifier: str = "logistic", trees: int = 200, depth: int = 8, seed: int = 42) -> DataFrame:
+    """(subject, n, auroc) of models trained on all other subjects; folds under ``least`` rows or with one class are left out.
 
     A fold's features are scaled by the means and deviations of its own training rows, which are the sums of all less the
-    held-out subject's. All folds take their Newton steps together: one grouped aggregation a step, over rows met with
-    the small table of the other subjects' folds. The number of folds multiplies the work, not what is shuffled. A fold
-    that has not converged after ``steps`` steps is an error.
+    held-out subject's. Logistic folds take their Newton steps together, one pass a step, in which a task adds up its rows' sums for every fold:
+    rows aren't multiplied, joined or shuffled. ``classifier="forest"`` fits one random forest a fold, one after the other, so it suits tens
+    of subjects.
     """
+    if classifier not in ("logistic", "forest"):
+        raise ValueError(f"unknown classifier {classifier!r}")
     rows = cut(df.select(F.col(subject), *features, F.col(label).cast("double").alias("y")).dropna())
-    sums = [F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(f).cast("double").alias(f"s_{f}") for f in features], *[F.sum(F.col(f) * F.col(f)).cast("double").alias(f"q_{f}") for f in features]]
-    own = rows.groupBy(subject).agg(*sums).collect()
-    if not own:
-        return df.sparkSession.createDataFrame([], f"{subject} {df.schema[subject].dataType.simpleString()}, n long, auroc double")
-    total = {c: sum(r[c] for r in own) for c in own[0].asDict() if c != subject}
-    k = len(features) + 1
-    scale, betas = {}, {}
-    for r in own:
-        n = total["n"] - r["n"]
-        mean = [(total[f"s_{f}"] - r[f"s_{f}"]) / n if n else 0.0 for f in features]
-        var = [(total[f"q_{f}"] - r[f"q_{f}"]) / n - m * m if n else 0.0 for f, m in zip(features, mean)]
-        scale[r[subject]] = (mean, [v**0.5 if v > 1e-12 * (1 + m * m) else 1.0 for v, m in zip(var, mean)])
-        betas[r[subject]] = np.zeros(k)
+    sums = [F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("positive"), *[F.sum(f).cast("double").alias(f"s_{f}") for f in features], *[F.sum(F.col(f) * F.col(f)).cast("double").alias(f"q_{f}") for f in features]]
+    own = rows.groupBy(subject).agg(*sums).orderBy(subject).collect()
+    total = {c: sum(r[c] for r in own) for c in (own[0].asDict() if own else {}) if c != subject}
+    # Both classes on either side, and enough rows to be scored.
+    kept = [r for r in own if r["n"] >= least and 0 < r["positive"] < r["n"] and 0 < total["positive"] - r["positive"] < total["n"] - r["n"]]
     kind = df.schema[subject].dataType.simpleString()
-
-    def table(name: str, subjects) -> DataFrame:
-        return F.broadcast(df.sparkSession.createDataFrame([(u, [float(b) for b in betas[u]], *scale[u]) for u in subjects], f"{name} {kind}, beta array<double>, mean array<double>, dev array<double>"))
-
-    xs = [F.lit(1.0), *[(F.col(f) - F.get("mean", F.lit(i))) / F.get("dev", F.lit(i)) for i, f in enumerate(features)]]
-    eta = sum((x * F.get("beta", F.lit(i)) for i, x in enumerate(xs)), F.lit(0.0))
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    penalty = np.diag([0.0, *[1.0] * len(features)])
-    open_ = set(betas)
-    for _ in range(steps):
-        m = rows.join(table("fold", sorted(open_)), F.col(subject) != F.col("fold")).select("fold", "y", (1 / (1 + F.exp(-eta))).alias("p"), *[x.alias(f"x{i}") for i, x in enumerate(xs)])
-        p = F.col("p")
-        found = m.groupBy("fold").agg(*[F.sum((F.col("y") - p) * F.col(f"x{i}")).alias(f"g{i}") for i in range(k)], *[F.sum(p * (1 - p) * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"h{i}_{j}") for i, j in pairs]).collect()
-        open_ = set()
-        for r in found:
-            h = penalty.copy()
-            for i, j in pairs:
-                h[i, j] += r[f"h{i}_{j}"]
-                h[j, i] = h[i, j]
-            step = np.linalg.lstsq(h, np.array([r[f"g{i}"] for i in range(k)]) - penalty @ betas[r["fold"]], rcond=None)[0]
-            betas[r["fold"]] = betas[r["fold"]] + step
-            if float(np.abs(step).max()) > tolerance:
-                open_.add(r["fold"])
-        if not open_:
-            break
-    else:
-        raise RuntimeError(f"{len(open_)} folds have not converged after {steps} steps")
-    scored = rows.join(table(subject, sorted(betas)), subject).select(subject, eta.alias("score"), "y")
-    out = rank_sums(scored, "score", F.col("y") == 1, [subject]).filter((F.col("n_a") + F.col("n_b") >= least) & (F.col("n_a") > 0) & (F.col("n_b") > 0))
+    if not kept:
+        return df.sparkSession.createDataFrame([], f"{subject} {kind}, n long, auroc double")
+    folds = {r[subject]: i for i, r in enumerate(kept)}
+    scored = (_logistic_folds(rows, features, subject, kept, total, tolerance, steps) if classifier == "logistic" else _forest_folds(rows, features, subject, list(folds), trees, depth, seed)).withColumn("score", F.col("score") + 0.0)
+    out = rank_sums(scored, "score", F.col("y") == 1, [subject])
     return out.select(subject, (F.col("n_a") + F.col("n_b")).alias("n"), "auroc")
 
 
+def _logistic_folds(rows: DataFrame, features: Sequence[str], subject: str, kept: list, total: dict, tolerance: float, steps: int) -> DataFrame:
+    """(subject, score, y): rows of the held-out subjects under their own fold's model."""
+    folds = {r[subject]: i for i, r in enumerate(kept)}
+    scales = np.zeros((len(kept), 2, len(features)))
+    for i, r in enumerate(kept):
+        n = total["n"] - r["n"]
+        for j, f in enumerate(features):
+            mean = (total[f"s_{f}"] - r[f"s_{f}"]) / n
+            var = (total[f"q_{f}"] - r[f"q_{f}"]) / n - mean * mean
+            scales[i, :, j] = mean, var**0.5 if var > 1e-12 * (1 + mean * mean) else 1.0
+    own_fold = lambda pdf: pdf[subject].map(folds).fillna(-1).to_numpy(int)
+    weights = lambda pdf: (own_fold(pdf)[:, None] != np.arange(len(folds))).astype(float)
+    beta = stacked_logistic(rows, features, "y", weights, len(folds), 1.0, scales, steps, tolerance)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at = own_fold(pdf)
+            held = pdf[at >= 0]
+            yield held[[subject, "y"]].assign(score=(design(held, features) * beta[at[at >= 0]]).sum(1))
+
+    return rows.mapInPandas(score, f"`{subject}` {rows.schema[subject].dataType.simpleString()}, y double, score double")
+
+
+def _forest_folds(rows: DataFrame, features: Sequence[str], subject: str, subjects: list, trees: int, depth: int, seed: int) -> DataFrame:
+    out = None
+    for s in subjects:
+        model = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=depth, seed=seed)]).fit(rows.filter(F.col(subject) != s))
+        one = model.transform(rows.filter(F.col(subject) == s)).select(subject, "y", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def add_audit_masks(df: DataFrame, threshold: float = 0.7) -> DataFrame:
     own, orph = F.coalesce(F.col("inhouse_ppg_sqi") >= threshold, F.lit(False)), F.coalesce(F.col("orphanidou_acceptable") == 1, F.lit(False))
     return df.withColumns({"pass_inhouse": own, "pass_orphanidou": orph, "pass_both": own & orph})
@@ -269,11 +281,11 @@ def add_audit_masks(df: DataFrame, threshold: float = 0.7) -> DataFrame:
 MASKS = ("all", "pass_inhouse", "pass_orphanidou", "pass_both")
 
 
-def classification_track(df: DataFrame, features: Sequence[str], label: str, subject: str = "subject_id") -> DataFrame:
-    """(condition, subject, n, auroc) of the leave-one-out track under each mask."""
+def classification_track(df: DataFrame, features: Sequence[str], label: str, subject: str = "subject_id", **options) -> DataFrame:
+    """(condition, subject, n, auroc) of the leave-one-out track under each mask; ``options`` as for ``loso_classify``."""
     marked, out = add_audit_masks(df).withColumn("all", F.lit(True)), None
     for m in MASKS:
-        one = loso_classify(marked.filter(m), features, label, subject).withColumn("condition", F.lit(m))
+        one = loso_classify(marked.filter(m), features, label, subject, **options).withColumn("condition", F.lit(m))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -319,6 +331,7 @@ def perturbation_stability(df: DataFrame, scorer, columns: Sequence[str], noise:
     base = df.withColumn("__base", scorer(df))
     changes = []
     for t in range(trials):
-        shaken = base.withColumns({c: F.col(c) + noise * float(s[c] or 0.0) * F.randn(seed + 1000 * t + i) for i, c in enumerate(columns)})
+        # The noise of a row follows from its values, so it is the same under any partitioning.
+        shaken = base.withColumns({c: F.col(c) + noise * float(s[c] or 0.0) * _hashed_normal(seed, f"{c}/{t}", columns) for c in columns})
         changes.append(shaken.agg(F.avg(F.abs(scorer(shaken) - F.col("__base"))).alias("d")).first()["d"] or 0.0)
     return float(1 - np.mean(changes) / 100)
