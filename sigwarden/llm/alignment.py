@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 from .chunks import Cut, Remembered, byte_level, encoded_together, gathered, leads, starts_of, token_bytes
 from .runtime import arrow_map, checkpoint_folder, cut, free_name, remove_folder, slices
 
+#: Different chunks that a worker remembers (in each of two generations); each has its links and its groups as text.
+REMEMBERED_CHUNKS = 80_000
 #: Different keys that a task holds before it passes their counts on, and keys of a shard.
 HELD_KEYS, SHARD_KEYS = 4_000_000, 4_000_000
 
@@ -113,7 +115,7 @@ _ALIGNERS: dict[tuple, Remembered] = {}
 def _aligner(path_a: str, path_b: str) -> Remembered:
     """One for each Python worker."""
     if (path_a, path_b) not in _ALIGNERS:
-        _ALIGNERS[path_a, path_b] = Remembered(Aligner(path_a, path_b))
+        _ALIGNERS[path_a, path_b] = Remembered(Aligner(path_a, path_b), REMEMBERED_CHUNKS)
     return _ALIGNERS[path_a, path_b]
 
 
@@ -133,7 +135,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligned = _aligner(path_a, path_b)
-        for batch in slices(batches, 1024):
+        for batch in slices(batches, 512):
             chunks = Cut(batch.column(len(keep)), fine=False, lone_spaces=False)
             coded = aligned(chunks.values)
             bad = np.array([x is False for x in coded], bool)

@@ -94,11 +94,11 @@ class Remembered:
     """``of(chunk)`` for many chunks, computed together for those that are not remembered. What was not asked for since the last
     change of generation is forgotten at the next one."""
 
-    def __init__(self, compute):
-        self.compute, self.known, self.older = compute, {}, {}
+    def __init__(self, compute, most: int = REMEMBERED):
+        self.compute, self.most, self.known, self.older = compute, most, {}, {}
 
     def __call__(self, chunks: list[bytes]) -> list:
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.most:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         found = list(map(known.get, chunks))
