@@ -19,6 +19,7 @@ How pieces are encoded follows from the tokenizer's file (``kind_of``), and a fi
 from __future__ import annotations
 
 import json
+import unicodedata
 from array import array
 from collections.abc import Iterator
 
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from .chunks import encoded_together
 from .runtime import arrow_map, as_bytes, slices
 
 LEAF, UNSPLIT, AGREE, WINDOW = 4096, 1024, 4, 16
@@ -78,6 +80,11 @@ class Tokens:
         self.text, self.ids, self.starts, self.ends = text, ids, starts, ends
 
 
+def _normal_length(chunk: bytes) -> int:
+    """Bytes of a chunk that is composed and in lower case."""
+    return len(chunk) if chunk.isascii() else len(unicodedata.normalize("NFC", chunk.decode()).lower().encode())
+
+
 def _packed(ids: list[int]) -> bytes:
     """Ids as 32-bit numbers in one string: small to remember, and joined without touching single ids."""
     return array("i", ids).tobytes()
@@ -91,6 +98,8 @@ class Codec:
         self.tokenizer.no_padding()
         self.leaf, self.unsplit = leaf, unsplit
         self.known: dict[bytes, bytes] = {}
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or ""
+        self.sizes = np.array([len(t.removesuffix(suffix)) for t, _ in sorted(self.tokenizer.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])], np.int64)
         self.strings = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()} if self.tokenizer.decoder is None else None
 
     def encode(self, texts: list[bytes]) -> list[list[int]]:
@@ -157,9 +166,11 @@ class Codec:
                     new.add(c[-1:])
                 else:
                     new.add(c)
+        # Chunks are encoded many in one text, with a space between them, which is dropped; a chunk's tokens have the bytes of its normal form.
         todo = list(new.difference(known))
-        for c, e in zip(todo, self.tokenizer.encode_batch_fast([c.decode() for c in todo], add_special_tokens=False)):
-            known[c] = _packed(e.ids)
+        encode = lambda texts: [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        for c, ids in zip(todo, encoded_together(todo, encode, self.sizes, lambda c: b"<" not in c, b" ", _normal_length)):
+            known[c] = ids.astype(np.int32).tobytes()
         for c in ends:
             known[c] = known[c[:-1]] + known[c[-1:]]
 

@@ -115,17 +115,18 @@ class Remembered:
         return found
 
 
-def encoded_together(chunks: list[bytes], encode, sizes: np.ndarray, whole) -> list[np.ndarray]:
-    """The ids of each chunk. Those for which ``whole`` holds are joined to texts of TOGETHER chunks, as cuts between them are exact, and told apart by the
-    bytes of their tokens (``sizes``). ``encode`` takes a list of texts and gives a list of id lists."""
+def encoded_together(chunks: list[bytes], encode, sizes: np.ndarray, whole, between: bytes = b"", length=len) -> list[np.ndarray]:
+    """The ids of each chunk. Those for which ``whole`` holds are joined, with ``between`` between them, to texts of TOGETHER chunks, as cuts
+    between them are exact, and told apart by the bytes of their tokens (``sizes``; ``length`` gives those of a chunk). ``encode`` takes a list of texts and
+    gives a list of id lists."""
     out: list[np.ndarray | None] = [None] * len(chunks)
     joined = [i for i, c in enumerate(chunks) if whole(c)]
     groups = [joined[k : k + TOGETHER] for k in range(0, len(joined), TOGETHER)]
-    for own, ids in zip(groups, encode([b"".join([chunks[i] for i in own]).decode("utf-8", "replace") for own in groups]) if groups else ()):
+    for own, ids in zip(groups, encode([between.join([chunks[i] for i in own]).decode("utf-8", "replace") for own in groups]) if groups else ()):
         ids = np.asarray(ids, np.int64)
-        ends, bounds = np.cumsum(sizes[ids]), np.cumsum([len(chunks[i]) for i in own])
-        last = np.minimum(np.searchsorted(ends, bounds), len(ends) - 1)
-        if ends[-1] == bounds[-1] and (ends[last] == bounds).all():  # else one of them has other bytes, and each is encoded on its own
+        ends, bounds = np.cumsum(sizes[ids]), np.cumsum([length(chunks[i]) for i in own])
+        last = np.searchsorted(ends, bounds)
+        if len(ends) and ends[-1] == bounds[-1] and (ends[last] == bounds).all():  # else one of them has other bytes, and each is encoded on its own
             at = 0
             for i, to in zip(own, (last + 1).tolist()):
                 out[i] = ids[at:to]
