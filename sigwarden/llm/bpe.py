@@ -244,6 +244,8 @@ class Codec:
 
     def _spliced(self, left: Tokens, right: Tokens) -> Tokens:
         text, shift, wide = left.text + right.text, len(left.text), WINDOW
+        if self.kind == "words" and not text.isascii() and any(map(unicodedata.combining, text)):
+            return self._tokens(text)  # the normaliser puts marks in order over any distance, so no window is sure to agree
         n, m = len(left.ids), len(right.ids)
         while True:
             i, j = max(0, n - wide), min(m, wide)

@@ -18,8 +18,8 @@ URL_RULES = (
     ("allow", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: A host is blocked if it is this sure (see url_filter) that over 1 in 5 of its pages is bad.
-BAD_LIMIT = 0.2
+#: A host is blocked if 95 % of its posterior lies above this share of bad pages.
+BAD_LIMIT = 0.08
 
 
 #: Labelled documents on which the two classes of text are fitted, at most.
@@ -171,18 +171,23 @@ def _level_sql(up: str, below: str, group: str) -> str:
 
 
 _LIST_SQL = ", ".join(f"'{x}'" for x in url_filter.SUFFIXES)
-_FEATURES_SQL = r"""CASE WHEN len(ws) > 0 THEN (length(t) - length(regexp_replace(t, '\pL+', '', 'g'))) / length(t)::DOUBLE END AS f0, CASE WHEN len(ws) > 0 THEN (length(t) - length(regexp_replace(t, '[^\pL\pN\x20\x09-\x0D]+', '', 'g'))) / length(t)::DOUBLE END AS f1,
-  CASE WHEN len(ws) > 0 THEN len(list_distinct(ws)) / len(ws)::DOUBLE END AS f2"""
+_SHARE_SQL = "CASE WHEN len(ws) > 0 THEN (length(t) - length(regexp_replace(t, '{}', '', 'g'))) / length(t)::DOUBLE END AS f{}"
+_FEATURES_SQL = ", ".join(_SHARE_SQL.format(p, i) for i, p in enumerate((r"\pL+", r"[^\pL\pN\x20\x09-\x0D]+", r"\p{Lu}+", r"\pN+"))) + r""",
+  CASE WHEN len(ws) > 0 THEN len(list_distinct(ws)) / len(ws)::DOUBLE END AS f4, CASE WHEN len(ws) > 0 THEN least(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) / (10 * len(ws))::DOUBLE, 1.0) END AS f5"""
 _WORDS_SQL = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws"
 
 
 def _class_sql(k: int) -> str:
-    return f"ln(n{k} / (n0 + n1)) + " + " + ".join(f"(-0.5::DOUBLE * ln(v{k}{i}) - (f{i} - m{k}{i}) * (f{i} - m{k}{i}) / (2 * v{k}{i}))" for i in range(3))
+    return f"ln(n{k} / (n0 + n1)) + " + " + ".join(f"(-0.5::DOUBLE * ln(v{k}{i}) - (f{i} - m{k}{i}) * (f{i} - m{k}{i}) / (2 * v{k}{i}))" for i in range(6))
 
 
-_MODEL_SQL = ", ".join(f"count(*) FILTER (bad = {k})::DOUBLE AS n{k}, " + ", ".join(f"avg(f{i}) FILTER (bad = {k}) AS m{k}{i}, var_pop(f{i}) FILTER (bad = {k}) + {url_filter.VARIANCE_FLOOR}::DOUBLE AS v{k}{i}" for i in range(3)) for k in (0, 1))
+_MODEL_SQL = ", ".join(f"count(*) FILTER (bad = {k})::DOUBLE AS n{k}, " + ", ".join(f"avg(f{i}) FILTER (bad = {k}) AS m{k}{i}, var_pop(f{i}) FILTER (bad = {k}) + {url_filter.VARIANCE_FLOOR}::DOUBLE AS v{k}{i}" for i in range(6)) for k in (0, 1))
 _SHRUNK_SQL = "({x}.bad + {u}.m * {u}.rate) / ({x}.n + {u}.m) AS rate, {x}.n + {u}.m AS total, pow({u}.m / ({x}.n + {u}.m), 2) * {u}.var AS above"
 
+#: Normal deviations of the 5 % quantile.
+Z = 1.645
+_SKEW = (Z * Z - 3) / 6
+
 OP8_SQL = f"""
 WITH lf AS (SELECT 1 - quality AS bad, {_FEATURES_SQL} FROM (SELECT quality, text AS t, {_WORDS_SQL.replace("(t,", "(text,")} FROM documents JOIN (SELECT * FROM labels ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT {LABELLED}) USING (doc_id))),
 model AS (SELECT {_MODEL_SQL} FROM lf WHERE bad IN (0, 1) AND f0 IS NOT NULL),
@@ -201,7 +206,11 @@ r AS ({_level_sql(up="", below="s", group="")}),
 top AS (SELECT m, rate, rate * (1 - rate) / (n + 1) AS var FROM (SELECT *, CASE WHEN n > 0 THEN bad / n ELSE 0.0 END AS rate FROM r)),
 sr AS (SELECT *, rate * (1 - rate) / (total + 1) + above AS var FROM (SELECT suffix, s.m, {_SHRUNK_SQL.format(x="s", u="top")} FROM s, top)),
 dr AS (SELECT *, rate * (1 - rate) / (total + 1) + above AS var FROM (SELECT domain, d2.m, {_SHRUNK_SQL.format(x="d2", u="sr")} FROM d2 JOIN sr USING (suffix))),
-j AS (SELECT host, rate, rate - 1.64::DOUBLE * sqrt(rate * (1 - rate) / (total + 1) + above) AS lower FROM (SELECT host, {_SHRUNK_SQL.format(x="hosts", u="dr")} FROM hosts JOIN dr USING (domain))),
+jv AS (SELECT host, rate, rate * (1 - rate) / (total + 1) + above AS var FROM (SELECT host, {_SHRUNK_SQL.format(x="hosts", u="dr")} FROM hosts JOIN dr USING (domain))),
+jb AS (SELECT *, rate * (rate * (1 - rate) / nullif(var, 0) - 1) AS a, (1 - rate) * (rate * (1 - rate) / nullif(var, 0) - 1) AS b, {_SKEW}::DOUBLE AS skew FROM jv),
+jh AS (SELECT *, 1 / nullif(2 * a - 1, 0) AS p, 1 / nullif(2 * b - 1, 0) AS q FROM jb),
+jw AS (SELECT *, 2 / nullif(p + q, 0) AS h FROM jh),
+j AS (SELECT host, rate, CASE WHEN a IS NULL THEN rate WHEN a < 1 THEN 0.0 WHEN b < 1 THEN rate - {Z}::DOUBLE * sqrt(var) ELSE a / (a + b * exp(2 * ({Z}::DOUBLE * sqrt(h + skew) / h - (q - p) * (skew + 5 / 6.0::DOUBLE - 2 / (3 * h))))) END AS lower FROM jw),
 v AS (SELECT page_id, q.host, path, {_RULE_SQL} AS found, rate, lower FROM q JOIN j USING (host))
 SELECT page_id, host, path, regexp_replace(found, '^\\{{[a-z]+\\}}', '') AS rule,
   coalesce(regexp_extract(found, '^\\{{([a-z]+)\\}}', 1), CASE WHEN lower > {BAD_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, round(rate, 6) AS rate, round(lower, 6) AS lower FROM v

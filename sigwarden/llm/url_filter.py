@@ -69,20 +69,21 @@ def visible_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(html, r"(?s)<(script|style)[^>]*>.*?</(script|style)>", " "), r"<[^>]*>", " ")
 
 
-FEATURES = ("letters", "symbols", "different")
+FEATURES = ("letters", "symbols", "capitals", "digits", "different", "word_chars")
 
 
 def _with_features(df: DataFrame, text: Column) -> tuple[DataFrame, list[str], str]:
     """``df`` with the features of ``text``, their names and the name of another column that was added.
 
-    Shares of letters and of symbols among the characters, and of different words among the words; null for a text
-    without words. Text and words are columns of their own, so that each is computed once a row.
+    Shares of letters, symbols, capitals and digits among the characters, of different words among the words, and the characters of a
+    word to 10 as a share of 1; null for a text without words. Text and words are columns of their own, so that each is computed once a row.
     """
     at, words_at, names = free_name(df, "feature_text"), free_name(df, "feature_words"), [free_name(df, f) for f in FEATURES]
     held = df.withColumn(at, text).withColumn(words_at, F.regexp_extract_all(F.col(at), F.lit(f"({WORD})"), F.lit(1)))
     n = F.length(at)
     share = lambda pattern: F.try_divide(n - F.length(F.regexp_replace(at, pattern, "")), n).cast("double")
-    values = [share(r"\p{L}+"), share(r"[^\p{L}\p{N}\x20\x09-\x0D]+"), F.try_divide(F.size(F.array_distinct(words_at)), F.size(words_at)).cast("double")]
+    per_word = F.least(F.try_divide(F.length(F.regexp_replace(at, r"[\x20\x09-\x0D]+", "")), 10 * F.size(words_at)).cast("double"), F.lit(1.0))
+    values = [share(r"\p{L}+"), share(r"[^\p{L}\p{N}\x20\x09-\x0D]+"), share(r"\p{Lu}+"), share(r"\p{N}+"), F.try_divide(F.size(F.array_distinct(words_at)), F.size(words_at)).cast("double"), per_word]
     held = held.withColumns({name: F.when(F.size(words_at) > 0, v) for name, v in zip(names, values)})
     return held.drop(words_at), names, at
 
@@ -99,7 +100,10 @@ def outcome_model(docs: DataFrame, labels: DataFrame, rows: int, id_col: str = "
     are broadcast, so features are computed for these documents only and no text is shuffled. Null labels and texts
     without words are left out.
     """
-    sample = labels.orderBy(F.md5(F.col(id_col).cast("string")), id_col).limit(rows).select(F.col(id_col).alias("id"), F.col("bad").cast("int").alias("bad"))
+    # Over-wide candidates go before the sort, by a threshold that the count sets, so one task sorts about as many as are taken.
+    total, draw = labels.count(), F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("long")
+    near = labels if total <= 2 * rows else labels.filter(F.col(id_col).isNull() | (draw < F.lit(int(2**32 * min(1.0, (rows + 10 * rows**0.5 + 100) / total)))))
+    sample = near.orderBy(F.md5(F.col(id_col).cast("string")), id_col).limit(rows).select(F.col(id_col).alias("id"), F.col("bad").cast("int").alias("bad"))
     held, names, _ = _with_features(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id"), F.col("text"))
     known = held.filter(f"bad in (0, 1) and {names[0]} is not null")
     sums = {r["bad"]: r for r in known.groupBy("bad").agg(F.count(F.lit(1)).alias("n"), *[F.avg(n).alias(f"m_{n}") for n in names], *[F.var_pop(n).alias(f"v_{n}") for n in names]).collect()}
@@ -153,11 +157,25 @@ def _shrunk(level: str) -> tuple[Column, Column]:
     return rate, rate * (1 - rate) / (n + m + 1) + F.pow(m / (n + m), 2.0) * F.col(f"{level}_var")
 
 
-def host_reputation(outcomes: DataFrame, z: float = 1.64, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+def beta_quantile(mean: Column, var: Column, z: float) -> Column:
+    """The quantile of a beta distribution of this mean and variance, z normal deviations below its middle (Abramowitz and Stegun 26.5.22).
+
+    0 if it has the evidence of less than one bad page, z deviations below the mean if of less than one good page, and the mean without a variance.
+    """
+    size = F.try_divide(mean * (1 - mean), var) - 1
+    a, b = mean * size, (1 - mean) * size
+    p, q = F.try_divide(F.lit(1.0), 2 * a - 1), F.try_divide(F.lit(1.0), 2 * b - 1)
+    h, skew = F.try_divide(F.lit(2.0), p + q), (z * z - 3) / 6
+    w = z * F.try_divide(F.sqrt(h + skew), h) - (q - p) * (skew + 5 / 6 - F.try_divide(F.lit(2.0), 3 * h))
+    inside = F.try_divide(a, a + b * F.exp(2 * w))
+    return F.when(size.isNull(), mean).when(a < 1, 0.0).when(b < 1, mean - z * F.sqrt(var)).otherwise(inside)
+
+
+def host_reputation(outcomes: DataFrame, z: float = 1.645, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """Of ``outcomes`` (host, bad: 1, 0, or null if not labelled): one row for each host with n, bad, rate, lower.
 
-    ``rate`` is the posterior mean and ``lower`` the bound z posterior standard deviations below it (normal approximation),
-    the uncertainty of the levels above included. A host without labelled pages has its domain's rate, a domain
+    ``rate`` is the posterior mean and ``lower`` the quantile z normal deviations below the middle (5 % for 1.645) of the beta distribution with the posterior's
+    mean and variance, the uncertainty of the levels above included. A host without labelled pages has its domain's rate, a domain
     without any its suffix's, and so on; with no label at all every rate is 0. Every step is a grouped aggregation, the
     first with a partial one before the shuffle; the joins are between aggregates.
     """
@@ -180,7 +198,7 @@ def host_reputation(outcomes: DataFrame, z: float = 1.64, suffixes: Sequence[str
     suf = shrunk(all_suffixes.withColumns({c: F.lit(float(v)) for c, v in given.items()}), "suffix", "top", "suffix")
     dom = shrunk(domains.join(suf, "suffix"), "domain", "suffix", "domain")
     rate, var = _shrunk("domain")
-    return hosts.join(dom, "domain").select("host", "n", "bad", rate.alias("rate"), (rate - z * F.sqrt(var)).alias("lower"))
+    return hosts.join(dom, "domain").select("host", "n", "bad", rate.alias("rate"), beta_quantile(rate, var, z).alias("lower"))
 
 
 def filter_urls(pages: DataFrame, bad: Column, rules: Sequence[tuple[str, str, str]], limit: float, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
