@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .ordered import running_sums
 
 #: Spread below this is flat.
@@ -109,6 +110,26 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), least: int =
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), safe_corr("__rx", "__ry", least, 0.0).alias("rho"))
 
 
+def spearmans(df: DataFrame, pairs: dict[str, tuple[str, str]], least: int = 3) -> DataFrame:
+    """One row with a rank correlation for each of ``pairs``, as ``spearman`` has it, from one pass over ranges for all of them.
+
+    Rows become counts of different pairs of values, the counts of each side's values are summed in ranges of (pair, side, value), and the ranks go back
+    to the counts.
+    """
+    both_of = [F.struct(F.lit(n).alias("pair"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) for n, (x, y) in pairs.items()]
+    cells = cut(df.select(F.inline(F.array(*both_of))).filter("x is not null and y is not null").groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n")))
+    sides = cells.select("pair", "n", F.inline(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("v")) for c in ("x", "y")])))
+    placed = running_sums(sides.groupBy("pair", "side", "v").agg(F.sum("n").alias("n")), [F.col("v")], {"before": F.col("n")}, ["pair", "side"])
+    rank = cut(placed.select("pair", "side", "v", (F.col("before") + (F.col("n") + 1) / 2.0).alias("r")))
+    side = lambda c: rank.filter(F.col("side") == c).select("pair", F.col("v").alias(c), F.col("r").alias(f"r{c}"))
+    ranked = cells.join(side("x"), ["pair", "x"]).join(side("y"), ["pair", "y"])
+    total = cells.groupBy("pair").agg(F.sum("n").cast("double").alias("all_n"))
+    a, b = (F.col(r) - (F.col("all_n") + 1) / 2 for r in ("rx", "ry"))
+    sums = ranked.join(F.broadcast(total), "pair").groupBy("pair", "all_n").agg(*[F.sum(F.col("n") * e).alias(name) for name, e in (("xy", a * b), ("xx", a * a), ("yy", b * b))])
+    rho = F.when((F.col("all_n") >= least) & (F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))
+    return sums.agg(*[F.max(F.when(F.col("pair") == name, rho)).alias(name) for name in pairs])
+
+
 def rank_sums(df: DataFrame, value: str, group: Column, by: Sequence[str] = ()) -> DataFrame:
     """The rank-sum family for two groups (``group`` true: a, false: b, NULL: neither), within ``by``.
 

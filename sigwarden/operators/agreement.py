@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordered import quantiles, running_sums
-from ..functions.stats import both, clip, hashed_uniform, indicator, kappa, ratio, safe_corr, spearman
+from ..functions.stats import both, clip, hashed_uniform, indicator, kappa, ratio, safe_corr, spearman, spearmans
 from ..session import cut
 
 
@@ -79,9 +79,7 @@ def three_way(df: DataFrame, in_house: str, template: str, amplitude_cv: str, or
     """
     score = df.select(F.col(in_house).alias("own"), F.coalesce(F.col(template), F.lit(0.0)).alias("tpl"), (1 - clip(amplitude_cv, 0, 2)).alias("amp"))
     out = multi_rater(df, in_house, [orphanidou, sukor], threshold).drop("median_published_kappa")
-    for a, b in (("own", "tpl"), ("own", "amp"), ("tpl", "amp")):
-        out = out.join(F.broadcast(spearman(score, a, b, least=5).select(F.col("rho").alias(f"rho_{a}_{b}"))))
-    return out
+    return out.join(F.broadcast(spearmans(score, {f"rho_{a}_{b}": (a, b) for a, b in (("own", "tpl"), ("own", "amp"), ("tpl", "amp"))}, least=5)))
 
 
 def head_to_head(df: DataFrame, in_house: str, template: str, accepted: str, by: Sequence[str] = (), threshold: float = 0.7) -> DataFrame:
@@ -98,9 +96,7 @@ def motion_effect(df: DataFrame, motion: str, error: str, quality: Sequence[str]
     q75 = quantiles(df, [motion], [0.75])[motion][0]
     high = F.col(motion) >= F.lit(q75).cast("double")
     out = df.withColumn("q75", F.lit(q75).cast("double")).groupBy("q75").agg(F.avg(F.when(high, F.col(error))).alias("error_high"), F.avg(F.when(~high, F.col(error))).alias("error_low"), F.count(motion).alias("n"))
-    for c in (error, *quality):
-        out = out.join(F.broadcast(spearman(df, motion, c).select(F.col("rho").alias(f"rho_{c}"))))
-    return out
+    return out.join(F.broadcast(spearmans(df, {f"rho_{c}": (motion, c) for c in (error, *quality)})))
 
 
 # calibration

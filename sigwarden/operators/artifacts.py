@@ -16,7 +16,8 @@ def _mean(a: Column) -> Column:
 
 def array_median(a: Column) -> Column:
     n = F.size(a)
-    s = F.array_sort(a)
+    # Without nulls the sort is compiled; with nulls they come last.
+    s = F.when(F.exists(a, lambda x: x.isNull()), F.array_sort(a)).otherwise(F.sort_array(a))
     return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
 
 

@@ -14,7 +14,8 @@ from ..operators import agreement, causal, daily as days, effects, fairness, mod
 from ..session import checkpoint_folder, cut
 from ..sources import adapters, recordings, synthetic
 from . import figures, p_value_sql as p_values, report, service, views
-from .queries import _COHORT, _ROUND, _STRATA, _WEEKS, B, D, L, Q_OF, R, S, W, _corr, _rank, _state_deltas, _SQL, _trust_sql, query, with_sql
+from ..streaming import audit
+from .queries import _COHORT, _GAPS, _ROUND, _STRATA, _WEEKS, B, D, L, Q_OF, R, S, W, _corr, _rank, _state_deltas, _SQL, _trust_sql, query, with_sql, _streamed
 
 # hashed numbers, as functions.stats.hashed_uniform and sources.synthetic.normal have them
 
@@ -239,6 +240,15 @@ FROM (SELECT *, list_avg(x[greatest(t - 10, 1):t - 1]) AS before_mean, list_avg(
 )
 
 
+with_sql(
+    "streaming_change_points",
+    "SELECT participant_id AS user_id, (t - 1)::BIGINT AS index, round((last - now)::DOUBLE, 6) AS score, x[t] AS value FROM online WHERE last - now >= 5 AND t >= 5",
+    "settled AS (SELECT user_id, ts, event_id, value, max(ts) OVER (PARTITION BY user_id) AS latest FROM events WHERE value IS NOT NULL)",
+    "series AS (SELECT user_id AS participant_id, list(value ORDER BY ts, event_id) AS x FROM settled WHERE epoch_ms(ts) < epoch_ms(latest) - 86400000 GROUP BY user_id HAVING count(*) >= 5)",
+    p_values.change_points("series"), recursive=True,
+)
+
+
 @query("SELECT participant_id, count(*) OVER (PARTITION BY participant_id) AS n_segments, lo::INT AS start FROM (SELECT DISTINCT participant_id, lo FROM seg)", D, _SEGMENTS, recursive=True)
 def segmentation(spark, sf):
     d = views.daily(spark, sf)
@@ -459,6 +469,91 @@ def graph_back_door(spark, sf):
     return spark.createDataFrame([(t, y, ",".join(g.back_door_set(t, y))) for t in g.nodes for y in g.nodes if t != y], "treatment string, outcome string, adjustment string")
 
 
+# streams
+
+@query("SELECT user_id, count(d) AS n_intervals, count(*) FILTER (abs(d - 30000000) > 20000000) AS n_jitter, count(*) FILTER (d > 90000000) AS n_gaps FROM gaps GROUP BY user_id", _GAPS)
+def streaming_jitter(spark, sf):
+    return _streamed(spark, sf, "jitter", "update", lambda e: audit.jitter(e, 3e7, jitter_ms=2e7))
+
+
+@query("""SELECT event_type, start, start + INTERVAL 6 HOURS AS "end", count(*) AS n FROM (SELECT event_type, date_trunc('hour', ts) - to_hours(k) AS start FROM events, range(0, 6) AS r(k)) GROUP BY ALL""")
+def streaming_sliding_rate(spark, sf):
+    s = _streamed(spark, sf, "rate", "complete", lambda e: audit.sliding_rate(e))
+    return s.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+# recordings: a user's values in order as a chest signal of 2 Hz, every other one as the pulse, the state by scores of values
+
+_HZ = (2, 1)
+_REC = "rec AS (SELECT user_id, list(value ORDER BY ts, event_id) AS ecg FROM events WHERE value IS NOT NULL GROUP BY user_id)"
+
+
+def _recordings(spark, sf):
+    e = views.table(spark, sf, "events").filter("value is not null").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"]).alias("chest_ecg"))
+    labels = F.transform("chest_ecg", lambda _, i: (F.floor(i / 20) % 5).cast("int"))
+    return e.select(F.col("user_id").cast("string").alias("subject_id"), "chest_ecg", F.filter("chest_ecg", lambda _, i: i % 2 == 0).alias("wrist_ppg"), labels.alias("labels"))
+
+
+@query(
+    """SELECT subject_id, (row_number() OVER (ORDER BY subject_id, w0) - 1)::INT AS window_idx, label::INT AS label, CASE label WHEN 1 THEN 'baseline' WHEN 2 THEN 'stress' ELSE 'amusement' END AS label_name, w0 / 2.0::DOUBLE AS start_seconds, (w0 + 10) / 2.0::DOUBLE AS end_seconds,
+round(list_sum(ecg), 6) AS ecg_sum, round(list_sum(ppg), 6) AS ppg_sum FROM taken WHERE label = label_end AND label IN (1, 2, 3) AND len(ppg) = 5""",
+    _REC,
+    """taken AS (SELECT user_id::VARCHAR AS subject_id, w0, ecg[w0 + 1:w0 + 10] AS ecg, list_transform(list_filter(range(0, 5), lambda k: w0 + 2 * k < len(ecg)), lambda k: ecg[w0 + 2 * k + 1]) AS ppg, w0 // 20 % 5 AS label, (w0 + 9) // 20 % 5 AS label_end FROM (SELECT *, unnest(range(0, len(ecg) - 9, 10)) AS w0 FROM rec WHERE len(ecg) >= 10))""",
+)
+def recording_windows(spark, sf):
+    w = recordings.extract_windows(_recordings(spark, sf), chest_hz=_HZ[0], pulse_hz=_HZ[1])
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return w.select("subject_id", "window_idx", "label", "label_name", "start_seconds", "end_seconds", total("ecg").alias("ecg_sum"), total("ppg").alias("ppg_sum"))
+
+
+_ACTIVE = ", ".join(f"round(count(*) FILTER (label = {c}) / 2.0::DOUBLE, 6) AS seconds_{n}" for c, n in recordings.ACTIVITIES.items())
+
+
+@query(f"SELECT participant_id, count(*) AS n_samples, {_ACTIVE} FROM (SELECT user_id::VARCHAR AS participant_id, (i - 1) // 20 % 5 AS label FROM (SELECT user_id, unnest(range(1, len(ecg) + 1)) AS i FROM rec)) GROUP BY 1", _REC)
+def recording_activities(spark, sf):
+    return recordings.activity_seconds(_recordings(spark, sf), hz=_HZ[0])
+
+
+@query("SELECT participant_id, date, round(least(greatest(0.95::DOUBLE * wearable_minutes / 1440 - 0.25::DOUBLE * least(greatest(active_minutes / 240, 0.0), 1.0), 0.0), 1.0), 6) AS quality FROM D", D)
+def daily_quality(spark, sf):
+    d = views.daily(spark, sf)
+    return d.select("participant_id", "date", days.daily_signal_quality(d).alias("quality"))
+
+
+_FILLED = ", ".join(f"coalesce({f}, (SELECT quantile_cont({f}, 0.5) FROM D), 0.0) AS {f}" for f in models.FEATURES)
+
+
+@query(
+    f"SELECT participant_id, least(count(*), 30)::INT AS n_steps, round(sum(s) FILTER (i <= 30), 6) AS steps_sum, round(avg(r), 6) AS target FROM (SELECT participant_id, row_number() OVER (PARTITION BY participant_id ORDER BY date) AS i, {' + '.join(models.FEATURES)} AS s, reliability_ground_truth AS r FROM (SELECT participant_id, date, reliability_ground_truth, {_FILLED} FROM D)) GROUP BY participant_id",
+    D,
+)
+def sequence_steps(spark, sf):
+    seq = models.sequences(views.daily(spark, sf))
+    whole = F.aggregate("steps", F.lit(0.0), lambda a, x: a + F.aggregate(x, F.lit(0.0), lambda b, y: b + y))
+    return seq.select("participant_id", F.aggregate("mask", F.lit(0), lambda a, m: a + m).alias("n_steps"), whole.alias("steps_sum"), "target")
+
+
+def _tracked(spark, sf):
+    rows = views.scored_labels(spark, sf).withColumns({"noise": F.pmod("doc_id", F.lit(17)).cast("double"), "inhouse_ppg_sqi": F.col("score"), "orphanidou_acceptable": 1 - F.col("toxic")})
+    return models.classification_track(rows, ["score", "noise"], "quality", "source")
+
+
+@query()
+def classification_track(spark, sf):
+    return _tracked(spark, sf)
+
+
+@query()
+def classification_gains(spark, sf):
+    track = cut(_tracked(spark, sf))
+    return models.track_summary(track).join(models.paired_deltas(track, "source"), "condition", "left")
+
+
+@query()
+def screening_vs_adjusted(spark, sf):
+    return causal.screening_vs_adjusted(views.daily(spark, sf), [("heat_index", "hrv_rmssd"), ("stress_proxy", "hrv_rmssd"), ("active_minutes", "resting_hr")], replicates=200)
+
+
 # service
 
 def _summaries(spark, sf):

@@ -41,63 +41,78 @@ def wear_sessions(events: DataFrame, key: str = "user_id", time: str = "ts", gap
     return rows.groupBy(F.session_window(time, gap), key).agg(F.count(F.lit(1)).alias("n")).select(key, "session_window.start", "session_window.end", "n")
 
 
-def jitter(events: DataFrame, expected_ms: float, key: str = "user_id", time: str = "ts", jitter_ms: float = 5.0, gap_factor: float = 3.0) -> DataFrame:
-    """(key, n_intervals, n_jitter, n_gaps) so far, after each batch that has events of the key. The state is the last time and three counts."""
+def jitter(events: DataFrame, expected_ms: float, key: str = "user_id", time: str = "ts", jitter_ms: float = 5.0, gap_factor: float = 3.0, late_ms: int = 86_400_000) -> DataFrame:
+    """(key, n_intervals, n_jitter, n_gaps) so far, after each batch that has events of the key.
+
+    Times of the last ``late_ms`` before a key's latest one stay in its state, so an event that comes late, in whatever batch, splits the interval in
+    which it belongs; older intervals are counts only, and an event that is later than that is left out.
+    """
     kind = events.schema[key].dataType.simpleString()
     rows = with_event_time(events, time).select(key, F.unix_millis(time).alias("ms"))
 
-    def update(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, n, bad, gaps = state.get if state.exists else (None, 0, 0, 0)
-        ms = np.sort(np.concatenate([b["ms"].to_numpy(np.int64) for b in batches]))
-        d = np.diff(ms if last is None else np.concatenate([[last], ms]))
-        n, bad, gaps = n + len(d), bad + int((np.abs(d - expected_ms) > jitter_ms).sum()), gaps + int((d > expected_ms * gap_factor).sum())
-        state.update((int(ms[-1]), n, bad, gaps))
-        yield pd.DataFrame({key: [k[0]], "n_intervals": [n], "n_jitter": [bad], "n_gaps": [gaps]})
-
-    return rows.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n_intervals long, n_jitter long, n_gaps long", "last long, n long, bad long, gaps long", "update", "NoTimeout")
+    def counts(ms: np.ndarray) -> np.ndarray:
+        d = np.diff(ms)
+        return np.array([len(d), (np.abs(d - expected_ms) > jitter_ms).sum(), (d > expected_ms * gap_factor).sum()])
 
-
-def change_points(events: DataFrame, key: str = "user_id", time: str = "ts", value: str = "value", hazard: float = 1 / 50, fall: int = 5, warm_up: int = 5) -> DataFrame:
-    """(key, index, score, value): online Bayesian change-points, as values arrive.
-
-    The prior mean is the mean of the first ``warm_up`` values. The state is one record of at most 200 run
-    lengths a key. Within a batch values are taken in order of time; a value of an earlier time in a later batch is
-    taken when it comes.
+    def update(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        n, bad, gaps, held = state.get if state.exists else (0, 0, 0, [])
+        new = np.concatenate([b["ms"].to_numpy(np.int64) for b in batches])
+        held = np.asarray(held, np.int64)
+        # The first of the held times is settled: it ends the intervals that are counts.
+        recent = np.sort(np.concatenate([held, new[new >= held[0]] if len(held) else new]))
+        keep = max(int(np.searchsorted(recent, recent[-1] - late_ms)) - 1, 0)
+        settled = np.array([n, bad, gaps]) + counts(recent[: keep + 1])
+        state.update((*map(int, settled), recent[keep:].tolist()))
+        total = settled + counts(recent[keep:])
+        yield pd.DataFrame({key: [k[0]], "n_intervals": [int(total[0])], "n_jitter": [int(total[1])], "n_gaps": [int(total[2])]})
+
+    return rows.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n_intervals long, n_jitter long, n_gaps long", "n long, bad long, gaps long, held array<long>", "update", "NoTimeout")
+
+
+def change_points(events: DataFrame, key: str = "user_id", time: str = "ts", value: str = "value", hazard: float = 1 / 50, fall: int = 5, warm_up: int = 5, order: str = "event_id", late_ms: int = 86_400_000) -> DataFrame:
+    """(key, index, score, value): online Bayesian change-points of each key's values in the order of (time, ``order``).
+
+    A value waits in the state until one that is over ``late_ms`` later has come, so late and shuffled events are taken in their order and every
+    batching gives the same rows; what is later still is left out. The prior mean is the mean of the first ``warm_up`` values. The state is the waiting
+    values and one record of at most 200 run lengths a key.
     """
     kind = events.schema[key].dataType.simpleString()
-    rows = with_event_time(events, time).select(key, F.unix_millis(time).alias("ms"), F.col(value).cast("double").alias("v"))
+    rows = with_event_time(events, time).select(key, F.unix_millis(time).alias("ms"), F.col(order).cast("long").alias("id"), F.col(value).cast("double").alias("v"))
 
-    def load(text: str | None) -> tuple[int, int, list[float], RunLength | None]:
+    def load(text: str | None) -> tuple[dict, RunLength | None]:
         if text is None:
-            return 0, 0, [], None
+            return {"n": 0, "last": 0, "first": [], "waiting": [], "done": None}, None
         s = json.loads(text)
         model = None
-        if s["model"]:
-            model = RunLength(s["model"]["mu0"], hazard)
-            model.p, model.mu, model.kappa, model.alpha, model.beta = (np.array(s["model"][k]) for k in ("p", "mu", "kappa", "alpha", "beta"))
-        return s["n"], s["last"], s["first"], model
-
-    def dump(n: int, last: int, first: list[float], model: RunLength | None) -> str:
-        m = model and {"mu0": model.prior[0]} | {k: getattr(model, k).tolist() for k in ("p", "mu", "kappa", "alpha", "beta")}
-        return json.dumps({"n": n, "last": last, "first": first, "model": m})
+        if held := s.pop("model"):
+            model = RunLength(held["mu0"], hazard)
+            model.log_p, model.mu, model.beta = (np.array(held[k]) for k in ("log_p", "mu", "beta"))
+        return s, model
 
     def update(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, last, first, model = load(state.get[0] if state.exists else None)
+        s, model = load(state.get[0] if state.exists else None)
+        new = pd.concat(list(batches)).dropna(subset=["v"])
+        new = [(int(t), int(i), float(v)) for t, i, v in zip(new["ms"], new["id"].fillna(-1), new["v"])]
+        waiting = sorted([*map(tuple, s["waiting"]), *[x for x in new if s["done"] is None or x[0] >= s["done"]]])
+        done = waiting[-1][0] - late_ms if waiting else None
+        due = [x for x in waiting if x[0] < done] if waiting else []
         found = []
-        for v in pd.concat(list(batches)).sort_values("ms", kind="stable")["v"].dropna():
-            waiting = [v]
+        for _, _, v in due:
+            taken = [v]
             if model is None:
-                first.append(float(v))
-                if len(first) < warm_up:
+                s["first"].append(v)
+                if len(s["first"]) < warm_up:
                     continue
-                model, waiting, first = RunLength(float(np.mean(first)), hazard), first, []
-            for x in waiting:
-                n += 1
-                now = model.update(float(x))
-                if last - now >= fall and n >= 5:
-                    found.append((k[0], n - 1, float(last - now), float(x)))
-                last = now
-        state.update((dump(n, last, first, model),))
+                model, taken, s["first"] = RunLength(float(np.mean(s["first"])), hazard), s["first"], []
+            for x in taken:
+                s["n"] += 1
+                now = model.update(x)
+                if s["last"] - now >= fall and s["n"] >= 5:
+                    found.append((k[0], s["n"] - 1, float(s["last"] - now), x))
+                s["last"] = now
+        s["waiting"], s["done"] = waiting[len(due) :], done if s["done"] is None else max(done, s["done"]) if done is not None else s["done"]
+        record = s | {"model": model and {"mu0": model.prior[0], "log_p": model.log_p.tolist(), "mu": model.mu.tolist(), "beta": model.beta.tolist()}}
+        state.update((json.dumps(record),))
         yield pd.DataFrame(found, columns=[key, "index", "score", "value"])
 
     return rows.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, index long, score double, value double", "record string", "append", "NoTimeout")

@@ -159,3 +159,13 @@ def test_filter_matrix_equals_the_recursion():
     assert np.allclose(k.bandpass_many(x, 64, k.PPG_BAND), once, atol=1e-12)
     with pytest.raises(ValueError):
         k.bandpass_many(x[:, :21], 64, k.PPG_BAND)
+
+
+def test_rank_correlations_of_several_pairs_at_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(a), float(b) if i % 7 else None, float(c)) for i, (a, b, c) in enumerate(rng.integers(0, 12, (300, 3)))]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = stats.spearmans(df, {"ab": ("a", "b"), "ca": ("c", "a")}).first()
+    assert got["ab"] == pytest.approx(stats.spearman(df, "a", "b").first()["rho"]) and got["ca"] == pytest.approx(stats.spearman(df, "c", "a").first()["rho"])
+    flat = stats.spearmans(df.withColumn("one", F.lit(1.0)), {"flat": ("a", "one"), "few": ("a", "b")}, least=1000).first()
+    assert flat["flat"] is None and flat["few"] is None

@@ -252,3 +252,16 @@ def test_paired_wilcoxon_by_group_against_the_kernel(spark):
             assert got[g]["p_value"] == pytest.approx(p) and got[g]["w_plus"] == (None if g == "zeros" else pytest.approx(w))
     one = effects.paired_wilcoxon(spark.createDataFrame([(float(v),) for v in groups["few"]], "d double"), "d").first()
     assert one["p_value"] == pytest.approx(kernels.signed_rank(groups["few"])[1])
+
+
+def test_strata_are_not_gathered(spark):
+    """Four strata of 10^6 rows: the longest runs come from ranges, and no window is over a stratum."""
+    from sigwarden.functions.ordered import run_summaries
+
+    rows = spark.range(1_000_000).select((F.col("id") % 4).cast("string").alias("stratum"), (F.col("id") / 4).cast("long").alias("t"), (F.col("id") % 1000 != 0).alias("f"))
+    out = run_summaries(rows, "stratum", [F.col("t")], F.col("f"))
+    plan = out._jdf.queryExecution().toString()
+    assert "Window" not in plan and "rangepartitioning" in plan
+    got = {r.stratum: r for r in out.collect()}
+    assert {k: (r.rows, r.longest, r.true) for k, r in got.items()} == {"0": (250_000, 249, 249_000), **{str(k): (250_000, 250_000, 250_000) for k in (1, 2, 3)}}
+    assert "Window" not in fairness.fairness_audit(frame(spark), "device_type")._jdf.queryExecution().toString()

@@ -163,6 +163,64 @@ def test_threshold_grid_meets_few_rows(spark):
     assert {r["threshold"]: r["n_pass"] for r in grid.collect()} == {0.25: 750, 0.5: 500, 0.75: 250}
 
 
+@pytest.mark.parametrize("files", [1, 6])
+def test_streams_take_late_and_shuffled_events_in_their_order(spark, tmp_path, files):
+    """Events shuffled over batches, within the lateness that is waited for: equal to all of them at once in order."""
+    from sigwarden.functions import kernels
+
+    rng = np.random.default_rng(3)
+    rows, hour = [], 3_600_000
+    for u in range(3):
+        ms = np.cumsum(rng.integers(1, 4, 120)) * hour // 4
+        rows += [(u, int(t), i, float(v)) for i, (t, v) in enumerate(zip(ms, np.r_[rng.normal(0, 1, 60), rng.normal(9, 1, 60)]))]
+    rows += [(0, rows[5][1], 1000, 0.5)]  # a tie in time
+    df = spark.createDataFrame(rows, "user_id int, ms long, event_id long, value double").selectExpr("user_id", "timestamp_millis(ms) as ts", "event_id", "value")
+    # A day's events stand in any of the files of their two days.
+    order = sorted(rows, key=lambda r: r[1] + rng.integers(0, 20 * hour))
+    place = {(r[0], r[2]): i * files // len(order) for i, r in enumerate(order)}
+    pdf = df.toPandas()
+    pdf["file"] = [place[u, i] for u, i in zip(pdf["user_id"], pdf["event_id"])]
+    for f in range(files):
+        spark.createDataFrame(pdf[pdf.file == f].drop(columns="file").sample(frac=1, random_state=f), df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert len(list((tmp_path / "in").glob("*.parquet"))) == files
+
+    def streamed(name, mode, f):
+        out = []
+        source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        f(source).writeStream.foreachBatch(lambda b, i: out.append(b.collect())).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+        return out
+
+    batches = streamed("jitter", "update", lambda e: audit.jitter(e, hour, jitter_ms=hour / 4, late_ms=24 * hour))
+    last = {r.user_id: tuple(r)[1:] for b in batches for r in b}
+    for u in range(3):
+        d = np.diff(sorted(r[1] for r in rows if r[0] == u))
+        assert last[u] == (len(d), int((np.abs(d - hour) > hour / 4).sum()), int((d > 3 * hour).sum()))
+    found = sorted(tuple(r) for b in streamed("changes", "append", lambda e: audit.change_points(e, late_ms=24 * hour)) for r in b)
+    want = []
+    for u in range(3):
+        own = sorted((r[1], r[2], r[3]) for r in rows if r[0] == u)
+        x = [v for t, _, v in own if t < own[-1][0] - 24 * hour]
+        model, before = kernels.RunLength(float(np.mean(x[:5])), 1 / 50), 0
+        for n, v in enumerate(x, 1):
+            now = model.update(v)
+            if before - now >= 5 and n >= 5:
+                want.append((u, n - 1, float(before - now), v))
+            before = now
+    assert found == sorted(want) and len(found) >= 3
+
+
+def test_all_run_lengths_can_be_kept():
+    from sigwarden.functions import kernels
+
+    x = np.random.default_rng(0).normal(size=400)
+    few, all_ = kernels.RunLength(0.0), kernels.RunLength(0.0, longest=None)
+    for v in x:
+        few.update(v)
+        last = all_.update(v)
+    assert len(few.mu) == 200 and len(all_.mu) == 401 and last > 300
+    assert all_.update(1e200) == 0 and np.isfinite(all_.log_p).any()  # all densities underflow
+
+
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
 
