@@ -11,7 +11,9 @@ No pair within ``bits`` is lost, and there is no cap on a key's fingerprints.
 
 Keys are counted before anything is compared. A key of over BLOCK fingerprints is not gathered: its fingerprints get
 deeper keys from the rest of the ring, of whose bits + 2 pieces at least two agree, and meet only where a deeper key
-agrees too. Each deeper key is 14 bits longer (3 bits: 42 of 64), so a hot key falls into thousands of groups.
+agrees too. For 3 bits the rest of a ring of 8 segments has five pieces of 4 or 5 bits, so a deeper key is 9 or 10 bits longer (37 or 38 of 64) and a
+hot key falls into 512 or 1,024 groups for each pair of pieces. A group that is over BLOCK even then (a key of some ten million different
+fingerprints) is read by one task in blocks, each compared with itself there, and pairs of its blocks go to tasks of their own.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from .runtime import BROADCAST_ROWS, arrow_map, as_bytes, cut, lookup, slices
 SEGMENTS = 8
 WIDTH = 64 // SEGMENTS
 #: Fingerprints of one key that are compared at once. A larger group is split by deeper keys; what is larger even then
-#: (fingerprints that agree in over 40 bits) is compared in pairs of such blocks.
+#: (fingerprints that agree in 37 bits or more) is compared in pairs of such blocks.
 BLOCK = 16_384
 #: Shingles whose bits are unpacked at once.
 SHINGLES = 65_536
