@@ -230,13 +230,13 @@ def loso_classify(df: DataFrame, features: Sequence[str], label: str, subject: s
     sums = [F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("positive"), *[F.sum(f).cast("double").alias(f"s_{f}") for f in features], *[F.sum(F.col(f) * F.col(f)).cast("double").alias(f"q_{f}") for f in features]]
     own = rows.groupBy(subject).agg(*sums).orderBy(subject).collect()
     total = {c: sum(r[c] for r in own) for c in (own[0].asDict() if own else {}) if c != subject}
-    # Both classes on either side, and enough rows to be scored.
+    # Both classes on either side, and enough rows to be scored. Scores are compared to 9 digits.
     kept = [r for r in own if r["n"] >= least and 0 < r["positive"] < r["n"] and 0 < total["positive"] - r["positive"] < total["n"] - r["n"]]
     kind = df.schema[subject].dataType.simpleString()
     if not kept:
         return df.sparkSession.createDataFrame([], f"{subject} {kind}, n long, auroc double")
     folds = {r[subject]: i for i, r in enumerate(kept)}
-    scored = (_logistic_folds(rows, features, subject, kept, total, tolerance, steps) if classifier == "logistic" else _forest_folds(rows, features, subject, list(folds), trees, depth, seed)).withColumn("score", F.col("score") + 0.0)
+    scored = (_logistic_folds(rows, features, subject, kept, total, tolerance, steps) if classifier == "logistic" else _forest_folds(rows, features, subject, list(folds), trees, depth, seed)).withColumn("score", F.round("score", 9))
     out = rank_sums(scored, "score", F.col("y") == 1, [subject])
     return out.select(subject, (F.col("n_a") + F.col("n_b")).alias("n"), "auroc")
 

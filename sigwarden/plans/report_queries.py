@@ -9,13 +9,13 @@ from dataclasses import replace
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import arrow
+from ..functions import arrow, table_functions
 from ..operators import agreement, causal, daily as days, effects, fairness, models, reliability, trust
 from ..session import checkpoint_folder, cut
 from ..sources import adapters, recordings, synthetic
 from . import figures, p_value_sql as p_values, report, service, views
 from ..streaming import audit
-from .queries import _COHORT, _GAPS, _ROUND, _STRATA, _WEEKS, B, D, L, Q_OF, R, S, W, _corr, _rank, _state_deltas, _SQL, _trust_sql, query, with_sql, _streamed
+from .queries import _COHORT, _GAPS, _ROUND, _STRATA, _WEEKS, B, D, L, Q_OF, R, S, W, _corr, _rank, _state_deltas, _streamed, _trust_sql, query, with_sql
 
 # hashed numbers, as functions.stats.hashed_uniform and sources.synthetic.normal have them
 
@@ -224,14 +224,11 @@ UNION ALL SELECT participant_id, lo + p.at, p.part FROM (SELECT participant_id,
 
 
 _SERIES_OF = "series AS (SELECT participant_id, list(resting_hr ORDER BY date) AS x FROM D WHERE resting_hr IS NOT NULL GROUP BY participant_id HAVING count(*) >= 14)"
-with_sql(
-    "binary_segmentation_scan",
-    """SELECT participant_id, (lo + i)::INT AS index, round(CASE WHEN rest <= 0 THEN 'inf'::DOUBLE ELSE g / (rest / (len(x) - 2)) END, 6) AS score, round(list_avg(x[1:i]), 6) AS before_mean, round(list_avg(x[i + 1:]), 6) AS after_mean, round(list_avg(x[i + 1:]) - list_avg(x[1:i]), 6) AS delta, 'binary_segmentation' AS method
+_SEGMENT_SCAN = """SELECT participant_id, (lo + i)::INT AS index, round(CASE WHEN rest <= 0 THEN 'inf'::DOUBLE ELSE g / (rest / (len(x) - 2)) END, 6) AS score, round(list_avg(x[1:i]), 6) AS before_mean, round(list_avg(x[i + 1:]), 6) AS after_mean, round(list_avg(x[i + 1:]) - list_avg(x[1:i]), 6) AS delta, 'binary_segmentation' AS method
 FROM (SELECT participant_id, lo, x, best.i AS i, best.g AS g, list_sum(list_transform(x[1:best.i], lambda v: (v - list_avg(x[1:best.i])) * (v - list_avg(x[1:best.i])))) + list_sum(list_transform(x[best.i + 1:], lambda v: (v - list_avg(x[best.i + 1:])) * (v - list_avg(x[best.i + 1:])))) AS rest FROM (
   SELECT *, list_reduce(list_transform(range(2, len(x) - 2), lambda j: {'i': j, 'g': pow(list_sum(x[1:j]), 2) / j + pow(list_sum(x) - list_sum(x[1:j]), 2) / (len(x) - j) - pow(list_sum(x), 2) / len(x)}), lambda a, b: CASE WHEN b.g > a.g THEN b ELSE a END) AS best FROM seg WHERE len(x) >= 14))
-WHERE i >= 7 AND len(x) - i >= 7 AND g > 0 AND (rest <= 0 OR g / (rest / (len(x) - 2)) >= 8.0)""",
-    D, _SEGMENTS, recursive=True,
-)
+WHERE i >= 7 AND len(x) - i >= 7 AND g > 0 AND (rest <= 0 OR g / (rest / (len(x) - 2)) >= 8.0)"""
+with_sql("binary_segmentation_scan", _SEGMENT_SCAN, D, _SEGMENTS, recursive=True)
 with_sql(
     "bocpd_scan",
     """SELECT participant_id, (t - 1)::INT AS index, round((last - now)::DOUBLE, 6) AS score, round(before_mean, 6) AS before_mean, round(after_mean, 6) AS after_mean, round(after_mean - before_mean, 6) AS delta, 'bocpd' AS method
@@ -364,18 +361,17 @@ _TIMES = " + ".join(f"{n} * c.w[{i + 1}]" for i, n in enumerate(trust.COMPONENTS
 _PLAIN = " + ".join(f"{n} * {w}::DOUBLE" for n, w in trust.WEIGHTS.items())
 
 
-@query(
-    f"""SELECT m.magnitude, round(quantile_cont(rho, 0.5), 6) AS median_rho, round(min(rho), 6) AS min_rho FROM (SELECT i, CASE WHEN count(*) >= 5 THEN covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) END AS rho FROM (
+_SHAKEN_QUERY = f"""SELECT m.magnitude, round(quantile_cont(rho, 0.5), 6) AS median_rho, round(min(rho), 6) AS min_rho FROM (SELECT i, CASE WHEN count(*) >= 5 THEN covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) END AS rho FROM (
 SELECT i, {_rank('x', '', 'i')} AS a, {_rank('y', '', 'i')} AS b FROM (SELECT c.i, round(({_TIMES}) / list_sum(c.w), 9) AS x, ({_PLAIN}) / {sum(trust.WEIGHTS.values())!r}::DOUBLE AS y FROM comp, (SELECT unnest(range({len(_SHAKEN)})) AS i, unnest([{_SHAKEN_SQL}]::DOUBLE[][]) AS w) AS c) WHERE x IS NOT NULL AND y IS NOT NULL) GROUP BY i)
-JOIN (SELECT unnest(range(4)) AS k, unnest([0.05, 0.1, 0.2, 0.4])::DOUBLE AS magnitude) AS m ON m.k = i // {len(_SHAKEN) // 4} GROUP BY m.magnitude""",
-    D, _COHORT,
-)
+JOIN (SELECT unnest(range(4)) AS k, unnest([0.05, 0.1, 0.2, 0.4])::DOUBLE AS magnitude) AS m ON m.k = i // {len(_SHAKEN) // 4} GROUP BY m.magnitude"""
+with_sql("weight_sensitivity", _SHAKEN_QUERY, D, _COHORT)
+
+
+@query(_SHAKEN_QUERY, D, _COHORT)
 def weight_stability(spark, sf):
     return fairness.sensitivity_table(trust.component_scores(views.daily(spark, sf), "participant_id"))
 
 
-_SHAKEN_QUERY = _SQL["weight_stability"]
-with_sql("weight_sensitivity", _SHAKEN_QUERY)
 
 # bootstraps of counts: a cell's Poisson draw inverts the distribution up to a mean of 30, as agreement._poisson does
 
@@ -469,6 +465,15 @@ def graph_back_door(spark, sf):
     return spark.createDataFrame([(t, y, ",".join(g.back_door_set(t, y))) for t in g.nodes for y in g.nodes if t != y], "treatment string, outcome string, adjustment string")
 
 
+# table functions
+
+@query(_SEGMENT_SCAN, D, _SEGMENTS, recursive=True)
+def segmentation_in_sql(spark, sf):
+    table_functions.register(spark)
+    views.daily(spark, sf).createOrReplaceTempView("sigwarden_days")
+    return spark.sql("SELECT * FROM change_points(TABLE(sigwarden_days), 'participant_id', 'date', 'resting_hr', 'binary_segmentation')")
+
+
 # streams
 
 @query("SELECT user_id, count(d) AS n_intervals, count(*) FILTER (abs(d - 30000000) > 20000000) AS n_jitter, count(*) FILTER (d > 90000000) AS n_gaps FROM gaps GROUP BY user_id", _GAPS)
@@ -533,12 +538,20 @@ def sequence_steps(spark, sf):
     return seq.select("participant_id", F.aggregate("mask", F.lit(0), lambda a, m: a + m).alias("n_steps"), whole.alias("steps_sum"), "target")
 
 
+_TRACKED = "tracked AS (SELECT source AS subject, quality AS y, score AS f1, (doc_id % 17)::DOUBLE AS f2, score >= 0.7 AS in_house, toxic = 0 AS published FROM L WHERE quality IS NOT NULL AND score IS NOT NULL AND source IS NOT NULL)"
+_MASKED = {"all": "true", "pass_inhouse": "in_house", "pass_orphanidou": "published", "pass_both": "in_house AND published"}
+with_sql("loso_classifier", "SELECT subject AS source, n, round(auroc, 6) AS auroc FROM track", L, _TRACKED, p_values.held_out("track", "tracked"))
+
+
 def _tracked(spark, sf):
     rows = views.scored_labels(spark, sf).withColumns({"noise": F.pmod("doc_id", F.lit(17)).cast("double"), "inhouse_ppg_sqi": F.col("score"), "orphanidou_acceptable": 1 - F.col("toxic")})
     return models.classification_track(rows, ["score", "noise"], "quality", "source")
 
 
-@query()
+@query(
+    " UNION ALL ".join(f"SELECT '{m}' AS condition, subject AS source, n, round(auroc, 6) AS auroc FROM {m}_track" for m in _MASKED),
+    L, _TRACKED, *[f"{m}_rows AS (SELECT * FROM tracked WHERE {on}), {p_values.held_out(f'{m}_track', f'{m}_rows')}" for m, on in _MASKED.items()],
+)
 def classification_track(spark, sf):
     return _tracked(spark, sf)
 
@@ -549,6 +562,14 @@ def classification_gains(spark, sf):
     return models.track_summary(track).join(models.paired_deltas(track, "source"), "condition", "left")
 
 
+with_sql(
+    "positivity_check",
+    "SELECT 'heat_index' AS treatment, count(*) AS n, round(min(ps), 6) AS ps_min, round(max(ps), 6) AS ps_max, round(avg(ps), 6) AS ps_mean, round(quantile_cont(ps, 0.05), 6) AS ps_p05, round(quantile_cont(ps, 0.95), 6) AS ps_p95, round(avg((ps < 0.05 OR ps > 0.95)::INT), 6) AS outside, "
+    "round(pow(sum(w), 2) / sum(w * w), 6) AS effective_n FROM (SELECT ps, CASE WHEN y = 1 THEN 1 / ps ELSE 1 / (1 - ps) END AS w FROM (SELECT y, least(greatest(1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))), 1e-6), 1 - 1e-6) AS ps FROM treated JOIN fitted USING (fold)))",
+    D, "treated AS (SELECT 0 AS fold, (heat_index >= median(heat_index) OVER ())::INT AS y, stress_proxy AS x1, active_minutes AS x2 FROM D WHERE heat_index IS NOT NULL AND stress_proxy IS NOT NULL AND active_minutes IS NOT NULL)", p_values.logistic("fitted", "treated"),
+)
+
+
 @query()
 def screening_vs_adjusted(spark, sf):
     return causal.screening_vs_adjusted(views.daily(spark, sf), [("heat_index", "hrv_rmssd"), ("stress_proxy", "hrv_rmssd"), ("active_minutes", "resting_hr")], replicates=200)

@@ -112,6 +112,46 @@ def test_adapt_directory_takes_the_states_of_its_dialect(spark, tmp_path, dialec
     assert all(x.end_seconds - x.start_seconds == 5 and int(x.start_seconds // 10) == codes.index(x.label) for x in w)
 
 
+def test_recordings_as_a_data_source(spark, tmp_path):
+    """One partition a file, the same rows as Spark's own readers give, and the same as a Parquet copy."""
+    from sigwarden.sources import recording_source
+
+    for s in ("S2", "S3"):
+        (tmp_path / "in" / s).mkdir(parents=True)
+        (tmp_path / f"in/{s}/{s}.pkl").write_bytes(pickle.dumps(recording(6) | {"subject": s}))
+    recording_source.register(spark)
+    found = spark.read.format("recordings").option("dialect", "wesad").load(str(tmp_path / "in"))
+    assert found.rdd.getNumPartitions() == 2
+    recordings.read_recordings(spark, str(tmp_path / "in")).write.parquet(str(tmp_path / "copy"))
+    key = lambda r: r.subject_id
+    assert sorted(found.collect(), key=key) == sorted(spark.read.parquet(str(tmp_path / "copy")).collect(), key=key)
+    (tmp_path / "in/S9").mkdir()
+    reader = recording_source.RecordingReader({"path": f"file://{tmp_path}/in"})
+    with pytest.warns(UserWarning, match="S9.pkl is missing"):
+        assert len(reader.partitions()) == 2
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        recording_source.RecordingReader({"path": str(tmp_path / "none")}).partitions()
+    with pytest.raises(ValueError):
+        recording_source.RecordingReader({"path": "x", "dialect": "other"})
+
+
+def test_change_points_in_sql(spark):
+    from sigwarden.functions import arrow, table_functions
+
+    table_functions.register(spark)
+    rng = np.random.default_rng(2)
+    rows = [(k, d, None if d == 7 else float(rng.normal(10 * (d > 20), 1))) for k in ("a", "b") for d in range(40)] + [("short", d, 1.0) for d in range(5)] + [(None, d, 1.0) for d in range(20)]
+    df = spark.createDataFrame(rows, "k string, d int, v double").repartition(3)
+    df.createOrReplaceTempView("some_days")
+    for method in ("binary_segmentation", "bocpd"):
+        got = spark.sql(f"SELECT * FROM change_points(TABLE(some_days), 'k', 'd', 'v', '{method}')")
+        want = arrow.scan_changes(df, "v", "k", "d", method)
+        assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect()) and got.count() >= 2
+    with pytest.raises(Exception, match="no column"):
+        spark.sql("SELECT * FROM change_points(TABLE(some_days), 'k', 'd', 'w', 'bocpd')").collect()
+
+
 def test_windows_end_with_the_labels(spark):
     rec = {"subject_id": "S2", "chest_ecg": [0.0] * 700 * 12, "wrist_ppg": [0.0] * 64 * 12, "wrist_acc": [], "labels": [1] * 700 * 9}
     assert recordings.extract_windows(spark.createDataFrame([rec], recordings.RECORDING)).count() == 1
