@@ -227,6 +227,9 @@ def _mapped(path: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     if path not in _MAPPED:
         from pyarrow import fs
 
+        if _MAPPED and next(iter(_MAPPED)).rsplit("/", 1)[0] != path.rsplit("/", 1)[0]:
+            _MAPPED.clear()  # shards of an earlier run, whose files are gone
+
         store, inside = fs.FileSystem.from_uri(path)
         with store.open_input_file(inside) if not isinstance(store, fs.LocalFileSystem) else pa.memory_map(inside) as f:
             data = np.frombuffer(f.read_buffer(), "<i8")

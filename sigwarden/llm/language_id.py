@@ -66,7 +66,7 @@ class Model:
         return total * (TEMPER / (len(h) + TEMPER))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, most: int = 4096) -> Model:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, most: int = 512) -> Model:
     """Fits the trigram frequencies on about ``rows`` different labelled texts of each language, chosen by a hash of the text.
 
     All labels are languages; over ``most`` of them are an error, since a model has BUCKETS numbers for each. Copies of a
@@ -94,8 +94,11 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", row
                 at = np.flatnonzero(c)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(c[at])], names=["lang", "bucket", "n"])
 
-        for r in arrow_map(sample, run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
-            counts[r["bucket"], languages.index(r["lang"])] += r["n"]
+        # One row a language reaches the driver, with its buckets and their counts.
+        sums = arrow_map(sample, run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+        place = {lang: i for i, lang in enumerate(languages)}
+        for r in sums.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("ns")).collect():
+            counts[np.asarray(r["buckets"], np.int64), place[r["lang"]]] += np.asarray(r["ns"], np.int64)
     logs = np.log(counts / counts.sum(0, keepdims=True)) if languages else np.zeros((BUCKETS, 0))
     return Model(languages, np.hstack([logs, np.full((BUCKETS, 1), -np.log(BUCKETS))]).astype(np.float32))
 

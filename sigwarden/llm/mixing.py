@@ -143,7 +143,9 @@ def taken_words() -> Column:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as many times as it is taken, whole; the document at the cutoff if at least half of it is."""
+    """The mix itself: every document as many times as it is taken, whole; the document at the cutoff if at least half of it is.
+
+    A null text has no words, a null source is one of its own, repeated rows count each, columns keep their names; an empty table gives none."""
     shared = with_shares(docs, **options)
     whole = (F.col("mix_key") < F.col("mix_cutoff")) | ((F.col("mix_key") == F.col("mix_cutoff")) & (F.col("mix_last") * 2 >= F.col("mix_size")))
     copies = F.col("mix_epochs").cast("int") + whole.cast("int")

@@ -32,10 +32,12 @@ SEQUENCE_TOKENS = 2048
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have fingerprint zero and are linked like any others; an empty table gives no row."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=3).select("doc_id", "fingerprint", "component_id")
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null text is empty: 64 bytes of padding; equal texts have equal values; an empty table gives no row."""
     pages, stored = media.publish_texts(table(spark, sf_dir, "documents"))
     store = media.load_media(stored).select(
         "digest",
@@ -58,10 +60,12 @@ SHARD_BYTES = 256 << 10
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null text has 0 bytes; rows of one id lie together or in overflow shards; an empty table gives no row."""
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null or empty text is one empty line, which is never dropped; repeated rows count each; an empty table gives no row."""
     kept = line_dedup.drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
@@ -75,17 +79,20 @@ def _texts_with_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text without letters is of no known language and not kept; null hosts count as one; empty tables give no row."""
     model = language_id.fit(table(spark, sf_dir, "documents").select("text", "lang"))
     found = language_id.judge(_texts_with_evidence(spark, sf_dir), model, ["doc_id", "page_id", "declared", "host"], declared=F.col("declared"), host=F.col("host"))
     return found.select("doc_id", "page_id", "declared", "host", "language", F.round("posterior", 4).alias("posterior"), F.col("accepted").alias("kept"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null text has size 0, a null source is the last one; repeated rows count each; an empty table gives no row."""
     shared = mixing.with_shares(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), weights=(5, 2, 1), share=1.5, most=2.0, seed=17, keep_text=False)
     return shared.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), mixing.taken_words().alias("taken"))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null or empty text has no ids and decodes to an empty text; an empty table gives no row."""
     import public_tokenizers
 
     coded = bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(TOKENIZER))
@@ -93,7 +100,8 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages have no labels, so documents labelled by quality give the two classes of text that label pages."""
+    """Pages have no labels, so documents labelled by quality give the two classes of text that label pages. A null url is judged as the host "", a page
+    without words has no label; an empty table gives no row."""
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = url_filter.outcome_model(documents, labels.select("doc_id", (1 - F.col("quality")).alias("bad")), LABELLED)
     pages = url_filter.with_outcome(table(spark, sf_dir, "pages"), url_filter.visible_text(F.col("html")), model, "bad")
@@ -101,10 +109,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null text equals an empty one; of a group the largest id stays, null ids only among themselves; an empty table gives no row."""
     return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null roles and texts are empty, turns without a number come first; an empty table leaves the one conversation that is added."""
     log = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("message"), "role", "text")
     own = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"),
