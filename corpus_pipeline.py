@@ -19,7 +19,7 @@ from sigwarden.llm.runtime import checkpoint_folder, remove_folder, table
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of no known language; the text and the source are evidence. The label, on which the trigrams are
-    fitted, is none."""
+    fitted, is none. A null or empty text, or one without letters, is of no known language; an empty table gives none."""
     found = language_id.identify(docs, language_id.fit(docs), host=F.col("source"))
     return found.filter("accepted").select(*docs.columns)
 
@@ -37,12 +37,13 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes whole documents, some twice, so that sources come near their targets."""
+    """Takes whole documents, some twice, so that sources come near their targets. A null text has no words and is not taken unless its source is taken
+    whole; a null source is one of its own; an empty table gives none."""
     return mixing.mix(docs, weights=(5, 2, 1), share=1.5, most=2.0, seed=17).select(*docs.columns)
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the text that they decode to."""
+    """Token counts and digests of the ids and of the text that they decode to. A null or empty text has no ids; repeated rows are encoded each."""
     import public_tokenizers
 
     coded = bpe.encode_and_decode(docs.select("doc_id", "source", "text"), public_tokenizers.path(TOKENIZER))
