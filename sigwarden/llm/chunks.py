@@ -32,12 +32,26 @@ _POINT = np.zeros(256, bool)
 _POINT[[0x2C, 0x2E, 0x0A]] = True
 
 
+#: Bytes whose cuts are found at once; a cut depends on at most three bytes before it and one after.
+CUT_BYTES = 8 << 20
+
+
 def cut_points(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fine: bool, lone_spaces: bool = True) -> np.ndarray:
     """Where chunks begin in ``data``, which holds texts from ``starts`` to ``ends``; an empty text has none. Without
     ``lone_spaces`` no cut is made between two spaces."""
     n = len(data)
     at = np.zeros(n, bool)
-    if n > 1:
+    for lo in range(0, n, CUT_BYTES):
+        hi, before = min(n, lo + CUT_BYTES), max(0, lo - 3)
+        at[lo:hi] = _cuts(data[before : min(n, hi + 1)], fine, lone_spaces)[lo - before : hi - before]
+    at[ends[ends > starts] - 1] = False  # what follows the last byte of a text is another text
+    at[starts[ends > starts]] = True
+    return np.flatnonzero(at)
+
+
+def _cuts(data: np.ndarray, fine: bool, lone_spaces: bool) -> np.ndarray:
+    at = np.zeros(len(data), bool)
+    if len(data) > 1:
         before, here = data[:-1], data[1:]
         at[:-1] = (before == 0x20) & SAFE[here]
         if not lone_spaces:
@@ -49,9 +63,7 @@ def cut_points(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fine: boo
         at[2:] |= feed[:-1] & SAFE[data[2:]]
         if fine:
             at[1:] |= letter & _POINT[here]
-        at[ends[ends > starts] - 1] = False  # what follows the last byte of a text is another text
-    at[starts[ends > starts]] = True
-    return np.flatnonzero(at)
+    return at
 
 
 class Cut:
