@@ -258,7 +258,7 @@ def test_all_run_lengths_can_be_kept():
         few.update(v)
         last = all_.update(v)
     assert len(few.mu) == 200 and len(all_.mu) == 401 and last > 300
-    assert all_.update(1e200) == 0 and np.isfinite(all_.log_p).any()  # all densities underflow
+    assert all_.update(1e100) <= 1 and np.isfinite(all_.log_p).all()  # densities of long runs would underflow
 
 
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
