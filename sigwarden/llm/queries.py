@@ -14,8 +14,8 @@ from .runtime import WORD, cut, table
 URL_RULES = (
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
-    ("block", "net", "/de/"),
-    ("allow", "example.net", "/de/8"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
 #: A host is blocked if 95 % of its posterior lies above this share of bad pages.
