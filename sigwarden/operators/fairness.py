@@ -15,9 +15,9 @@ from . import reliability
 from .trust import COMPONENTS, WEIGHTS, category, component_scores, overall, overall_from_components
 
 
-def with_quartiles(df: DataFrame, column: str, name: str = "stratum") -> DataFrame:
-    """Q1 to Q4 by exact quartiles, right-closed; if edges coincide, low and high around the median."""
-    edges = quantiles(df, [column], [q / 4 for q in range(5)])[column]
+def with_quartiles(df: DataFrame, column: str, name: str = "stratum", among: DataFrame | None = None) -> DataFrame:
+    """Q1 to Q4 by exact quartiles of the column in ``df`` (or in ``among``), right-closed; if edges coincide, low and high around the median."""
+    edges = quantiles(df if among is None else among, [column], [q / 4 for q in range(5)])[column]
     c = F.col(column)
     if None in edges:
         return df.withColumn(name, F.lit(None).cast("string"))

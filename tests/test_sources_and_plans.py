@@ -290,3 +290,22 @@ def test_query_equals_sql(spark, name):
     tidy = lambda v: round(float(v), 6) + 0.0 if isinstance(v, float) else v
     want = Counter(tuple(tidy(r[names.index(c)]) for c in columns) for r in con.fetchall())
     assert Counter(tuple(tidy(r[c]) for c in columns) for r in got.collect()) == want
+
+
+def test_synthetic_days_share_draws_and_compiled_code(spark):
+    """Few participants are still dealt to many tasks, generated methods stay short enough for the JVM to compile, and a cohort's draws do not depend on its coefficients."""
+    from dataclasses import replace
+
+    c = synthetic.Cohort(30, 5)
+    ids = spark.range(2000).select(F.format_string("P%05d", "id").alias("participant_id")).distinct()
+    people = synthetic.participants(spark, c, ids)
+    assert people.rdd.getNumPartitions() == 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        code = synthetic.daily(people, c)._jdf.queryExecution().debug().codegenToSeq()
+        assert all(code.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(code.size()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    other = replace(c, heat_hrv=-5.0, missing_scale=2.5)
+    drawn = synthetic.drawn_days(synthetic.participants(spark, c), c)
+    assert synthetic.settled(drawn, other).exceptAll(synthetic.generate(spark, other)).count() == 0
