@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.ordered import quantiles
-from ..functions.stats import safe_corr, with_average_rank
+from ..functions.ordered import quantiles, running_sums
+from ..functions.stats import with_average_rank
+from ..session import cut
 from . import reliability
 from .trust import COMPONENTS, WEIGHTS, category, component_scores, overall, overall_from_components
 
@@ -108,13 +109,22 @@ def candidate_weights(n: int, seed: int = 0, centre: Sequence[float] | None = No
 
 
 def weight_objectives(scores: DataFrame, target: DataFrame, weights: np.ndarray, key: str = "participant_id", value: str = "reproducibility", least: int = 5) -> DataFrame:
-    """(candidate, n, rho): rank correlation of each candidate's overall score with the target. All candidates in one job."""
+    """(candidate, n, rho): rank correlation of each candidate's overall score with the target. All candidates in one job.
+
+    A score is missing for every candidate or for none, so targets are ranked once. Rows become counts and sums of target ranks by candidate and score; scores'
+    ranks come from running sums over these, and the correlation from sums, so no rank goes back to a row.
+    """
+    whole = " and ".join(f"{c} is not null" for c in (value, *COMPONENTS))
+    rows = cut(scores.join(target, key).filter(whole).select(F.col(value).alias("y"), *COMPONENTS))
+    middle = (rows.count() + 1) / 2
     columns = F.array(*[F.array(*[F.lit(float(x)) for x in w]) for w in weights])
-    rows = scores.join(target, key).select(key, value, *COMPONENTS, F.posexplode(columns).alias("candidate", "w"))
     score = sum((F.col(c) * F.get("w", F.lit(i)) for i, c in enumerate(COMPONENTS)), F.lit(0.0)) / F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
-    rows = rows.select("candidate", F.col(value).alias("y"), F.round(score, 9).alias("x")).filter("x is not null and y is not null")
-    ranked = with_average_rank(with_average_rank(rows, "x", "rx", ["candidate"]), "y", "ry", ["candidate"])
-    return ranked.groupBy("candidate").agg(F.count(F.lit(1)).alias("n"), safe_corr("rx", "ry", least, 0.0).alias("rho"))
+    ranked = with_average_rank(rows, "y", "ry").select((F.col("ry") - middle).alias("b"), *COMPONENTS, F.posexplode(columns).alias("candidate", "w")).select("candidate", "b", F.round(score, 9).alias("x"))
+    cells = ranked.groupBy("candidate", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b"), F.sum(F.col("b") * F.col("b")).alias("bb"))
+    a = F.col("before") + (F.col("n") + 1) / 2.0 - middle
+    placed = running_sums(cells, [F.col("x")], {"before": F.col("n")}, ["candidate"]).withColumn("a", a)
+    sums = placed.groupBy("candidate").agg(F.sum("n").alias("n"), F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("n") * F.col("a") * F.col("a")).alias("aa"), F.sum("bb").alias("bb"))
+    return sums.select("candidate", "n", F.when((F.col("n") >= least) & (F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("rho"))
 
 
 def learn_weights(scores: DataFrame, target: DataFrame, candidates: int = 400, rounds: int = 6, holdout: float = 0.3, seed: int = 0, key: str = "participant_id", value: str = "reproducibility") -> dict:

@@ -265,3 +265,21 @@ def test_strata_are_not_gathered(spark):
     got = {r.stratum: r for r in out.collect()}
     assert {k: (r.rows, r.longest, r.true) for k, r in got.items()} == {"0": (250_000, 249, 249_000), **{str(k): (250_000, 250_000, 250_000) for k in (1, 2, 3)}}
     assert "Window" not in fairness.fairness_audit(frame(spark), "device_type")._jdf.queryExecution().toString()
+
+
+def test_weight_objectives_rank_targets_once(spark, monkeypatch):
+    """As by force, with ties and missing components; a target is ranked for all candidates together, not for each."""
+    average_rank = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+    rng, weights = np.random.default_rng(3), np.array([[4, 2, 1, 1, 1, 1], [1, 1, 1, 1, 2, 4]], float)
+    parts, y = rng.integers(0, 4, (40, 6)).astype(float), rng.integers(0, 6, 40).astype(float)
+    rows = [(f"P{i}", *[None if i == 7 and j == 2 else float(v) for j, v in enumerate(p)]) for i, p in enumerate(parts)]
+    scores = spark.createDataFrame(rows, "participant_id string, " + ", ".join(f"{c} double" for c in trust.COMPONENTS))
+    target = spark.createDataFrame([(f"P{i}", None if i == 9 else float(v)) for i, v in enumerate(y)], "participant_id string, reproducibility double")
+    groups, whole = [], fairness.with_average_rank
+    monkeypatch.setattr(fairness, "with_average_rank", lambda df, value, name, by=(): groups.append(tuple(by)) or whole(df, value, name, by))
+    found = {r.candidate: r for r in fairness.weight_objectives(scores, target, weights).collect()}
+    held = [i for i in range(40) if i not in (7, 9)]
+    for k, w in enumerate(weights):
+        x = average_rank(np.round(parts[held] @ w / w.sum(), 9))
+        assert found[k].n == 38 and found[k].rho == pytest.approx(np.corrcoef(x, average_rank(y[held]))[0, 1], abs=1e-12)
+    assert groups == [()]
