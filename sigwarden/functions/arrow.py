@@ -115,7 +115,7 @@ def window_row(ecg: np.ndarray, ppg: np.ndarray, ecg_fs: float, ppg_fs: float, i
     quality = k.ppg_quality(clean, ppg_fs, len(k.find_peaks(filtered, distance=gap))) if filtered is not None else np.nan
     return {
         "hr_ecg": hr_ecg, "hr_ppg": hr_ppg, "hr_abs_diff": abs(hr_ecg - hr_ppg),
-        "inhouse_ecg_sqi": k.ecg_quality(np.nan_to_num(ecg, nan=0.0), ecg_fs) if ecg_ok else np.nan,
+        "inhouse_ecg_sqi": k.ecg_quality(np.nan_to_num(ecg, nan=0.0), ecg_fs) if len(ecg) and 2 * k.ECG_BAND[1] < ecg_fs else np.nan,
         "inhouse_ppg_sqi": quality, "inhouse_ppg_motion": k.motion_score(clean, ppg_fs),
         "orphanidou_acceptable": int(orph["acceptable"]), "orphanidou_template_corr": orph["template_corr"],
         "sukor_acceptable": int(sukor["acceptable"]), "sukor_pp_cv": sukor["pp_interval_cv"], "sukor_amp_cv": sukor["pulse_amplitude_cv"],
