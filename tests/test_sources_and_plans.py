@@ -319,3 +319,22 @@ def test_window_table_of_incomplete_groups_equals_sql(spark, tmp_path):
     want = con.execute(f"SELECT window_idx, inhouse_ecg_sqi FROM ({queries.oracle_sql()['window_table']})").fetchall()
     got = queries.queries()["window_table"](spark, str(tmp_path)).select("window_idx", "inhouse_ecg_sqi").collect()
     assert sorted(map(tuple, got)) == sorted(want) and dict(want)[16] is not None
+
+
+def test_regimes_are_one_pass_over_rows_that_stay(spark, monkeypatch):
+    """Days are drawn and settled once for all regimes, which give what each gives alone."""
+    from dataclasses import replace
+
+    from sigwarden.operators import reliability, trust
+
+    passes, settled = [], synthetic.settled
+    monkeypatch.setattr(synthetic, "settled", lambda *a: passes.append(1) or settled(*a))
+    held = {k: synthetic.REGIMES[k] for k in ("clean_world", "severe_missingness", "severe_device_bias")}
+    s = {r["regime"]: r for r in synthetic.regime_summary(spark, 30, 30, held).collect()}
+    assert len(passes) == 1 and set(s) == set(held)
+    for name, coefficients in held.items():
+        df = synthetic.generate(spark, replace(synthetic.Cohort(30, 30), **coefficients))
+        seen = synthetic.observed_effects(df).first()
+        assert [s[name][f"observed_{e}"] for e in synthetic.EFFECTS] == pytest.approx([seen[e] for e in synthetic.EFFECTS], abs=1e-9)
+        assert s[name]["mean_trust"] == pytest.approx(trust.cohort_scores(df).agg(F.avg("overall")).first()[0], abs=1e-9)
+        assert s[name]["test_retest_r"] == pytest.approx(reliability.week_pair_correlation(df, "hrv_rmssd").first()["r"], abs=1e-9)
