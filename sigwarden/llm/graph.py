@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import cut
@@ -13,7 +13,9 @@ NODE_LINKS = 1 << 16
 
 def _with_least(pairs: DataFrame, salts: int) -> DataFrame:
     """(u, v, m): m is the least of u and all its v. A hub's pairs are spread over ``salts`` groups; a node of few
-    pairs has no more groups than pairs."""
+    pairs has no more groups than pairs. With one salt all pairs are so few that no node is a hub: they need no join."""
+    if salts == 1:
+        return pairs.select("u", "v", F.least("u", F.min("v").over(Window.partitionBy("u"))).alias("m"))
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)))
     parts = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
     least = parts.groupBy("u").agg(F.min("m").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -29,7 +31,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         if tuple(new) == state or not new[0]:
             break
         state = tuple(new)
-        salts = max(16, -(-new[0] // NODE_LINKS))  # no node has more links than there are
+        salts = 1 if new[0] <= NODE_LINKS else max(16, -(-new[0] // NODE_LINKS))  # no node has more links than there are
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both, salts).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = _with_least(large, salts)

@@ -61,3 +61,25 @@ def test_groups_against_brute_force(spark, monkeypatch, block):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({*want})
     assert kept.filter("doc_id is null").count() == 9 and kept.columns == docs.columns
     assert jaccard.similar_groups(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("links_of_a_node", [1 << 16, 0])
+def test_components_of_few_links_need_no_join(spark, monkeypatch, links_of_a_node):
+    from sigwarden.llm import graph
+
+    salts, step = [], graph._with_least
+    monkeypatch.setattr(graph, "NODE_LINKS", links_of_a_node or 1)
+    monkeypatch.setattr(graph, "_with_least", lambda pairs, n: salts.append(n) or step(pairs, n))
+    rng = random.Random(4)
+    pairs = [(rng.randrange(90), rng.randrange(90)) for _ in range(50)] + [(200, x) for x in range(201, 260)] + [(7, 7)]
+    least = {x: x for p in pairs for x in p}
+    for _ in range(200):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    got = graph.connected_components(spark.createDataFrame(pairs, "a long, b long"))
+    assert {r.node: r.root for r in got.collect()} == {x: m for p in pairs if p[0] != p[1] for x, m in least.items() if x in p}
+    if links_of_a_node:
+        plan = step(spark.createDataFrame(pairs, "u long, v long"), 1)._jdf.queryExecution().optimizedPlan().toString()
+        assert set(salts) == {1} and "Join" not in plan
+    else:
+        assert min(salts) > 1
