@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -67,31 +67,44 @@ def cliffs_interval(tall: DataFrame, is_a: Column, keys: Sequence[str], replicat
     """(keys, ci_low, ci_high): bootstrap interval of Cliff's delta of ``value``, each side resampled to its own size.
 
     Resampling rows is drawing multinomial counts for the different values, so a task holds these and not the rows;
-    the replicates of a group are spread over tasks by CHUNK.
+    the replicates of a group are spread over tasks by CHUNK. Many small groups share a batch, and a chunk of replicates is one row.
     """
     counts = tall.filter("value is not null").groupBy(*keys, F.col("value").cast("double").alias("value")).agg(F.count_if(is_a).alias("__a"), F.count_if(~is_a).alias("__b"))
-    parts = counts.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // CHUNK))))
-    parts = parts.withColumn("__seed", F.xxhash64(*keys, "__part", F.lit(seed)))
-    fields = [tall.schema[k] for k in keys]
+    groups = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("value", "__a", "__b"))).alias("__vs"))
+    groups = groups.select(*keys, F.transform("__vs", lambda v: v["__a"]).alias("__a"), F.transform("__vs", lambda v: v["__b"]).alias("__b"))
+    parts = groups.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // CHUNK))))
+    # Few bytes and much work: dealt to a number of partitions that adaptive execution doesn't coalesce.
+    parts = parts.withColumn("__seed", F.xxhash64(*keys, "__part", F.lit(seed))).repartition(2 * int(tall.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "__part")
 
-    def resampled(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("value")
-        a, b = pdf["__a"].to_numpy(np.int64), pdf["__b"].to_numpy(np.int64)
+    def drawn(a: np.ndarray, b: np.ndarray, part: int, start: int) -> np.ndarray:
         n_a, n_b = int(a.sum()), int(b.sum())
         if not n_a or not n_b:
-            return pdf.head(0)[list(keys)].assign(delta=pd.Series(dtype=float))
-        rng = np.random.default_rng(int(pdf["__seed"].iloc[0]) & 0x7FFFFFFFFFFFFFFF)
-        left, step, out = min(CHUNK, replicates - CHUNK * int(pdf["__part"].iloc[0])), max(1, 1_000_000 // len(a)), []
+            return np.zeros(0)
+        rng = np.random.default_rng(start & 0x7FFFFFFFFFFFFFFF)
+        left, step, out = min(CHUNK, replicates - CHUNK * part), max(1, 1_000_000 // len(a)), []
         while left > 0:
             x, y = rng.multinomial(n_a, a / n_a, min(step, left)), rng.multinomial(n_b, b / n_b, min(step, left))
             out.append(2 * (x * (y.cumsum(1) - y / 2)).sum(1) / (n_a * n_b))
             left -= step
-        delta = np.concatenate(out) - 1
-        return pd.DataFrame({k: [pdf[k].iloc[0]] * len(delta) for k in keys} | {"delta": delta})
+        return np.concatenate(out) - 1
 
-    drawn = parts.groupBy(*keys, "__part").applyInPandas(resampled, T.StructType([*fields, T.StructField("delta", T.DoubleType())]))
+    def resampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = zip(pdf["__a"], pdf["__b"], pdf["__part"], pdf["__seed"])
+            yield pdf[list(keys)].assign(deltas=[drawn(np.asarray(a, np.int64), np.asarray(b, np.int64), int(part), int(start)) for a, b, part, start in rows])
+
+    fields = T.StructType([*[tall.schema[k] for k in keys], T.StructField("deltas", T.ArrayType(T.DoubleType()))])
+    of = parts.mapInPandas(resampled, fields).groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("deltas"))).alias("d")).filter(F.size("d") > 0)
     tail = (1 - confidence) / 2
-    return drawn.groupBy(*keys).agg(F.percentile("delta", F.lit(tail)).alias("ci_low"), F.percentile("delta", F.lit(1 - tail)).alias("ci_high"))
+    return of.select(*keys, _percentile("d", tail).alias("ci_low"), _percentile("d", 1 - tail).alias("ci_high"))
+
+
+def _percentile(ordered: str, q: float) -> Column:
+    """Of an array in order, with linear interpolation as ``percentile`` has it."""
+    at = (F.size(ordered) - 1) * F.lit(q)
+    low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
+    below, above = F.get(ordered, low), F.get(ordered, high)
+    return F.when((low == high) | (below == above), below).otherwise((high - at) * below + (at - low) * above)
 
 
 def state_effect_sizes(df: DataFrame, metrics: Sequence[str], state: str, a, b, by: Sequence[str] = (), least: int = 5, replicates: int = 500, seed: int = 42) -> DataFrame:

@@ -1,6 +1,8 @@
 """Effect sizes by subject and the intervals of Cliff's delta and of mean scores, against resampled rows."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from sigwarden.operators import effects, models
 
@@ -37,3 +39,21 @@ def test_track_summary(spark):
     r = got["all"]
     assert r.n_subjects == 6 and abs(r["mean"] - np.mean(x)) < 1e-9 and abs(r.ci_low - low) < 0.03 and abs(r.ci_high - high) < 0.03
     assert got["pass_both"].ci_low == got["pass_both"].ci_high == 0.8
+
+
+def test_interval_of_many_groups_in_batches(spark):
+    """Small groups share a batch: none is a call of its own, and the bounds are those of NumPy's draws."""
+    rows = [(g, "m", float(i % 7), i % 2 == 0) for g in range(3) for i in range(12 + g)]
+    df = spark.createDataFrame(rows, "g long, metric string, value double, a boolean")
+    out = effects.cliffs_interval(df, F.col("a"), ["g", "metric"], replicates=260)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+    seeds = {(r.g, r.p): r.s for r in df.select("g", "metric").distinct().withColumn("p", F.explode(F.array(F.lit(0), F.lit(1)))).select("g", "p", F.xxhash64("g", "metric", "p", F.lit(42)).alias("s")).collect()}
+    for r in out.collect():
+        own = [x for x in rows if x[0] == r.g]
+        a, b = (np.array([sum(x[2] == v and x[3] is side for x in own) for v in range(7)]) for side in (True, False))
+        deltas = []
+        for part, n in ((0, 250), (1, 10)):
+            rng = np.random.default_rng(seeds[r.g, part] & 0x7FFFFFFFFFFFFFFF)
+            x, y = rng.multinomial(a.sum(), a / a.sum(), n), rng.multinomial(b.sum(), b / b.sum(), n)
+            deltas += list(2 * (x * (y.cumsum(1) - y / 2)).sum(1) / (a.sum() * b.sum()) - 1)
+        assert (r.ci_low, r.ci_high) == pytest.approx(tuple(np.percentile(deltas, [2.5, 97.5])), abs=1e-12)
