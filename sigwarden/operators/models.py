@@ -43,6 +43,12 @@ def _hashed_normal(seed: int, name: str, key: Sequence[str]):
     return F.sqrt(-2 * F.log(u)) * F.cos(2 * np.pi * v)
 
 
+def _hashed_normals(seed: int, names: Sequence[str], key: Sequence[str]):
+    """The array of ``_hashed_normal`` of each name. As columns of their own, many draws make a generated method that is too long for the JVM to compile."""
+    u = lambda n: hashed_uniform(F.lit(seed), n, *[F.col(k) for k in key])
+    return F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.sqrt(-2 * F.log(u(F.concat(n, F.lit("/r"))))) * F.cos(2 * np.pi * u(F.concat(n, F.lit("/a")))))
+
+
 def _scores(df: DataFrame, score: str) -> dict:
     auc = rank_sums(df, score, F.col("label") == 1).first()
     f1 = df.agg(f1_score(F.col(score) >= 0.5, F.col("label") == 1).alias("f1")).first()["f1"]
@@ -52,46 +58,64 @@ def _scores(df: DataFrame, score: str) -> dict:
 #: Draws of the noise by which robustness is measured.
 TRIALS = 5
 
+#: A task of the forest sends the sums of all nodes, so few tasks, at least TASKS, train on up to TASK_ROWS rows each. The rows' number alone decides how many,
+#: as bags are drawn by task.
+TASKS, TASK_ROWS = 24, 500_000
+
+
+def _dealt(df: DataFrame, key: Sequence[str], tasks: int) -> DataFrame:
+    return cut(df.repartition(tasks, *key).sortWithinPartitions(*df.columns))
+
 
 def train_baselines(df: DataFrame, key: Sequence[str] = ("participant_id", "date"), trees: int = 200, depth: int = 12, seed: int = 42) -> DataFrame:
     """(model, auroc, f1, ece, robustness, n_train, n_test) of a logistic model, a random forest and an isolation forest.
 
     With one class alone the scores are NULL. Robustness is the share of decisions that noise of 5 % of each feature's
     deviation leaves as they are, over TRIALS draws of the noise. The isolation forest decides by the median of its scores in each draw.
+    Held-out rows are scored once by all models, then once for each draw of the noise; a draw's row carries the scores without noise.
     """
     spark = df.sparkSession
-    rows, held = prepared(df)
-    train, test = (d.select(*key, *held, "label").cache() for d in split(rows, key, seed=seed))
-    n = [d.count() for d in (train, test)]
+    rows, held = prepared(cut(df.select(*key, *[f for f in FEATURES if f in df.columns], "signal_quality_ground_truth")))
+    parts = [d.select(*key, *held, "label") for d in split(rows, key, seed=seed)]
+    n = [d.count() for d in parts]
+    train, test = (_dealt(d, key, max(TASKS, -(-sum(n) // TASK_ROWS))) for d in parts)
+    names = ("logistic_regression", "random_forest", "isolation_forest")
+    if train.select("label").distinct().count() < 2:
+        return spark.createDataFrame([(name, None, None, None, None, *n) for name in names], LEADERBOARD)
+    scaled = Pipeline(stages=[VectorAssembler(inputCols=held, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]).fit(train)
+    learners = [LogisticRegression(maxIter=100, regParam=1.0 / max(n[0], 1), standardization=False), RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)]
+    known = scaled.transform(train).select("features", "label")
+    models = [learner.setRawPredictionCol(f"__r{i}").setProbabilityCol(f"__v{i}").setPredictionCol(f"__d{i}").fit(known) for i, learner in enumerate(learners)]
+    grown = fit_isolation_forest(train, held, trees, seed=seed)
+
+    def scored(rows: DataFrame, mark: str, keep: Sequence[str]) -> DataFrame:
+        """``keep`` and the models' scores, as ``mark`` with the model's number."""
+        out = isolations(rows, held, grown).withColumnRenamed("isolation", f"{mark}2")
+        for m in [scaled, *models]:
+            out = m.transform(out)
+        return cut(out.select(*keep, *[F.get(vector_to_array(f"__v{i}"), F.lit(1)).alias(f"{mark}{i}") for i in range(len(models))], f"{mark}2"))
+
+    spread = train.agg(*[F.stddev_pop(f).alias(f) for f in held]).first()
+    base = scored(test, "p", test.columns)
+    base = base.withColumn("p2", normality("p2", quantiles(base, ["p2"], [1 - CONTAMINATION])["p2"][0]))
+    trials = base.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(TRIALS)))).withColumn("__z", _hashed_normals(seed, held, [*key, "trial"]))
+    noise = [(F.col(f) + 0.05 * float(spread[f] or 0.0) * F.get("__z", F.lit(i))).alias(f) for i, f in enumerate(held)]
+    shaken = scored(trials.select("trial", "p0", "p1", "p2", *noise), "q", ("trial", "p0", "p1", "p2"))
+    shaken = shaken.withColumn("q2", normality("q2", quantiles(shaken, ["q2"], [1 - CONTAMINATION])["q2"][0]))
+    # ``normality`` falls with the score of isolation, so being above its median is being below that of the other.
+    middle = grouped_medians(shaken, "q2", ["trial"]).select(F.col("trial").alias("at"), F.col("median").alias("q_mid"))
+    p_mid = quantiles(base, ["p2"], [0.5])["p2"][0]
+    same = lambda i, p, q: F.avg(((F.col(f"p{i}") > p) == (F.col(f"q{i}") > q)).cast("double"))
+    kept = shaken.join(F.broadcast(middle), F.col("trial") == F.col("at")).agg(same(0, 0.5, 0.5), same(1, 0.5, 0.5), same(2, p_mid, F.col("q_mid"))).first()
     out = []
-    if train.select("label").distinct().count() > 1:
-        vector = [VectorAssembler(inputCols=held, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
-        learners = {"logistic_regression": LogisticRegression(maxIter=100, regParam=1.0 / max(n[0], 1), standardization=False), "random_forest": RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)}
-        spread = train.agg(*[F.stddev_pop(f).alias(f) for f in held]).first()
-        trials = test.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(TRIALS))))
-        noise = trials.withColumns({f: F.col(f) + 0.05 * float(spread[f] or 0.0) * _hashed_normal(seed, f, [*key, "trial"]) for f in held})
-        for name, learner in learners.items():
-            model = Pipeline(stages=[*vector, learner]).fit(train)
-            scored = model.transform(test).select(*key, "label", F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
-            shaken = model.transform(noise).select(*key, F.get(vector_to_array("probability"), F.lit(1)).alias("q"))
-            kept = scored.join(shaken, list(key)).agg(F.avg(((F.col("p") > 0.5) == (F.col("q") > 0.5)).cast("double")).alias("r")).first()["r"]
-            s = _scores(scored, "p")
-            out.append((name, s["auroc"], s["f1"], expected_calibration_error(scored, "p", "label").first()["ece"], kept, *n))
-        trees_ = fit_isolation_forest(train, held, trees, seed=seed)
-        normal = isolation_scores(test, held, trees_)
-        a = _scores(normal, "normality")
-        # ``normality`` falls with the score of isolation, so being above its median is being below that of the other.
-        shaken = cut(isolation_scores(noise, held, trees_).select(*key, "trial", F.col("normality").alias("q")))
-        middle = grouped_medians(shaken, "q", ["trial"]).select(F.col("trial").alias("at"), F.col("median").alias("q_mid"))
-        p_mid = quantiles(normal, ["normality"], [0.5])["normality"][0]
-        both = normal.join(shaken, list(key)).join(F.broadcast(middle), F.col("trial") == F.col("at"))
-        kept = both.agg(F.avg(((F.col("normality") > p_mid) == (F.col("q") > F.col("q_mid"))).cast("double")).alias("r")).first()["r"]
-        out.append(("isolation_forest", a["auroc"], a["f1"], None, kept, *n))
-    else:
-        out = [(name, None, None, None, None, *n) for name in ("logistic_regression", "random_forest", "isolation_forest")]
-    for d in (train, test):
-        d.unpersist()
-    return spark.createDataFrame(out, "model string, auroc double, f1 double, ece double, robustness double, n_train long, n_test long")
+    for i, name in enumerate(names):
+        s = _scores(base, f"p{i}")
+        ece = expected_calibration_error(base, f"p{i}", "label").first()["ece"] if i < len(models) else None
+        out.append((name, s["auroc"], s["f1"], ece, kept[i], *n))
+    return spark.createDataFrame(out, LEADERBOARD)
+
+
+LEADERBOARD = "model string, auroc double, f1 double, ece double, robustness double, n_train long, n_test long"
 
 
 # isolation forest: trees are grown from a bounded sample, rows are scored where they are
@@ -129,27 +153,52 @@ def _grow(x: np.ndarray, rng: np.random.Generator) -> list[tuple]:
     return [tuple(n) for n in nodes]
 
 
-def isolation_scores(df: DataFrame, features: Sequence[str], trees: list[list[tuple]], sample: int = SAMPLE, contamination: float = 0.2, limit: float | None = None) -> DataFrame:
-    """``df`` with ``normality`` in (0, 1): over 0.5 for all but about the ``contamination`` share of the rows."""
-    packed = [tuple(np.array(c) for c in zip(*t)) for t in trees]
+CONTAMINATION = 0.2
+
+
+def isolations(df: DataFrame, features: Sequence[str], trees: list[list[tuple]], sample: int = SAMPLE) -> DataFrame:
+    """``df`` with ``isolation``: 2 to the negative mean path length through the trees, in units of a sample's average."""
     unit = max(_average_path(sample), 1e-9)
+    # A leaf goes on to itself, so all rows take as many steps as the tree is deep.
+    packed = []
+    for t in trees:
+        f, at, left, right, path = (np.array(c) for c in zip(*t))
+        leaf, here = f < 0, np.arange(len(f))
+        down = np.column_stack([np.where(leaf, here, right), np.where(leaf, here, left)]).ravel()
+        packed.append((np.where(leaf, 0, f), at, down, path, _levels(f, left, right)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = pdf[list(features)].to_numpy(float)
-            depth = np.zeros(len(x))
-            for f, at, left, right, path in packed:
-                node = np.zeros(len(x), int)
-                while (inner := f[node] >= 0).any():
-                    go = x[np.arange(len(x)), np.maximum(f[node], 0)] < at[node]
-                    node = np.where(inner, np.where(go, left[node], right[node]), node)
-                depth += path[node]
+            first, x = np.arange(len(x)) * x.shape[1], x.ravel()
+            depth = np.zeros(len(pdf))
+            for f, at, down, path, levels in packed:
+                node = np.zeros(len(pdf), int)
+                for _ in range(levels):
+                    node = down.take(2 * node + (x.take(first + f.take(node)) < at.take(node)))
+                depth += path.take(node)
             yield pdf.assign(isolation=2 ** (-(depth / max(len(packed), 1)) / unit))
 
-    scored = df.mapInPandas(run, f"{', '.join(f'`{n}` {t}' for n, t in df.dtypes)}, isolation double")
-    scored = cut(scored)
+    return df.mapInPandas(run, f"{', '.join(f'`{n}` {t}' for n, t in df.dtypes)}, isolation double")
+
+
+def _levels(f: np.ndarray, left: np.ndarray, right: np.ndarray) -> int:
+    """Steps from the root to the deepest leaf."""
+    levels, here = 0, np.array([0])
+    while len(here := here[f[here] >= 0]):
+        levels, here = levels + 1, np.concatenate([left[here], right[here]])
+    return levels
+
+
+def normality(isolation: str, limit: float | None):
+    return 1 / (1 + F.exp(20 * (F.col(isolation) - F.lit(limit).cast("double"))))
+
+
+def isolation_scores(df: DataFrame, features: Sequence[str], trees: list[list[tuple]], sample: int = SAMPLE, contamination: float = CONTAMINATION, limit: float | None = None) -> DataFrame:
+    """``df`` with ``normality`` in (0, 1): over 0.5 for all but about the ``contamination`` share of the rows."""
+    scored = cut(isolations(df, features, trees, sample))
     limit = quantiles(scored, ["isolation"], [1 - contamination])["isolation"][0] if limit is None else limit
-    return scored.withColumn("normality", 1 / (1 + F.exp(20 * (F.col("isolation") - F.lit(limit).cast("double"))))).drop("isolation")
+    return scored.withColumn("normality", normality("isolation", limit)).drop("isolation")
 
 
 # reconstruction error of a linear autoencoder: what the retained principal directions don't explain
