@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ordered import quantiles
-from ..functions.stacked import design, poisson_counts, stacked_least_squares, stacked_logistic, stacked_sums
+from ..functions.stacked import design, least_squares_fits, poisson_counts, products, stacked_logistic, stacked_sums
 from ..functions.stats import safe_corr
 from ..session import cut
 
@@ -236,11 +236,22 @@ def aipw(df: DataFrame, treatment: str, outcome: str, adjust: Sequence[str], rep
     if learner == "boosted":
         out.effect = _boosted_aipw(rows, held, seed, clip)
         return out
-    models = replicates + 1
+    models, k = replicates + 1, len(held) + 2
     weights = lambda pdf: poisson_counts(pdf["__row"].to_numpy(), replicates, seed)
-    arm = lambda a: lambda pdf: weights(pdf) * (pdf["t"].to_numpy() == a)[:, None]
-    m1, m0 = (stacked_least_squares(rows, held, "y", arm(a), models) for a in (1.0, 0.0))
-    ps = stacked_logistic(rows, held, "t", weights, models) if held else None
+
+    def arms_sums(pdf) -> np.ndarray:
+        w, xy, t = weights(pdf), products(design(pdf, [*held, "y"])), pdf["t"].to_numpy()
+        return np.hstack([w[t == a].T @ xy[t == a] for a in (1.0, 0.0)])
+
+    if held:
+        # Replicates begin at the model of all rows, which one model's passes find, and their first step's pass sums the outcome models too.
+        found: list = []
+        whole = stacked_logistic(rows, held, "t", lambda pdf: np.ones((len(pdf), 1)), 1)
+        ps = stacked_logistic(rows, held, "t", weights, models, start=whole[0], beside=(arms_sums, 2 * k * k, found))
+        both = found[0]
+    else:
+        ps, both = None, stacked_sums(rows, arms_sums, models, 2 * k * k)
+    m1, m0 = least_squares_fits(both[:, : k * k]), least_squares_fits(both[:, k * k :])
 
     def sums(pdf) -> np.ndarray:
         x, w, t, y = design(pdf, held), weights(pdf), pdf["t"].to_numpy()[:, None], pdf["y"].to_numpy()[:, None]
@@ -301,6 +312,8 @@ def positivity(df: DataFrame, treatment: str, adjust: Sequence[str], least: int
 def screening_vs_adjusted(df: DataFrame, pairs: Sequence[tuple[str, str]], graph: Graph | None = None, fallback: Sequence[str] = ("stress_proxy", "active_minutes", "sleep_efficiency", "temperature_c"), replicates: int = 0, least: int = 10) -> DataFrame:
     """(treatment, outcome, r, effect, ci_low, ci_high, n, adjustment) for each pair with enough complete rows."""
     graph, out = graph or default_graph(), []
+    # Every pair reads the days several times, and they may be long in the making.
+    df = cut(df.select([c for c in df.columns if c in {*fallback, *graph.parents, *(c for pair in pairs for c in pair)}]))
     for t, y in pairs:
         known = t in graph.parents and y in graph.parents
         adjust = [a for a in (graph.back_door_set(t, y) if known else []) if a in df.columns] or [a for a in fallback if a in df.columns and a not in (t, y)]

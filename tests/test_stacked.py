@@ -69,6 +69,37 @@ def test_poisson_counts_are_poisson():
     assert abs(np.corrcoef(c[:, 1], c[:, 2])[0, 1]) < 0.08
 
 
+def test_poisson_counts_equal_a_search_in_all_ends():
+    rows = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 700)
+    ends = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1, dtype=float)) for k in range(16)])
+    x = rows.view(np.uint64)[:, None] + (np.arange(1, 101, dtype=np.uint64) + np.uint64(42 << 32)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    want = np.searchsorted(ends, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53, "right")
+    assert (stacked.poisson_counts(rows, 100, 42)[:, 1:] == want).all()
+
+
+def test_replicates_take_few_passes_over_days_that_are_made_once(spark, monkeypatch):
+    """Replicates begin at the model of all rows and their outcome models share its first pass; pairs share one table of days."""
+    x, t, y = data()
+    made = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([(float(a), float(b), *map(float, c)) for a, b, c in zip(t, y, x)], "treat double, out double, stress_proxy double, temperature_c double")
+
+    def count(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    passes, sums = [], stacked.stacked_sums
+    counted = lambda rows, f, models, width: passes.append(models) or sums(rows, f, models, width)
+    monkeypatch.setattr(stacked, "stacked_sums", counted)
+    monkeypatch.setattr(causal, "stacked_sums", counted)
+    rows = causal.screening_vs_adjusted(df.mapInPandas(count, df.schema), [("treat", "out"), ("out", "treat")], replicates=100).collect()
+    assert len(rows) == 2 and made.value == 300
+    # A step or two more than Newton needs from nearby, and the effects.
+    assert passes.count(101) <= 2 * 7
+
+
 @pytest.fixture(scope="module")
 def windows(spark):
     rng = np.random.default_rng(4)
