@@ -228,7 +228,8 @@ def aipw(df: DataFrame, treatment: str, outcome: str, adjust: Sequence[str], rep
         raise ValueError(f"unknown learner {learner!r}")
     rows = _complete(df, treatment, outcome, adjust)
     held = [c for c in rows.columns if c not in ("t", "y")]
-    rows = cut(rows.withColumn("__row", F.xxhash64(*rows.columns)))
+    # Many passes follow, so rows are dealt evenly to a few tasks a core.
+    rows = cut(rows.withColumn("__row", F.xxhash64(*rows.columns)).repartition(3 * rows.sparkSession.sparkContext.defaultParallelism))
     arms = {r["t"]: r["n"] for r in rows.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = Estimate(treatment, outcome, "aipw", None, n=sum(arms.values()), adjustment=held)
     if min(arms.get(0.0, 0), arms.get(1.0, 0)) < 2:
