@@ -311,6 +311,19 @@ def test_synthetic_days_share_draws_and_compiled_code(spark):
     assert synthetic.settled(drawn, other).exceptAll(synthetic.generate(spark, other)).count() == 0
 
 
+def test_synthetic_days_of_long_user_ids_equal_sql(spark, tmp_path):
+    """Users whose ids begin with the same five characters are participants of their own, in the query as in its SQL."""
+    con = duckdb.connect()
+    users = [0, 7, 99999, 100000, 100001, 1000000, -123456, -123457, 2**63 - 2, 2**63 - 1]
+    con.execute(f"COPY (SELECT unnest({users})::BIGINT AS user_id) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    want = con.execute(f"SELECT participant_id, date, age, device_type, resting_hr, hrv_rmssd, reliability_ground_truth FROM ({queries.oracle_sql()['synthetic_days']})")
+    got = queries.queries()["synthetic_days"](spark, str(tmp_path)).select(*[d[0] for d in want.description]).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+    days = Counter(r["participant_id"] for r in got)
+    assert len(days) == len(users) and set(days.values()) == {20} and {"P00007", "P100000", "P100001", f"P{2**63 - 1}"} <= set(days)
+
+
 def test_window_table_of_incomplete_groups_equals_sql(spark, tmp_path):
     """The last group of vectors may have under four, and so a chest window that is too short to be filtered."""
     con = duckdb.connect()
